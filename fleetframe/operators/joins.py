@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetframe.operators.sizing import broadcast_if_small
+from fleetframe.operators.sizing import broadcast_if_small, spread
 
 # Token separator for the contains-join index: anything that is not a
 # letter, combining mark, digit or underscore.
@@ -94,8 +94,8 @@ def pattern_join(df: DataFrame, text: str, df_id: Sequence[str] | str,
     long_p = keyed.where(F.col("_ff_tok").isNotNull())
     short_p = keyed.where(F.col("_ff_tok").isNull()).drop("_ff_tok")
 
-    doc_toks = df.select(*df_id, F.explode(F.array_distinct(
-        F.split(F.col(text), TOKEN_SEP_RE))).alias("_ff_tok"))
+    doc_toks = spread(df.select(*df_id, text)).select(
+        *df_id, F.explode(F.array_distinct(F.split(F.col(text), TOKEN_SEP_RE))).alias("_ff_tok"))
     keys_side = broadcast_if_small(long_p.select(*pattern_id, "_ff_tok"))
     cands = doc_toks.join(keys_side, "_ff_tok").select(*df_id, *pattern_id).distinct()
     verified = (df.select(*df_id, F.col(text).alias("_ff_text"))

@@ -18,17 +18,31 @@ DEFAULT_MAX_BROADCAST_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
 
-    The check runs ``df.limit(max_rows + 1).count()``, which stops reading
-    as soon as the bound is passed, so it is cheap even for a large input.
+    The check runs ``df.limit(max_rows + 1).count()``: each input partition
+    stops after ``max_rows + 1`` rows, so a large scan is not read in full
+    (a blocking upstream plan - an aggregate or join - is still computed).
+    Use it for dimension-like inputs: rule, pattern and lookup tables.
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster when it has fewer partitions than
+    the default parallelism, before CPU-heavy per-row work (tokenising
+    whole texts).  A large input already has at least that many splits, so
+    on a cluster this is a no-op; it matters for a few big rows in one file.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A small constant table; its size is fixed by the code, so it may be
     broadcast without a check."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-__all__ = ["broadcast_if_small", "literal_table", "DEFAULT_MAX_BROADCAST_ROWS"]
+__all__ = ["broadcast_if_small", "spread", "literal_table", "DEFAULT_MAX_BROADCAST_ROWS"]

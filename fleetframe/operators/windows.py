@@ -163,8 +163,12 @@ def inflight(intervals: DataFrame, keys: Sequence[str], start: str, end: str,
     """
     keys = list(keys)
     iv = intervals.where(F.col(end) >= F.col(start))
-    ev = (iv.select(*keys, F.col(start).alias("_ff_t"), F.lit(1).alias("_ff_d"))
-            .unionByName(iv.select(*keys, F.col(end).alias("_ff_t"), F.lit(-1).alias("_ff_d"))))
+    # one pass over the intervals emits both edge rows (a union would
+    # evaluate the interval plan twice)
+    edges = F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")),
+                    F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))
+    ev = (iv.select(*keys, F.explode(edges).alias("_ff_e"))
+            .select(*keys, F.col("_ff_e.t").alias("_ff_t"), F.col("_ff_e.d").alias("_ff_d")))
     s = running(ev, keys, ["_ff_t", "_ff_d"], time_chunk("_ff_t", chunk_seconds),
                 sums={"_ff_lvl": F.col("_ff_d")})
     secs = F.unix_micros(F.col("_ff_t").cast("timestamp")) / F.lit(1_000_000)

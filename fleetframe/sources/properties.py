@@ -38,37 +38,37 @@ def resolve_refs(df: DataFrame, source: str = "source", key: str = "key",
     same source - one level: substituted text is not scanned again, and a
     reference with no definition stays literal.  Adds ``resolved``.
 
-    Plan: tokenise each value, explode only the reference tokens, equi-join
-    them to the definitions on ``(source, name)`` (a shuffle join; AQE splits
-    a hot name), rebuild per row, and left-join the rebuilt text back.
-    Duplicate definitions: the last line wins when ``line_no`` is given.
+    Plan: only the reference tokens are exploded (with their token position)
+    and equi-joined to the definitions on ``(source, name)`` - a shuffle
+    join, AQE splits a hot name.  The hits become one small
+    ``position -> text`` map per row, left-joined back by row id, and the
+    value is rebuilt token by token with ``transform``.  Rows with no
+    resolvable reference keep their value.  Duplicate definitions: the last
+    line wins when ``line_no`` is given.
     """
     row_id = list(row_id)
-    defs = df.select(F.col(source).alias("_src"), F.col(key).alias("_ref"),
-                     F.col(value).alias("_def"),
-                     *( [F.col(line_no).alias("_ln")] if line_no else []))
+    defs = df.select(F.col(source).alias("_ff_src"), F.col(key).alias("_ff_ref"),
+                     F.col(value).alias("_ff_def"),
+                     *([F.col(line_no).alias("_ff_ln")] if line_no else []))
     if line_no:
-        defs = defs.groupBy("_src", "_ref").agg(F.max_by("_def", "_ln").alias("_def"))
+        defs = defs.groupBy("_ff_src", "_ff_ref").agg(F.max_by("_ff_def", "_ff_ln").alias("_ff_def"))
     else:
-        defs = defs.groupBy("_src", "_ref").agg(F.max("_def").alias("_def"))
+        defs = defs.groupBy("_ff_src", "_ff_ref").agg(F.max("_ff_def").alias("_ff_def"))
 
-    toks = df.select(*row_id, F.col(source).alias("_src"),
-                     F.posexplode(F.regexp_extract_all(F.col(value), F.lit(TOKEN_RE), F.lit(1)))
-                      .alias("_pos", "_tok"))
-    refs = (toks.withColumn("_ref", F.regexp_extract("_tok", REF_RE, 1))
-                .where(F.col("_tok").rlike(REF_RE)))
-    hit = refs.join(defs, ["_src", "_ref"], "inner")
-    # only rows with a resolvable reference are rebuilt; the rest keep value
-    needs = hit.select(*row_id).distinct()
-    plain = (toks.join(needs, row_id, "left_semi")
-                 .join(hit.select(*row_id, "_pos", "_def"), [*row_id, "_pos"], "left"))
-    rebuilt = (plain.groupBy(*row_id)
-                    .agg(F.array_join(
-                        F.transform(F.array_sort(F.collect_list(
-                            F.struct("_pos", F.coalesce("_def", "_tok").alias("t")))),
-                            lambda s: s["t"]), "").alias("resolved")))
-    out = df.join(rebuilt, row_id, "left")
-    return out.withColumn("resolved", F.coalesce(F.col("resolved"), F.col(value)))
+    tokens = F.regexp_extract_all(F.col(value), F.lit(TOKEN_RE), F.lit(1))
+    refs = (df.where(F.col(value).contains("${"))
+              .select(*row_id, F.col(source).alias("_ff_src"),
+                      F.posexplode(tokens).alias("_ff_pos", "_ff_tok"))
+              .where(F.col("_ff_tok").rlike(REF_RE))
+              .withColumn("_ff_ref", F.regexp_extract("_ff_tok", REF_RE, 1)))
+    hits = refs.join(defs, ["_ff_src", "_ff_ref"], "inner")
+    subst = hits.groupBy(*row_id).agg(
+        F.map_from_entries(F.collect_list(F.struct("_ff_pos", "_ff_def"))).alias("_ff_map"))
+    out = df.join(subst, row_id, "left")
+    rebuilt = F.array_join(F.transform(tokens, lambda t, i: F.coalesce(
+        F.try_element_at(F.col("_ff_map"), i), t)), "")
+    return (out.withColumn("resolved", F.when(F.col("_ff_map").isNull(), F.col(value)).otherwise(rebuilt))
+               .drop("_ff_map"))
 
 
 __all__ = ["parse_properties", "read_properties", "resolve_refs"]
