@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe.functions.text import default_if_empty, norm_host
-from fleetframe.operators.aggs import ha_flags, ordered_list
 from fleetframe.sources.conf import last_wins
 
 # Fixed values from the reference: which configuration key lists the hosts
@@ -102,47 +101,44 @@ def service_props(placement: DataFrame, keys: Sequence[str], prefix: str,
     per host.  Single host: for ``single="scm"`` ``<prefix>.names`` and
     ``<prefix>.client.address`` (host:9860); for ``single="om"``
     ``<prefix>.address``.
+
+    One aggregate per group (host count and the hosts ordered by position),
+    then one ``explode`` of the property rows chosen by the HA branch - no
+    union of branches and no join back to the placement.
     """
     keys = list(keys)
-    counts = ha_flags(placement, keys, host)
-    lists = ordered_list(placement, keys, pos, host, out="_ff_hosts")
-    g = counts.join(lists, keys).withColumn("_ff_sid", service_id)
-    ha = g.where(F.col("is_ha"))
-    one = g.where(~F.col("is_ha"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"),
+                                                   F.col(host).cast("string").alias("h"))))
+    g = (placement.groupBy(*keys)
+                  .agg(F.count(host).alias("_ff_n"),
+                       F.transform(ordered, lambda s: s["h"]).alias("_ff_hosts"))
+                  .withColumn("_ff_sid", service_id))
+    sid, hosts = F.col("_ff_sid"), F.col("_ff_hosts")
+    joined = F.array_join(hosts, ",")
     svc = prefix.split(".")[-1].upper()
-    rows = [
-        ha.select(*keys, F.lit(f"{prefix}.service.ids").alias("name"),
-                  F.col("_ff_sid").alias("value"),
-                  F.lit(f"{svc} service IDs").alias("description")),
-        ha.select(*keys, F.concat(F.lit(f"{prefix}.nodes."), F.col("_ff_sid")).alias("name"),
-                  F.col("_ff_hosts").alias("value"),
-                  F.concat(F.lit(f"{svc} nodes for service "), F.col("_ff_sid")).alias("description")),
-        placement.join(ha.select(*keys, "_ff_sid"), keys).select(
-            *keys, F.concat(F.lit(f"{prefix}.address."), F.col("_ff_sid"), F.lit("."),
-                            F.col(host)).alias("name"),
-            F.col(host).alias("value"),
-            F.concat(F.lit(f"{svc} address for "), F.col(host), F.lit(" in service "),
-                     F.col("_ff_sid")).alias("description")),
-    ]
+
+    def prop(name, value, description):
+        return F.struct(name.alias("name"), value.alias("value"), description.alias("description"))
+
+    ha_rows = F.concat(
+        F.array(prop(F.lit(f"{prefix}.service.ids"), sid, F.lit(f"{svc} service IDs")),
+                prop(F.concat(F.lit(f"{prefix}.nodes."), sid), joined,
+                     F.concat(F.lit(f"{svc} nodes for service "), sid))),
+        F.transform(hosts, lambda h: prop(
+            F.concat(F.lit(f"{prefix}.address."), sid, F.lit("."), h), h,
+            F.concat(F.lit(f"{svc} address for "), h, F.lit(" in service "), sid))))
     if single == "scm":
-        rows += [
-            one.select(*keys, F.lit(f"{prefix}.names").alias("name"),
-                       F.col("_ff_hosts").alias("value"),
-                       F.lit("The hostname or IP address of the Storage Container Manager")
-                        .alias("description")),
-            one.select(*keys, F.lit(f"{prefix}.client.address").alias("name"),
-                       F.concat(F.col("_ff_hosts"), F.lit(f":{SCM_CLIENT_PORT}")).alias("value"),
-                       F.lit("The address and port for the SCM client").alias("description")),
-        ]
+        one_rows = F.array(
+            prop(F.lit(f"{prefix}.names"), joined,
+                 F.lit("The hostname or IP address of the Storage Container Manager")),
+            prop(F.lit(f"{prefix}.client.address"), F.concat(joined, F.lit(f":{SCM_CLIENT_PORT}")),
+                 F.lit("The address and port for the SCM client")))
     else:
-        rows.append(one.select(*keys, F.lit(f"{prefix}.address").alias("name"),
-                               F.col("_ff_hosts").alias("value"),
-                               F.lit("The hostname or IP address of the Ozone Manager")
-                                .alias("description")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        one_rows = F.array(prop(F.lit(f"{prefix}.address"), joined,
+                                F.lit("The hostname or IP address of the Ozone Manager")))
+    rows = F.when(F.col("_ff_n") > 1, ha_rows).otherwise(one_rows)
+    return (g.select(*keys, F.explode(rows).alias("_ff_p"))
+             .select(*keys, "_ff_p.name", "_ff_p.value", "_ff_p.description"))
 
 
 def site_properties(conf: DataFrame, source: str = "source") -> DataFrame:
