@@ -59,6 +59,7 @@ def number_chunk(col: str | Column, width: int = 100_000) -> Column:
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             chunk: Column, *,
             rank: str | None = None,
+            total: str | None = None,
             sums: Mapping[str, Column] | None = None,
             carries: Mapping[str, Column] | None = None,
             carries_before: Mapping[str, Column] | None = None,
@@ -71,6 +72,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     order:  ascending sort columns; should be a total order within a key.
     chunk:  monotone non-decreasing function of ``order`` used to split keys.
     rank:   name of a 1-based row-number column to add.
+    total:  name of a column with the number of rows of the row's key.
     sums:   ``{name: expr}`` running sum of ``expr`` up to and including the row.
     carries: ``{name: expr}`` last non-null ``expr`` up to and including the row.
     carries_before: same, but over rows strictly before the current row.
@@ -81,7 +83,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     carries = dict(carries or {})
     carries_before = dict(carries_before or {})
     last_rank_where = dict(last_rank_where or {})
-    need_rank = bool(rank) or bool(last_rank_where)
+    need_rank = bool(rank) or bool(total) or bool(last_rank_where)
     order_cols = _cols(order)
     out_cols = list(df.columns)
 
@@ -133,6 +135,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     pre = [F.col(_KEY), F.col(_CHUNK)]
     if need_rank:
         pre.append(F.coalesce(F.sum("_ff_n").over(ws), F.lit(0)).alias("_ff_off"))
+    if total:
+        pre.append(F.sum("_ff_n").over(Window.partitionBy(_KEY)).alias("_ff_total"))
     for n in sums:
         pre.append(F.sum(f"_ff_t_{n}").over(ws).alias(f"_ff_ot_{n}"))
     for n in carries:
@@ -152,6 +156,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     extra = []
     if rank:
         extra.append((F.col("_ff_off") + F.col("_ff_lr")).cast("long").alias(rank))
+    if total:
+        extra.append(F.col("_ff_total").cast("long").alias(total))
     for n in sums:
         ls, ot = F.col(f"_ff_ls_{n}"), F.col(f"_ff_ot_{n}")
         extra.append(F.when(ls.isNull() & ot.isNull(), F.lit(None))

@@ -37,10 +37,8 @@ def ordered_plan(placement: DataFrame, keys: Sequence[str], item: str, pos: str,
                   .withColumn("_ff_rank", F.coalesce("_ff_rank", F.lit(len(order) + 1)))
                   .drop("_ff_item"))
     chunk = F.col("_ff_rank").cast("long") * F.lit(1 << 40) + F.floor(F.col(pos) / F.lit(chunk_width))
-    s = running(r, keys, ["_ff_rank", pos], chunk, rank="seq")
-    n = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ff_n"))
-    return (s.join(n, keys)
-             .withColumn("stop_seq", (F.col("_ff_n") - F.col("seq") + 1).cast("long"))
+    s = running(r, keys, ["_ff_rank", pos], chunk, rank="seq", total="_ff_n")
+    return (s.withColumn("stop_seq", (F.col("_ff_n") - F.col("seq") + 1).cast("long"))
              .drop("_ff_n", "_ff_rank"))
 
 

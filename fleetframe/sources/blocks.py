@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.operators.aggs import pivot_facts
 from fleetframe.operators.windows import carry
 from fleetframe.sources.lines import read_lines
 
@@ -42,8 +41,8 @@ def compose_ports(lines: DataFrame, source: str = "source", line_no: str = "line
     ports = scoped.where(c.rlike(COMPOSE_PORT_RE) & (F.col("_svc") != ""))
     return ports.select(
         source, F.col("_svc").alias("service"),
-        F.regexp_extract(c, COMPOSE_PORT_RE, 1).cast("int").alias("host_port"),
-        F.regexp_extract(c, COMPOSE_PORT_RE, 2).cast("int").alias("container_port"))
+        F.regexp_extract(c, COMPOSE_PORT_RE, 1).try_cast("int").alias("host_port"),
+        F.regexp_extract(c, COMPOSE_PORT_RE, 2).try_cast("int").alias("container_port"))
 
 
 def read_compose_ports(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -57,21 +56,15 @@ def parse_dir_report(lines: DataFrame, source: str = "source", line_no: str = "l
     c = F.col(line)
     hdr = F.when(c.rlike(DIR_HEADER_RE), F.regexp_extract(c, DIR_HEADER_RE, 1))
     scoped = carry(lines.withColumn("_h", hdr), [source], line_no, "_h", "dir")
-    attrs = scoped.where(c.rlike(DIR_ATTR_RE)).select(
-        source, "dir", F.regexp_extract(c, DIR_ATTR_RE, 1).alias("attr"),
-        F.regexp_extract(c, DIR_ATTR_RE, 2).alias("val"))
-    wide = pivot_facts(attrs, [source, "dir"], "attr", "val",
-                       ["Owner", "Permissions", "Mount point", "Filesystem type", "Mount options"])
-    wide = (wide.withColumnRenamed("Owner", "owner").withColumnRenamed("Permissions", "perms")
-                .withColumnRenamed("Mount point", "mount_point")
-                .withColumnRenamed("Filesystem type", "fs_type")
-                .withColumnRenamed("Mount options", "mount_options"))
-    missing = (scoped.where(c.contains(DIR_ERROR_MISSING))
-                     .select(source, "dir").distinct().withColumn("_missing", F.lit(True)))
-    dirs = scoped.where(F.col("_h").isNotNull()).select(source, "dir").distinct()
-    out = (dirs.join(wide, [source, "dir"], "left")
-               .join(missing, [source, "dir"], "left"))
-    return out.withColumn("exists", F.col("_missing").isNull()).drop("_missing")
+    attr = F.when(c.rlike(DIR_ATTR_RE), F.regexp_extract(c, DIR_ATTR_RE, 1))
+    val = F.regexp_extract(c, DIR_ATTR_RE, 2)
+    named = [("Owner", "owner"), ("Permissions", "perms"), ("Mount point", "mount_point"),
+             ("Filesystem type", "fs_type"), ("Mount options", "mount_options")]
+    # one aggregate per directory block; a repeated attribute: the last line wins
+    aggs = [F.max_by(F.when(attr == a, val), F.when(attr == a, F.col(line_no))).alias(n) for a, n in named]
+    aggs.append(F.coalesce(F.bool_or(c.contains(DIR_ERROR_MISSING)), F.lit(False)).alias("_missing"))
+    out = scoped.where(F.col("dir").isNotNull()).groupBy(source, "dir").agg(*aggs)
+    return out.withColumn("exists", ~F.col("_missing")).drop("_missing")
 
 
 def parse_blocks(lines: DataFrame, header_re: str = STANZA_HEADER_RE,

@@ -66,7 +66,7 @@ def parse_ps(df: DataFrame, line: str = "line", drop_grep: bool = True) -> DataF
     fields = F.split(F.trim(F.col(line)), r"\s+", 11)
     out = df.select("*",
                     fields.getItem(0).alias("user"),
-                    F.try_element_at(fields, F.lit(2)).cast("long").alias("pid"),
+                    F.try_element_at(fields, F.lit(2)).try_cast("long").alias("pid"),
                     F.try_element_at(fields, F.lit(11)).alias("cmd"))
     if drop_grep:
         out = out.where(~F.col(line).contains("grep"))

@@ -46,21 +46,27 @@ def run_to_table(sdf: DataFrame, name: str, mode: str = "complete",
                  batch_fn: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Run ``sdf`` until the available input is processed and return the sink
     as a batch DataFrame.  Complete/update output overwrites the sink each
-    micro-batch; append output appends.  The query's checkpoint sits beside
-    the sink, so a restarted job resumes instead of recomputing."""
+    micro-batch.  Append output writes each micro-batch to its own
+    ``batch_id=<n>`` folder with overwrite, so a batch replayed after a
+    failure (``foreachBatch`` is at-least-once) replaces itself instead of
+    duplicating rows.  The query's checkpoint sits beside the sink, so a
+    restarted job resumes instead of recomputing."""
     spark = sdf.sparkSession
     out = scratch_path(spark, name)
-    write_mode = "append" if mode == "append" else "overwrite"
 
     def each(batch: DataFrame, epoch: int) -> None:
         res = batch_fn(batch, epoch) if batch_fn else batch
-        res.write.mode(write_mode).parquet(out)
+        if mode == "append":
+            res.write.mode("overwrite").parquet(f"{out}/batch_id={epoch}")
+        else:
+            res.write.mode("overwrite").parquet(out)
 
     q = (sdf.writeStream.outputMode(mode).foreachBatch(each)
              .option("checkpointLocation", out + "_checkpoint")
              .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    back = spark.read.parquet(out)
+    return back.drop("batch_id") if mode == "append" else back
 
 
 def with_event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
