@@ -38,6 +38,29 @@ def _norm(v):
     return str(v)
 
 
+def spark_family(t: str) -> str:
+    t = t.lower()
+    if t in ("tinyint", "smallint", "int", "bigint"):
+        return "int"
+    if t in ("float", "double") or t.startswith("decimal"):
+        return "float"
+    if t.startswith("timestamp") or t == "date":
+        return "time"
+    return {"string": "str", "boolean": "bool"}.get(t, t)
+
+
+def duck_family(t: str) -> str:
+    t = t.upper()
+    if t in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT", "HUGEINT", "UTINYINT", "USMALLINT",
+             "UINTEGER", "UBIGINT"):
+        return "int"
+    if t in ("FLOAT", "DOUBLE") or t.startswith("DECIMAL"):
+        return "float"
+    if t.startswith("TIMESTAMP") or t == "DATE":
+        return "time"
+    return {"VARCHAR": "str", "BOOLEAN": "bool"}.get(t, t.lower())
+
+
 def digest(rows):
     lines = sorted("|".join(_norm(x) for x in r) for r in rows)
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
@@ -59,6 +82,12 @@ def compare(spark, key: str, sf_dir: str, con=None):
     drows_raw = rel.fetchall()
     if sorted(dcols) != cols:
         return False, f"{key}: columns differ spark={cols} duck={sorted(dcols)}"
+    stypes = dict(df.dtypes)
+    dtypes = {d[0]: str(d[1]) for d in rel.description}
+    bad_types = [(c, stypes[c], dtypes[c]) for c in cols
+                 if spark_family(stypes[c]) != duck_family(dtypes[c])]
+    if bad_types:
+        return False, f"{key}: column types differ {bad_types}"
     idx = [dcols.index(c) for c in cols]
     drows = [tuple(r[i] for i in idx) for r in drows_raw]
     if len(srows) != len(drows):

@@ -154,3 +154,10 @@ def test_aggs_and_sets(spark):
     plan = {r["service"]: (r["seq"], r["stop_seq"]) for r in
             setops.ordered_plan(pl, ["cluster"], "service", "pos").collect()}
     assert plan == {"scm": (1, 4), "om": (2, 3), "datanode": (3, 2), "grafana": (4, 1)}
+
+
+def test_shell_field_helpers(spark):
+    df = spark.createDataFrame([("ID=rocky", '"(9.2)"', "v 10 and 20"), ("x", "ab", "none")], "a string, b string, c string")
+    r = df.select(T.nth_field("a", "=", 2).alias("f"), T.delete_chars("b", '"()').alias("d"),
+                  T.first_number("c").alias("n"), T.default_if_empty(F.lit(""), "dflt").alias("e")).collect()
+    assert [tuple(x) for x in r] == [("rocky", "9.2", "10", "dflt"), (None, "ab", None, "dflt")]

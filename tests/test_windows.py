@@ -171,3 +171,26 @@ def test_inflight_matches_model(spark):
 def test_primary(spark):
     df = spark.createDataFrame([("c", 2, "b"), ("c", 0, "a"), ("d", 5, "z")], "c string, pos int, h string")
     assert {r["c"]: r["primary"] for r in windows.primary(df, ["c"], "pos", "h").collect()} == {"c": "a", "d": "z"}
+
+
+def test_running_spreads_a_hot_key(spark):
+    """Two thirds of the rows share one key; the scan must not put them in one task."""
+    n = 30_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+        F.col("id").alias("pos"), F.lit(1).alias("v"))
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = running(df, ["k"], ["pos"], number_chunk("pos", 500), sums={"s": F.col("v")}, rank="rk")
+        per_task = (out.where(F.col("k") == "hot")
+                       .groupBy(F.spark_partition_id().alias("p")).count().collect())
+        hot = out.where(F.col("k") == "hot").select("pos", "s", "rk").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+    # the hot key is split over several tasks, none holding half of it
+    assert len(per_task) >= 4
+    assert max(r["count"] for r in per_task) < len(hot) / 2
+    # exact: the i-th hot row (1-based) has running sum i
+    hot.sort(key=lambda r: r["pos"])
+    assert all(r["s"] == i and r["rk"] == i for i, r in enumerate(hot, 1))
