@@ -35,6 +35,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetframe.functions.time import epoch_micros
+
 _KEY = "_ff_key"
 _CHUNK = "_ff_chunk"
 _LOWEST_CHUNK = -(2 ** 62)
@@ -44,10 +46,10 @@ def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def time_chunk(col: str | Column, seconds: int = 86400) -> Column:
-    """Chunk a timestamp (or timestamp_ntz) column into fixed spans."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000))
+def time_chunk(col: str | Column, seconds: int = 86400, dtype: str = "timestamp_ntz") -> Column:
+    """Chunk a timestamp / timestamp_ntz / date column into fixed spans
+    (independent of the session time zone)."""
+    return F.floor(epoch_micros(col, dtype) / F.lit(seconds * 1_000_000))
 
 
 def number_chunk(col: str | Column, width: int = 100_000) -> Column:

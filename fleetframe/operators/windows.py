@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetframe.functions.time import dtype_of, epoch_seconds
 from fleetframe.operators.scan import number_chunk, running, time_chunk
 from fleetframe.sources.conf import last_wins  # noqa: F401  (W6 lives with the conf reader)
 
@@ -34,7 +35,7 @@ def default_chunk(df: DataFrame, order: Sequence[str | Column], width: int | Non
     if isinstance(first, str):
         dtype = dict(df.dtypes).get(first, "")
         if dtype.startswith("timestamp") or dtype == "date":
-            return time_chunk(first, width or 86400)
+            return time_chunk(first, width or 86400, dtype)
         return number_chunk(first, width or 100_000)
     return number_chunk(first, width or 100_000)
 
@@ -169,9 +170,10 @@ def inflight(intervals: DataFrame, keys: Sequence[str], start: str, end: str,
                     F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))
     ev = (iv.select(*keys, F.explode(edges).alias("_ff_e"))
             .select(*keys, F.col("_ff_e.t").alias("_ff_t"), F.col("_ff_e.d").alias("_ff_d")))
-    s = running(ev, keys, ["_ff_t", "_ff_d"], time_chunk("_ff_t", chunk_seconds),
+    tdt = dtype_of(ev, "_ff_t")
+    s = running(ev, keys, ["_ff_t", "_ff_d"], time_chunk("_ff_t", chunk_seconds, tdt),
                 sums={"_ff_lvl": F.col("_ff_d")})
-    secs = F.unix_micros(F.col("_ff_t").cast("timestamp")) / F.lit(1_000_000)
+    secs = epoch_seconds("_ff_t", tdt)
     crossing = (F.when((F.col("_ff_d") == -1) & (F.col("_ff_lvl") == cap), secs)
                  .when((F.col("_ff_d") == 1) & (F.col("_ff_lvl") == cap + 1), -secs))
     return s.groupBy(*keys).agg(

@@ -30,7 +30,7 @@ def parse_run_log(df: DataFrame, line: str = "line") -> DataFrame:
     """Strip ANSI colour codes, then ``[yyyy-MM-dd HH:mm:ss] LEVEL: text``.
 
     Lines written by the plain ``log`` function carry no level word and get
-    ``LOG``.  A line that does not match keeps ``ts``/``level`` null and its
+    ``LOG``.  The stamp has no zone, so ``ts`` is a wall-clock ``timestamp_ntz``.  A line that does not match keeps ``ts``/``level`` null and its
     cleaned text as ``message``.
     """
     clean = strip_ansi(F.col(line))
@@ -40,7 +40,7 @@ def parse_run_log(df: DataFrame, line: str = "line") -> DataFrame:
     msg = F.regexp_extract(clean, LOG_RE, 3)
     return df.select(
         "*",
-        F.when(ok, F.try_to_timestamp(ts_text, F.lit(LOG_TS_FORMAT))).alias("ts"),
+        F.when(ok, F.try_to_timestamp(ts_text, F.lit(LOG_TS_FORMAT)).cast("timestamp_ntz")).alias("ts"),
         F.when(ok, F.coalesce(F.nullif(level, F.lit("")), F.lit(PLAIN_LEVEL))).alias("level"),
         F.when(ok, msg).otherwise(clean).alias("message"))
 

@@ -20,6 +20,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetframe.functions.time import as_instant, as_wall_clock, dtype_of
 from fleetframe.session import scratch_path
 from fleetframe.sources.records import parse_run_log
 
@@ -70,7 +71,16 @@ def run_to_table(sdf: DataFrame, name: str, mode: str = "complete",
 
 
 def with_event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    """Event time with a watermark.  Wall-clock (``timestamp_ntz``) stamps
+    are read as UTC instants, so windows do not depend on the session zone;
+    :func:`wall` turns window bounds back into wall-clock values."""
+    return df.withColumn(ts, as_instant(ts, dtype_of(df, ts))).withWatermark(ts, delay)
+
+
+def wall(col) -> Column:
+    """Format an event-time instant (from :func:`with_event_time`) as its
+    wall-clock text."""
+    return F.date_format(as_wall_clock(col), TS_FMT)
 
 
 # ---------------------------------------------------------------- monitors
@@ -137,7 +147,7 @@ def _events(spark, sf):
 def st_retry(spark, sf):
     r = stream_retry(_events(spark, sf), ["user_id"], "ts", F.col("event_type") == "purchase")
     out = run_to_table(r, "st_retry")
-    return out.select("user_id", "polls", F.date_format("first_exit", TS_FMT).alias("first_exit"), "timed_out")
+    return out.select("user_id", "polls", wall("first_exit").alias("first_exit"), "timed_out")
 
 
 def st_tumbling(spark, sf):
@@ -146,7 +156,7 @@ def st_tumbling(spark, sf):
     parsed = parse_run_log(e.select(_log_line(e).alias("line")))
     log = with_event_time(parsed.where(F.col("ts").isNotNull()), "ts")
     out = run_to_table(stream_levels(log, "ts", "level", "1 hour"), "st_tumbling")
-    return out.select(F.date_format("w.start", TS_FMT).alias("window_start"), "level", "n")
+    return out.select(wall("w.start").alias("window_start"), "level", "n")
 
 
 def st_latest(spark, sf):
@@ -159,15 +169,16 @@ def st_latest(spark, sf):
 def st_session(spark, sf):
     r = stream_sessions(_events(spark, sf), ["user_id"], "ts", "30 minutes")
     out = run_to_table(r, "st_session")
-    return out.select("user_id", F.date_format("s.start", TS_FMT).alias("session_start"),
-                      F.date_format("s.end", TS_FMT).alias("session_end"), "n")
+    return out.select("user_id", wall("s.start").alias("session_start"),
+                      wall("s.end").alias("session_end"), "n")
 
 
 def st_dedup(spark, sf):
-    e = _events(spark, sf).withColumn("minute", F.date_trunc("minute", "ts"))
+    e = _events(spark, sf).withColumn(
+        "minute", F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 60) * 60))
     r = stream_dedup(e, ["user_id", "event_type", "minute"]).select("user_id", "event_type", "minute")
     out = run_to_table(r, "st_dedup", mode="append")
-    return out.select("user_id", "event_type", F.date_format("minute", TS_FMT).alias("minute"))
+    return out.select("user_id", "event_type", wall("minute").alias("minute"))
 
 
 def st_down(spark, sf):
@@ -179,13 +190,13 @@ def st_down(spark, sf):
             .select(F.col("w.start").alias("window_start"), "user_id", "event_type"))
     out = run_to_table(seen, "st_down",
                        batch_fn=lambda b, _: down_in_batch(b, placement, ["user_id", "event_type"]))
-    return out.select(F.date_format("window_start", TS_FMT).alias("window_start"), "user_id", "event_type")
+    return out.select(wall("window_start").alias("window_start"), "user_id", "event_type")
 
 
 def st_sliding(spark, sf):
     r = stream_fail_rate(_events(spark, sf), "ts", F.col("event_type") == "error", "1 hour", "30 minutes")
     out = run_to_table(r, "st_sliding")
-    return out.select(F.date_format("w.start", TS_FMT).alias("window_start"), "n", "n_failed", "fail_rate")
+    return out.select(wall("w.start").alias("window_start"), "n", "n_failed", "fail_rate")
 
 
 STREAM_CHECKS = {

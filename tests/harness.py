@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import sys
 import time
 
@@ -107,6 +108,8 @@ def main(argv):
     import __spark_entry__ as E
     keys = argv[2:] or list(E.queries())
     spark = build_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("FF_SESSION_TZ"):      # prove results do not depend on the session zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["FF_SESSION_TZ"])
     con = duck(sf_dir)
     bad = 0
     for k in keys:
