@@ -1,6 +1,7 @@
 """Aggregations (A1–A9).  All are hash/sort aggregates with map-side partial
-aggregation; list-valued outputs (A2, A3, A8) are by definition as large as
-their group, and are assembled from partial lists rather than one sort."""
+aggregation.  List-valued outputs (A2, A8) are by definition as large as
+their group; they are sorted per (group, chunk) in parallel and only the
+sorted pieces are concatenated per group."""
 
 from __future__ import annotations
 
@@ -18,12 +19,45 @@ def ha_flags(placement: DataFrame, keys: Sequence[str], host: str = "host",
                      .withColumn(flag_out, F.col(n_out) > 1))
 
 
+LIST_CHUNK = 1 << 16
+
+
+def _numeric(df: DataFrame, col: str) -> bool:
+    t = dict(df.dtypes).get(col, "")
+    return t in ("tinyint", "smallint", "int", "bigint") or t.startswith("decimal") or t in ("float", "double")
+
+
 def ordered_list(df: DataFrame, keys: Sequence[str], pos: str, value: str,
-                 out: str = "hosts", sep: str = ",") -> DataFrame:
-    """A2: values joined with ``sep`` in ``pos`` order (ties by value)."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"),
-                                                 F.col(value).cast("string").alias("v"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda s: s["v"]), sep).alias(out))
+                 out: str = "hosts", sep: str = ",", chunk_width: int = LIST_CHUNK,
+                 count_out: str | None = None) -> DataFrame:
+    """A2: values joined with ``sep`` in ``pos`` order (ties by value);
+    ``count_out`` adds the number of non-null values.
+
+    Two levels, so a group with a third of all rows is not sorted in one
+    task: each ``(key, chunk of pos)`` is sorted and joined on its own (in
+    parallel, after a partial aggregate), then the pieces of a key are
+    concatenated in chunk order.  For a non-numeric ``pos`` a single level
+    is used.
+    """
+    keys = list(keys)
+
+    def joined(pairs):
+        return F.array_join(F.transform(F.array_sort(pairs), lambda s: s["v"]), sep)
+
+    pair = F.struct(F.col(pos).alias("p"), F.col(value).cast("string").alias("v"))
+    if not _numeric(df, pos):
+        aggs = [joined(F.collect_list(pair)).alias(out)]
+        if count_out:
+            aggs.append(F.count(value).alias(count_out))
+        return df.groupBy(*keys).agg(*aggs)
+    pieces = (df.groupBy(*keys, F.floor(F.col(pos) / F.lit(chunk_width)).alias("_ff_c"))
+                .agg(F.count(value).alias("_ff_n"),
+                     F.when(F.count(value) > 0, joined(F.collect_list(pair))).alias("_ff_s")))
+    aggs = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ff_c", "_ff_s"))),
+                                     lambda s: s["_ff_s"]), sep).alias(out)]
+    if count_out:
+        aggs.append(F.sum("_ff_n").alias(count_out))
+    return pieces.groupBy(*keys).agg(*aggs)
 
 
 def run_summary(steps: DataFrame, run: str, host: str, status: str,
@@ -82,11 +116,17 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def collect_sorted(df: DataFrame, keys: Sequence[str], value: str, out: str = "values",
-                   sep: str = ",") -> DataFrame:
-    """Every value of the group, sorted, joined with ``sep``; plus a count."""
-    return df.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list(F.col(value))), sep).alias(out),
-        F.count(value).alias("n"))
+                   sep: str = ",", chunk_width: int = LIST_CHUNK) -> DataFrame:
+    """Every value of the group, sorted, joined with ``sep``; plus a count
+    ``n``.  Numeric values are sorted per (key, value range) in parallel and
+    the sorted pieces concatenated, as in :func:`ordered_list`."""
+    keys = list(keys)
+    if not _numeric(df, value):
+        return df.groupBy(*keys).agg(
+            F.array_join(F.array_sort(F.collect_list(F.col(value))), sep).alias(out),
+            F.count(value).alias("n"))
+    return ordered_list(df, keys, value, value, out=out, sep=sep, chunk_width=chunk_width,
+                        count_out="n")
 
 
 def pivot_facts(df: DataFrame, keys: Sequence[str], attr: str, value: str,

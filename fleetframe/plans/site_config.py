@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe.functions.text import default_if_empty, norm_host
+from fleetframe.operators.aggs import ordered_list
 from fleetframe.sources.conf import last_wins
 
 # Fixed values from the reference: which configuration key lists the hosts
@@ -102,31 +103,24 @@ def service_props(placement: DataFrame, keys: Sequence[str], prefix: str,
     ``<prefix>.client.address`` (host:9860); for ``single="om"``
     ``<prefix>.address``.
 
-    One aggregate per group (host count and the hosts ordered by position),
-    then one ``explode`` of the property rows chosen by the HA branch - no
-    union of branches and no join back to the placement.
+    Per group: one aggregate gives the host count and the ordered list (A1,
+    A2 - sorted per chunk, so a huge group is not sorted in one task) and
+    the group-level rows are one ``explode``.  The per-host address rows
+    come straight from the placement rows joined to the HA groups, so no
+    host array is ever gathered.
     """
     keys = list(keys)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"),
-                                                   F.col(host).cast("string").alias("h"))))
-    g = (placement.groupBy(*keys)
-                  .agg(F.count(host).alias("_ff_n"),
-                       F.transform(ordered, lambda s: s["h"]).alias("_ff_hosts"))
-                  .withColumn("_ff_sid", service_id))
-    sid, hosts = F.col("_ff_sid"), F.col("_ff_hosts")
-    joined = F.array_join(hosts, ",")
+    g = (ordered_list(placement, keys, pos, host, out="_ff_hosts", count_out="_ff_n")
+         .withColumn("_ff_sid", service_id))
+    sid, joined = F.col("_ff_sid"), F.col("_ff_hosts")
     svc = prefix.split(".")[-1].upper()
 
     def prop(name, value, description):
         return F.struct(name.alias("name"), value.alias("value"), description.alias("description"))
 
-    ha_rows = F.concat(
-        F.array(prop(F.lit(f"{prefix}.service.ids"), sid, F.lit(f"{svc} service IDs")),
-                prop(F.concat(F.lit(f"{prefix}.nodes."), sid), joined,
-                     F.concat(F.lit(f"{svc} nodes for service "), sid))),
-        F.transform(hosts, lambda h: prop(
-            F.concat(F.lit(f"{prefix}.address."), sid, F.lit("."), h), h,
-            F.concat(F.lit(f"{svc} address for "), h, F.lit(" in service "), sid))))
+    ha_rows = F.array(prop(F.lit(f"{prefix}.service.ids"), sid, F.lit(f"{svc} service IDs")),
+                      prop(F.concat(F.lit(f"{prefix}.nodes."), sid), joined,
+                           F.concat(F.lit(f"{svc} nodes for service "), sid)))
     if single == "scm":
         one_rows = F.array(
             prop(F.lit(f"{prefix}.names"), joined,
@@ -136,9 +130,17 @@ def service_props(placement: DataFrame, keys: Sequence[str], prefix: str,
     else:
         one_rows = F.array(prop(F.lit(f"{prefix}.address"), joined,
                                 F.lit("The hostname or IP address of the Ozone Manager")))
-    rows = F.when(F.col("_ff_n") > 1, ha_rows).otherwise(one_rows)
-    return (g.select(*keys, F.explode(rows).alias("_ff_p"))
-             .select(*keys, "_ff_p.name", "_ff_p.value", "_ff_p.description"))
+    group_rows = (g.select(*keys, F.explode(F.when(F.col("_ff_n") > 1, ha_rows).otherwise(one_rows))
+                           .alias("_ff_p"))
+                   .select(*keys, "_ff_p.name", "_ff_p.value", "_ff_p.description"))
+    h = F.col(host).cast("string")
+    address_rows = (placement.join(g.where(F.col("_ff_n") > 1).select(*keys, "_ff_sid"), keys)
+                             .select(*keys,
+                                     F.concat(F.lit(f"{prefix}.address."), sid, F.lit("."), h).alias("name"),
+                                     h.alias("value"),
+                                     F.concat(F.lit(f"{svc} address for "), h, F.lit(" in service "),
+                                              sid).alias("description")))
+    return group_rows.unionByName(address_rows)
 
 
 def site_properties(conf: DataFrame, source: str = "source") -> DataFrame:

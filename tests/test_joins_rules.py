@@ -161,3 +161,22 @@ def test_shell_field_helpers(spark):
     r = df.select(T.nth_field("a", "=", 2).alias("f"), T.delete_chars("b", '"()').alias("d"),
                   T.first_number("c").alias("n"), T.default_if_empty(F.lit(""), "dflt").alias("e")).collect()
     assert [tuple(x) for x in r] == [("rocky", "9.2", "10", "dflt"), (None, "ab", None, "dflt")]
+
+
+def test_ordered_list_chunks_match_model(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["hot", "hot", "a", "b"]), rnd.randint(0, 60),
+             rnd.choice([None, "", "x", "y", "z", "om1"])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, pos int, v string")
+    got = {r["k"]: (r["hosts"], r["n"]) for r in
+           aggs.ordered_list(df, ["k"], "pos", "v", chunk_width=4, count_out="n").collect()}
+    exp = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted(((p, v) for kk, p, v in rows if kk == k),
+                      key=lambda t: (t[0], "" if t[1] is None else t[1], t[1] is not None))
+        exp[k] = (",".join(v for _, v in mine if v is not None), sum(v is not None for _, _, v in
+                                                                      [r for r in rows if r[0] == k]))
+    assert got == exp
+    nums = spark.createDataFrame([(r[0], r[1]) for r in rows], "k string, v int")
+    got = {r["k"]: r["values"] for r in aggs.collect_sorted(nums, ["k"], "v", chunk_width=4).collect()}
+    assert got == {k: ",".join(str(v) for v in sorted(v for kk, v, _ in rows if kk == k)) for k in got}
