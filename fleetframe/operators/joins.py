@@ -31,14 +31,21 @@ def config_manifest(hosts: DataFrame, roles: DataFrame, files: DataFrame,
     return hosts.crossJoin(broadcast_if_small(small, max_broadcast_rows))
 
 
+def _keys_of(ref: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    # distinct keys (combined map-side): a key repeated a million times in
+    # the reference side becomes one row before the join
+    cols = [on] if isinstance(on, str) else list(on)
+    return ref.select(*cols).distinct()
+
+
 def semi(df: DataFrame, ref: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """J4 rows of ``df`` with a match in ``ref``."""
-    return df.join(ref, on, "left_semi")
+    return df.join(_keys_of(ref, on), on, "left_semi")
 
 
 def anti(df: DataFrame, ref: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """J5 rows of ``df`` with no match in ``ref``."""
-    return df.join(ref, on, "left_anti")
+    return df.join(_keys_of(ref, on), on, "left_anti")
 
 
 def lookup_dim(df: DataFrame, dim: DataFrame, on: str | Sequence[str],
@@ -50,10 +57,23 @@ def lookup_dim(df: DataFrame, dim: DataFrame, on: str | Sequence[str],
 def drift(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """J7 property drift: ``(keys, expected_value, actual_value, state)`` with
     state in match / changed / missing (expected only) / unexpected (actual only).
-    Values are compared null-safely."""
+    Values are compared null-safely.
+
+    Each side is first reduced to one row per key (a key set twice keeps its
+    sorted distinct values joined with ``,``), so a repeated key never
+    multiplies into all pairs; the reduction's hash partitioning on the keys
+    is reused by the full outer join.
+    """
     keys = list(keys)
-    e = expected.select(*keys, F.col(value).alias("expected_value"), F.lit(True).alias("_ff_e"))
-    a = actual.select(*keys, F.col(value).alias("actual_value"), F.lit(True).alias("_ff_a"))
+
+    def one_per_key(df, name):
+        v = F.col(value)
+        return df.groupBy(*keys).agg(
+            F.when(F.count(F.lit(1)) == 1, F.first(v))
+             .otherwise(F.array_join(F.array_sort(F.collect_set(v)), ",")).alias(name))
+
+    e = one_per_key(expected, "expected_value").withColumn("_ff_e", F.lit(True))
+    a = one_per_key(actual, "actual_value").withColumn("_ff_a", F.lit(True))
     j = e.join(a, keys, "full_outer")
     state = (F.when(F.col("_ff_a").isNull(), F.lit("missing"))
               .when(F.col("_ff_e").isNull(), F.lit("unexpected"))

@@ -180,3 +180,11 @@ def test_ordered_list_chunks_match_model(spark):
     nums = spark.createDataFrame([(r[0], r[1]) for r in rows], "k string, v int")
     got = {r["k"]: r["values"] for r in aggs.collect_sorted(nums, ["k"], "v", chunk_width=4).collect()}
     assert got == {k: ",".join(str(v) for v in sorted(v for kk, v, _ in rows if kk == k)) for k in got}
+
+
+def test_drift_repeated_keys_do_not_multiply(spark):
+    e = spark.createDataFrame([("k", "1"), ("k", "2"), ("j", "x")], "name string, value string")
+    a = spark.createDataFrame([("k", "2"), ("k", "1"), ("k", "1"), ("j", "y")], "name string, value string")
+    got = {r["name"]: (r["expected_value"], r["actual_value"], r["state"])
+           for r in joins.drift(e, a, ["name"], "value").collect()}
+    assert got == {"k": ("1,2", "1,2", "match"), "j": ("x", "y", "changed")}
