@@ -21,7 +21,8 @@ the order, because the chunk is a function of the order value.
 The input is read twice: wide for the local scan (one shuffle) and narrow -
 only key, order and value columns - for the chunk summaries, which are
 combined map-side so their shuffle is tiny.  When the input is an expensive
-plan (a large join), persist or checkpoint it before the scan.
+plan (a large join), write it once with :func:`fleetframe.session.materialize`
+before the scan.
 
 Keys are wrapped in one ``struct`` column so rows whose key is null form a
 group of their own and survive the equi-join (a null-safe join would force

@@ -42,6 +42,26 @@ def build_session(master: str | None = None, app_name: str = "fleetframe",
     return spark
 
 
+def scale_conf(input_bytes: float, total_cores: int,
+               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a run over ``input_bytes`` on ``total_cores`` cores.
+
+    Initial shuffle partitions: enough for ``target_partition_bytes`` per
+    partition over the whole input (at least two waves of tasks); AQE then
+    coalesces small ones to the same advisory size and splits skewed ones.
+    File splits are sized the same way, so a scan task and a reduce task
+    handle similar volumes.  For 100 TB on 8,000 cores this gives about
+    400,000 shuffle partitions before coalescing.
+    """
+    parts = max(2 * total_cores, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and intermediate tables.
 
@@ -75,5 +95,15 @@ def is_local_fs(path: str) -> bool:
     return "://" not in path or path.startswith("file:")
 
 
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: cuts lineage and lets an expensive intermediate (a large join) be
+    read twice without being recomputed.  Survives executor loss, unlike a
+    cache or a local checkpoint."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 __all__ = ["build_session", "checkpoint_root", "scratch_path", "local_path",
-           "is_local_fs", "DEFAULT_CONF"]
+           "is_local_fs", "scale_conf", "materialize", "DEFAULT_CONF"]

@@ -49,3 +49,22 @@ def test_start_flow(spark):
 
     urls = {r["host"]: r["url"] for r in endpoints(placement).collect()}
     assert urls["scm1"] == "http://scm1:9876" and urls["fs1"] == "http://fs1:14000"
+
+
+def test_scale_conf_and_materialize(spark):
+    from fleetframe.session import materialize, scale_conf
+    conf = scale_conf(100 * 2 ** 40, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) > 100_000
+    assert int(scale_conf(10 * 2 ** 20, 8)["spark.sql.shuffle.partitions"]) == 16
+    df = spark.range(100).withColumnRenamed("id", "x")
+    back = materialize(df, "mat-test")
+    assert back.count() == 100 and back.columns == ["x"]
+
+
+def test_down_in_batch(spark):
+    from fleetframe.streaming.monitors import down_in_batch
+    seen = spark.createDataFrame([("w1", "om1", "om"), ("w2", "om1", "om"), ("w2", "scm1", "scm")],
+                                 "window_start string, host string, service string")
+    placement = spark.createDataFrame([("om1", "om"), ("scm1", "scm")], "host string, service string")
+    got = {tuple(r) for r in down_in_batch(seen, placement, ["host", "service"]).collect()}
+    assert got == {("w1", "scm1", "scm")}
