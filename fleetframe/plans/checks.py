@@ -109,7 +109,7 @@ def pipe_facts(spark, sf):
     return parse_host_facts(s.select("s_suppkey", raw.alias("raw"))).drop("raw")
 
 
-def _log_line(e):
+def compose_log_line(e):
     et = F.col("event_type")
     body = F.concat(F.lit("user "), F.col("user_id"), F.lit(" event "), F.col("event_id"))
     stamp = F.concat(F.lit("["), _fmt(F.col("ts")), F.lit("] "))
@@ -126,7 +126,7 @@ def log_parse(spark, sf):
     """Coloured run-log lines composed from ``events`` (all levels, a
     plain ``log`` line and a malformed line)."""
     e = t(spark, sf, "events")
-    p = parse_run_log(e.select("event_id", _log_line(e).alias("line")))
+    p = parse_run_log(e.select("event_id", compose_log_line(e).alias("line")))
     return p.select("event_id", _fmt(F.col("ts")).alias("ts"), "level", "message")
 
 

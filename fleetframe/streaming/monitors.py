@@ -151,9 +151,9 @@ def st_retry(spark, sf):
 
 
 def st_tumbling(spark, sf):
-    from fleetframe.plans.checks import _log_line
+    from fleetframe.plans.checks import compose_log_line
     e = table_stream(spark, sf, "events", EVENTS_SCHEMA)
-    parsed = parse_run_log(e.select(_log_line(e).alias("line")))
+    parsed = parse_run_log(e.select(compose_log_line(e).alias("line")))
     log = with_event_time(parsed.where(F.col("ts").isNotNull()), "ts")
     out = run_to_table(stream_levels(log, "ts", "level", "1 hour"), "st_tumbling")
     return out.select(wall("w.start").alias("window_start"), "level", "n")
