@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetframe.operators.scan import number_chunk, running
 from fleetframe.operators.windows import carry
 from fleetframe.sources.lines import read_lines
 
@@ -31,14 +32,20 @@ def compose_ports(lines: DataFrame, source: str = "source", line_no: str = "line
                   line: str = "line") -> DataFrame:
     """``(source, service, host_port, container_port)`` from compose lines.
 
-    A two-space-indented ``name:`` line under ``services:`` names the service;
-    a top-level key ends the scope; ``- "2222:22"`` lines are its ports.
+    Inside the top-level ``services:`` section a two-space-indented
+    ``name:`` line names the service; ``- "2222:22"`` lines below it are its
+    ports.  Both the section and the service are carried forward in one
+    ordered scan; keys of other sections (``networks:``, ``volumes:``) are
+    not services.
     """
     c = F.col(line)
-    marker = (F.when(c.rlike(COMPOSE_SERVICE_RE), F.regexp_extract(c, COMPOSE_SERVICE_RE, 1))
-               .when(c.rlike(COMPOSE_TOP_RE), F.lit("")))
-    scoped = carry(lines.withColumn("_mark", marker), [source], line_no, "_mark", "_svc")
-    ports = scoped.where(c.rlike(COMPOSE_PORT_RE) & (F.col("_svc") != ""))
+    top = F.when(c.rlike(COMPOSE_TOP_RE), F.regexp_extract(c, r"^([A-Za-z0-9_.-]+):", 1))
+    svc = (F.when(c.rlike(COMPOSE_SERVICE_RE), F.regexp_extract(c, COMPOSE_SERVICE_RE, 1))
+            .when(c.rlike(COMPOSE_TOP_RE), F.lit("")))
+    scoped = running(lines, [source], [line_no], number_chunk(line_no),
+                     carries={"_sec": top, "_svc": svc})
+    ports = scoped.where(c.rlike(COMPOSE_PORT_RE) & (F.col("_sec") == "services")
+                         & (F.col("_svc") != ""))
     return ports.select(
         source, F.col("_svc").alias("service"),
         F.regexp_extract(c, COMPOSE_PORT_RE, 1).try_cast("int").alias("host_port"),

@@ -2,7 +2,8 @@
 
 Semantics follow what ``source file.conf`` leaves in the shell:
 
-* whole-line comments and lines that are not ``KEY=...`` are ignored;
+* whole-line comments and lines that are not ``KEY=...`` (optionally
+  ``export KEY=...``) are ignored;
 * ``KEY="v"``: the double-quoted text, with ``\\$ \\" \\\\ \\```` unescaped
   (so ``\\${X}`` stays the literal ``${X}``); anything after the closing quote,
   such as a trailing ``# comment``, is dropped;
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from fleetframe.sources.lines import read_lines
 
 # Fixed patterns of the shell assignment grammar handled here.
-ASSIGN_RE = r"^\s*([A-Za-z_][A-Za-z0-9_]*)=(.*)$"
+ASSIGN_RE = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=(.*)$"
 DQ_RE = r'^"((?:[^"\\]|\\.)*)"'
 SQ_RE = r"^'([^']*)'"
 BARE_RE = r"^(\S*)"

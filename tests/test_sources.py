@@ -27,6 +27,7 @@ OZONE_DOWNLOAD_URL="https://archive.apache.org/dist/ozone/\\${OZONE_VERSION}/ozo
 # LOCAL_TARBALL_PATH="/path/to/ozone-2.0.0.tar.gz"
 MAX_CONCURRENT_TRANSFERS=10
 JDK_VERSION='11'
+export OZONE_HOME="/opt/ozone"
 """
 
 
@@ -47,6 +48,7 @@ def test_read_conf_edge_cases(spark, tmp_out):
         "https://archive.apache.org/dist/ozone/${OZONE_VERSION}/ozone-${OZONE_VERSION}.tar.gz"
     assert "LOCAL_TARBALL_PATH" not in rows
     assert "SSH_USER" in rows and rows["SSH_USER"] == "rocky"
+    assert rows["OZONE_HOME"] == "/opt/ozone"
     lines = {r["key"]: r["line_no"] for r in conf.read_conf(spark, p).collect()}
     assert lines["SSH_USER"] == 1          # 0-based line numbers
 
@@ -133,7 +135,7 @@ COMPOSE = "services:\n" + "".join(
         ("om1", 9874), ("om2", 19874), ("om3", 29874), ("scm1", 9876), ("scm2", 19876), ("scm3", 29876),
         ("recon", 9888), ("s3gateway", 9878), ("datanode1", 9882), ("datanode2", 19882),
         ("datanode3", 29882), ("httpfs", 14000), ("prometheus", 9090), ("grafana", 3000),
-        ("client", None)])) + "\nnetworks:\n  ozone-network:\n    driver: bridge\nvolumes:\n  om1-data:\n"
+        ("client", None)])) + "\nnetworks:\n  ozone-network:\n    driver: bridge\n    ports:\n      - \"1:1\"\nvolumes:\n  om1-data:\n"
 
 
 def test_compose_ports(spark, tmp_out):
