@@ -11,6 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def last_wins(conf: DataFrame, source: str = "source", key: str = "key",
+              value: str = "value", line_no: str = "line_no") -> DataFrame:
+    """W6 (shell ``source`` semantics): the value of the last assignment of each key per source.
+
+    An aggregate (``max_by``) rather than a window, so it is combined map-side
+    and a source with a third of all lines is not sent to one task whole.
+    """
+    return (conf.groupBy(source, key)
+                .agg(F.max_by(F.col(value), F.col(line_no)).alias(value),
+                     F.max(line_no).alias(line_no)))
+
+
 def ha_flags(placement: DataFrame, keys: Sequence[str], host: str = "host",
              n_out: str = "n_hosts", flag_out: str = "is_ha") -> DataFrame:
     """A1: hosts per service and the HA flag (more than one host)."""
@@ -147,5 +159,5 @@ def pivot_facts(df: DataFrame, keys: Sequence[str], attr: str, value: str,
     return df.groupBy(*keys).agg(*aggs)
 
 
-__all__ = ["ha_flags", "ordered_list", "run_summary", "any_issue", "kind_counts",
+__all__ = ["last_wins", "ha_flags", "ordered_list", "run_summary", "any_issue", "kind_counts",
            "test_rollup", "first_by", "collect_sorted", "pivot_facts"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetframe.functions.time import dtype_of, epoch_seconds
 from fleetframe.operators.scan import number_chunk, running, time_chunk
-from fleetframe.sources.conf import last_wins  # noqa: F401  (W6 lives with the conf reader)
+from fleetframe.operators.aggs import last_wins  # noqa: F401  (W6 is an aggregate)
 
 # The election commands and the reference's poll limit.
 INIT_COMMAND = "--init"

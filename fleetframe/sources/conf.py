@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetframe.operators.aggs import last_wins
 from fleetframe.sources.lines import read_lines
 
 # Fixed patterns of the shell assignment grammar handled here.
@@ -49,18 +50,6 @@ def read_conf(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return parse_conf(read_lines(spark, paths)).select("source", "line_no", "key", "value")
 
 
-def last_wins(conf: DataFrame, source: str = "source", key: str = "key",
-              value: str = "value", line_no: str = "line_no") -> DataFrame:
-    """The value of the last assignment of each key per source.
-
-    An aggregate (``max_by``) rather than a window, so it is combined map-side
-    and a source with a third of all lines is not sent to one task whole.
-    """
-    return (conf.groupBy(source, key)
-                .agg(F.max_by(F.col(value), F.col(line_no)).alias(value),
-                     F.max(line_no).alias(line_no)))
-
-
 def parse_os_release(lines: DataFrame, source: str = "source", line: str = "line",
                      line_no: str = "line_no") -> DataFrame:
     """``ID=`` and ``VERSION_ID=`` of an os-release file, quotes removed,
