@@ -19,6 +19,7 @@ from fleetframe.operators import aggs, joins, lookup, rules, setops, windows
 from fleetframe.plans.site_config import explode_list, fill_placement, service_props
 from fleetframe.plans.status import service_status
 from fleetframe.session import materialize
+from fleetframe.sources.blocks import compose_ports, parse_blocks, parse_dir_report
 from fleetframe.sources.conf import last_wins, parse_conf
 from fleetframe.sources.properties import parse_properties, resolve_refs
 from fleetframe.sources.records import (parse_host_facts, parse_ps, parse_run_log,
@@ -164,6 +165,73 @@ def ps_parse(spark, sf):
     return p.select("s_suppkey", "user", "pid", "cmd")
 
 
+# Fixed frame of every composed compose file: header, and sections that are not services.
+COMPOSE_FRAME = [(0, "services:"), (1, "  # nodes"), (10000, "networks:"), (10001, "  fleet-net:"),
+                 (10002, "    ports:"), (10003, '      - "1:1"'), (10004, "volumes:"), (10005, "  data:")]
+
+
+def compose_parse(spark, sf):
+    """Compose files (one per region) with one service per nation, its
+    SSH and web port lines, plus ``networks:``/``volumes:`` sections whose
+    keys and port-like lines must not count as services."""
+    n = t(spark, sf, "nation")
+    r = t(spark, sf, "region")
+    k = F.col("n_nationkey")
+    svc = F.regexp_replace(F.lower(F.col("n_name")), " ", "_")
+    body = F.array(F.concat(F.lit("  "), svc, F.lit(":")), F.lit("    image: rocky9-ssh"),
+                   F.lit("    ports:"),
+                   F.concat(F.lit('      - "'), k + 2200, F.lit(':22"    # SSH')),
+                   F.concat(F.lit("      - '"), k + 9000, F.lit(":"), k + 9000, F.lit("'")),
+                   F.lit("    environment:"), F.lit("      - NODE=1"))
+    svc_lines = (n.select(F.col("n_regionkey").alias("source"), k, F.posexplode(body).alias("pos", "line"))
+                  .select("source", (F.lit(100) + k * 10 + F.col("pos")).alias("line_no"), "line"))
+    frame = F.array(*[F.struct(F.lit(i).alias("line_no"), F.lit(x).alias("line")) for i, x in COMPOSE_FRAME])
+    frame_lines = (r.select(F.col("r_regionkey").alias("source"), F.explode(frame).alias("l"))
+                    .select("source", "l.line_no", "l.line"))
+    lines = svc_lines.unionByName(frame_lines)
+    return compose_ports(lines).select("source", "service", "host_port", "container_port")
+
+
+def dir_report(spark, sf):
+    """Directory reports (one per nation) composed from ``supplier``: a
+    directory per supplier with owner, mode and file-system lines, or the
+    missing-directory error (negative balance)."""
+    s = t(spark, sf, "supplier")
+    nat = t(spark, sf, "nation")
+    d = F.concat(F.lit("Directory: /data/s"), F.col("s_suppkey"))
+    present = F.array(d, F.concat(F.lit("  Owner: "), F.lower(F.col("s_name")), F.lit(":ozone")),
+                      F.concat(F.lit("  Permissions: "),
+                               F.when(F.col("s_acctbal") > 5000, F.lit("750")).otherwise(F.lit("700"))),
+                      F.concat(F.lit("  Filesystem type: "),
+                               F.when(F.col("s_acctbal") > 2000, F.lit("xfs")).otherwise(F.lit("btrfs"))),
+                      F.lit("  ✅ Ownership is correct"), F.lit(""))
+    missing = F.array(d, F.lit("  ❌ ERROR: Directory does not exist"), F.lit(""))
+    body = F.when(F.col("s_acctbal") >= 0, present).otherwise(missing)
+    rows = (s.select(F.col("s_nationkey").alias("source"), "s_suppkey", F.posexplode(body).alias("pos", "line"))
+             .select("source", (F.col("s_suppkey") * 10 + F.col("pos") + 1).alias("line_no"), "line"))
+    head = nat.select(F.col("n_nationkey").alias("source"), F.lit(0).cast("long").alias("line_no"),
+                      F.concat(F.lit("Checking data directories on "), F.col("n_name")).alias("line"))
+    out = parse_dir_report(rows.unionByName(head))
+    return out.select("source", "dir", "owner", "perms", "fs_type", "mount_options", "exists")
+
+
+def stanza_parse(spark, sf):
+    """One stanza file per conversation, a ``Host turn<n>`` block per
+    turn with indented attributes, a comment, a blank line, and an indented
+    line before the first block (not part of any block)."""
+    c = t(spark, sf, "conversations")
+    body = F.array(F.concat(F.lit("Host turn"), F.col("turn")),
+                   F.concat(F.lit("    Role "), F.col("role")),
+                   F.concat(F.lit("    Chars "), F.length("text"), F.lit("  ")),
+                   F.lit("    # generated"), F.lit(""))
+    rows = (c.select(F.col("conv_id").alias("source"), "turn", F.posexplode(body).alias("pos", "line"))
+             .select("source", (F.col("turn") * 10 + F.col("pos")).alias("line_no"), "line"))
+    pre = c.where(F.col("turn") == 0).select(F.col("conv_id").alias("source"),
+                                             F.lit(-1).cast("long").alias("line_no"),
+                                             F.lit("    Preamble outside any block").alias("line"))
+    return parse_blocks(rows.unionByName(pre)).select("source", "block", "attr", "value")
+
+
 # ---------------------------------------------------------------- predicates
 
 def alias_lookup(spark, sf):

@@ -140,7 +140,84 @@ SELECT s_suppkey,
 FROM l WHERE NOT contains(line, 'grep')
 """
 
-SQL["alias_lookup"] = rf"""
+PORT = r"""^\s*-\s*["'']?(\d+):(\d+)["'']?"""
+SQL["compose_parse"] = rf"""
+WITH nl AS (
+  SELECT n_regionkey AS source, 100 + n_nationkey * 10 + i AS line_no,
+         ['  ' || replace(lower(n_name), ' ', '_') || ':', '    image: rocky9-ssh', '    ports:',
+          '      - "' || (n_nationkey + 2200) || ':22"    # SSH',
+          '      - ''' || (n_nationkey + 9000) || ':' || (n_nationkey + 9000) || '''',
+          '    environment:', '      - NODE=1'][i + 1] AS line
+  FROM nation, range(7) t(i)),
+fl AS (SELECT r_regionkey AS source, f.line_no, f.line FROM region,
+       (VALUES (0, 'services:'), (1, '  # nodes'), (10000, 'networks:'), (10001, '  fleet-net:'),
+               (10002, '    ports:'), (10003, '      - "1:1"'), (10004, 'volumes:'), (10005, '  data:'))
+       f(line_no, line)),
+lines AS (SELECT * FROM nl UNION ALL SELECT * FROM fl),
+m AS (SELECT source, line_no, line,
+        CASE WHEN regexp_matches(line, '^[A-Za-z0-9_.-]+:')
+             THEN regexp_extract(line, '^([A-Za-z0-9_.-]+):', 1) END AS top,
+        CASE WHEN regexp_matches(line, '^  ([A-Za-z0-9_.-]+):\s*(#.*)?$')
+               THEN regexp_extract(line, '^  ([A-Za-z0-9_.-]+):\s*(#.*)?$', 1)
+             WHEN regexp_matches(line, '^[A-Za-z0-9_.-]+:') THEN '' END AS svc
+      FROM lines),
+c AS (SELECT *, last_value(top IGNORE NULLS) OVER w AS sec, last_value(svc IGNORE NULLS) OVER w AS service
+      FROM m WINDOW w AS (PARTITION BY source ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT source, service, CAST(regexp_extract(line, '{PORT}', 1) AS INTEGER) AS host_port,
+       CAST(regexp_extract(line, '{PORT}', 2) AS INTEGER) AS container_port
+FROM c WHERE regexp_matches(line, '{PORT}') AND sec = 'services' AND service <> ''
+"""
+
+DIR_ATTR = r"^\s+(Owner|Permissions|Mount point|Filesystem type|Mount options):\s*(.*?)\s*$"
+DIR_HDR = r"^Directory:\s*(.*?)\s*$"
+SQL["dir_report"] = rf"""
+WITH sl AS (
+  SELECT s_nationkey AS source, s_suppkey, CASE WHEN s_acctbal >= 0 THEN
+           ['Directory: /data/s' || s_suppkey, '  Owner: ' || lower(s_name) || ':ozone',
+            '  Permissions: ' || CASE WHEN s_acctbal > 5000 THEN '750' ELSE '700' END,
+            '  Filesystem type: ' || CASE WHEN s_acctbal > 2000 THEN 'xfs' ELSE 'btrfs' END,
+            '  ' || chr(9989) || ' Ownership is correct', '']
+         ELSE ['Directory: /data/s' || s_suppkey, '  ' || chr(10060) || ' ERROR: Directory does not exist', '']
+         END AS body FROM supplier),
+ex AS (SELECT source, s_suppkey, unnest(range(len(body))) AS pos, unnest(body) AS line FROM sl),
+rows AS (SELECT source, s_suppkey * 10 + pos + 1 AS line_no, line FROM ex
+         UNION ALL SELECT n_nationkey, 0, 'Checking data directories on ' || n_name FROM nation),
+c AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '{DIR_HDR}')
+                                THEN regexp_extract(line, '{DIR_HDR}', 1) END IGNORE NULLS)
+                  OVER (PARTITION BY source ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dir,
+             CASE WHEN regexp_matches(line, '{DIR_ATTR}') THEN regexp_extract(line, '{DIR_ATTR}', 1) END AS attr,
+             regexp_extract(line, '{DIR_ATTR}', 2) AS val
+      FROM rows)
+SELECT source, dir,
+       arg_max(val, line_no) FILTER (WHERE attr = 'Owner') AS owner,
+       arg_max(val, line_no) FILTER (WHERE attr = 'Permissions') AS perms,
+       arg_max(val, line_no) FILTER (WHERE attr = 'Filesystem type') AS fs_type,
+       arg_max(val, line_no) FILTER (WHERE attr = 'Mount options') AS mount_options,
+       NOT coalesce(bool_or(contains(line, 'Directory does not exist')), false) AS "exists"
+FROM c WHERE dir IS NOT NULL GROUP BY source, dir
+"""
+
+STANZA_HDR = r"^Host\s+(\S+)"
+STANZA_ATTR = r"^\s+(\S+)\s+(.*?)\s*$"
+SQL["stanza_parse"] = rf"""
+WITH tl AS (
+  SELECT conv_id AS source, turn, ['Host turn' || turn, '    Role ' || role, '    Chars ' || length(text) || '  ',
+                                   '    # generated', ''] AS body FROM conversations),
+ex AS (SELECT source, turn, unnest(range(len(body))) AS pos, unnest(body) AS line FROM tl),
+rows AS (SELECT source, turn * 10 + pos AS line_no, line FROM ex
+         UNION ALL SELECT conv_id, -1, '    Preamble outside any block' FROM conversations WHERE turn = 0),
+c AS (SELECT *, CASE WHEN regexp_matches(line, '{STANZA_HDR}') THEN regexp_extract(line, '{STANZA_HDR}', 1) END AS h,
+             last_value(CASE WHEN regexp_matches(line, '{STANZA_HDR}')
+                             THEN regexp_extract(line, '{STANZA_HDR}', 1) END IGNORE NULLS)
+               OVER (PARTITION BY source ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block
+      FROM rows)
+SELECT source, block, regexp_extract(line, '{STANZA_ATTR}', 1) AS attr,
+       regexp_extract(line, '{STANZA_ATTR}', 2) AS value
+FROM c WHERE h IS NULL AND block IS NOT NULL AND regexp_matches(line, '{STANZA_ATTR}')
+         AND NOT starts_with(trim(line), '#')
+"""
+
+SQL["alias_lookup"] =rf"""
 WITH a(spelling, canon) AS (VALUES {ALIASES}),
 svc AS (SELECT ['scm','om','datanode','recon','s3gateway','httpfs'][(s_nationkey % 6) + 1] AS service,
                s_suppkey, s_name FROM supplier),
