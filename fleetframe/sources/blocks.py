@@ -18,14 +18,14 @@ from fleetframe.operators.windows import carry
 from fleetframe.sources.lines import read_lines
 
 # Fixed layouts.
-COMPOSE_SERVICE_RE = r"^  ([A-Za-z0-9_.-]+):\s*(#.*)?$"
+COMPOSE_SERVICE_RE = r"(?s)^  ([A-Za-z0-9_.-]+):\s*(#.*)?$"
 COMPOSE_TOP_RE = r"^[A-Za-z0-9_.-]+:"
 COMPOSE_PORT_RE = r"""^\s*-\s*["']?(\d+):(\d+)["']?"""
-DIR_HEADER_RE = r"^Directory:\s*(.*?)\s*$"
-DIR_ATTR_RE = r"^\s+(Owner|Permissions|Mount point|Filesystem type|Mount options):\s*(.*?)\s*$"
+DIR_HEADER_RE = r"(?s)^Directory:\s*(.*?)\s*$"
+DIR_ATTR_RE = r"(?s)^\s+(Owner|Permissions|Mount point|Filesystem type|Mount options):\s*(.*?)\s*$"
 DIR_ERROR_MISSING = "Directory does not exist"
 STANZA_HEADER_RE = r"^Host\s+(\S+)"
-STANZA_ATTR_RE = r"^\s+(\S+)\s+(.*?)\s*$"
+STANZA_ATTR_RE = r"(?s)^\s+(\S+)\s+(.*?)\s*$"
 
 
 def compose_ports(lines: DataFrame, source: str = "source", line_no: str = "line_no",

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from fleetframe.operators.aggs import last_wins
 from fleetframe.sources.lines import read_lines
 
-# Fixed patterns of the shell assignment grammar handled here.
-ASSIGN_RE = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=(.*)$"
-DQ_RE = r'^"((?:[^"\\]|\\.)*)"'
+# Fixed patterns of the shell assignment grammar handled here.  ``(?s)``: lines
+# are already split on newlines, and Java would otherwise stop ``.`` and ``$``
+# at U+0085, U+2028 and U+2029 inside a value.
+ASSIGN_RE = r"(?s)^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=(.*)$"
+DQ_RE = r'(?s)^"((?:[^"\\]|\\.)*)"'
 SQ_RE = r"^'([^']*)'"
 BARE_RE = r"^(\S*)"
 

@@ -11,11 +11,11 @@ from fleetframe.functions.text import strip_ansi
 # Field order of the host-fact record, run-log line layout,
 # level words, step tokens and test-result tags.
 HOST_FACT_FIELDS = ("hostname", "ip_address", "cpu_arch", "os_type", "os_dist", "os_version")
-LOG_RE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] (?:(WARNING|ERROR|INFO): )?(.*)$"
+LOG_RE = r"(?s)^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] (?:(WARNING|ERROR|INFO): )?(.*)$"
 LOG_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 PLAIN_LEVEL = "LOG"
 STEP_STATUSES = ("SUCCESS", "FAILED")
-TEST_RE = r"^\[(PASS|FAIL|TEST)\] (.*)$"
+TEST_RE = r"(?s)^\[(PASS|FAIL|TEST)\] (.*)$"
 
 
 def parse_host_facts(df: DataFrame, raw: str = "raw") -> DataFrame:
