@@ -33,8 +33,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     whole texts).  A large input already has at least that many splits, so
     on a cluster this is a no-op; it matters for a few big rows in one file.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
+        return df
+    if current >= target:
         return df
     return df.repartition(target)
 
