@@ -24,9 +24,11 @@ combined map-side so their shuffle is tiny.  When the input is an expensive
 plan (a large join), write it once with :func:`fleetframe.session.materialize`
 before the scan.
 
-Keys are wrapped in one ``struct`` column so rows whose key is null form a
-group of their own and survive the equi-join (a null-safe join would force
-a second shuffle of the big side).
+Each key becomes two plain columns, ``coalesce(key, typed default)`` and
+``isnull(key)``: rows whose key is null form a group of their own and survive
+the equi-join (a null-safe join would force a second shuffle of the big
+side), while hashing and sorting stay on primitive columns (a ``struct`` key
+makes both markedly slower).
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 
 from fleetframe.functions.time import epoch_micros
 
-_KEY = "_ff_key"
 _CHUNK = "_ff_chunk"
+_DEFAULTS = {"string": "", "boolean": False}
 _LOWEST_CHUNK = -(2 ** 62)
 
 
@@ -47,6 +49,27 @@ def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _key_columns(df: DataFrame, keys: Sequence[str]):
+    """Plain, null-safe grouping columns for ``keys``."""
+    types = dict(df.dtypes)
+    exprs, names = [], []
+    for i, k in enumerate(keys):
+        t = types[k]
+        if t in _DEFAULTS:
+            default = F.lit(_DEFAULTS[t])
+        elif t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
+            default = F.lit(0).cast(t)
+        elif t in ("date", "timestamp", "timestamp_ntz"):
+            default = F.lit(0).cast("timestamp").cast(t)
+        else:                                   # nested types: keep the value itself
+            exprs.append(F.struct(F.col(k)).alias(f"_ff_k{i}"))
+            names.append(f"_ff_k{i}")
+            continue
+        exprs += [F.coalesce(F.col(k), default).alias(f"_ff_k{i}"), F.col(k).isNull().alias(f"_ff_n{i}")]
+        names += [f"_ff_k{i}", f"_ff_n{i}"]
+    return exprs, names
+
+
 def time_chunk(col: str | Column, seconds: int = 86400, dtype: str = "timestamp_ntz") -> Column:
     """Chunk a timestamp / timestamp_ntz / date column into fixed spans
     (independent of the session time zone)."""
@@ -90,12 +113,12 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     order_cols = _cols(order)
     out_cols = list(df.columns)
 
-    d = (df.withColumn(_KEY, F.struct(*[F.col(k) for k in keys]))
-           .withColumn(_CHUNK, F.coalesce(chunk.cast("long"), F.lit(_LOWEST_CHUNK))))
-    w = Window.partitionBy(_KEY, _CHUNK).orderBy(*order_cols)
+    key_exprs, kcols = _key_columns(df, keys)
+    d = df.select("*", *key_exprs,
+                  F.coalesce(chunk.cast("long"), F.lit(_LOWEST_CHUNK)).alias(_CHUNK))
+    w = Window.partitionBy(*kcols, _CHUNK).orderBy(*order_cols)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    order_struct = F.struct(*order_cols)
 
     # 1. local (within-chunk) scan
     local = d
@@ -117,29 +140,41 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
         aggs.append(F.count(F.lit(1)).alias("_ff_n"))
     for n, c in sums.items():
         aggs.append(F.sum(c).alias(f"_ff_t_{n}"))
-    for n, c in {**carries, **{f"b_{k}": v for k, v in carries_before.items()}}.items():
-        aggs.append(F.max_by(c, F.when(c.isNotNull(), order_struct)).alias(f"_ff_c_{n}"))
-    if not aggs:
+    carry_items = {**carries, **{f"b_{k}": v for k, v in carries_before.items()}}
+    if not aggs and not carry_items:
         return df
-    summary = d.groupBy(_KEY, _CHUNK).agg(*aggs)
+    # counts and sums: a hash aggregate with primitive buffers
+    summary = d.groupBy(*kcols, _CHUNK).agg(*(aggs or [F.count(F.lit(1)).alias("_ff_n")]))
+    # last non-null value per chunk: only rows carrying a value (headers,
+    # markers) are shuffled, and the last one is picked by a descending
+    # row number - exact, and cheaper than an aggregate keyed on the order
+    # struct, which cannot use a hash buffer and sorts every row
+    last_first = Window.partitionBy(*kcols, _CHUNK).orderBy(*[o.desc() for o in order_cols])
+    for n, c in carry_items.items():
+        last = (d.where(c.isNotNull())
+                 .select(*kcols, _CHUNK, *order_cols, c.alias("_ff_cv"))
+                 .withColumn("_ff_r", F.row_number().over(last_first))
+                 .where(F.col("_ff_r") == 1)
+                 .select(*kcols, _CHUNK, F.col("_ff_cv").alias(f"_ff_c_{n}")))
+        summary = summary.join(last, [*kcols, _CHUNK], "left")
     if last_rank_where:
         # local row number of the last matching row per chunk; needs the
         # in-chunk order, so it is computed on a narrow projection.
-        narrow = d.select(_KEY, _CHUNK, *order_cols,
+        narrow = d.select(*kcols, _CHUNK, *order_cols,
                           *[cond.alias(f"_ff_m_{n}") for n, cond in last_rank_where.items()])
         narrow = narrow.withColumn("_ff_lr", F.row_number().over(w))
-        lw = narrow.groupBy(_KEY, _CHUNK).agg(
+        lw = narrow.groupBy(*kcols, _CHUNK).agg(
             *[F.max(F.when(F.col(f"_ff_m_{n}"), F.col("_ff_lr"))).alias(f"_ff_w_{n}")
               for n in last_rank_where])
-        summary = summary.join(lw, [_KEY, _CHUNK])
+        summary = summary.join(lw, [*kcols, _CHUNK])
 
     # 3. prefix over the chunks of each key
-    ws = Window.partitionBy(_KEY).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    pre = [F.col(_KEY), F.col(_CHUNK)]
+    ws = Window.partitionBy(*kcols).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    pre = [*[F.col(c) for c in kcols], F.col(_CHUNK)]
     if need_rank:
         pre.append(F.coalesce(F.sum("_ff_n").over(ws), F.lit(0)).alias("_ff_off"))
     if total:
-        pre.append(F.sum("_ff_n").over(Window.partitionBy(_KEY)).alias("_ff_total"))
+        pre.append(F.sum("_ff_n").over(Window.partitionBy(*kcols)).alias("_ff_total"))
     for n in sums:
         pre.append(F.sum(f"_ff_t_{n}").over(ws).alias(f"_ff_ot_{n}"))
     for n in carries:
@@ -155,7 +190,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                    .over(ws).alias(f"_ff_pw_{n}") for n in last_rank_where])
 
     # 4. join the prefix back; the big side keeps its (key, chunk) partitioning
-    j = local.join(prefix, [_KEY, _CHUNK])
+    j = local.join(prefix, [*kcols, _CHUNK])
     extra = []
     if rank:
         extra.append((F.col("_ff_off") + F.col("_ff_lr")).cast("long").alias(rank))
