@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetframe.functions.time import dtype_of, epoch_seconds
@@ -91,11 +91,18 @@ def retry_outcome(polls: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys = list(keys)
     ostruct = F.struct(*[F.col(c) for c in order])
     ck = chunk if chunk is not None else default_chunk(polls, list(order))
-    p = polls.select(*keys, ostruct.alias("_ff_o"), exited.alias("_ff_x"),
+    p = polls.select(*keys, *order, ostruct.alias("_ff_o"), exited.alias("_ff_x"),
                      F.coalesce(ck.cast("long"), F.lit(-(2 ** 62))).alias("_ff_c"))
-    per_chunk = p.groupBy(*keys, "_ff_c").agg(
-        F.count(F.lit(1)).alias("_ff_n"),
-        F.min(F.when(F.col("_ff_x"), F.col("_ff_o"))).alias("_ff_xo"))
+    counts = p.groupBy(*keys, "_ff_c").agg(F.count(F.lit(1)).alias("_ff_n"))
+    # earliest exit per chunk from the exiting polls only (a hash count for
+    # all polls; no aggregate keyed on the order struct, which would sort
+    # every poll)
+    first_in_chunk = Window.partitionBy(*keys, "_ff_c").orderBy(*[F.col(c) for c in order])
+    chunk_exit = (p.where(F.col("_ff_x"))
+                   .withColumn("_ff_r", F.row_number().over(first_in_chunk))
+                   .where(F.col("_ff_r") == 1)
+                   .select(*keys, "_ff_c", F.col("_ff_o").alias("_ff_xo")))
+    per_chunk = counts.join(chunk_exit, [*keys, "_ff_c"], "left")
     per_key = per_chunk.groupBy(*keys).agg(
         F.min(F.when(F.col("_ff_xo").isNotNull(),
                      F.struct(F.col("_ff_c").alias("c"), F.col("_ff_xo").alias("o")))).alias("_ff_first"),
