@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe.operators.sizing import broadcast_if_small, spread
+from fleetframe.session import materialize
 
 # Token separator for the contains-join index: anything that is not a
 # letter, combining mark, digit or underscore.
@@ -137,10 +138,27 @@ def pattern_join(df: DataFrame, text: str, df_id: Sequence[str] | str,
     return verified.unionByName(short_hits)
 
 
-def contains_join_small(df: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """Process-to-service matching against a short, fixed pattern list
-    (the reference's six service patterns): broadcast nested-loop join."""
-    return df.join(F.broadcast(patterns), F.col(text).contains(F.col(pattern)))
+def contains_join_small(df: DataFrame, text: str, patterns: DataFrame, pattern: str,
+                        max_patterns: int = 1_000) -> DataFrame:
+    """Process-to-service matching against a short pattern list (the
+    reference's six service patterns): each row of ``df`` joined with every
+    pattern its ``text`` contains.
+
+    Up to ``max_patterns`` patterns (checked) the list is broadcast and
+    matched with a nested-loop join, which is linear in ``df``.  A longer
+    list goes through the exact token-indexed :func:`pattern_join`, so the
+    size of what is broadcast never grows with the data.
+    """
+    n = patterns.limit(max_patterns + 1).count()
+    if n <= max_patterns:
+        return df.join(F.broadcast(patterns), F.col(text).contains(F.col(pattern)))
+    # row ids must be identical in both uses below, so they are written once
+    # (an id generated twice could differ after a shuffle or a task retry)
+    ids = materialize(df.withColumn("_ff_row", F.monotonically_increasing_id()), "contains-rows")
+    pids = materialize(patterns.withColumn("_ff_pid", F.monotonically_increasing_id()), "contains-patterns")
+    pairs = pattern_join(ids, text, "_ff_row", pids, pattern, "_ff_pid")
+    return (ids.join(pairs, "_ff_row").join(pids, "_ff_pid")
+               .drop("_ff_row", "_ff_pid"))
 
 
 def verify_manifest(expected: DataFrame, shipped: DataFrame, file: str, size: str,

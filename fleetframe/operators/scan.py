@@ -8,8 +8,9 @@ holds a third of the data.  :func:`running` instead splits every key into
 
 1. evaluates the window inside each ``(key, chunk)`` (bounded size, spread
    over many tasks, one shuffle of the input),
-2. reduces every chunk to a one-row summary with partial (map-side)
-   aggregation: row count, sum, last non-null value,
+2. reduces every chunk to a one-row summary: row count and sums by a
+   partial (map-side) hash aggregate; the last non-null carried value from
+   only the rows that carry one (a descending row number per chunk),
 3. runs a prefix window over the summaries of each key (one row per chunk,
    so even a hot key has few rows there),
 4. joins the prefix back on ``(key, chunk)``; the big side keeps its
@@ -19,8 +20,8 @@ Results are exact: a chunk boundary never splits rows that compare equal on
 the order, because the chunk is a function of the order value.
 
 The input is read twice: wide for the local scan (one shuffle) and narrow -
-only key, order and value columns - for the chunk summaries, which are
-combined map-side so their shuffle is tiny.  When the input is an expensive
+only key, order and value columns - for the chunk summaries, whose counts
+and sums are combined map-side so their shuffle is tiny.  When the input is an expensive
 plan (a large join), write it once with :func:`fleetframe.session.materialize`
 before the scan.
 

@@ -188,3 +188,14 @@ def test_drift_repeated_keys_do_not_multiply(spark):
     got = {r["name"]: (r["expected_value"], r["actual_value"], r["state"])
            for r in joins.drift(e, a, ["name"], "value").collect()}
     assert got == {"k": ("1,2", "1,2", "match"), "j": ("x", "y", "changed")}
+
+
+def test_contains_join_small_falls_back_beyond_bound(spark):
+    procs = spark.createDataFrame([("h1", "java -Dproc_om x y"), ("h2", "python tool run now"), ("h3", "x")],
+                                  "host string, cmd string")
+    pats = spark.createDataFrame([("om", "-Dproc_om x"), ("tool", "tool run now"), ("none", "zzz q r")],
+                                 "service string, pattern string")
+    small = {(r["host"], r["service"]) for r in joins.contains_join_small(procs, "cmd", pats, "pattern").collect()}
+    big = {(r["host"], r["service"]) for r in
+           joins.contains_join_small(procs, "cmd", pats, "pattern", max_patterns=1).collect()}
+    assert small == big == {("h1", "om"), ("h2", "tool")}
