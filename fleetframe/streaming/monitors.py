@@ -113,10 +113,21 @@ def stream_sessions(log: DataFrame, key: Sequence[str], ts: str, gap: str) -> Da
     return log.groupBy(*key, F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_dedup(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """T5: drop repeats of ``keys`` within the watermark (late rows beyond
-    the watermark are dropped by the watermark itself)."""
-    return df.dropDuplicatesWithinWatermark(list(keys))
+def stream_dedup(df: DataFrame, keys: Sequence[str], event_time: str | None = None) -> DataFrame:
+    """T5 duplicate and late rows.
+
+    With ``event_time`` (the watermarked column, made part of the keys):
+    exact duplicates of the keys are dropped, rows older than the watermark
+    are dropped as late (Spark checks lateness against the watermark of the
+    batch before the last), and the state is evicted as the watermark passes.
+    Without it: ``dropDuplicatesWithinWatermark`` - a repeat of the keys
+    within the watermark delay of its first occurrence is dropped; rows are
+    not filtered for lateness in this mode.
+    """
+    keys = list(keys)
+    if event_time:
+        return df.dropDuplicates(keys if event_time in keys else [*keys, event_time])
+    return df.dropDuplicatesWithinWatermark(keys)
 
 
 def stream_fail_rate(steps: DataFrame, ts: str, failed: Column, length: str, slide: str) -> DataFrame:
@@ -174,9 +185,11 @@ def st_session(spark, sf):
 
 
 def st_dedup(spark, sf):
-    e = _events(spark, sf).withColumn(
-        "minute", F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 60) * 60))
-    r = stream_dedup(e, ["user_id", "event_type", "minute"]).select("user_id", "event_type", "minute")
+    e = table_stream(spark, sf, "events", EVENTS_SCHEMA)
+    minute = F.timestamp_seconds(F.floor(F.unix_seconds(as_instant("ts", "timestamp_ntz")) / 60) * 60)
+    e = e.withColumn("minute", minute).withWatermark("minute", "1 hour")
+    r = (stream_dedup(e, ["user_id", "event_type", "minute"], event_time="minute")
+         .select("user_id", "event_type", "minute"))
     out = run_to_table(r, "st_dedup", mode="append")
     return out.select("user_id", "event_type", wall("minute").alias("minute"))
 
