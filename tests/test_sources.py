@@ -15,7 +15,7 @@ from fleetframe.sources.lines import read_lines
 MULTI_CONF = """# Multi-host configuration
 SSH_USER="rocky"
 CLUSTER_HOSTS="om1,om2,om3,scm1,scm2,scm3,recon,s3gateway,datanode1,datanode2,datanode3,httpfs,prometheus,grafana,client"
-OM_HOSTS="om1,om2,om3"                              # Ozone Manager hosts
+OM_HOSTS="om1,om2,om3"                              # manager hosts
 SCM_HOSTS="scm1,scm2,scm3"                         # Storage Container Manager hosts
 DATANODE_HOSTS="datanode1,datanode2,datanode3"     # DataNode hosts
 RECON_HOSTS="recon"
@@ -24,7 +24,7 @@ HTTPFS_HOSTS="httpfs"
 OZONE_OM_SERVICE_ID="ozone1"
 OZONE_SCM_SERVICE_ID="cluster1"
 OZONE_DOWNLOAD_URL="https://archive.apache.org/dist/ozone/\\${OZONE_VERSION}/ozone-\\${OZONE_VERSION}.tar.gz"
-# LOCAL_TARBALL_PATH="/path/to/ozone-2.0.0.tar.gz"
+# LOCAL_TARBALL_PATH="/path/to/pkg-2.0.0.tar.gz"
 MAX_CONCURRENT_TRANSFERS=10
 JDK_VERSION='11'
 export OZONE_HOME="/opt/ozone"
@@ -86,7 +86,7 @@ def test_site_xml_round_trip(spark, tmp_out):
 
 
 def test_read_site_xml(spark, tmp_out):
-    p = _write(tmp_out, "ozone-site.xml", """<?xml version="1.0"?>
+    p = _write(tmp_out, "service-site.xml", """<?xml version="1.0"?>
 <configuration>
   <!-- comment -->
   <property>
@@ -109,8 +109,8 @@ def test_properties_round_trip_and_refs(spark, tmp_out):
     kv = spark.createDataFrame([
         ("hadoop.root.logger", "INFO,console"),
         ("log4j.rootLogger", "${hadoop.root.logger}"),
-        ("hadoop.log.dir", "/var/log/ozone"),
-        ("hadoop.log.file", "ozone.log"),
+        ("hadoop.log.dir", "/var/log/svc"),
+        ("hadoop.log.file", "svc.log"),
         ("log4j.appender.RFA.File", "${hadoop.log.dir}/${hadoop.log.file}"),
         ("log4j.appender.X.File", "${undefined.key}/x"),
         ("chained", "[${log4j.rootLogger}]"),
@@ -121,7 +121,7 @@ def test_properties_round_trip_and_refs(spark, tmp_out):
     assert sorted((r["key"], r["value"]) for r in back.collect()) == sorted(tuple(r) for r in kv.collect())
     res = {r["key"]: r["resolved"] for r in properties.resolve_refs(back).collect()}
     assert res["log4j.rootLogger"] == "INFO,console"
-    assert res["log4j.appender.RFA.File"] == "/var/log/ozone/ozone.log"
+    assert res["log4j.appender.RFA.File"] == "/var/log/svc/svc.log"
     assert res["log4j.appender.X.File"] == "${undefined.key}/x"
     assert res["chained"] == "[${hadoop.root.logger}]"      # one level only
 
@@ -130,12 +130,12 @@ COMPOSE = "services:\n" + "".join(
     f"  {svc}:\n    image: rocky9-ssh\n    hostname: {svc}\n    ports:\n"
     f"      - \"{2222 + i}:22\"    # SSH\n"
     + (f"      - \"{web}:{web}\"\n" if web else "")
-    + "    networks:\n      - ozone-network\n"
+    + "    networks:\n      - fleet-network\n"
     for i, (svc, web) in enumerate([
         ("om1", 9874), ("om2", 19874), ("om3", 29874), ("scm1", 9876), ("scm2", 19876), ("scm3", 29876),
         ("recon", 9888), ("s3gateway", 9878), ("datanode1", 9882), ("datanode2", 19882),
         ("datanode3", 29882), ("httpfs", 14000), ("prometheus", 9090), ("grafana", 3000),
-        ("client", None)])) + "\nnetworks:\n  ozone-network:\n    driver: bridge\n    ports:\n      - \"1:1\"\nvolumes:\n  om1-data:\n"
+        ("client", None)])) + "\nnetworks:\n  fleet-network:\n    driver: bridge\n    ports:\n      - \"1:1\"\nvolumes:\n  om1-data:\n"
 
 
 def test_compose_ports(spark, tmp_out):
