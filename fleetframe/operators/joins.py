@@ -83,6 +83,25 @@ def drift(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: st
     return j.select(*keys, "expected_value", "actual_value", state.alias("state"))
 
 
+def _tokens(col: Column) -> Column:
+    """Non-empty tokens of a text (runs of letters, marks, digits, ``_``)."""
+    return F.filter(F.split(col, TOKEN_SEP_RE), lambda t: F.length(t) > 0)
+
+
+def _pairs(toks: Column) -> Column:
+    """Adjacent token pairs, each as one string (joined by U+0001)."""
+    n = F.size(toks)
+    idx = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(idx, lambda i: F.concat(F.element_at(toks, i), F.lit("\u0001"),
+                                               F.element_at(toks, i + 1)))
+
+
+def _longest(arr: Column) -> Column:
+    """Longest element (ties: smallest), null for an empty or null array."""
+    ranked = F.array_sort(F.transform(arr, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
+    return F.try_element_at(ranked, F.lit(1))["t"]
+
+
 def pattern_join(df: DataFrame, text: str, df_id: Sequence[str] | str,
                  patterns: DataFrame, pattern: str, pattern_id: Sequence[str] | str,
                  max_short_patterns: int = 10_000) -> DataFrame:
@@ -93,10 +112,16 @@ def pattern_join(df: DataFrame, text: str, df_id: Sequence[str] | str,
     * Tokens are maximal runs of letters/marks/digits/underscore.  If a
       pattern occurs in a text, each *interior* token of the pattern (one
       with a separator on both sides inside the pattern) is a whole token of
-      the text too.  Each pattern is keyed by its longest interior token.
-    * Candidates: the distinct tokens of each text (narrow rows: id + token)
-      equi-joined to the pattern keys - a broadcast hash join when the
-      pattern table is small, a shuffle join otherwise.
+      the text, and two consecutive interior tokens are consecutive tokens
+      of the text.
+    * Each pattern is keyed by its longest pair of consecutive interior
+      tokens; a pattern with a single interior token by that token.  Pairs
+      are far more selective than single words, so a common word does not
+      pair every text containing it with every pattern containing it.
+    * Candidates: the distinct keys of each text (narrow rows: id + key;
+      single tokens only if some pattern needs them) equi-joined to the
+      pattern keys - a broadcast hash join when the pattern table is small,
+      a shuffle join otherwise - then deduplicated.
     * Verification: candidates joined to the texts by id (AQE broadcasts the
       candidate side when it is small, so the texts are not shuffled) and to
       the patterns, then ``contains``.
@@ -106,17 +131,29 @@ def pattern_join(df: DataFrame, text: str, df_id: Sequence[str] | str,
     """
     df_id = [df_id] if isinstance(df_id, str) else list(df_id)
     pattern_id = [pattern_id] if isinstance(pattern_id, str) else list(pattern_id)
-    toks = F.filter(F.split(F.col(pattern), TOKEN_SEP_RE), lambda t: F.length(t) > 0)
-    inner_toks = F.when(F.size(toks) >= 3, F.slice(toks, 2, F.size(toks) - 2))
-    ranked = F.array_sort(F.transform(inner_toks, lambda t: F.struct((-F.length(t)).alias("l"),
-                                                                      t.alias("t"))))
-    keyed = patterns.select(*pattern_id, F.col(pattern).alias("_ff_pat"),
-                            F.element_at(ranked, 1)["t"].alias("_ff_tok"))
+    toks = _tokens(F.col(pattern))
+    inner = F.when(F.size(toks) >= 3, F.slice(toks, 2, F.size(toks) - 2))
+    key = F.coalesce(_longest(_pairs(inner)), _longest(inner))
+    keyed = patterns.select(*pattern_id, F.col(pattern).alias("_ff_pat"), key.alias("_ff_tok"),
+                            (F.size(inner) == 1).alias("_ff_single"))
     long_p = keyed.where(F.col("_ff_tok").isNotNull())
-    short_p = keyed.where(F.col("_ff_tok").isNull()).drop("_ff_tok")
-
-    doc_toks = spread(df.select(*df_id, text)).select(
-        *df_id, F.explode(F.array_distinct(F.split(F.col(text), TOKEN_SEP_RE))).alias("_ff_tok"))
+    short_p = keyed.where(F.col("_ff_tok").isNull()).drop("_ff_tok", "_ff_single")
+
+    need_single = long_p.where(F.col("_ff_single")).limit(1).count() > 0
+    # text side without lambdas (per-element lambdas are interpreted): zip
+    # the token array with itself shifted by one, explode, then concatenate
+    # in generated code.  Empty edge tokens and the final unpaired token give
+    # keys that no pattern has.
+    dt = F.split(F.col(text), TOKEN_SEP_RE)
+    zipped = F.arrays_zip(dt.alias("a"), F.slice(dt, 2, F.greatest(F.size(dt) - 1, F.lit(0))).alias("b"))
+    spread_df = spread(df.select(*df_id, text))
+    pairs = (spread_df.select(*df_id, F.explode(zipped).alias("_ff_z"))
+                      .select(*df_id, F.concat(F.col("_ff_z.a"), F.lit("\u0001"), F.col("_ff_z.b"))
+                              .alias("_ff_tok")))
+    doc_toks = pairs
+    if need_single:
+        doc_toks = doc_toks.unionByName(
+            spread_df.select(*df_id, F.explode(F.array_distinct(dt)).alias("_ff_tok")))
     keys_side = broadcast_if_small(long_p.select(*pattern_id, "_ff_tok"))
     cands = doc_toks.join(keys_side, "_ff_tok").select(*df_id, *pattern_id).distinct()
     verified = (df.select(*df_id, F.col(text).alias("_ff_text"))
