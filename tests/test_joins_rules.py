@@ -199,3 +199,20 @@ def test_contains_join_small_falls_back_beyond_bound(spark):
     big = {(r["host"], r["service"]) for r in
            joins.contains_join_small(procs, "cmd", pats, "pattern", max_patterns=1).collect()}
     assert small == big == {("h1", "om"), ("h2", "tool")}
+
+
+def test_pattern_join_pair_keys_edge_cases(spark):
+    docs = [(1, "start über-data, node; the the end"),
+            (2, "node the data über"),                  # same words, other order
+            (3, "xx über-data, node; the yy"),
+            (4, "über data node the")]
+    pats = [(10, "t über-data, node; th"),                # partial edge tokens, pair (über,data)/(data,node)
+            (11, "the the end"),                          # one interior token: 'the'
+            (12, "data, node"),                           # two tokens: no interior -> short path
+            (13, "ver-data, node; the the e"),
+            (14, "über data node")]                       # one interior token 'data'
+    ddf = spark.createDataFrame(docs, "doc_id int, text string")
+    pdf = spark.createDataFrame(pats, "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in
+           joins.pattern_join(ddf, "text", "doc_id", pdf, "text", "item_id").collect()}
+    assert got == {(d, p) for d, dt in docs for p, pt in pats if pt in dt}
