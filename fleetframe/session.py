@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -66,9 +67,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (on a cluster this names
-    shared storage).  Only when it is unset - local runs and tests - a fresh
-    folder under the system temp directory is created and recorded in the
-    session so later calls agree.
+    shared storage).  Where it is unset, a local master (tests) gets a fresh
+    temporary folder, recorded in the session so later calls agree; any other
+    master raises, because executors cannot see the driver's local folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -79,6 +80,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
+        master = sc.master if sc is not None else ""
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver "
+                             "and all executors share")
         root = tempfile.mkdtemp(prefix="fleetframe-ck-")
         spark.conf.set("spark.checkpoint.dir", root)
         if sc is not None:
@@ -87,18 +92,20 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique path below :func:`checkpoint_root` for one job's output."""
+    """A unique path below :func:`checkpoint_root` for one job's output.  The
+    driver's JVM deletes it when the application ends."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so local paths can be handed to Python IO."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def is_local_fs(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    try:
+        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    except Exception:  # Spark Connect: the folder's owner cleans it
+        return path
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(jsc.hadoopConfiguration())
+    # deleteOnExit only records paths that exist at the time of the call
+    fs.mkdirs(jpath)
+    fs.deleteOnExit(jpath)
+    return path
 
 
 def materialize(df, name: str):
@@ -108,8 +115,8 @@ def materialize(df, name: str):
     cache or a local checkpoint."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["build_session", "checkpoint_root", "scratch_path", "local_path",
-           "is_local_fs", "scale_conf", "materialize", "DEFAULT_CONF"]
+__all__ = ["build_session", "checkpoint_root", "scratch_path", "scale_conf",
+           "materialize", "DEFAULT_CONF"]

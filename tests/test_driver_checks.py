@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 from tests.harness import compare, duck
 
-KEYS = list(E.queries())
+KEYS = list(E.BASE_KEYS)
 
 
 @pytest.fixture(scope="module")
