@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from fleetframe.llm.sharding import op10_shards
+from fleetframe.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op4_warc": op4_warc,
     "op10_shards": op10_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": OP4_SQL,
+}
