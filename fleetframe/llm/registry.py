@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from fleetframe.llm.sharding import op10_shards
+from fleetframe.llm.simhash import op5_simhash
 from fleetframe.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op4_warc": op4_warc,
+    "op5_simhash": op5_simhash,
     "op10_shards": op10_shards,
 }
 
