@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleetframe.llm.packing import op6_packing
 from fleetframe.llm.sharding import op10_shards
 from fleetframe.llm.simhash import op5_simhash
 from fleetframe.llm.warc import OP4_SQL, op4_warc
@@ -9,6 +10,7 @@ from fleetframe.llm.warc import OP4_SQL, op4_warc
 QUERIES = {
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
+    "op6_packing": op6_packing,
     "op10_shards": op10_shards,
 }
 
