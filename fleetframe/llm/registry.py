@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleetframe.llm.decontam import OP7_SQL, op7_decontam
 from fleetframe.llm.packing import op6_packing
 from fleetframe.llm.sharding import op10_shards
 from fleetframe.llm.simhash import op5_simhash
@@ -11,9 +12,11 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_decontam": op7_decontam,
     "op10_shards": op10_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": OP4_SQL,
+    "op7_decontam": OP7_SQL,
 }
