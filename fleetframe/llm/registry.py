@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fleetframe.llm.decontam import OP7_SQL, op7_decontam
 from fleetframe.llm.packing import op6_packing
+from fleetframe.llm.secrets import op9_secrets
 from fleetframe.llm.sharding import op10_shards
 from fleetframe.llm.simhash import op5_simhash
 from fleetframe.llm.warc import OP4_SQL, op4_warc
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_decontam": op7_decontam,
+    "op9_secrets": op9_secrets,
     "op10_shards": op10_shards,
 }
 
