@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetframe.llm.decontam import OP7_SQL, op7_decontam
+from fleetframe.llm.langid import op1_langid
 from fleetframe.llm.packing import op6_packing
 from fleetframe.llm.pii import op2_pii
 from fleetframe.llm.secrets import op9_secrets
@@ -11,6 +12,7 @@ from fleetframe.llm.simhash import op5_simhash
 from fleetframe.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_pii": op2_pii,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
