@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleetframe.llm.ann import op3_ann
 from fleetframe.llm.decontam import OP7_SQL, op7_decontam
 from fleetframe.llm.langid import op1_langid
 from fleetframe.llm.packing import op6_packing
@@ -14,6 +15,7 @@ from fleetframe.llm.warc import OP4_SQL, op4_warc
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_pii": op2_pii,
+    "op3_ann": op3_ann,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
