@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetframe.session import materialize, scratch_path
 
@@ -14,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def schema_of(key, *fields: str) -> T.StructType:
+    """The field ``key`` (any type) followed by fields given as DDL."""
+    rest = T.StructType.fromDDL(", ".join(fields)) if fields else T.StructType()
+    return T.StructType([T.StructField("key", key.dataType), *rest.fields])
+
+
 def prefix_offsets(totals: DataFrame, part: str, amounts: list[str], by: list[str] | None = None) -> DataFrame:
     """Exclusive prefix sums over partition numbers: ``{amount}_before``.
 
@@ -26,4 +33,4 @@ def prefix_offsets(totals: DataFrame, part: str, amounts: list[str], by: list[st
         F.coalesce(F.sum(a).over(w), F.lit(0)).cast("long").alias(f"{a}_before") for a in amounts])
 
 
-__all__ = ["table", "prefix_offsets", "materialize", "scratch_path"]
+__all__ = ["table", "schema_of", "prefix_offsets", "materialize", "scratch_path"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, table
+from fleetframe.llm.common import materialize, schema_of, table
 
 #: Fixed: A-Z become a-z; other ASCII but digits and a-z separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -142,7 +142,7 @@ class ItemAutomaton:
         return spans, found
 
 
-_PASS = "n_words long, hits array<struct<f:long,t:long>>, items array<string>"
+_PASS = ("text string", "n_words long", "hits array<struct<f:long,t:long>>", "items array<string>")
 
 
 def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -185,14 +185,15 @@ def match_items(df: DataFrame, key: str, text: str, items: DataFrame, item_key:
     The items go into suffix automata of about ``max_words`` words each (all
     items of a benchmark table in one, as a rule); every automaton is
     broadcast in turn and the whole texts stream through it once, so neither
-    the driver nor a task ever holds more of the items than that.
+    the driver nor a task ever holds more of the items than that.  ``key`` may
+    be a struct of all columns, to carry whole rows along.
 
     Defined cases: null and empty texts have no words and no hits; null and
     wordless items match nothing; an item with a null id hits but is not
     listed; repeated items and rows count as themselves; without items, or
     with an empty ``df``, nothing is hit.
     """
-    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    spark, fields = df.sparkSession, schema_of(df.schema[key], *_PASS)
     source = items.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).cast("string").alias("t"))
     size = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // (6 * max_words)))  # words take six bytes or so
@@ -203,8 +204,8 @@ def match_items(df: DataFrame, key: str, text: str, items: DataFrame, item_key:
             ItemAutomaton(sorted(((r.k, normal_words(r.t)) for r in mine), key=lambda x: (x[0] or "", x[1])), window))
         if p:
             out = materialize(out, "decontam-pass")
-        out = out.mapInArrow(_scan(automaton, p == 0), f"key {kind}, text string, {_PASS}")
-    return out.withColumnRenamed("key", key).withColumnRenamed("text", text)
+        out = out.mapInArrow(_scan(automaton, p == 0), fields)
+    return out.withColumnRenamed("text", text).withColumnRenamed("key", key)
 
 
 def contamination(matched: DataFrame, coverage: float = 0.05) -> DataFrame:

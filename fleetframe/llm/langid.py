@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, table
+from fleetframe.llm.common import materialize, schema_of, table
 
 ORDERS = (2, 3, 4)      # of byte n-grams, counting the space at either end
 HASH_BITS = 16
@@ -297,14 +297,15 @@ def identify(df: DataFrame, key: str, text: str, crf: Crf, with_words: bool = Fa
     also ``runs``: arrays of (lang, words) for each stretch of equal labels.
 
     ``score`` is the mean posterior of ``lang_pred`` over the words, so a text
-    half in another language scores about a half.
+    half in another language scores about a half.  ``key`` may be a struct of
+    all columns, to carry whole rows along.
 
     Defined cases: a null text or one without a letter is ``und`` with score
     0; so is everything if ``crf`` has no labels; ties go to the first label;
     repeated rows and null keys each get their row; an empty table gives no
     rows; other columns are ignored.
     """
-    kind, model = df.schema[key].dataType.simpleString(), df.sparkSession.sparkContext.broadcast(crf)
+    model = df.sparkSession.sparkContext.broadcast(crf)
     runs_type = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +333,8 @@ def identify(df: DataFrame, key: str, text: str, crf: Crf, with_words: bool = Fa
             if with_words:
                 cols.append(pa.array(runs, runs_type))
             yield pa.RecordBatch.from_arrays(cols, names=["key", "lang_pred", "score"] + ["runs"] * with_words)
-    fields = f"key {kind}, lang_pred string, score double" + ", runs array<struct<lang:string,words:long>>" * with_words
+    fields = schema_of(df.schema[key], "lang_pred string", "score double",
+                       *["runs array<struct<lang:string,words:long>>"] * with_words)
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, fields).withColumnRenamed("key", key)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from fleetframe.llm.ann import op3_ann
 from fleetframe.llm.decontam import OP7_SQL, op7_decontam
 from fleetframe.llm.langid import op1_langid
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_decontam": op7_decontam,
     "op9_secrets": op9_secrets,
     "op10_shards": op10_shards,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, table
+from fleetframe.llm.common import materialize, schema_of, table
 from fleetframe.llm.components import connected_components
 
 HASH_SEED = 42
@@ -57,9 +57,8 @@ def _fingerprints(shingle: int):
 
 def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """``(key, fp)``: the fingerprint of every whole text as a signed long."""
-    kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        _fingerprints(shingle), f"key {kind}, fp long")
+        _fingerprints(shingle), schema_of(df.schema[key], "fp long"))
 
 
 def segment_plan(distance: int, segments: int) -> list[tuple[int, int, int]]:
