@@ -8,6 +8,7 @@ from fleetframe.llm.decontam import OP7_SQL, op7_decontam
 from fleetframe.llm.langid import op1_langid
 from fleetframe.llm.packing import op6_packing
 from fleetframe.llm.pii import op2_pii
+from fleetframe.llm.quality import op8_quality
 from fleetframe.llm.secrets import op9_secrets
 from fleetframe.llm.sharding import op10_shards
 from fleetframe.llm.simhash import op5_simhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_decontam": op7_decontam,
+    "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_shards": op10_shards,
     "pipeline": corpus_pipeline.run,
