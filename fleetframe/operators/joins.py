@@ -2,34 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetframe.operators.sizing import broadcast_if_small, spread
-from fleetframe.session import materialize
+from fleetframe.operators.sizing import spread
 
-# Token separator for the contains-join index: anything that is not a
-# letter, combining mark, digit or underscore.
-TOKEN_SEP_RE = r"[^\p{L}\p{M}\p{N}_]+"
 
+def expand(left: DataFrame, right: DataFrame) -> DataFrame:
+    """J1 every left row with every right row (host x directory): the product
+    is the result.  Spark broadcasts the right side by its size in bytes."""
+    return left.crossJoin(right)
 
-def expand(left: DataFrame, right: DataFrame, max_broadcast_rows: int = 10_000) -> DataFrame:
-    """J1 every left row with every right row (host x directory).
-
-    The right side is a short list (directories, roles); it is broadcast when
-    within ``max_broadcast_rows`` so the left side is never shuffled.
-    """
-    return left.crossJoin(broadcast_if_small(right, max_broadcast_rows))
 
-
-def config_manifest(hosts: DataFrame, roles: DataFrame, files: DataFrame,
-                    max_broadcast_rows: int = 10_000) -> DataFrame:
-    """J2 host x role x file targets.  Roles and files are crossed first
-    (both short), then broadcast against the hosts."""
-    small = roles.crossJoin(files)
-    return hosts.crossJoin(broadcast_if_small(small, max_broadcast_rows))
+def config_manifest(hosts: DataFrame, roles: DataFrame, files: DataFrame) -> DataFrame:
+    """J2 host x role x file targets.  Roles and files, both short lists, are
+    crossed first."""
+    return hosts.crossJoin(roles.crossJoin(files))
 
 
 def _keys_of(ref: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -49,10 +41,10 @@ def anti(df: DataFrame, ref: DataFrame, on: str | Sequence[str]) -> DataFrame:
     return df.join(_keys_of(ref, on), on, "left_anti")
 
 
-def lookup_dim(df: DataFrame, dim: DataFrame, on: str | Sequence[str],
-               max_broadcast_rows: int = 200_000) -> DataFrame:
-    """J6 inner join to a small dimension; unknown keys are dropped."""
-    return df.join(broadcast_if_small(dim, max_broadcast_rows), on, "inner")
+def lookup_dim(df: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """J6 inner join to a dimension; unknown keys are dropped.  Spark picks a
+    broadcast by the dimension's size in bytes, else a shuffled join."""
+    return df.join(dim, on, "inner")
 
 
 def drift(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -83,132 +75,97 @@ def drift(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: st
     return j.select(*keys, "expected_value", "actual_value", state.alias("state"))
 
 
-def _tokens(col: Column) -> Column:
-    """Non-empty tokens of a text (runs of letters, marks, digits, ``_``)."""
-    return F.filter(F.split(col, TOKEN_SEP_RE), lambda t: F.length(t) > 0)
-
-
-def _pairs(toks: Column) -> Column:
-    """Adjacent token pairs, each as one string (joined by U+0001)."""
-    n = F.size(toks)
-    idx = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.concat(F.element_at(toks, i), F.lit("\u0001"),
-                                               F.element_at(toks, i + 1)))
-
-
-def _longest(arr: Column) -> Column:
-    """Longest element (ties: smallest), null for an empty or null array."""
-    ranked = F.array_sort(F.transform(arr, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
-    return F.try_element_at(ranked, F.lit(1))["t"]
+def _scan_patterns(patterns: list[str]):
+    """Texts -> (row, pattern) for every pattern that a text contains."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+        automaton, always = ahocorasick.Automaton(), [p for p in patterns if not p]
+        for p in patterns:
+            if p:
+                automaton.add_word(p, p)
+        automaton.make_automaton()
+        for b in batches:
+            rows, found = [], []
+            for i, text in enumerate(b.column(1)):
+                t = text.as_py()
+                if t is None:
+                    continue
+                hits = [*always, *{p for _, p in automaton.iter(t)}] if len(automaton) else always
+                rows += [i] * len(hits)
+                found += hits
+                if len(rows) >= 100_000:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found)],
+                                                     names=["_ff_row", "_ff_pat"])
+                    rows, found = [], []
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())],
+                names=["_ff_row", "_ff_pat"])
+    return run
+
+
+def _hits(df: DataFrame, columns: Sequence[str], text: str, patterns: DataFrame, pattern: str,
+          max_bytes: int) -> DataFrame:
+    """``columns`` as a struct ``_ff_row`` with each distinct pattern
+    ``_ff_pat`` that ``text`` contains.
+
+    Every text is scanned once per automaton, in time linear in its length
+    however many patterns there are.  The distinct patterns are split by hash
+    into as many automata as their bytes need, each of about ``max_bytes``, so
+    what is sent to the executors is bounded and nothing is left out.
+    """
+    distinct = patterns.select(F.col(pattern).cast("string").alias("p")).filter("p is not null").distinct()
+    size = distinct.agg(F.sum(F.octet_length("p") + 16)).first()[0] or 0
+    parts = max(1, -(-size // max_bytes))
+    rows = spread(df.select(F.struct(*columns).alias("_ff_row"), F.col(text).cast("string").alias("_ff_text")))
+    schema = T.StructType([rows.schema["_ff_row"], T.StructField("_ff_pat", T.StringType())])
+    out = None
+    for i in range(parts):
+        mine = [r.p for r in distinct.filter(F.pmod(F.xxhash64("p"), F.lit(parts)) == i).collect()]
+        found = rows.mapInArrow(_scan_patterns(mine), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def pattern_join(df: DataFrame, text: str, df_id: Sequence[str] | str,
                  patterns: DataFrame, pattern: str, pattern_id: Sequence[str] | str,
-                 max_short_patterns: int = 10_000) -> DataFrame:
-    """J8 theta join: every ``(df_id, pattern_id)`` where ``text`` contains ``pattern``.
-
-    Exact, without comparing every text with every pattern:
-
-    * Tokens are maximal runs of letters/marks/digits/underscore.  If a
-      pattern occurs in a text, each *interior* token of the pattern (one
-      with a separator on both sides inside the pattern) is a whole token of
-      the text, and two consecutive interior tokens are consecutive tokens
-      of the text.
-    * Each pattern is keyed by its longest pair of consecutive interior
-      tokens; a pattern with a single interior token by that token.  Pairs
-      are far more selective than single words, so a common word does not
-      pair every text containing it with every pattern containing it.
-    * Candidates: the distinct keys of each text (narrow rows: id + key;
-      single tokens only if some pattern needs them) equi-joined to the
-      pattern keys - a broadcast hash join when the pattern table is small,
-      a shuffle join otherwise - then deduplicated.
-    * Verification: candidates joined to the texts by id (AQE broadcasts the
-      candidate side when it is small, so the texts are not shuffled) and to
-      the patterns, then ``contains``.
-    * Patterns with no interior token (one or two tokens) cannot be keyed;
-      they are checked against every text with a broadcast nested-loop join,
-      allowed only when there are at most ``max_short_patterns`` of them.
-    """
+                 max_bytes: int = 16 << 20) -> DataFrame:
+    """J8 theta join: every ``(df_id, pattern_id)`` where ``text`` contains
+    ``pattern``, for patterns of any length and number (:func:`_hits`).  An
+    empty pattern is in every text; null texts and patterns match nothing."""
     df_id = [df_id] if isinstance(df_id, str) else list(df_id)
     pattern_id = [pattern_id] if isinstance(pattern_id, str) else list(pattern_id)
-    toks = _tokens(F.col(pattern))
-    inner = F.when(F.size(toks) >= 3, F.slice(toks, 2, F.size(toks) - 2))
-    key = F.coalesce(_longest(_pairs(inner)), _longest(inner))
-    keyed = patterns.select(*pattern_id, F.col(pattern).alias("_ff_pat"), key.alias("_ff_tok"),
-                            (F.size(inner) == 1).alias("_ff_single"))
-    long_p = keyed.where(F.col("_ff_tok").isNotNull())
-    short_p = keyed.where(F.col("_ff_tok").isNull()).drop("_ff_tok", "_ff_single")
-
-    need_single = long_p.where(F.col("_ff_single")).limit(1).count() > 0
-    # text side without lambdas (per-element lambdas are interpreted): zip
-    # the token array with itself shifted by one, explode, then concatenate
-    # in generated code.  Empty edge tokens and the final unpaired token give
-    # keys that no pattern has.
-    dt = F.split(F.col(text), TOKEN_SEP_RE)
-    zipped = F.arrays_zip(dt.alias("a"), F.slice(dt, 2, F.greatest(F.size(dt) - 1, F.lit(0))).alias("b"))
-    spread_df = spread(df.select(*df_id, text))
-    pairs = (spread_df.select(*df_id, F.explode(zipped).alias("_ff_z"))
-                      .select(*df_id, F.concat(F.col("_ff_z.a"), F.lit("\u0001"), F.col("_ff_z.b"))
-                              .alias("_ff_tok")))
-    doc_toks = pairs
-    if need_single:
-        doc_toks = doc_toks.unionByName(
-            spread_df.select(*df_id, F.explode(F.array_distinct(dt)).alias("_ff_tok")))
-    keys_side = broadcast_if_small(long_p.select(*pattern_id, "_ff_tok"))
-    cands = doc_toks.join(keys_side, "_ff_tok").select(*df_id, *pattern_id).distinct()
-    verified = (df.select(*df_id, F.col(text).alias("_ff_text"))
-                  .join(cands, df_id)
-                  .join(long_p.select(*pattern_id, "_ff_pat"), pattern_id)
-                  .where(F.col("_ff_text").contains(F.col("_ff_pat")))
-                  .select(*df_id, *pattern_id))
-
-    n_short = short_p.limit(max_short_patterns + 1).count()
-    if n_short == 0:
-        return verified
-    if n_short > max_short_patterns:
-        raise ValueError(
-            f"more than {max_short_patterns} patterns have fewer than three tokens; "
-            "they cannot be indexed - raise max_short_patterns to scan them all")
-    short_hits = (df.select(*df_id, F.col(text).alias("_ff_text"))
-                    .join(F.broadcast(short_p), F.col("_ff_text").contains(F.col("_ff_pat")))
-                    .select(*df_id, *pattern_id))
-    return verified.unionByName(short_hits)
-
-
-def contains_join_small(df: DataFrame, text: str, patterns: DataFrame, pattern: str,
-                        max_patterns: int = 1_000) -> DataFrame:
-    """Process-to-service matching against a short pattern list (the
-    reference's six service patterns): each row of ``df`` joined with every
-    pattern its ``text`` contains.
-
-    Up to ``max_patterns`` patterns (checked) the list is broadcast and
-    matched with a nested-loop join, which is linear in ``df``.  A longer
-    list goes through the exact token-indexed :func:`pattern_join`, so the
-    size of what is broadcast never grows with the data.
-    """
-    n = patterns.limit(max_patterns + 1).count()
-    if n <= max_patterns:
-        return df.join(F.broadcast(patterns), F.col(text).contains(F.col(pattern)))
-    # row ids must be identical in both uses below, so they are written once
-    # (an id generated twice could differ after a shuffle or a task retry)
-    ids = materialize(df.withColumn("_ff_row", F.monotonically_increasing_id()), "contains-rows")
-    pids = materialize(patterns.withColumn("_ff_pid", F.monotonically_increasing_id()), "contains-patterns")
-    pairs = pattern_join(ids, text, "_ff_row", pids, pattern, "_ff_pid")
-    return (ids.join(pairs, "_ff_row").join(pids, "_ff_pid")
-               .drop("_ff_row", "_ff_pid"))
+    hits = _hits(df, df_id, text, patterns, pattern, max_bytes)
+    ids = patterns.select(F.col(pattern).cast("string").alias("_ff_pat"), *pattern_id)
+    return hits.join(ids, "_ff_pat").select("_ff_row.*", *pattern_id)
+
+
+def contains_join(df: DataFrame, text: str, patterns: DataFrame, pattern: str,
+                  max_bytes: int = 16 << 20) -> DataFrame:
+    """Rows of ``df`` joined with every row of ``patterns`` whose ``pattern``
+    their ``text`` contains (process-to-service matching)."""
+    hits = _hits(df, df.columns, text, patterns, pattern, max_bytes)
+    other = patterns.withColumn("_ff_pat", F.col(pattern).cast("string"))
+    return hits.join(other, "_ff_pat").select("_ff_row.*", *patterns.columns)
 
 
 def verify_manifest(expected: DataFrame, shipped: DataFrame, file: str, size: str,
-                    host: str = "host") -> DataFrame:
+                    host: str = "host", targets: DataFrame | None = None) -> DataFrame:
     """J9 shipment check: each shipped ``(host, file, size)`` against the
     source manifest ``(file, size)``; ``ok`` when sizes are equal and > 0.
-    A file missing from the manifest is not ok."""
-    e = expected.select(F.col(file), F.col(size).alias("expected_size"))
+
+    With ``targets`` (``host``, ``file``: what should be where, for example
+    from :func:`config_manifest`), a file that never arrived has a row too,
+    with a null ``actual_size`` and ``ok`` false.  A file missing from the
+    manifest is not ok.  A file that the manifest repeats counts once, with
+    its largest size.
+    """
+    e = expected.groupBy(F.col(file)).agg(F.max(size).alias("expected_size"))
     s = shipped.select(F.col(host), F.col(file), F.col(size).alias("actual_size"))
-    j = s.join(e, file, "left")
+    if targets is not None:
+        s = targets.select(host, file).distinct().join(s, [host, file], "full_outer")
     ok = F.coalesce((F.col("actual_size") == F.col("expected_size")) & (F.col("actual_size") > 0),
                     F.lit(False))
-    return j.withColumn("ok", ok)
+    return s.join(e, file, "left").select(host, file, "actual_size", "expected_size", ok.alias("ok"))
 
 
 def pick_available(available: DataFrame, keys: Sequence[str], item: str, requested: Column,
@@ -232,4 +189,4 @@ def pick_available(available: DataFrame, keys: Sequence[str], item: str, request
 
 
 __all__ = ["expand", "config_manifest", "semi", "anti", "lookup_dim", "drift",
-           "pattern_join", "contains_join_small", "verify_manifest", "pick_available"]
+           "pattern_join", "contains_join", "verify_manifest", "pick_available"]

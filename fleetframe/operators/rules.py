@@ -13,8 +13,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.operators.sizing import broadcast_if_small
-
 # Fixed values from the reference.
 SUPPORTED_OS = "Linux"
 SUPPORTED_ARCHS = ("x86_64", "aarch64", "arm64")
@@ -37,8 +35,8 @@ DIR_RULES = [
     ("perms", "in", "750,755"),
     ("writable", "eq", "true"),
 ]
+# A configuration directory that is absent is skipped, not a violation.
 CONFIG_DIR_RULES = [
-    ("exists", "eq", "true"),
     ("owner", "eq_expected", None),
 ]
 RULE_SCHEMA = "setting string, op string, expected string"
@@ -72,17 +70,16 @@ def _verdict(raw: Column, op: Column, expected: Column) -> Column:
 
 
 def rule_eval(facts: DataFrame, rules: DataFrame, setting: str = "setting",
-              raw: str = "raw_value", expected_col: str | None = None,
-              max_rules: int = 100_000) -> DataFrame:
+              raw: str = "raw_value", expected_col: str | None = None) -> DataFrame:
     """Join long facts to the rule table on ``setting`` and add
     ``op``, ``expected`` and ``status`` (ok / violation / n/a).
 
     ``expected_col`` names a per-row expected value (for ``eq_expected``
     rules such as the expected owner of a directory).  Facts with no rule
-    are dropped.  The rule table is broadcast (size-checked).
+    are dropped.  Spark broadcasts the rule table by its size.
     """
     r = rules.select(F.col("setting").alias(setting), "op", F.col("expected").alias("_ff_exp"))
-    j = facts.join(broadcast_if_small(r, max_rules), setting, "inner")
+    j = facts.join(r, setting, "inner")
     exp = F.col("_ff_exp")
     if expected_col:
         exp = F.when(F.col("op") == "eq_expected", F.col(expected_col)).otherwise(exp)
@@ -101,8 +98,9 @@ def to_long(df: DataFrame, ids: Sequence[str], settings: Sequence[str],
 def check_dirs(dir_facts: DataFrame, ids: Sequence[str] = ("host", "dir"),
                config_only: bool = False, expected_owner: str = "expected_owner") -> DataFrame:
     """Directory checks.  Data directories: exists, owner, mode 750/755,
-    writable.  Configuration directories (``config_only``): exists and owner.
-    Checks other than ``exists`` are n/a for a missing directory."""
+    writable.  Configuration directories (``config_only``): owner only; one that
+    is absent gives n/a.  Checks other than ``exists`` are n/a for a missing
+    directory."""
     spark = dir_facts.sparkSession
     rules = rule_table(spark, CONFIG_DIR_RULES if config_only else DIR_RULES)
     present = F.coalesce(F.col("exists"), F.lit(False))

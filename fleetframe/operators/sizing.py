@@ -1,30 +1,8 @@
-"""Size-checked broadcast.
-
-Only literal tables built from fixed constants (rule lists, alias and port
-tables) are broadcast unconditionally.  Anything that comes from data goes
-through :func:`broadcast_if_small`, which counts the rows first and leaves
-the join to Spark (sort-merge or shuffled hash, with AQE's runtime
-conversion and skew splitting) when the bound is exceeded.
-"""
+"""Spreading work that starts from few splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
-
-    The check runs ``df.limit(max_rows + 1).count()``: each input partition
-    stops after ``max_rows + 1`` rows, so a large scan is not read in full
-    (a blocking upstream plan - an aggregate or join - is still computed).
-    Use it for dimension-like inputs: rule, pattern and lookup tables.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -43,10 +21,4 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target)
 
 
-def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
-    """A small constant table; its size is fixed by the code, so it may be
-    broadcast without a check."""
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
-
-
-__all__ = ["broadcast_if_small", "spread", "literal_table", "DEFAULT_MAX_BROADCAST_ROWS"]
+__all__ = ["spread"]

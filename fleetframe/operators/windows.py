@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe.functions.time import dtype_of, epoch_seconds
@@ -40,16 +40,32 @@ def default_chunk(df: DataFrame, order: Sequence[str | Column], width: int | Non
     return number_chunk(first, width or 100_000)
 
 
+def _join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on ``keys`` where null equals null; ``other``'s keys are dropped."""
+    named = other.select(*[F.col(k).alias(f"_ff_j{i}") for i, k in enumerate(keys)],
+                         *[c for c in other.columns if c not in keys])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & df[k].eqNullSafe(named[f"_ff_j{i}"])
+    return df.join(named, cond, how).drop(*[f"_ff_j{i}" for i in range(len(keys))])
+
+
 def elect(df: DataFrame, keys: Sequence[str], pos: str, out: str = "command",
-          first: str = INIT_COMMAND, other: str = BOOTSTRAP_COMMAND) -> DataFrame:
+          first: str = INIT_COMMAND, other: str = BOOTSTRAP_COMMAND, host: str | None = None) -> DataFrame:
     """W1 first-node election: the lowest ``pos`` of each key gets ``first``,
-    every other row ``other`` (a single-member group therefore gets ``first``)."""
+    every other row ``other`` (a single-member group therefore gets ``first``).
+
+    With ``host`` the election is by name: every row of the host at the lowest
+    position gets ``first``, however often it is listed.  Rows with a null key
+    are a group of their own.
+    """
     keys = list(keys)
-    firsts = df.groupBy(*keys).agg(F.min(pos).alias("_ff_first"))
-    return (df.join(firsts, keys)
-              .withColumn(out, F.when(F.col(pos) == F.col("_ff_first"), F.lit(first))
-                                .otherwise(F.lit(other)))
-              .drop("_ff_first"))
+    mine = host or pos
+    firsts = df.groupBy(*keys).agg(F.min_by(mine, pos).alias("_ff_first"))
+    return (_join_keys(df, firsts, keys, "left")
+            .withColumn(out, F.when(F.col(mine).eqNullSafe(F.col("_ff_first")), F.lit(first))
+                              .otherwise(F.lit(other)))
+            .drop("_ff_first"))
 
 
 def primary(df: DataFrame, keys: Sequence[str], pos: str, value: str,
@@ -67,8 +83,7 @@ def carry(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value:
 
 
 def retry_outcome(polls: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  exited: Column, max_attempts: int = MAX_POLL_ATTEMPTS,
-                  chunk: Column | None = None) -> DataFrame:
+                  exited: Column, max_attempts: int = MAX_POLL_ATTEMPTS) -> DataFrame:
     """W3 bounded retry per key.
 
     Attempts are numbered from 1 in ``order``; the first attempt where
@@ -77,48 +92,17 @@ def retry_outcome(polls: DataFrame, keys: Sequence[str], order: Sequence[str],
     otherwise ``TIMEOUT`` with ``min(polls, max_attempts)`` attempts used.
     ``exit_<order col>`` columns give the exiting poll's order values.
 
-    Plan (no per-key sort, so a key holding a third of all polls is still
-    spread over many tasks):
-
-    1. per (key, chunk of the order): poll count and earliest exit - a
-       partial aggregate;
-    2. per key: the earliest exit and its chunk, from those summaries;
-    3. only the rows of that exit chunk are joined back on (key, chunk) to
-       count the polls up to the exit inside it;
-    4. attempt number = polls in earlier chunks + polls in the exit chunk up
-       to the exit.
+    Two passes and no per-key sort: an aggregate finds each key's number of
+    polls and earliest exit, and the polls up to that exit are counted after
+    joining it back.  Null keys are a key of their own.
     """
     keys = list(keys)
-    ostruct = F.struct(*[F.col(c) for c in order])
-    ck = chunk if chunk is not None else default_chunk(polls, list(order))
-    p = polls.select(*keys, *order, ostruct.alias("_ff_o"), exited.alias("_ff_x"),
-                     F.coalesce(ck.cast("long"), F.lit(-(2 ** 62))).alias("_ff_c"))
-    counts = p.groupBy(*keys, "_ff_c").agg(F.count(F.lit(1)).alias("_ff_n"))
-    # earliest exit per chunk from the exiting polls only (a hash count for
-    # all polls; no aggregate keyed on the order struct, which would sort
-    # every poll)
-    first_in_chunk = Window.partitionBy(*keys, "_ff_c").orderBy(*[F.col(c) for c in order])
-    chunk_exit = (p.where(F.col("_ff_x"))
-                   .withColumn("_ff_r", F.row_number().over(first_in_chunk))
-                   .where(F.col("_ff_r") == 1)
-                   .select(*keys, "_ff_c", F.col("_ff_o").alias("_ff_xo")))
-    per_chunk = counts.join(chunk_exit, [*keys, "_ff_c"], "left")
-    per_key = per_chunk.groupBy(*keys).agg(
-        F.min(F.when(F.col("_ff_xo").isNotNull(),
-                     F.struct(F.col("_ff_c").alias("c"), F.col("_ff_xo").alias("o")))).alias("_ff_first"),
-        F.sum("_ff_n").alias("_ff_total"))
-    exits = per_key.where(F.col("_ff_first").isNotNull()).select(
-        *keys, F.col("_ff_first.c").alias("_ff_c"), F.col("_ff_first.o").alias("_ff_exit"))
-    in_chunk = (p.join(exits, [*keys, "_ff_c"])
-                 .groupBy(*keys)
-                 .agg(F.count_if(F.col("_ff_o") <= F.col("_ff_exit")).alias("_ff_inc")))
-    before = (per_chunk.join(exits.select(*keys, F.col("_ff_c").alias("_ff_xc")), keys)
-                       .where(F.col("_ff_c") < F.col("_ff_xc"))
-                       .groupBy(*keys).agg(F.sum("_ff_n").alias("_ff_before")))
-    upto = (per_key.join(in_chunk, keys, "left").join(before, keys, "left")
-                   .select(*keys, F.col("_ff_first.o").alias("_ff_exit"), "_ff_total",
-                           (F.coalesce(F.col("_ff_before"), F.lit(0)) + F.col("_ff_inc"))
-                           .alias("_ff_at")))
+    p = polls.select(*keys, F.struct(*[F.col(c) for c in order]).alias("_ff_o"), exited.alias("_ff_x"))
+    per_key = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ff_total"),
+                                   F.min(F.when(F.col("_ff_x"), F.col("_ff_o"))).alias("_ff_exit"))
+    upto = (_join_keys(p.select(*keys, "_ff_o"), per_key, keys, "inner")
+            .groupBy(*keys).agg(F.count_if(F.col("_ff_o") <= F.col("_ff_exit")).alias("_ff_at"),
+                                F.first("_ff_total").alias("_ff_total"), F.first("_ff_exit").alias("_ff_exit")))
     ok = F.col("_ff_exit").isNotNull() & (F.col("_ff_at") <= F.lit(max_attempts))
     return upto.select(
         *keys,
@@ -140,53 +124,78 @@ def context(df: DataFrame, keys: Sequence[str], order: Sequence[str], cond: Colu
 
 
 def drop_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column,
-                end: Column, chunk: Column | None = None, keep_flag: str | None = None) -> DataFrame:
+                end: Column, chunk: Column | None = None, keep_flag: str | None = None,
+                overlap: bool = False) -> DataFrame:
     """W5 ``sed '/start/,/end/d'`` per key.
 
     A row is inside a range when it matches ``start`` or the last marker
     strictly before it is a start.  The end line is removed with its range;
     an unterminated range runs to the end; repeated starts do not nest; a
-    stray end outside a range is kept.  A row matching both patterns counts
-    as a start.  With ``keep_flag`` the rows are kept and flagged instead.
+    stray end outside a range is kept.  With ``keep_flag`` the rows are kept
+    and flagged instead.
+
+    A row that matches both begins a range outside of one and ends the range
+    that it is in, as in ``sed``.  That takes a second scan, so it has to be
+    asked for with ``overlap``; without it such a row raises an error.
     """
     chunk = chunk if chunk is not None else default_chunk(df, order)
-    marked = df.withColumn("_ff_mk", F.when(start, F.lit("S")).when(end, F.lit("E")))
-    s = running(marked, keys, order, chunk, carries_before={"_ff_prev": F.col("_ff_mk")})
-    inside = F.coalesce((F.col("_ff_mk") == "S") | (F.col("_ff_prev") == "S"), F.lit(False))
+    if overlap:
+        both = F.coalesce(start & end, F.lit(False))
+        turned = running(df.withColumn("_ff_b", both.cast("long")), keys, order, chunk,
+                         sums={"_ff_turns": F.col("_ff_b")})
+        marker = F.when(F.col("_ff_b") == 1, None).when(start, F.lit(1)).when(end, F.lit(0))
+        # the state before a row: the last plain marker, turned once by each
+        # row since that matches both
+        s = running(turned.withColumn("_ff_mk", F.when(marker.isNotNull(), F.struct(
+            marker.alias("s"), F.col("_ff_turns").alias("n")))), keys, order, chunk,
+            carries_before={"_ff_prev": F.col("_ff_mk")})
+        since = F.col("_ff_turns") - F.col("_ff_b") - F.coalesce(F.col("_ff_prev.n"), F.lit(0))
+        was_in = (F.coalesce(F.col("_ff_prev.s"), F.lit(0)) + since) % 2 == 1
+        inside = was_in | F.coalesce(start, F.lit(False))
+        s = s.withColumn("_ff_in", inside).drop("_ff_b", "_ff_turns", "_ff_mk", "_ff_prev")
+    else:
+        marked = df.withColumn("_ff_mk", F.when(start & end, F.raise_error(F.lit(
+            "a row matches both markers: pass overlap=True"))).when(start, F.lit("S")).when(end, F.lit("E")))
+        s = running(marked, keys, order, chunk, carries_before={"_ff_prev": F.col("_ff_mk")})
+        s = s.withColumn("_ff_in", F.coalesce((F.col("_ff_mk") == "S") | (F.col("_ff_prev") == "S"), F.lit(False))
+                         ).drop("_ff_mk", "_ff_prev")
     if keep_flag:
-        return s.withColumn(keep_flag, ~inside).drop("_ff_mk", "_ff_prev")
-    return s.where(~inside).drop("_ff_mk", "_ff_prev")
+        return s.withColumn(keep_flag, ~F.col("_ff_in")).drop("_ff_in")
+    return s.where(~F.col("_ff_in")).drop("_ff_in")
 
 
 def inflight(intervals: DataFrame, keys: Sequence[str], start: str, end: str,
-             cap: int = MAX_CONCURRENT, chunk_seconds: int = 86400) -> DataFrame:
+             cap: int = MAX_CONCURRENT, chunk_seconds: int = 86400 * 365) -> DataFrame:
     """W8 concurrency per key over half-open ``[start, end)`` intervals.
 
-    Each interval becomes a +1 row at ``start`` and a -1 row at ``end``; a
-    running sum ordered by ``(time, delta)`` (so -1 precedes +1 at equal
-    time) gives the level after each event.  Returns per key
-    ``n_intervals``, ``peak`` and ``seconds_above_cap`` - the total time the
-    level exceeded ``cap``, summed from level crossings so no ``lead`` over
-    the whole sequence is needed.  Rows with ``end < start`` are ignored.
+    Each interval adds one at ``start`` and takes one at ``end``; the changes
+    are summed per key and time before the shuffle, and a running sum over
+    these gives the level from each time on.  Returns per key
+    ``n_intervals``, ``peak``, ``seconds_above_cap`` - the total time the
+    level exceeded ``cap``, summed from its crossings - and ``n_invalid``:
+    intervals that end before they start or lack a bound, which count as
+    nothing else.  A key with only such intervals has a null ``peak``.
     """
     keys = list(keys)
-    iv = intervals.where(F.col(end) >= F.col(start))
-    # one pass over the intervals emits both edge rows (a union would
-    # evaluate the interval plan twice)
-    edges = F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")),
-                    F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))
-    ev = (iv.select(*keys, F.explode(edges).alias("_ff_e"))
-            .select(*keys, F.col("_ff_e.t").alias("_ff_t"), F.col("_ff_e.d").alias("_ff_d")))
-    tdt = dtype_of(ev, "_ff_t")
-    s = running(ev, keys, ["_ff_t", "_ff_d"], time_chunk("_ff_t", chunk_seconds, tdt),
-                sums={"_ff_lvl": F.col("_ff_d")})
-    secs = epoch_seconds("_ff_t", tdt)
-    crossing = (F.when((F.col("_ff_d") == -1) & (F.col("_ff_lvl") == cap), secs)
-                 .when((F.col("_ff_d") == 1) & (F.col("_ff_lvl") == cap + 1), -secs))
+    valid = F.coalesce(F.col(end) >= F.col(start), F.lit(False))
+    edges = F.when(valid, F.array(
+        F.struct(F.col(start).alias("t"), F.lit(1).alias("d"), F.lit(1).alias("n"), F.lit(0).alias("x")),
+        F.struct(F.col(end).alias("t"), F.lit(-1).alias("d"), F.lit(0).alias("n"), F.lit(0).alias("x"))))
+    edges = edges.otherwise(F.array(F.struct(F.lit(None).alias("t"), F.lit(0).alias("d"), F.lit(0).alias("n"),
+                                             F.lit(1).alias("x"))))
+    net = (intervals.select(*keys, F.explode(edges).alias("_ff_e"))
+           .groupBy(*keys, F.col("_ff_e.t").alias("_ff_t"))
+           .agg(F.sum("_ff_e.d").alias("_ff_d"), F.sum("_ff_e.n").alias("_ff_n"), F.sum("_ff_e.x").alias("_ff_x")))
+    tdt = dtype_of(net, "_ff_t")
+    s = running(net, keys, ["_ff_t"], time_chunk("_ff_t", chunk_seconds, tdt), sums={"_ff_lvl": F.col("_ff_d")})
+    secs, before = epoch_seconds("_ff_t", tdt), F.col("_ff_lvl") - F.col("_ff_d")
+    crossing = (F.when((before > cap) & (F.col("_ff_lvl") <= cap), secs)
+                 .when((before <= cap) & (F.col("_ff_lvl") > cap), -secs))
     return s.groupBy(*keys).agg(
-        F.count_if(F.col("_ff_d") == 1).alias("n_intervals"),
-        F.max("_ff_lvl").cast("long").alias("peak"),
-        F.coalesce(F.sum(crossing), F.lit(0)).cast("long").alias("seconds_above_cap"))
+        F.sum("_ff_n").cast("long").alias("n_intervals"),
+        F.max(F.when(F.col("_ff_t").isNotNull(), F.col("_ff_lvl"))).cast("long").alias("peak"),
+        F.coalesce(F.sum(crossing), F.lit(0)).cast("long").alias("seconds_above_cap"),
+        F.sum("_ff_x").cast("long").alias("n_invalid"))
 
 
 __all__ = ["elect", "primary", "carry", "retry_outcome", "context", "drop_ranges",

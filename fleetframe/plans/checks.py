@@ -18,7 +18,6 @@ from fleetframe.functions.text import (allow_or, classify_status, fill_template,
 from fleetframe.operators import aggs, joins, lookup, rules, setops, windows
 from fleetframe.plans.site_config import explode_list, fill_placement, service_props
 from fleetframe.plans.status import service_status
-from fleetframe.session import materialize
 from fleetframe.sources.blocks import compose_ports, parse_blocks, parse_dir_report
 from fleetframe.sources.conf import last_wins, parse_conf
 from fleetframe.sources.properties import parse_properties, resolve_refs
@@ -521,8 +520,8 @@ def first_by(spark, sf):
 
 
 def collect_sorted(spark, sf):
-    """Sorted open-order keys per customer."""
-    o = t(spark, sf, "orders").where(F.col("o_orderstatus") == "O")
+    """Sorted order keys per customer."""
+    o = t(spark, sf, "orders")
     return aggs.collect_sorted(o, ["o_custkey"], "o_orderkey", out="pids")
 
 
@@ -583,16 +582,13 @@ def block_carry(spark, sf):
 
 def inflight_peak(spark, sf):
     """Open line items (order date .. ship date) per customer nation:
-    peak and seconds above 10.  The interval join is written once to the
-    shared checkpoint folder, because the ordered scan reads its input twice
-    and at scale this join is the expensive part."""
+    peak, seconds above 10 and the intervals that end before they start."""
     li = t(spark, sf, "lineitem").select("l_orderkey", "l_shipdate")
     o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = t(spark, sf, "customer").select("c_custkey", "c_nationkey")
     iv = (li.join(o, li.l_orderkey == o.o_orderkey)
             .join(c, o.o_custkey == c.c_custkey)
             .select("c_nationkey", "o_orderdate", "l_shipdate"))
-    iv = materialize(iv, "inflight-intervals")
     return windows.inflight(iv, ["c_nationkey"], "o_orderdate", "l_shipdate", cap=10)
 
 

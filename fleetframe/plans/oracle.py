@@ -441,7 +441,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) A
 
 SQL["collect_sorted"] = r"""
 SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS pids, count(o_orderkey) AS n
-FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey
+FROM orders GROUP BY o_custkey
 """
 
 SQL["pivot_long"] = r"""
@@ -505,14 +505,16 @@ FROM conversations
 """
 
 SQL["inflight_peak"] = r"""
-WITH iv AS (SELECT c.c_nationkey AS k, o.o_orderdate AS s, l.l_shipdate AS e
+WITH every AS (SELECT c.c_nationkey AS k, o.o_orderdate AS s, l.l_shipdate AS e
             FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-                            JOIN customer c ON o.o_custkey = c.c_custkey
-            WHERE l.l_shipdate >= o.o_orderdate),
+                            JOIN customer c ON o.o_custkey = c.c_custkey),
+iv AS (SELECT * FROM every WHERE e >= s),
+bad AS (SELECT k, count(*) AS n_invalid FROM every WHERE NOT coalesce(e >= s, false) GROUP BY k),
 ev AS (SELECT k, s AS t, 1 AS d FROM iv UNION ALL SELECT k, e AS t, -1 AS d FROM iv),
 lv AS (SELECT k, t, d, sum(d) OVER (PARTITION BY k ORDER BY t, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
               AS lvl FROM ev)
 SELECT k AS c_nationkey, count(*) FILTER (WHERE d = 1) AS n_intervals, CAST(max(lvl) AS BIGINT) AS peak,
+       coalesce((SELECT n_invalid FROM bad WHERE bad.k = lv.k), 0) AS n_invalid,
        CAST(coalesce(sum(CASE WHEN d = -1 AND lvl = 10 THEN epoch(t) WHEN d = 1 AND lvl = 11 THEN -epoch(t) END), 0)
             AS BIGINT) AS seconds_above_cap
 FROM lv GROUP BY k

@@ -51,6 +51,11 @@ COMMON_FIXED = [
     ("ozone.enabled", "true", "Enable Ozone in the cluster"),
     ("ozone.security.enabled", "false", "Security is disabled for simplicity in this setup"),
 ]
+CORE_SITE = [
+    ("fs.defaultFS", "ofs://ozone1/", "The default filesystem URI"),
+    ("fs.ofs.impl", "org.apache.hadoop.fs.ozone.OzoneFileSystem", None),
+    ("fs.AbstractFileSystem.ofs.impl", "org.apache.hadoop.fs.ozone.OzFs", None),
+]
 
 
 def fill_placement(hosts: Column, cluster_hosts: Column, all_hosts: Column | bool) -> Column:
@@ -134,7 +139,11 @@ def service_props(placement: DataFrame, keys: Sequence[str], prefix: str,
                            .alias("_ff_p"))
                    .select(*keys, "_ff_p.name", "_ff_p.value", "_ff_p.description"))
     h = F.col(host).cast("string")
-    address_rows = (placement.join(g.where(F.col("_ff_n") > 1).select(*keys, "_ff_sid"), keys)
+    ha = g.where(F.col("_ff_n") > 1).select(*[F.col(k).alias(f"_ff_g{i}") for i, k in enumerate(keys)], "_ff_sid")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & placement[k].eqNullSafe(ha[f"_ff_g{i}"])
+    address_rows = (placement.join(ha, same)
                              .select(*keys,
                                      F.concat(F.lit(f"{prefix}.address."), sid, F.lit("."), h).alias("name"),
                                      h.alias("value"),
@@ -145,35 +154,50 @@ def service_props(placement: DataFrame, keys: Sequence[str], prefix: str,
 
 def site_properties(conf: DataFrame, source: str = "source") -> DataFrame:
     """Every property of the site file for every source configuration:
-    ``(source, name, value, description)``."""
+    ``(source, name, value, description)``.
+
+    What a configuration leaves out is written empty: a service id, a host
+    list without hosts, and each of the common properties has its row in
+    every configuration.
+    """
     latest = last_wins(conf, source=source)
-    placement = placement_from_conf(conf, source)
-    ids = (latest.where(F.col("key").isin(OM_SERVICE_ID_KEY, SCM_SERVICE_ID_KEY))
-                 .groupBy(source)
-                 .agg(F.max(F.when(F.col("key") == OM_SERVICE_ID_KEY, F.col("value"))).alias("_ff_om_id"),
-                      F.max(F.when(F.col("key") == SCM_SERVICE_ID_KEY, F.col("value"))).alias("_ff_scm_id")))
-    p = placement.join(ids, source, "left")
+    spark = conf.sparkSession
+    sources = latest.select(source).distinct()
+    ids = (latest.groupBy(source)
+                 .agg(F.max(F.when(F.col("key") == OM_SERVICE_ID_KEY, F.col("value"))).alias("_ff_om"),
+                      F.max(F.when(F.col("key") == SCM_SERVICE_ID_KEY, F.col("value"))).alias("_ff_scm"))
+                 .select(source, F.coalesce("_ff_om", F.lit("")).alias("_ff_om_id"),
+                         F.coalesce("_ff_scm", F.lit("")).alias("_ff_scm_id")))
+    placed = placement_from_conf(conf, source).where(F.col("service").isin("scm", "om", "recon"))
+    wanted = sources.crossJoin(F.broadcast(spark.createDataFrame([("scm",), ("om",), ("recon",)], "service string")))
+    empty = wanted.join(placed.select(source, "service").distinct(), [source, "service"], "left_anti").select(
+        source, "service", F.lit(0).alias("pos"), F.lit("").alias("host"))
+    p = placed.select(source, "service", "pos", "host").unionByName(empty).join(ids, source)
     # the service id is constant per source; it rides along as a group key
     scm = service_props(p.where(F.col("service") == "scm"), [source, "_ff_scm_id"], "ozone.scm",
                         F.col("_ff_scm_id"), single="scm").drop("_ff_scm_id")
     om = service_props(p.where(F.col("service") == "om"), [source, "_ff_om_id"], "ozone.om",
                        F.col("_ff_om_id"), single="om").drop("_ff_om_id")
-    recon = (placement.where((F.col("service") == "recon") & (F.col("pos") == 0))
-                      .select(source, F.lit("ozone.recon.address").alias("name"),
-                              F.col("host").alias("value"),
-                              F.lit("The hostname or IP address of Recon").alias("description")))
-    spark = conf.sparkSession
+    recon = (p.where((F.col("service") == "recon") & (F.col("pos") == 0))
+              .select(source, F.lit("ozone.recon.address").alias("name"), F.col("host").alias("value"),
+                      F.lit("The hostname or IP address of Recon").alias("description")))
     common_map = F.broadcast(spark.createDataFrame(COMMON_FROM_CONF, "name string, key string, description string"))
-    common = (latest.join(common_map, "key").select(source, "name", "value", "description"))
-    fixed = (latest.select(source).distinct()
-                   .crossJoin(F.broadcast(spark.createDataFrame(
-                       COMMON_FIXED, "name string, value string, description string"))))
+    common = (sources.crossJoin(common_map).join(latest.select(source, "key", "value"), [source, "key"], "left")
+              .select(source, "name", F.coalesce("value", F.lit("")).alias("value"), "description"))
+    fixed = sources.crossJoin(F.broadcast(spark.createDataFrame(
+        COMMON_FIXED, "name string, value string, description string")))
     out = scm
     for part in (om, recon, common, fixed):
         out = out.unionByName(part)
     return out
 
 
+def core_site_properties(conf: DataFrame, source: str = "source") -> DataFrame:
+    """The rows of the core-site file, the same for every configuration."""
+    rows = conf.sparkSession.createDataFrame(CORE_SITE, "name string, value string, description string")
+    return conf.select(source).distinct().crossJoin(F.broadcast(rows))
+
+
 __all__ = ["fill_placement", "explode_list", "placement_from_conf", "service_props",
-           "site_properties", "SERVICE_KEYS"]
+           "site_properties", "core_site_properties", "SERVICE_KEYS"]
 

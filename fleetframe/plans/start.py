@@ -27,8 +27,8 @@ def start_plan(placement: DataFrame, source: str = "source", service: str = "ser
     reverse) and ``command`` - ``--init`` for the first SCM host,
     ``--bootstrap`` for the other SCM hosts, null for other services."""
     ranked = ordered_plan(placement, [source], service, pos, order)
-    scm = elect(placement.where(F.lower(F.col(service)) == FORMATTED_SERVICE), [source], pos)
-    return (ranked.join(scm.select(source, service, host, "command"), [source, service, host], "left")
+    scm = elect(placement.where(F.lower(F.col(service)) == FORMATTED_SERVICE), [source], pos, host=host)
+    return (ranked.join(scm.select(source, service, pos, "command"), [source, service, pos], "left")
                   .select(source, service, pos, host, "seq", "stop_seq", "command"))
 
 

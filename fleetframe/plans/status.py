@@ -13,34 +13,44 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetframe.operators.aggs import first_by
-from fleetframe.operators.joins import contains_join_small, expand
+from fleetframe.operators.aggs import collect_sorted, first_by
+from fleetframe.operators.joins import contains_join, expand
 
-# Process-command patterns that identify each service.
+# The process class that identifies each service.
 SERVICE_PATTERNS = [
-    ("scm", "proc_scm"),
-    ("om", "proc_om"),
-    ("datanode", "proc_datanode"),
-    ("recon", "proc_recon"),
-    ("s3gateway", "proc_s3g"),
-    ("httpfs", "proc_httpfs"),
+    ("scm", "org.apache.hadoop.hdds.scm.server.StorageContainerManager"),
+    ("om", "org.apache.hadoop.ozone.om.OzoneManager"),
+    ("datanode", "org.apache.hadoop.ozone.HddsDatanodeService"),
+    ("recon", "org.apache.hadoop.ozone.recon.ReconServer"),
+    ("s3gateway", "org.apache.hadoop.ozone.s3.Gateway"),
+    ("httpfs", "org.apache.hadoop.fs.http.server.HttpFSServerWebApp"),
 ]
 
 
+def pids_by_service(procs: DataFrame, services: DataFrame, host: str = "host", service: str = "service",
+                    pattern: str = "pattern", cmd: str = "cmd", pid: str = "pid") -> DataFrame:
+    """All process ids per host and service, in ascending order, as one
+    comma-joined list (what a stop run signals).  Hosts and services without
+    a process have no row."""
+    svc = services.select(F.col(service).alias("_ff_svc"), F.col(pattern).alias("_ff_pat_of"))
+    found = contains_join(procs.select(host, cmd, pid), cmd, svc, "_ff_pat_of").select(
+        host, F.col("_ff_svc").alias(service), pid).distinct()
+    return collect_sorted(found, [host, service], pid, out="pids")
+
+
 def service_status(hosts: DataFrame, services: DataFrame, procs: DataFrame,
                    host: str = "host", service: str = "service", pattern: str = "pattern",
                    cmd: str = "cmd", pid: str = "pid",
                    order: Sequence[str] = ("pid",)) -> DataFrame:
     """``(host, service, status, pid)`` for every host x service.
 
-    Processes are matched to the (short, fixed) service list with a
-    broadcast nested-loop join, reduced to the first match per
+    Processes are matched to the service list in one scan, reduced to the first match per
     ``(host, service)`` with a partial aggregate, and only then joined to
     the host x service grid - the grid is never joined to raw processes.
     """
-    svc = services.select(F.col(service).alias("_ff_svc"), F.col(pattern).alias("_ff_pat"))
-    matched = contains_join_small(procs.select(host, cmd, pid, *[o for o in order if o not in (host, cmd, pid)]),
-                                  cmd, svc, "_ff_pat")
+    svc = services.select(F.col(service).alias("_ff_svc"), F.col(pattern).alias("_ff_pat_of"))
+    matched = contains_join(procs.select(host, cmd, pid, *[o for o in order if o not in (host, cmd, pid)]),
+                                  cmd, svc, "_ff_pat_of")
     first = first_by(matched, [host, "_ff_svc"], list(order), [pid], prefix="")
     grid = expand(hosts.select(host).distinct(), svc.select("_ff_svc"))
     out = grid.join(first, [host, "_ff_svc"], "left")
@@ -50,4 +60,4 @@ def service_status(hosts: DataFrame, services: DataFrame, procs: DataFrame,
         pid)
 
 
-__all__ = ["service_status", "SERVICE_PATTERNS"]
+__all__ = ["service_status", "pids_by_service", "SERVICE_PATTERNS"]

@@ -8,17 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _one_file_each(df: DataFrame, partition_by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """All rows of a configuration in one task, so that it becomes one file
+    (a configuration is small; there may be very many).  Without partition
+    columns the whole table is one configuration."""
+    together = df.repartition(*partition_by) if partition_by else df.coalesce(1)
+    return together.sortWithinPartitions(*partition_by, *order)
+
+
 def write_site_xml(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                    mode: str = "overwrite") -> None:
     """K1: ``<configuration><property><name/><value/><description/></property>…``.
 
     Spark's XML writer with ``rootTag=configuration`` and ``rowTag=property``;
-    null descriptions are omitted.  ``partition_by`` (for example
-    ``["source"]``) writes one folder per configuration, each file readable
-    by :func:`fleetframe.sources.xml.read_site_xml`.
+    null descriptions are omitted.  One file per value of ``partition_by``
+    (for example ``["source"]``), in a folder named after it; without
+    ``partition_by`` the table is one configuration and one file.
+    :func:`fleetframe.sources.xml.read_site_xml` returns the partition values.
     """
     cols = [*partition_by, "name", "value", "description"]
-    w = (df.select(*[c for c in cols if c in df.columns])
+    rows = df.select(*[c for c in cols if c in df.columns])
+    w = (_one_file_each(rows, partition_by, ["name"])
            .write.format("xml").option("rootTag", "configuration").option("rowTag", "property")
            .mode(mode))
     if partition_by:
@@ -28,10 +38,11 @@ def write_site_xml(df: DataFrame, path: str, partition_by: Sequence[str] = (),
 
 def write_properties(df: DataFrame, path: str, key: str = "key", value: str = "value",
                      partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """K2: ``key=value`` lines (one text file per partition / partition value)."""
+    """K2: ``key=value`` lines, one text file per value of ``partition_by``
+    (or one file), so that ``${key}`` references stay within their file."""
     out = df.select(*partition_by, F.concat_ws("=", F.col(key), F.coalesce(F.col(value), F.lit("")))
                     .alias("value"))
-    w = out.write.mode(mode)
+    w = _one_file_each(out, partition_by, ["value"]).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.text(path)

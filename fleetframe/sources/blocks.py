@@ -21,7 +21,11 @@ from fleetframe.sources.lines import read_lines
 COMPOSE_SERVICE_RE = r"(?s)^  ([A-Za-z0-9_.-]+):\s*(#.*)?$"
 COMPOSE_TOP_RE = r"^[A-Za-z0-9_.-]+:"
 COMPOSE_PORT_RE = r"""^\s*-\s*["']?(\d+):(\d+)["']?"""
-DIR_HEADER_RE = r"(?s)^Directory:\s*(.*?)\s*$"
+# A host line (verification or installer run), then blocks; the host scopes
+# the blocks below it.  Only config directories have their own header.
+DIR_HOST_RE = r"(?:Checking directory permissions on|Validating filesystem for directories on) ([^\s:]+)"
+DIR_HEADER_RE = r"(?s)^(Config Directory|Directory|Checking directory):\s*(.*?)\s*$"
+DIR_WRITABLE = (("Write access confirmed", True), ("No write access to directory", False))
 DIR_ATTR_RE = r"(?s)^\s+(Owner|Permissions|Mount point|Filesystem type|Mount options):\s*(.*?)\s*$"
 DIR_ERROR_MISSING = "Directory does not exist"
 STANZA_HEADER_RE = r"^Host\s+(\S+)"
@@ -58,19 +62,38 @@ def read_compose_ports(spark: SparkSession, paths: str | Sequence[str]) -> DataF
 
 def parse_dir_report(lines: DataFrame, source: str = "source", line_no: str = "line_no",
                      line: str = "line") -> DataFrame:
-    """``Directory:`` blocks -> one row per (source, dir) with owner,
-    permissions, mount point, filesystem type, mount options and ``exists``."""
+    """Directory reports -> one row per (source, host, kind, dir) with
+    owner, permissions, mount point, filesystem type, mount options,
+    ``writable`` and ``exists``.
+
+    Reads the verification report (``Directory:`` blocks with write-access
+    lines, then ``Config Directory:`` blocks) and the installer's
+    (``Checking directory:``), several hosts one after the other.  ``kind`` is
+    ``config`` for configuration directories, else ``data``; ``host`` is null
+    above the first host line.  A directory listed twice on a host is one row
+    in which the last line of each attribute wins.
+    """
     c = F.col(line)
-    hdr = F.when(c.rlike(DIR_HEADER_RE), F.regexp_extract(c, DIR_HEADER_RE, 1))
-    scoped = carry(lines.withColumn("_h", hdr), [source], line_no, "_h", "dir")
+    host = F.when(c.rlike(DIR_HOST_RE), F.regexp_extract(c, DIR_HOST_RE, 1))
+    kind = F.when(F.regexp_extract(c, DIR_HEADER_RE, 1) == "Config Directory", F.lit("config")).otherwise(F.lit("data"))
+    # a host line closes the block above it
+    head = (F.when(c.rlike(DIR_HEADER_RE), F.struct(kind.alias("kind"), F.regexp_extract(c, DIR_HEADER_RE, 2).alias("dir")))
+             .when(host.isNotNull(), F.struct(F.lit("").alias("kind"), F.lit(None).cast("string").alias("dir"))))
+    scoped = running(lines, [source], [line_no], number_chunk(line_no),
+                     carries={"host": host, "_block": head}).withColumn("kind", F.col("_block.kind")).withColumn(
+                         "dir", F.col("_block.dir"))
     attr = F.when(c.rlike(DIR_ATTR_RE), F.regexp_extract(c, DIR_ATTR_RE, 1))
     val = F.regexp_extract(c, DIR_ATTR_RE, 2)
     named = [("Owner", "owner"), ("Permissions", "perms"), ("Mount point", "mount_point"),
              ("Filesystem type", "fs_type"), ("Mount options", "mount_options")]
     # one aggregate per directory block; a repeated attribute: the last line wins
     aggs = [F.max_by(F.when(attr == a, val), F.when(attr == a, F.col(line_no))).alias(n) for a, n in named]
+    wrote = F.lit(None).cast("boolean")
+    for said, ok in DIR_WRITABLE:
+        wrote = F.when(c.contains(said), F.lit(ok)).otherwise(wrote)
+    aggs.append(F.max_by(wrote, F.when(wrote.isNotNull(), F.col(line_no))).alias("writable"))
     aggs.append(F.coalesce(F.bool_or(c.contains(DIR_ERROR_MISSING)), F.lit(False)).alias("_missing"))
-    out = scoped.where(F.col("dir").isNotNull()).groupBy(source, "dir").agg(*aggs)
+    out = scoped.where(F.col("dir").isNotNull()).groupBy(source, "host", "kind", "dir").agg(*aggs)
     return out.withColumn("exists", ~F.col("_missing")).drop("_missing")
 
 

@@ -18,15 +18,17 @@ PROPERTY_SCHEMA = T.StructType([
 def read_site_xml(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Hadoop-style ``*-site.xml`` files -> ``(source, name, value, description)``.
 
-    Uses Spark's XML data source with ``rowTag=property`` and a fixed schema
+    ``source`` is the file, or for folders written with ``partition_by`` the
+    value of a ``source=`` folder; other partition columns are kept.  Uses Spark's XML data source with ``rowTag=property`` and a fixed schema
     (no inference pass); files are split and read in parallel.
     """
     if isinstance(paths, str):
         paths = [paths]
     df = (spark.read.format("xml").option("rowTag", "property")
           .schema(PROPERTY_SCHEMA).load(list(paths)))
-    return df.select(F.col("_metadata.file_path").alias("source"),
-                     "name", "value", "description")
+    more = [c for c in df.columns if c not in (*PROPERTY_SCHEMA.names, "source")]
+    source = F.col("source").cast("string") if "source" in df.columns else F.col("_metadata.file_path")
+    return df.select(source.alias("source"), *more, "name", "value", "description")
 
 
 def parse_property_xml(col: str | Column) -> Column:

@@ -56,8 +56,9 @@ def test_verify_manifest(spark):
 def test_service_status(spark):
     hosts = spark.createDataFrame([("om1",), ("scm1",)], "host string")
     svc = spark.createDataFrame(SERVICE_PATTERNS, "service string, pattern string")
-    procs = spark.createDataFrame([("om1", 30, "java -Dproc_om x"), ("om1", 20, "java -Dproc_om y"),
-                                   ("scm1", 5, "java -Dproc_scm")], "host string, pid long, cmd string")
+    om, scm = "org.apache.hadoop.ozone.om.OzoneManager", "org.apache.hadoop.hdds.scm.server.StorageContainerManager"
+    procs = spark.createDataFrame([("om1", 30, f"java -Dproc_om {om}"), ("om1", 20, f"java {om} --x"),
+                                   ("scm1", 5, f"java -Xmx1g {scm}")], "host string, pid long, cmd string")
     got = {(r["host"], r["service"]): (r["status"], r["pid"])
            for r in service_status(hosts, svc, procs).collect()}
     assert len(got) == 12
@@ -94,7 +95,7 @@ def test_kernel_fs_dir_rules(spark):
     assert got[("/b", "writable")] == "violation"
     assert got[("/c", "exists")] == "violation" and got[("/c", "owner")] == "n/a"
     cfg = {(r["dir"], r["setting"]) for r in rules.check_dirs(dirs, config_only=True).collect()}
-    assert {s for _, s in cfg} == {"exists", "owner"}
+    assert {s for _, s in cfg} == {"owner"}
 
 
 def test_eligibility_and_missing(spark):
@@ -190,15 +191,45 @@ def test_drift_repeated_keys_do_not_multiply(spark):
     assert got == {"k": ("1,2", "1,2", "match"), "j": ("x", "y", "changed")}
 
 
-def test_contains_join_small_falls_back_beyond_bound(spark):
-    procs = spark.createDataFrame([("h1", "java -Dproc_om x y"), ("h2", "python tool run now"), ("h3", "x")],
+def test_contains_join_and_many_short_patterns(spark):
+    procs = spark.createDataFrame([("h1", "java -Dproc_om x y"), ("h2", "python tool run now"), ("h3", "x"), ("h4", None)],
                                   "host string, cmd string")
-    pats = spark.createDataFrame([("om", "-Dproc_om x"), ("tool", "tool run now"), ("none", "zzz q r")],
+    pats = spark.createDataFrame([("om", "-Dproc_om x"), ("tool", "tool run now"), ("none", "zzz q r"), ("nil", None)],
                                  "service string, pattern string")
-    small = {(r["host"], r["service"]) for r in joins.contains_join_small(procs, "cmd", pats, "pattern").collect()}
-    big = {(r["host"], r["service"]) for r in
-           joins.contains_join_small(procs, "cmd", pats, "pattern", max_patterns=1).collect()}
-    assert small == big == {("h1", "om"), ("h2", "tool")}
+    for size in (16 << 20, 20):  # one automaton, and several
+        got = {(r["host"], r["service"]) for r in
+               joins.contains_join(procs, "cmd", pats, "pattern", max_bytes=size).collect()}
+        assert got == {("h1", "om"), ("h2", "tool")}
+    words = [(i, f"w{i}") for i in range(20_001)]
+    docs = [(1, "w1 w20000"), (2, "xw77y"), (3, "none")]
+    got = {(r["d"], r["p"]) for r in joins.pattern_join(
+        spark.createDataFrame(docs, "d int, t string"), "t", "d",
+        spark.createDataFrame(words, "p int, w string"), "w", "p").collect()}
+    assert got == {(d, p) for d, t in docs for p, w in words if w in t}
+    every = joins.pattern_join(spark.createDataFrame(docs, "d int, t string"), "t", "d",
+                               spark.createDataFrame([(0, "")], "p int, w string"), "w", "p")
+    assert every.count() == 3
+
+
+def test_verify_manifest_reports_absent_files(spark):
+    expected = spark.createDataFrame([("a.xml", 5), ("a.xml", 5), ("b.xml", 7)], "file string, size long")
+    shipped = spark.createDataFrame([("h1", "a.xml", 5), ("h1", "c.xml", 1)], "host string, file string, size long")
+    targets = joins.config_manifest(spark.createDataFrame([("h1",), ("h2",)], "host string"),
+                                    spark.createDataFrame([("om",)], "role string"),
+                                    spark.createDataFrame([("a.xml",), ("b.xml",)], "file string"))
+    got = {(r.host, r.file): (r.actual_size, r.ok) for r in
+           joins.verify_manifest(expected, shipped, "file", "size", targets=targets).collect()}
+    assert got == {("h1", "a.xml"): (5, True), ("h1", "b.xml"): (None, False), ("h1", "c.xml"): (1, False),
+                   ("h2", "a.xml"): (None, False), ("h2", "b.xml"): (None, False)}
+
+
+def test_pids_by_service_with_the_real_classes(spark):
+    from fleetframe.plans.status import SERVICE_PATTERNS, pids_by_service
+    svc = spark.createDataFrame(SERVICE_PATTERNS, "service string, pattern string")
+    procs = spark.createDataFrame([(f"h{i % 2}", 100 - i, f"java -Xmx1g {c} start") for i, (_, c) in
+                                   enumerate(SERVICE_PATTERNS * 2)], "host string, pid long, cmd string")
+    got = {(r.host, r.service): r.pids for r in pids_by_service(procs, svc).collect()}
+    assert got[("h0", "scm")] == "94,100" and len(got) == 6
 
 
 def test_pattern_join_pair_keys_edge_cases(spark):
@@ -208,7 +239,7 @@ def test_pattern_join_pair_keys_edge_cases(spark):
             (4, "über data node the")]
     pats = [(10, "t über-data, node; th"),                # partial edge tokens, pair (über,data)/(data,node)
             (11, "the the end"),                          # one interior token: 'the'
-            (12, "data, node"),                           # two tokens: no interior -> short path
+            (12, "data, node"),
             (13, "ver-data, node; the the e"),
             (14, "über data node")]                       # one interior token 'data'
     ddf = spark.createDataFrame(docs, "doc_id int, text string")

@@ -93,6 +93,46 @@ def test_drop_ranges_matches_sed(spark):
     assert got == exp
 
 
+def test_drop_ranges_with_rows_that_match_both(spark):
+    import pytest
+    rnd = random.Random(4)
+    rows = [(f"f{f}", i, rnd.choice("SEBB...."), None) for f in range(200) for i in range(rnd.randint(0, 14))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    start, end = F.col("tok").isin("S", "B"), F.col("tok").isin("E", "B")
+    kept = windows.drop_ranges(df, ["k"], ["pos"], start, end, chunk=number_chunk("pos", 4), overlap=True)
+    exp = set()
+    for seq in _by_key(rows).values():
+        inside = False
+        for r in seq:
+            if inside:
+                inside = r[2] not in "EB"
+            elif r[2] in "SB":
+                inside = True
+            else:
+                exp.add((r[0], r[1]))
+    assert {(r["k"], r["pos"]) for r in kept.collect()} == exp
+    with pytest.raises(Exception, match="overlap=True"):
+        windows.drop_ranges(df, ["k"], ["pos"], start, end).collect()
+
+
+def test_null_keys_and_repeated_hosts(spark):
+    polls = spark.createDataFrame([(None, 1, "S"), (None, 2, "."), ("a", 1, ".")], "k string, pos int, tok string")
+    got = {r.k: (r.outcome, r.attempts) for r in
+           windows.retry_outcome(polls, ["k"], ["pos"], F.col("tok") == "S").collect()}
+    assert got == {None: ("EXITED", 1), "a": ("TIMEOUT", 1)}
+    hosts = spark.createDataFrame([("c", 0, "a"), ("c", 1, "a"), ("c", 2, "b"), (None, 0, "x")],
+                                  "c string, pos int, host string")
+    got = sorted((r.pos, r.host, r.command) for r in windows.elect(hosts, ["c"], "pos", host="host").collect())
+    assert got == [(0, "a", "--init"), (0, "x", "--init"), (1, "a", "--init"), (2, "b", "--bootstrap")]
+
+
+def test_inflight_counts_invalid_intervals(spark):
+    df = spark.createDataFrame([("a", 5, 3), ("a", None, 3), ("a", 1, 4), ("b", 9, 2)], "k string, s int, e int").select(
+        "k", F.timestamp_seconds("s").alias("s"), F.timestamp_seconds("e").alias("e"))
+    got = {r.k: (r.n_intervals, r.peak, r.n_invalid) for r in windows.inflight(df, ["k"], "s", "e").collect()}
+    assert got == {"a": (1, 1, 2), "b": (0, None, 1)}
+
+
 def test_context_matches_grep(spark):
     rows = _rows(seed=5)
     df = spark.createDataFrame(rows, SCHEMA)
@@ -125,8 +165,7 @@ def test_retry_outcome_matches_model(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     for max_att in (3, 60):
         got = {r["k"]: (r["outcome"], r["attempts"], r["polls"], r["exit_pos"]) for r in
-               windows.retry_outcome(df, ["k"], ["pos"], F.col("tok") == "S", max_att,
-                                     chunk=number_chunk("pos", 5)).collect()}
+               windows.retry_outcome(df, ["k"], ["pos"], F.col("tok") == "S", max_att).collect()}
         exp = {}
         for k, seq in _by_key(rows).items():
             at = next((i for i, r in enumerate(seq, 1) if r[2] == "S"), None)
