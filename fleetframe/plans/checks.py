@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 from fleetframe.functions.text import (allow_or, classify_status, fill_template, first_number,
                                        flag, norm_host)
 from fleetframe.operators import aggs, joins, lookup, rules, setops, windows
-from fleetframe.plans.site_config import explode_list, fill_placement, service_props
-from fleetframe.plans.status import service_status
+from fleetframe.plans.site_config import (core_site_properties, explode_list, fill_placement,
+                                          service_props, site_properties)
+from fleetframe.plans.status import SERVICE_PATTERNS, service_status
+from fleetframe.plans.status import pids_by_service as status_pids
+from fleetframe.session import scratch_path
+from fleetframe.sinks.writers import write_partitioned, write_properties, write_site_xml
 from fleetframe.sources.blocks import compose_ports, parse_blocks, parse_dir_report
-from fleetframe.sources.conf import last_wins, parse_conf
-from fleetframe.sources.properties import parse_properties, resolve_refs
+from fleetframe.sources.conf import last_wins, parse_conf, parse_os_release
+from fleetframe.sources.properties import parse_properties, read_properties, resolve_refs
 from fleetframe.sources.records import (parse_host_facts, parse_ps, parse_run_log,
                                         parse_step, parse_test_log)
-from fleetframe.sources.xml import parse_property_xml
+from fleetframe.sources.xml import parse_property_xml, read_site_xml
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 ESC = "\u001b"
@@ -191,27 +195,183 @@ def compose_parse(spark, sf):
     return compose_ports(lines).select("source", "service", "host_port", "container_port")
 
 
+def _dir_lines(spark, sf):
+    """The two directory reports, composed from ``supplier``: per nation a
+    verification run (``v<n>``: data directories, then configuration
+    directories, for two hosts one after the other) and an installer run
+    (``i<n>``)."""
+    s = t(spark, sf, "supplier")
+    k, bal, n = F.col("s_suppkey"), F.col("s_acctbal"), F.col("s_nationkey")
+    owner = F.when(bal > 3000, F.lit("rocky:rocky")).otherwise(F.lit("root:root"))
+    perms = F.when(bal > 5000, F.lit("750")).otherwise(F.lit("700"))
+    own = F.concat(F.lit("  Owner: "), owner)
+    mode = F.concat(F.lit("  Permissions: "), perms)
+    wrote = F.when(bal > 1000, F.lit("  ✅ Write access confirmed")).otherwise(
+        F.lit("  ❌ ERROR: No write access to directory"))
+    data = F.concat(F.lit("Directory: /data/s"), k)
+    block = F.when(bal >= 0, F.array(data, own, mode, F.lit("  ✅ Ownership is correct"), wrote, F.lit(""))).otherwise(
+        F.array(data, F.lit("  ❌ ERROR: Directory does not exist"), F.lit("")))
+    conf = F.when(bal > 6000, F.array(F.concat(F.lit("Config Directory: /etc/c"), k), F.lit("  Owner: root:root"),
+                                      F.lit("  Permissions: 755"), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    inst = F.array(F.concat(F.lit("Checking directory: /data/s"), k),
+                   F.concat(F.lit("  Mount point: /dev/sd"), k % 3),
+                   F.concat(F.lit("  Filesystem type: "), F.when(bal > 2000, F.lit("xfs")).otherwise(F.lit("btrfs"))),
+                   F.concat(F.lit("  Mount options: rw"), F.when(bal > 4000, F.lit(",noatime")).otherwise(F.lit(""))),
+                   own, mode, F.lit(""))
+    host = k % 2
+
+    def rows(prefix, section, body):
+        return s.select(F.concat(F.lit(prefix), n).alias("source"),
+                        (host * 10**9 + section * 10**8 + k * 10).alias("base"), F.posexplode(body).alias("i", "line")
+                        ).select("source", (F.col("base") + F.col("i")).alias("line_no"), "line")
+
+    def heads(prefix, text):
+        return s.select(F.concat(F.lit(prefix), n).alias("source"), (host * 10**9 + F.lit(-1)).alias("line_no"),
+                        F.concat(F.lit("[2024-01-01 00:00:00] INFO: " + text), F.lit(" h"), host,
+                                 F.lit(": /data" if prefix == "i" else "")).alias("line")).distinct()
+    parts = [heads("v", "Checking directory permissions on"), rows("v", 0, block), rows("v", 1, conf),
+             heads("i", "Validating filesystem for directories on"), rows("i", 0, inst)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def dir_report(spark, sf):
-    """Directory reports (one per nation) composed from ``supplier``: a
-    directory per supplier with owner, mode and file-system lines, or the
-    missing-directory error (negative balance)."""
+    """Both report layouts, several hosts in each source."""
+    return parse_dir_report(_dir_lines(spark, sf))
+
+
+def dir_rules(spark, sf):
+    """P11 on the parsed reports: the data rules on data directories, the
+    owner rule on configuration directories."""
+    d = parse_dir_report(_dir_lines(spark, sf)).where(F.col("source").startswith("v")).withColumn(
+        "expected_owner", F.lit("rocky:rocky"))
+    ids = ("source", "host", "kind", "dir")
+    data = rules.check_dirs(d.where(F.col("kind") == "data"), ids)
+    conf = rules.check_dirs(d.where(F.col("kind") == "config"), ids, config_only=True)
+    return data.unionByName(conf).select(*ids, "setting", "status")
+
+
+def os_release(spark, sf):
+    """An os-release file per supplier; the version is missing for some."""
+    s = t(spark, sf, "supplier")
+    lines = F.array(F.lit("# os"), F.concat(F.lit('ID="rocky'), F.col("s_nationkey"), F.lit('"')),
+                    F.when(F.col("s_acctbal") > 0, F.concat(F.lit("VERSION_ID='9."), F.col("s_nationkey"), F.lit("'")))
+                    .otherwise(F.lit("NAME=x")))
+    return parse_os_release(s.select(F.col("s_suppkey").cast("string").alias("source"),
+                                     F.posexplode(lines).alias("line_no", "line")))
+
+
+def _site_conf(spark, sf):
+    """A configuration per nation: hosts from its suppliers; every third has no
+    SCM hosts, every second no SCM service id, every fifth no cluster hosts,
+    and only every fourth any common property."""
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("n"))
     s = t(spark, sf, "supplier")
-    nat = t(spark, sf, "nation")
-    d = F.concat(F.lit("Directory: /data/s"), F.col("s_suppkey"))
-    present = F.array(d, F.concat(F.lit("  Owner: "), F.lower(F.col("s_name")), F.lit(":ozone")),
-                      F.concat(F.lit("  Permissions: "),
-                               F.when(F.col("s_acctbal") > 5000, F.lit("750")).otherwise(F.lit("700"))),
-                      F.concat(F.lit("  Filesystem type: "),
-                               F.when(F.col("s_acctbal") > 2000, F.lit("xfs")).otherwise(F.lit("btrfs"))),
-                      F.lit("  ✅ Ownership is correct"), F.lit(""))
-    missing = F.array(d, F.lit("  ❌ ERROR: Directory does not exist"), F.lit(""))
-    body = F.when(F.col("s_acctbal") >= 0, present).otherwise(missing)
-    rows = (s.select(F.col("s_nationkey").alias("source"), "s_suppkey", F.posexplode(body).alias("pos", "line"))
-             .select("source", (F.col("s_suppkey") * 10 + F.col("pos") + 1).alias("line_no"), "line"))
-    head = nat.select(F.col("n_nationkey").alias("source"), F.lit(0).cast("long").alias("line_no"),
-                      F.concat(F.lit("Checking data directories on "), F.col("n_name")).alias("line"))
-    out = parse_dir_report(rows.unionByName(head))
-    return out.select("source", "dir", "owner", "perms", "fs_type", "mount_options", "exists")
+    hosts = s.groupBy(F.col("s_nationkey").alias("n")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list("s_suppkey")), lambda k: F.concat(F.lit("s"), k)), ", ").alias("hosts"))
+    kv = F.array(
+        F.struct(F.lit("CLUSTER_HOSTS").alias("key"), F.when(F.col("n") % 5 == 0, F.lit("")).otherwise(
+            F.lit("c1, c2")).alias("value")),
+        F.struct(F.lit("SCM_HOSTS").alias("key"), F.when(F.col("n") % 3 == 0, F.lit("")).otherwise(
+            F.coalesce("hosts", F.lit(""))).alias("value")),
+        F.struct(F.when(F.col("n") % 2 == 1, F.lit("OZONE_SCM_SERVICE_ID")).otherwise(F.lit("X")).alias("key"),
+                 F.concat(F.lit("cl"), F.col("n")).alias("value")),
+        F.struct(F.when(F.col("n") % 4 == 1, F.lit("OZONE_SCM_DB_DIRS")).otherwise(F.lit("Y")).alias("key"),
+                 F.concat(F.lit("/d"), F.col("n")).alias("value")))
+    return (n.join(hosts, "n", "left").select(F.concat(F.lit("n"), F.col("n")).alias("source"),
+                                              F.posexplode(kv).alias("line_no", "kv"))
+             .select("source", "line_no", "kv.key", "kv.value"))
+
+
+def site_props_full(spark, sf):
+    """A10: the site file of every composed configuration, complete."""
+    return site_properties(_site_conf(spark, sf)).select("source", "name", "value")
+
+
+def core_props(spark, sf):
+    """A10: the core-site rows of every composed configuration."""
+    return core_site_properties(_site_conf(spark, sf)).select("source", "name", "value")
+
+
+def _proc_lines(spark, sf):
+    """``ps aux`` lines composed from ``events``: the event type picks the
+    service class, the user the host; some lines are the grep itself."""
+    e = t(spark, sf, "events")
+    cls = F.element_at(F.array(*[F.lit(c) for _, c in SERVICE_PATTERNS]), (F.col("event_id") % 6 + 1).cast("int"))
+    cmd = F.when(F.col("event_type") == "signup", F.concat(F.lit("grep "), cls)).otherwise(
+        F.concat(F.lit("java -Xmx1g -cp /opt/x "), cls, F.lit(" --run")))
+    line = F.concat(F.lit("rocky "), F.col("event_id"), F.lit(" 0.0 0.1 100 200 ? Sl 10:00 0:01 "), cmd)
+    return e.select(F.concat(F.lit("h"), F.col("user_id")).alias("host"), line.alias("line"))
+
+
+def _services(spark):
+    return spark.createDataFrame(SERVICE_PATTERNS, "service string, pattern string")
+
+
+def service_status_real(spark, sf):
+    """J3 with the real class names on parsed process lines."""
+    procs = parse_ps(_proc_lines(spark, sf))
+    hosts = t(spark, sf, "customer").select(F.concat(F.lit("h"), F.col("c_custkey")).alias("host"))
+    return service_status(hosts, _services(spark), procs)
+
+
+def pids_by_service(spark, sf):
+    """S8 -> J8 -> A8: all process ids per host and service."""
+    return status_pids(parse_ps(_proc_lines(spark, sf)), _services(spark)).select("host", "service", "pids", "n")
+
+
+def xml_write(spark, sf):
+    """K1 then S2: forty site files, written from scattered rows and
+    read back with its partition value."""
+    li = t(spark, sf, "lineitem")
+    props = li.select((F.col("l_orderkey") % 40).cast("string").alias("source"),
+                        F.concat(F.lit("p."), F.col("l_orderkey"), F.lit("."), F.col("l_linenumber")).alias("name"),
+                        F.concat(F.lit("<&v "), F.col("l_suppkey")).alias("value"), F.lit(None).cast("string").alias("description"))
+    path = scratch_path(spark, "site-xml")
+    write_site_xml(props.repartition(6), path, partition_by=["source"])
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(path)
+    files = back.select(F.regexp_extract("path", "source=([0-9]+)", 1).alias("source")).groupBy("source").agg(
+        F.count("*").alias("files"))
+    return read_site_xml(spark, path).join(files, "source").select("source", "name", "value", "files")
+
+
+def props_write(spark, sf):
+    """K2 then S3: property files per nation whose references resolve only
+    within their file."""
+    s = t(spark, sf, "supplier")
+    src = F.col("s_nationkey").cast("string").alias("source")
+    base = t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("source"), F.lit("base").alias("key"),
+                                         F.concat(F.lit("/b"), F.col("n_nationkey")).alias("value"))
+    refs = s.select(src, F.concat(F.lit("k"), F.col("s_suppkey")).alias("key"),
+                    F.concat(F.lit("${base}/"), F.col("s_suppkey")).alias("value"))
+    path = scratch_path(spark, "props")
+    write_properties(base.unionByName(refs).repartition(6), path, partition_by=["source"])
+    back = read_properties(spark, f"{path}/*/*.txt")
+    out = resolve_refs(back)
+    return out.select(F.regexp_extract("source", "source=([0-9]+)", 1).alias("source"), "key",
+                      F.col("resolved").alias("value"))
+
+
+def part_write(spark, sf):
+    """K3: line items distributed by return flag and status, read back."""
+    path = scratch_path(spark, "parts")
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    write_partitioned(li, path, ["l_returnflag", "l_linestatus"])
+    return spark.read.parquet(path).select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+
+
+def uniq_hosts(spark, sf):
+    """O3: distinct hosts of the pages' addresses."""
+    p = t(spark, sf, "pages")
+    return setops.uniq(p.select(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host")), "host")
+
+
+def primary_host(spark, sf):
+    """The first order of every customer by date, then key."""
+    o = t(spark, sf, "orders").select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("pos"), "o_orderkey")
+    return windows.primary(o, ["o_custkey"], "pos", "o_orderkey")
 
 
 def stanza_parse(spark, sf):
@@ -235,7 +395,8 @@ def stanza_parse(spark, sf):
 
 def alias_lookup(spark, sf):
     """Service spellings per order priority looked up in a placement
-    table built from ``supplier`` (service list per canonical service)."""
+    table built from ``supplier`` (service list per canonical service), one
+    row per spelling with the number of orders that use it."""
     o = t(spark, sf, "orders")
     pr = F.col("o_orderpriority")
     name = (F.when(pr == "1-URGENT", F.lit("SCM")).when(pr == "2-HIGH", F.lit("DataNode"))
@@ -246,8 +407,8 @@ def alias_lookup(spark, sf):
                        (F.col("s_nationkey") % 6 + 1).cast("int"))
     placement = aggs.ordered_list(s.select(svc.alias("service"), "s_suppkey", "s_name"),
                                   ["service"], "s_suppkey", "s_name", out="hosts")
-    req = o.select("o_orderkey", name.alias("name"))
-    return lookup.lookup(req, "name", placement, "service", "hosts").select("o_orderkey", "name", "hosts")
+    req = o.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+    return lookup.lookup(req, "name", placement, "service", "hosts").select("name", "n", "hosts")
 
 
 def default_fill(spark, sf):

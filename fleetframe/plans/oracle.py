@@ -170,33 +170,102 @@ FROM c WHERE regexp_matches(line, '{PORT}') AND sec = 'services' AND service <>
 
 DIR_ATTR = r"^\s+(Owner|Permissions|Mount point|Filesystem type|Mount options):\s*(.*?)\s*$"
 DIR_HDR = r"^Directory:\s*(.*?)\s*$"
-SQL["dir_report"] = rf"""
-WITH sl AS (
-  SELECT s_nationkey AS source, s_suppkey, CASE WHEN s_acctbal >= 0 THEN
-           ['Directory: /data/s' || s_suppkey, '  Owner: ' || lower(s_name) || ':ozone',
-            '  Permissions: ' || CASE WHEN s_acctbal > 5000 THEN '750' ELSE '700' END,
-            '  Filesystem type: ' || CASE WHEN s_acctbal > 2000 THEN 'xfs' ELSE 'btrfs' END,
-            '  ' || chr(9989) || ' Ownership is correct', '']
-         ELSE ['Directory: /data/s' || s_suppkey, '  ' || chr(10060) || ' ERROR: Directory does not exist', '']
-         END AS body FROM supplier),
-ex AS (SELECT source, s_suppkey, unnest(range(len(body))) AS pos, unnest(body) AS line FROM sl),
-rows AS (SELECT source, s_suppkey * 10 + pos + 1 AS line_no, line FROM ex
-         UNION ALL SELECT n_nationkey, 0, 'Checking data directories on ' || n_name FROM nation),
-c AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '{DIR_HDR}')
-                                THEN regexp_extract(line, '{DIR_HDR}', 1) END IGNORE NULLS)
-                  OVER (PARTITION BY source ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dir,
-             CASE WHEN regexp_matches(line, '{DIR_ATTR}') THEN regexp_extract(line, '{DIR_ATTR}', 1) END AS attr,
-             regexp_extract(line, '{DIR_ATTR}', 2) AS val
-      FROM rows)
-SELECT source, dir,
-       arg_max(val, line_no) FILTER (WHERE attr = 'Owner') AS owner,
-       arg_max(val, line_no) FILTER (WHERE attr = 'Permissions') AS perms,
-       arg_max(val, line_no) FILTER (WHERE attr = 'Filesystem type') AS fs_type,
-       arg_max(val, line_no) FILTER (WHERE attr = 'Mount options') AS mount_options,
-       NOT coalesce(bool_or(contains(line, 'Directory does not exist')), false) AS "exists"
-FROM c WHERE dir IS NOT NULL GROUP BY source, dir
+SQL["dir_report"] = r"""
+WITH s AS (SELECT *, CASE WHEN s_acctbal > 3000 THEN 'rocky:rocky' ELSE 'root:root' END AS own,
+                  CASE WHEN s_acctbal > 5000 THEN '750' ELSE '700' END AS mode FROM supplier)
+SELECT 'v' || s_nationkey AS source, 'h' || s_suppkey % 2 AS host, 'data' AS kind, '/data/s' || s_suppkey AS dir,
+       CASE WHEN s_acctbal >= 0 THEN own END AS owner, CASE WHEN s_acctbal >= 0 THEN mode END AS perms,
+       NULL::VARCHAR AS mount_point, NULL::VARCHAR AS fs_type, NULL::VARCHAR AS mount_options,
+       CASE WHEN s_acctbal >= 0 THEN s_acctbal > 1000 END AS writable, s_acctbal >= 0 AS "exists" FROM s
+UNION ALL SELECT 'v' || s_nationkey, 'h' || s_suppkey % 2, 'config', '/etc/c' || s_suppkey, 'root:root', '755',
+       NULL, NULL, NULL, NULL, true FROM s WHERE s_acctbal > 6000
+UNION ALL SELECT 'i' || s_nationkey, 'h' || s_suppkey % 2, 'data', '/data/s' || s_suppkey, own, mode,
+       '/dev/sd' || s_suppkey % 3, CASE WHEN s_acctbal > 2000 THEN 'xfs' ELSE 'btrfs' END,
+       CASE WHEN s_acctbal > 4000 THEN 'rw,noatime' ELSE 'rw' END, NULL, true FROM s
+"""
+
+SQL["dir_rules"] = r"""
+WITH v AS (SELECT 'v' || s_nationkey AS source, 'h' || s_suppkey % 2 AS host, s_suppkey AS k, s_acctbal AS b FROM supplier),
+d AS (SELECT source, host, 'data' AS kind, '/data/s' || k AS dir, b FROM v)
+SELECT source, host, kind, dir, 'exists' AS setting, CASE WHEN b >= 0 THEN 'ok' ELSE 'violation' END AS status FROM d
+UNION ALL SELECT source, host, kind, dir, 'owner', CASE WHEN b < 0 THEN 'n/a' WHEN b > 3000 THEN 'ok' ELSE 'violation' END FROM d
+UNION ALL SELECT source, host, kind, dir, 'perms', CASE WHEN b < 0 THEN 'n/a' WHEN b > 5000 THEN 'ok' ELSE 'violation' END FROM d
+UNION ALL SELECT source, host, kind, dir, 'writable', CASE WHEN b < 0 THEN 'n/a' WHEN b > 1000 THEN 'ok' ELSE 'violation' END FROM d
+UNION ALL SELECT source, host, 'config', '/etc/c' || k, 'owner', 'violation' FROM v WHERE b > 6000
+"""
+
+SQL["os_release"] = r"""
+SELECT s_suppkey::VARCHAR AS source, 'rocky' || s_nationkey AS os_id,
+       CASE WHEN s_acctbal > 0 THEN '9.' || s_nationkey END AS os_version FROM supplier
+"""
+
+SQL["site_props_full"] = r"""
+WITH h AS (SELECT s_nationkey AS n, list('s' || s_suppkey ORDER BY s_suppkey) AS l FROM supplier GROUP BY 1),
+c AS (SELECT n_nationkey AS n, 'n' || n_nationkey AS source, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'c1' END AS one,
+             CASE WHEN n_nationkey % 2 = 1 THEN 'cl' || n_nationkey ELSE '' END AS sid,
+             CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE l END AS l FROM nation LEFT JOIN h ON h.n = n_nationkey),
+k(name, key) AS (VALUES
+  ('ozone.scm.db.dirs', 'OZONE_SCM_DB_DIRS'), ('ozone.scm.ha.ratis.storage.dir', ''), ('ozone.metadata.dirs', ''),
+  ('ozone.om.db.dirs', ''), ('ozone.om.ratis.storage.dir', ''), ('ozone.recon.db.dir', ''),
+  ('ozone.recon.scm.db.dirs', ''), ('ozone.recon.om.db.dir', ''), ('ozone.scm.datanode.id.dir', ''),
+  ('dfs.container.ratis.datanode.storage.dir', ''), ('hdds.datanode.dir', ''))
+SELECT source, name, CASE WHEN key <> '' AND n % 4 = 1 THEN '/d' || n ELSE '' END AS value FROM c, k
+UNION ALL SELECT source, 'ozone.enabled', 'true' FROM c
+UNION ALL SELECT source, 'ozone.security.enabled', 'false' FROM c
+UNION ALL SELECT source, 'ozone.recon.address', one FROM c
+UNION ALL SELECT source, 'ozone.om.address', one FROM c
+UNION ALL SELECT source, 'ozone.scm.service.ids', sid FROM c WHERE len(l) > 1
+UNION ALL SELECT source, 'ozone.scm.nodes.' || sid, array_to_string(l, ',') FROM c WHERE len(l) > 1
+UNION ALL SELECT source, 'ozone.scm.address.' || sid || '.' || x, x
+          FROM (SELECT source, sid, unnest(l) AS x FROM c WHERE len(l) > 1)
+UNION ALL SELECT source, 'ozone.scm.names', coalesce(l[1], one) FROM c WHERE coalesce(len(l), 0) <= 1
+UNION ALL SELECT source, 'ozone.scm.client.address', coalesce(l[1], one) || ':9860' FROM c WHERE coalesce(len(l), 0) <= 1
+"""
+
+SQL["core_props"] = r"""
+SELECT 'n' || n_nationkey AS source, name, value FROM nation, (VALUES
+  ('fs.defaultFS', 'ofs://ozone1/'), ('fs.ofs.impl', 'org.apache.hadoop.fs.ozone.OzoneFileSystem'),
+  ('fs.AbstractFileSystem.ofs.impl', 'org.apache.hadoop.fs.ozone.OzFs')) AS v(name, value)
+"""
+
+SQL["service_status_real"] = r"""
+WITH p AS (SELECT 'h' || user_id AS host, ['scm','om','datanode','recon','s3gateway','httpfs'][event_id % 6 + 1] AS service,
+                  min(event_id) AS pid FROM events WHERE event_type <> 'signup' GROUP BY 1, 2),
+g AS (SELECT DISTINCT 'h' || c_custkey AS host, service
+      FROM customer, (SELECT unnest(['scm','om','datanode','recon','s3gateway','httpfs']) AS service))
+SELECT g.host, g.service, CASE WHEN pid IS NULL THEN 'not running' ELSE 'running' END AS status, pid
+FROM g LEFT JOIN p USING (host, service)
+"""
+
+SQL["pids_by_service"] = r"""
+SELECT 'h' || user_id AS host, ['scm','om','datanode','recon','s3gateway','httpfs'][event_id % 6 + 1] AS service,
+       string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS pids, count(*) AS n
+FROM events WHERE event_type <> 'signup' GROUP BY 1, 2
+"""
+
+SQL["xml_write"] = r"""
+SELECT (l_orderkey % 40)::VARCHAR AS source, 'p.' || l_orderkey || '.' || l_linenumber AS name, '<&v ' || l_suppkey AS value,
+       1::BIGINT AS files FROM lineitem
+"""
+
+SQL["props_write"] = r"""
+SELECT n_nationkey::VARCHAR AS source, 'base' AS key, '/b' || n_nationkey AS value FROM nation
+UNION ALL SELECT s_nationkey::VARCHAR, 'k' || s_suppkey, '/b' || s_nationkey || '/' || s_suppkey FROM supplier
+"""
+
+SQL["part_write"] = r"""
+SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem
+"""
+
+SQL["uniq_hosts"] = r"""
+SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages
 """
 
+SQL["primary_host"] = r"""
+SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS "primary" FROM orders GROUP BY 1
+"""
+
+
 STANZA_HDR = r"^Host\s+(\S+)"
 STANZA_ATTR = r"^\s+(\S+)\s+(.*?)\s*$"
 SQL["stanza_parse"] = rf"""
@@ -222,10 +291,10 @@ WITH a(spelling, canon) AS (VALUES {ALIASES}),
 svc AS (SELECT ['scm','om','datanode','recon','s3gateway','httpfs'][(s_nationkey % 6) + 1] AS service,
                s_suppkey, s_name FROM supplier),
 pl AS (SELECT service, string_agg(s_name, ',' ORDER BY s_suppkey, s_name) AS hosts FROM svc GROUP BY service),
-req AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'SCM' WHEN '2-HIGH' THEN 'DataNode'
+req AS (SELECT count(*) AS n, CASE o_orderpriority WHEN '1-URGENT' THEN 'SCM' WHEN '2-HIGH' THEN 'DataNode'
           WHEN '3-MEDIUM' THEN 'datanode' WHEN '4-NOT SPECIFIED' THEN 'Datanode' ELSE 'om' END AS name
-        FROM orders)
-SELECT r.o_orderkey, r.name, coalesce(pl.hosts, '') AS hosts
+        FROM orders GROUP BY 2)
+SELECT r.name, r.n, coalesce(pl.hosts, '') AS hosts
 FROM req r LEFT JOIN a ON a.spelling = r.name LEFT JOIN pl ON pl.service = a.canon
 """
 

@@ -1,9 +1,9 @@
 """Structured Streaming monitors."""
 
-from fleetframe.streaming.monitors import (down_in_batch, run_to_table, stream_dedup,
+from fleetframe.streaming.monitors import (down_in_windows, run_to_table, stream_dedup, stream_down,
                                            stream_fail_rate, stream_latest, stream_levels,
                                            stream_retry, stream_sessions, table_stream,
                                            with_event_time)
 
-__all__ = ["down_in_batch", "run_to_table", "stream_dedup", "stream_fail_rate", "stream_latest",
+__all__ = ["down_in_windows", "run_to_table", "stream_dedup", "stream_down", "stream_fail_rate", "stream_latest",
            "stream_levels", "stream_retry", "stream_sessions", "table_stream", "with_event_time"]

@@ -1,7 +1,7 @@
 """Structured Streaming monitors.
 
 Library functions take a streaming DataFrame and return a streaming
-DataFrame (or, for T6, run a ``foreachBatch`` comparison).  Event time is
+DataFrame (T6 runs its stream and compares the closed windows).  Event time is
 cast to ``timestamp`` because watermarks need it.  Results are written with
 ``foreachBatch`` to a folder under the session's checkpoint directory, so
 nothing is collected through the driver; :func:`run_to_table` reads the
@@ -9,8 +9,8 @@ sink back as a batch DataFrame.
 
 The ``st_*`` checks stream the driver's ``events`` file with
 ``trigger(availableNow=True)`` and are compared with their batch twins in
-:data:`STREAM_ORACLE_SQL` (complete output mode, so open windows are not
-withheld).
+:data:`STREAM_ORACLE_SQL`.  Windows and sessions are written once the
+watermark has passed them; the batch twins leave out those still open.
 """
 
 from __future__ import annotations
@@ -43,31 +43,48 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: str,
     return r.parquet(folder)
 
 
-def run_to_table(sdf: DataFrame, name: str, mode: str = "complete",
+def run_to_table(sdf: DataFrame, name: str, mode: str = "append", path: str | None = None,
                  batch_fn: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Run ``sdf`` until the available input is processed and return the sink
-    as a batch DataFrame.  Complete/update output overwrites the sink each
-    micro-batch.  Append output writes each micro-batch to its own
+    as a batch DataFrame.
+
+    Append output (the mode for windows, sessions and dedup: the watermark
+    closes them and frees their state) writes each micro-batch to its own
     ``batch_id=<n>`` folder with overwrite, so a batch replayed after a
-    failure (``foreachBatch`` is at-least-once) replaces itself instead of
-    duplicating rows.  The query's checkpoint sits beside the sink, so a
-    restarted job resumes instead of recomputing."""
+    failure (``foreachBatch`` is at-least-once) replaces itself.  Complete
+    output (a bounded number of keys, no watermark) replaces the sink: each
+    batch's result goes to a folder of its own, and the highest one is read.
+    Update output holds only the changed keys and is refused.
+
+    ``path`` names the sink folder; the query's checkpoint is beside it, so a
+    job started again with the same ``path`` goes on where it stopped.
+    Without it, sink and checkpoint are scratch and go with the application.
+    """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"output mode {mode!r} would leave keys out: use append or complete")
     spark = sdf.sparkSession
-    out = scratch_path(spark, name)
+    out = path.rstrip("/") if path else scratch_path(spark, name)
+    state = out + "_checkpoint" if path else scratch_path(spark, name + "-checkpoint")
 
     def each(batch: DataFrame, epoch: int) -> None:
         res = batch_fn(batch, epoch) if batch_fn else batch
-        if mode == "append":
-            res.write.mode("overwrite").parquet(f"{out}/batch_id={epoch}")
-        else:
-            res.write.mode("overwrite").parquet(out)
+        res.write.mode("overwrite").parquet(f"{out}/batch_id={epoch}")
 
     q = (sdf.writeStream.outputMode(mode).foreachBatch(each)
-             .option("checkpointLocation", out + "_checkpoint")
+             .option("checkpointLocation", state)
              .trigger(availableNow=True).start())
     q.awaitTermination()
-    back = spark.read.parquet(out)
-    return back.drop("batch_id") if mode == "append" else back
+    schema = sdf.schema if batch_fn is None else None
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    batches = sorted(int(f.getPath().getName()[len("batch_id="):]) for f in fs.listStatus(jpath)
+                     if f.getPath().getName().startswith("batch_id=")) if fs.exists(jpath) else []
+    if not batches:  # nothing arrived yet
+        return spark.createDataFrame([], schema or sdf.schema)
+    if mode == "complete":
+        return spark.read.parquet(f"{out}/batch_id={batches[-1]}")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.option("basePath", out).parquet(*[f"{out}/batch_id={b}" for b in batches]).drop("batch_id")
 
 
 def with_event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -137,16 +154,36 @@ def stream_fail_rate(steps: DataFrame, ts: str, failed: Column, length: str, sli
                  .withColumn("fail_rate", F.round(F.col("n_failed") / F.col("n"), 4)))
 
 
-def down_in_batch(seen: DataFrame, placement: DataFrame, keys: Sequence[str],
-                  window_col: str = "window_start") -> DataFrame:
-    """T6 comparison step, run per micro-batch: every placed ``keys`` row
-    for every window present in the batch, minus the ones seen.  The window
-    list of a batch is small, and it is crossed with the placement table
-    before an anti join on (window, keys)."""
+def down_in_windows(seen: DataFrame, placement: DataFrame, keys: Sequence[str],
+                    window_col: str = "window_start", width: str = "1 day") -> DataFrame:
+    """T6 comparison: every placed ``keys`` row for every window of the
+    calendar from the first to the last window seen, minus the ones seen.
+
+    The calendar holds the windows in which nothing at all was seen, so a
+    total outage is reported for every placed row.
+    """
+    keys = list(keys)
+    bounds = seen.agg(F.min(window_col).alias("_a"), F.max(window_col).alias("_z")).filter("_a is not null")
+    calendar = bounds.select(F.explode(F.sequence("_a", "_z", F.expr(f"INTERVAL {width}"))).alias(window_col))
+    expected = placement.select(*keys).distinct().crossJoin(calendar)
+    return expected.join(seen.select(window_col, *keys).distinct(), [window_col, *keys], "left_anti")
+
+
+def stream_down(procs: DataFrame, placement: DataFrame, keys: Sequence[str], ts: str = "ts",
+                width: str = "1 day", path: str | None = None) -> DataFrame:
+    """``(window_start, keys)`` of every placed row that a closed window
+    has no sighting of.
+
+    ``procs`` is a stream of sightings with a watermark on ``ts``.  Sightings
+    are reduced per window and key; windows are written once the watermark
+    closes them (open ones are not judged), and the written windows are
+    compared with the placement.  Called again with the same ``path``, it
+    takes up the new input and reports over all closed windows.
+    """
     keys = list(keys)
-    windows = seen.select(window_col).distinct()
-    expected = placement.select(*keys).crossJoin(windows)
-    return expected.join(seen.select(window_col, *keys), [window_col, *keys], "left_anti")
+    seen = (procs.groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("w.start").alias("window_start"), *keys))
+    return down_in_windows(run_to_table(seen, "stream-down", path=path), placement, keys, width=width)
 
 
 # ---------------------------------------------------------------- checks
@@ -157,13 +194,14 @@ def _events(spark, sf):
 
 def st_retry(spark, sf):
     r = stream_retry(_events(spark, sf), ["user_id"], "ts", F.col("event_type") == "purchase")
-    out = run_to_table(r, "st_retry")
+    out = run_to_table(r, "st_retry", mode="complete")
     return out.select("user_id", "polls", wall("first_exit").alias("first_exit"), "timed_out")
 
 
 def st_tumbling(spark, sf):
     from fleetframe.plans.checks import compose_log_line
     e = table_stream(spark, sf, "events", EVENTS_SCHEMA)
+    # a line without a time stamp belongs to no window
     parsed = parse_run_log(e.select(compose_log_line(e).alias("line")))
     log = with_event_time(parsed.where(F.col("ts").isNotNull()), "ts")
     out = run_to_table(stream_levels(log, "ts", "level", "1 hour"), "st_tumbling")
@@ -172,7 +210,7 @@ def st_tumbling(spark, sf):
 
 def st_latest(spark, sf):
     r = stream_latest(_events(spark, sf), ["user_id"], "ts", "event_id", ["event_type", "event_id"])
-    out = run_to_table(r, "st_latest")
+    out = run_to_table(r, "st_latest", mode="complete")
     return out.select("user_id", F.col("latest.event_type").alias("latest_type"),
                       F.col("latest.event_id").alias("latest_event_id"))
 
@@ -190,20 +228,17 @@ def st_dedup(spark, sf):
     e = e.withColumn("minute", minute).withWatermark("minute", "1 hour")
     r = (stream_dedup(e, ["user_id", "event_type", "minute"], event_time="minute")
          .select("user_id", "event_type", "minute"))
-    out = run_to_table(r, "st_dedup", mode="append")
+    out = run_to_table(r, "st_dedup")
     return out.select("user_id", "event_type", wall("minute").alias("minute"))
 
 
 def st_down(spark, sf):
-    placement = (spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
-                      .select("user_id", "event_type").distinct())
-    seen = (_events(spark, sf)
-            .groupBy(F.window("ts", "1 day").alias("w"), "user_id", "event_type")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").alias("window_start"), "user_id", "event_type"))
-    out = run_to_table(seen, "st_down",
-                       batch_fn=lambda b, _: down_in_batch(b, placement, ["user_id", "event_type"]))
-    return out.select(wall("window_start").alias("window_start"), "user_id", "event_type")
+    """Types of event that no user of an hour's closed windows sent; some
+    hours have no event at all."""
+    placement = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select("event_type").distinct()
+    rare = _events(spark, sf).where(F.col("user_id") % 10 == 3)
+    out = stream_down(rare, placement, ["event_type"], width="1 hour")
+    return out.select(wall("window_start").alias("window_start"), "event_type")
 
 
 def st_sliding(spark, sf):
@@ -233,7 +268,8 @@ FROM events GROUP BY user_id
 SELECT strftime(date_trunc('hour', ts), {DUCK_TS}) AS window_start,
        CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' WHEN 'view' THEN 'INFO'
                        ELSE 'LOG' END AS level, count(*) AS n
-FROM events WHERE event_type <> 'signup' GROUP BY ALL
+FROM events WHERE event_type <> 'signup' AND date_trunc('hour', ts) + INTERVAL 1 HOUR <=
+  (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type <> 'signup') GROUP BY ALL
 """,
     "st_latest": """
 SELECT user_id, event_type AS latest_type, event_id AS latest_event_id
@@ -249,18 +285,19 @@ s AS (SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_
 SELECT user_id, strftime(min(ts), {DUCK_TS}) AS session_start,
        strftime(max(ts) + INTERVAL 30 MINUTE, {DUCK_TS}) AS session_end, count(*) AS n
 FROM s GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
 """,
     "st_dedup": f"""
 SELECT DISTINCT user_id, event_type, strftime(date_trunc('minute', ts), {DUCK_TS}) AS minute FROM events
 """,
     "st_down": f"""
-WITH p AS (SELECT DISTINCT user_id, event_type FROM events),
-w AS (SELECT DISTINCT date_trunc('day', ts) AS ws FROM events),
-seen AS (SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS ws FROM events)
-SELECT strftime(w.ws, {DUCK_TS}) AS window_start, p.user_id, p.event_type
-FROM p CROSS JOIN w
-WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = p.user_id AND s.event_type = p.event_type
-                  AND s.ws = w.ws)
+WITH e AS (SELECT event_type, date_trunc('hour', ts) AS ws FROM events WHERE user_id % 10 = 3),
+seen AS (SELECT DISTINCT event_type, ws FROM e WHERE ws + INTERVAL 1 HOUR <=
+  (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE user_id % 10 = 3)),
+w AS (SELECT unnest(generate_series((SELECT min(ws) FROM seen), (SELECT max(ws) FROM seen), INTERVAL 1 HOUR)) AS ws)
+SELECT strftime(w.ws, {DUCK_TS}) AS window_start, p.event_type
+FROM (SELECT DISTINCT event_type FROM events) p CROSS JOIN w
+WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.event_type = p.event_type AND s.ws = w.ws)
 """,
     "st_sliding": f"""
 WITH b AS (SELECT time_bucket(INTERVAL '30 minutes', ts) AS s0, event_type FROM events),
@@ -268,10 +305,10 @@ w AS (SELECT s0 AS ws, event_type FROM b UNION ALL SELECT s0 - INTERVAL 30 MINUT
 SELECT strftime(ws, {DUCK_TS}) AS window_start, count(*) AS n,
        count(*) FILTER (WHERE event_type = 'error') AS n_failed,
        round(count(*) FILTER (WHERE event_type = 'error') / count(*), 4) AS fail_rate
-FROM w GROUP BY ws
+FROM w WHERE ws + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ws
 """,
 }
 
 __all__ = ["table_stream", "run_to_table", "with_event_time", "stream_retry", "stream_levels",
            "stream_latest", "stream_sessions", "stream_dedup", "stream_fail_rate",
-           "down_in_batch", "STREAM_CHECKS", "STREAM_ORACLE_SQL"]
+           "down_in_windows", "stream_down", "STREAM_CHECKS", "STREAM_ORACLE_SQL"]

@@ -61,10 +61,12 @@ def test_scale_conf_and_materialize(spark):
     assert back.count() == 100 and back.columns == ["x"]
 
 
-def test_down_in_batch(spark):
-    from fleetframe.streaming.monitors import down_in_batch
-    seen = spark.createDataFrame([("w1", "om1", "om"), ("w2", "om1", "om"), ("w2", "scm1", "scm")],
-                                 "window_start string, host string, service string")
+def test_down_in_windows_reports_a_total_outage(spark):
+    from fleetframe.streaming.monitors import down_in_windows
+    ts = lambda h: dt.datetime(2024, 1, 1, h)
+    seen = spark.createDataFrame([(ts(1), "om1", "om"), (ts(3), "om1", "om"), (ts(3), "scm1", "scm")],
+                                 "window_start timestamp, host string, service string")
     placement = spark.createDataFrame([("om1", "om"), ("scm1", "scm")], "host string, service string")
-    got = {tuple(r) for r in down_in_batch(seen, placement, ["host", "service"]).collect()}
-    assert got == {("w1", "scm1", "scm")}
+    down = down_in_windows(seen, placement, ["host", "service"], width="1 hour")
+    assert {(r.window_start.hour, r.host) for r in down.collect()} == {(1, "scm1"), (2, "om1"), (2, "scm1")}
+    assert down_in_windows(seen.limit(0), placement, ["host", "service"]).count() == 0

@@ -10,7 +10,8 @@ import time
 from pyspark.sql import functions as F
 
 from fleetframe.functions.time import as_instant
-from fleetframe.streaming.monitors import run_to_table, stream_dedup, stream_levels, with_event_time
+from fleetframe.streaming.monitors import (run_to_table, stream_dedup, stream_down, stream_levels, stream_retry,
+                                           with_event_time)
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string"
 
@@ -54,3 +55,39 @@ def test_append_windows_close_with_the_watermark(spark):
     # the 12:00 window closed once the 15:00 row moved the watermark; the
     # 15:00 window is still open, so append mode has not emitted it
     assert rows == {(12, 2)}
+
+
+def _stream(spark, src):
+    return (spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").parquet(src))
+
+
+def test_restart_goes_on_where_it_stopped_and_outages_alert(spark, tmp_path):
+    src, sink = tempfile.mkdtemp(prefix="ff-stream-src-"), str(tmp_path / "down")
+    t0 = dt.datetime(2024, 1, 2, 12, 0, 0)
+    placement = spark.createDataFrame([("om",), ("scm",)], "event_type string")
+
+    def run():
+        out = stream_down(with_event_time(_stream(spark, src), "ts", "10 minutes"), placement, ["event_type"],
+                          width="1 hour", path=sink)
+        return {(r.window_start.hour, r.event_type) for r in out.collect()}
+    _write(spark, src, "a", [(1, t0, 1, "om"), (2, t0 + dt.timedelta(minutes=90), 1, "om")])
+    assert run() == {(12, "scm")}          # 13:00 is still open
+    time.sleep(1.1)
+    _write(spark, src, "b", [(3, t0 + dt.timedelta(hours=3), 1, "scm"), (4, t0 + dt.timedelta(hours=5), 1, "om")])
+    # nothing was seen from 14:00 to 15:00
+    assert run() == {(12, "scm"), (13, "scm"), (14, "om"), (14, "scm"), (15, "om")}
+    assert len(list((tmp_path / "down").glob("batch_id=*"))) >= 2
+
+
+def test_complete_keeps_all_keys_and_update_is_refused(spark):
+    import pytest
+    src = tempfile.mkdtemp(prefix="ff-stream-src-")
+    t0 = dt.datetime(2024, 1, 2, 12, 0, 0)
+    _write(spark, src, "a", [(1, t0, 1, "view"), (2, t0, 2, "view")])
+    time.sleep(1.1)
+    _write(spark, src, "b", [(3, t0, 1, "view")])
+    r = stream_retry(_stream(spark, src), ["user_id"], "ts", F.col("event_type") == "x")
+    assert {x.user_id: x.polls for x in run_to_table(r, "retry-all", mode="complete").collect()} == {1: 2, 2: 1}
+    with pytest.raises(ValueError):
+        run_to_table(r, "retry-all", mode="update")
