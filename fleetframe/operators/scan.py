@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetframe.functions.time import epoch_micros
+from fleetframe.session import materialize
 
 _CHUNK = "_ff_chunk"
 _DEFAULTS = {"string": "", "boolean": False}
@@ -83,6 +84,25 @@ def number_chunk(col: str | Column, width: int = 100_000) -> Column:
     return F.floor(c / F.lit(width))
 
 
+VOLUME_COLUMN = "_ff_volume"
+
+
+def by_volume(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+              chunks: int | None = None) -> DataFrame:
+    """``df`` with a chunk column (``VOLUME_COLUMN``) that cuts it into
+    ``chunks`` pieces of about equal numbers of rows.
+
+    The rows are range-partitioned by key and order, so a key that holds most
+    of the rows is cut wherever its rows are dense, whatever the order's type
+    or spread, and the numbered pieces are written once: a piece's number
+    must not change when a task is run again.  The default is the number of
+    shuffle partitions.
+    """
+    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(n, *[F.col(k) for k in keys], *_cols(order))
+    return materialize(cut.withColumn(VOLUME_COLUMN, F.spark_partition_id()), "volume-chunks")
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             chunk: Column, *,
             rank: str | None = None,
@@ -212,4 +232,4 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return j.select(*[F.col(c) for c in out_cols], *extra)
 
 
-__all__ = ["running", "time_chunk", "number_chunk"]
+__all__ = ["running", "by_volume", "VOLUME_COLUMN", "time_chunk", "number_chunk"]

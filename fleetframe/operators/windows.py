@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe.functions.time import dtype_of, epoch_seconds
-from fleetframe.operators.scan import number_chunk, running, time_chunk
+from fleetframe.operators.scan import VOLUME_COLUMN, by_volume, number_chunk, running, time_chunk
 from fleetframe.operators.aggs import last_wins  # noqa: F401  (W6 is an aggregate)
 
 # The election commands and the reference's poll limit.
@@ -28,16 +28,25 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def default_chunk(df: DataFrame, order: Sequence[str | Column], width: int | None = None) -> Column:
-    """Chunk on the first order column: days for timestamps, ranges of
-    ``width`` (default 100,000) for numbers."""
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+             chunk: Column | str | None) -> tuple[DataFrame, Column]:
+    """``df`` and the chunk column of an ordered scan.
+
+    Without ``chunk``: days for a first order column of time, ranges of
+    100,000 for a number - no extra pass, and enough where a key's rows are
+    spread over time or positions.  ``"volume"``, and any other type of first
+    order column, cuts by numbers of rows (:func:`by_volume`).
+    """
+    if isinstance(chunk, Column):
+        return df, chunk
     first = order[0]
-    if isinstance(first, str):
-        dtype = dict(df.dtypes).get(first, "")
-        if dtype.startswith("timestamp") or dtype == "date":
-            return time_chunk(first, width or 86400, dtype)
-        return number_chunk(first, width or 100_000)
-    return number_chunk(first, width or 100_000)
+    dtype = dict(df.select(_col(first).alias("o")).dtypes)["o"]
+    if chunk is None and (dtype.startswith("timestamp") or dtype == "date"):
+        return df, time_chunk(first, 86400, dtype)
+    if chunk is None and (dtype in ("tinyint", "smallint", "int", "bigint", "float", "double")
+                          or dtype.startswith("decimal")):
+        return df, number_chunk(first, 100_000)
+    return by_volume(df, keys, order), F.col(VOLUME_COLUMN)
 
 
 def _join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -75,11 +84,12 @@ def primary(df: DataFrame, keys: Sequence[str], pos: str, value: str,
 
 
 def carry(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str | Column,
-          out: str, chunk: Column | None = None) -> DataFrame:
+          out: str, chunk: Column | str | None = None) -> DataFrame:
     """W7 header carry-forward: last non-null ``value`` at or before each row."""
     order = [order] if isinstance(order, str) else list(order)
-    chunk = chunk if chunk is not None else default_chunk(df, order)
-    return running(df, keys, order, chunk, carries={out: _col(value)})
+    df, chunk = _chunked(df.withColumn(out, _col(value)), keys, order, chunk)
+    return running(df.withColumnRenamed(out, "_ff_v"), keys, order, chunk,
+                   carries={out: F.col("_ff_v")}).drop("_ff_v", VOLUME_COLUMN)
 
 
 def retry_outcome(polls: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -114,17 +124,17 @@ def retry_outcome(polls: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def context(df: DataFrame, keys: Sequence[str], order: Sequence[str], cond: Column, n: int,
-            out: str = "in_context", chunk: Column | None = None) -> DataFrame:
+            out: str = "in_context", chunk: Column | str | None = None) -> DataFrame:
     """W4 ``grep -A n``: a row is in context if it matches or one of the ``n``
     rows before it (same key, in ``order``) matches."""
-    chunk = chunk if chunk is not None else default_chunk(df, order)
+    df, chunk = _chunked(df, keys, order, chunk)
     s = running(df, keys, order, chunk, rank="_ff_rk", last_rank_where={"_ff_lm": cond})
     return (s.withColumn(out, F.coalesce(F.col("_ff_rk") - F.col("_ff_lm") <= F.lit(n), F.lit(False)))
-             .drop("_ff_rk", "_ff_lm"))
+             .drop("_ff_rk", "_ff_lm", VOLUME_COLUMN))
 
 
 def drop_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column,
-                end: Column, chunk: Column | None = None, keep_flag: str | None = None,
+                end: Column, chunk: Column | str | None = None, keep_flag: str | None = None,
                 overlap: bool = False) -> DataFrame:
     """W5 ``sed '/start/,/end/d'`` per key.
 
@@ -138,7 +148,7 @@ def drop_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], start:
     that it is in, as in ``sed``.  That takes a second scan, so it has to be
     asked for with ``overlap``; without it such a row raises an error.
     """
-    chunk = chunk if chunk is not None else default_chunk(df, order)
+    df, chunk = _chunked(df, keys, order, chunk)
     if overlap:
         both = F.coalesce(start & end, F.lit(False))
         turned = running(df.withColumn("_ff_b", both.cast("long")), keys, order, chunk,
@@ -160,8 +170,8 @@ def drop_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], start:
         s = s.withColumn("_ff_in", F.coalesce((F.col("_ff_mk") == "S") | (F.col("_ff_prev") == "S"), F.lit(False))
                          ).drop("_ff_mk", "_ff_prev")
     if keep_flag:
-        return s.withColumn(keep_flag, ~F.col("_ff_in")).drop("_ff_in")
-    return s.where(~F.col("_ff_in")).drop("_ff_in")
+        return s.withColumn(keep_flag, ~F.col("_ff_in")).drop("_ff_in", VOLUME_COLUMN)
+    return s.where(~F.col("_ff_in")).drop("_ff_in", VOLUME_COLUMN)
 
 
 def inflight(intervals: DataFrame, keys: Sequence[str], start: str, end: str,
@@ -199,4 +209,4 @@ def inflight(intervals: DataFrame, keys: Sequence[str], start: str, end: str,
 
 
 __all__ = ["elect", "primary", "carry", "retry_outcome", "context", "drop_ranges",
-           "inflight", "last_wins", "default_chunk", "INIT_COMMAND", "BOOTSTRAP_COMMAND"]
+           "inflight", "last_wins", "INIT_COMMAND", "BOOTSTRAP_COMMAND"]
