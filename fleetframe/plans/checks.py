@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from fleetframe.functions.text import (allow_or, classify_status, fill_template, first_number,
                                        flag, norm_host)
 from fleetframe.operators import aggs, joins, lookup, rules, setops, windows
+from fleetframe.plans.install import (CONFIG_FILES, CONFIG_FOLDERS, config_targets, jdk_packages,
+                                     os_facts)
 from fleetframe.plans.site_config import (core_site_properties, explode_list, fill_placement,
                                           service_props, site_properties)
 from fleetframe.plans.status import SERVICE_PATTERNS, service_status
@@ -472,6 +474,51 @@ def code_map(spark, sf):
     return m.select("c_custkey", "n_name", "arch", "code")
 
 
+def jdk_choice(spark, sf):
+    """Packages per customer; what is on offer depends on the nation."""
+    c = t(spark, sf, "customer")
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    hosts = c.select(F.concat(F.lit("h"), k).alias("host"),
+                     F.element_at(F.array(*[F.lit(x) for x in ("yum", "dnf", "apt-get", "zypper", "brew")]),
+                                  (k % 5 + 1).cast("int")).alias("manager"),
+                     F.element_at(F.array(F.lit("8"), F.lit("11"), F.lit("17")), (n % 3 + 1).cast("int")).alias("jdk"))
+    all_ = ["java-1.8.0-openjdk", "java-1.8.0-openjdk-devel", "java-11-openjdk", "java-11-openjdk-devel",
+            "java-17-openjdk", "openjdk-17-jdk", "openjdk-11-jdk", "java-1_8_0-openjdk", "vim"]
+    offered = c.select(F.concat(F.lit("h"), k).alias("host"), n.alias("n"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(x).alias("package")) for i, x in enumerate(all_)])).alias("p")).where(
+        (F.col("p.i") + F.col("n")) % 4 != 0).select("host", "p.package")
+    out = jdk_packages(hosts, offered)
+    return out.select("host", "manager", "jdk", F.array_join("packages", " ").alias("packages"))
+
+
+def os_fallback(spark, sf):
+    """Os-release, redhat-release or nothing, per supplier."""
+    s = t(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    facts = s.select("s_suppkey", F.when(k % 5 == 0, F.lit("Darwin")).otherwise(F.lit("Linux")).alias("os_type"),
+                     F.when(k % 4 == 0, F.lit("rocky")).alias("os_id"),
+                     F.when(k % 8 == 0, F.lit("9.2")).alias("os_version"),
+                     F.when(k % 3 == 0, F.concat(F.lit("Red Hat release "), k, F.lit(".4 (x)"))).alias("redhat_release"))
+    return os_facts(facts).select("s_suppkey", "os_dist", "dist_version")
+
+
+def manifest_targets(spark, sf):
+    """J2 -> J9: files that should be on every nation's host, checked against
+    what the suppliers' runs shipped; absent ones have a row."""
+    n = t(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("host"))
+    path = F.concat_ws("/", "folder", "file").alias("file")
+    targets = config_targets(n).select("host", path)
+    names = [f"{d}/{f}" for d in CONFIG_FOLDERS for f in CONFIG_FILES]
+    expected = t(spark, sf, "part").where(F.col("p_partkey").between(0, len(names) - 1)).select(
+        F.get(F.array(*[F.lit(x) for x in names]), F.col("p_partkey").cast("int")).alias("file"),
+        ((F.col("p_partkey") + 1) * 10).alias("size"))
+    shipped = t(spark, sf, "supplier").select(
+        F.concat(F.lit("n"), F.col("s_nationkey")).alias("host"),
+        F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("s_suppkey") % len(names) + 1).cast("int")).alias("file"),
+        F.when(F.col("s_acctbal") > 0, (F.col("s_suppkey") % len(names) + 1) * 10).otherwise(F.lit(0)).alias("size")).distinct()
+    return joins.verify_manifest(expected, shipped, "file", "size", targets=targets)
+
+
 def template_fill(spark, sf):
     """Download URL per part with a version rendered from size and key."""
     p = t(spark, sf, "part")

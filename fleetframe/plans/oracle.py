@@ -194,6 +194,49 @@ UNION ALL SELECT source, host, kind, dir, 'writable', CASE WHEN b < 0 THEN 'n/a'
 UNION ALL SELECT source, host, 'config', '/etc/c' || k, 'owner', 'violation' FROM v WHERE b > 6000
 """
 
+SQL["jdk_choice"] = r"""
+WITH h AS (SELECT 'h' || c_custkey AS host, c_nationkey AS n, ['yum','dnf','apt-get','zypper','brew'][c_custkey % 5 + 1] AS manager,
+                  ['8','11','17'][c_nationkey % 3 + 1] AS jdk FROM customer),
+o(i, package) AS (VALUES (0, 'java-1.8.0-openjdk'), (1, 'java-1.8.0-openjdk-devel'), (2, 'java-11-openjdk'),
+  (3, 'java-11-openjdk-devel'), (4, 'java-17-openjdk'), (5, 'openjdk-17-jdk'), (6, 'openjdk-11-jdk'),
+  (7, 'java-1_8_0-openjdk'), (8, 'vim')),
+w AS (
+  SELECT host, n, manager, jdk, CASE
+    WHEN manager IN ('yum', 'dnf') AND jdk = '8' AND (0 + n) % 4 <> 0 THEN ['java-1.8.0-openjdk', 'java-1.8.0-openjdk-devel']
+    WHEN manager IN ('yum', 'dnf') AND jdk = '8' THEN ['java-11-openjdk', 'java-11-openjdk-devel']
+    WHEN manager = 'zypper' AND jdk = '8' THEN ['java-1_8_0-openjdk', 'java-1_8_0-openjdk-devel']
+    WHEN manager IN ('yum', 'dnf', 'zypper') THEN ['java-' || jdk || '-openjdk', 'java-' || jdk || '-openjdk-devel']
+    WHEN manager = 'apt-get' THEN ['openjdk-' || jdk || '-jdk', 'openjdk-11-jdk', 'openjdk-17-jdk', 'openjdk-21-jdk', 'openjdk-8-jdk']
+    ELSE [] END AS names FROM h),
+f AS (SELECT host, p, min(pos) AS pos FROM (
+        SELECT host, n, unnest(names) AS p, unnest(range(len(names))) AS pos FROM w)
+      JOIN o ON o.package = p AND (o.i + n) % 4 <> 0 GROUP BY host, p),
+r AS (SELECT host, p, row_number() OVER (PARTITION BY host ORDER BY pos) AS k FROM f)
+SELECT w.host, manager, jdk, coalesce(string_agg(p, ' ' ORDER BY k), '') AS packages
+FROM w LEFT JOIN r ON r.host = w.host AND (manager <> 'apt-get' OR k = 1) GROUP BY ALL
+"""
+
+SQL["os_fallback"] = r"""
+SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'non-linux' WHEN s_suppkey % 4 = 0 THEN 'rocky'
+                       WHEN s_suppkey % 3 = 0 THEN 'redhat' ELSE 'unknown' END AS os_dist,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'unknown' WHEN s_suppkey % 8 = 0 THEN '9.2' WHEN s_suppkey % 4 = 0 THEN ''
+            WHEN s_suppkey % 3 = 0 THEN s_suppkey::VARCHAR ELSE 'unknown' END AS dist_version FROM supplier
+"""
+
+SQL["manifest_targets"] = r"""
+WITH f AS (SELECT d || '/' || n AS file, (row_number() OVER (ORDER BY i, j))::BIGINT AS k FROM
+  (SELECT unnest(['/etc/hadoop', '/opt/ozone/conf/om', '/opt/ozone/conf/scm', '/opt/ozone/conf/datanode',
+    '/opt/ozone/conf/recon', '/opt/ozone/conf/s3g', '/opt/ozone/conf/httpfs', '/opt/ozone/etc/hadoop']) AS d, unnest(range(8)) AS i),
+  (SELECT unnest(['core-site.xml', 'ozone-site.xml', 'log4j.properties']) AS n, unnest(range(3)) AS j)),
+e AS (SELECT file, k * 10 AS size FROM f JOIN part ON p_partkey = k - 1),
+s AS (SELECT DISTINCT 'n' || s_nationkey AS host, file, CASE WHEN s_acctbal > 0 THEN k * 10 ELSE 0 END AS size
+      FROM supplier JOIN f ON k = s_suppkey % 24 + 1),
+t AS (SELECT 'n' || n_nationkey AS host, file FROM nation, f)
+SELECT host, file, s.size AS actual_size, e.size AS expected_size,
+       coalesce(s.size = e.size AND s.size > 0, false) AS ok
+FROM t FULL JOIN s USING (host, file) LEFT JOIN e USING (file)
+"""
+
 SQL["os_release"] = r"""
 SELECT s_suppkey::VARCHAR AS source, 'rocky' || s_nationkey AS os_id,
        CASE WHEN s_acctbal > 0 THEN '9.' || s_nationkey END AS os_version FROM supplier
