@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetframe.operators.scan import VOLUME_COLUMN, by_volume
+
 
 def last_wins(conf: DataFrame, source: str = "source", key: str = "key",
               value: str = "value", line_no: str = "line_no") -> DataFrame:
@@ -40,7 +42,7 @@ def _numeric(df: DataFrame, col: str) -> bool:
 
 
 def ordered_list(df: DataFrame, keys: Sequence[str], pos: str, value: str,
-                 out: str = "hosts", sep: str = ",", chunk_width: int = LIST_CHUNK,
+                 out: str = "hosts", sep: str = ",", chunk_width: int | None = LIST_CHUNK,
                  count_out: str | None = None) -> DataFrame:
     """A2: values joined with ``sep`` in ``pos`` order (ties by value);
     ``count_out`` adds the number of non-null values.
@@ -48,8 +50,10 @@ def ordered_list(df: DataFrame, keys: Sequence[str], pos: str, value: str,
     Two levels, so a group with a third of all rows is not sorted in one
     task: each ``(key, chunk of pos)`` is sorted and joined on its own (in
     parallel, after a partial aggregate), then the pieces of a key are
-    concatenated in chunk order.  For a non-numeric ``pos`` a single level
-    is used.
+    concatenated in chunk order.  Chunks are ranges of ``chunk_width`` of a
+    numeric ``pos``; with ``chunk_width=None``, or for any other type, equal
+    numbers of rows (:func:`fleetframe.operators.scan.by_volume`).  The list
+    itself is one value, as long as its group.
     """
     keys = list(keys)
 
@@ -57,12 +61,12 @@ def ordered_list(df: DataFrame, keys: Sequence[str], pos: str, value: str,
         return F.array_join(F.transform(F.array_sort(pairs), lambda s: s["v"]), sep)
 
     pair = F.struct(F.col(pos).alias("p"), F.col(value).cast("string").alias("v"))
-    if not _numeric(df, pos):
-        aggs = [joined(F.collect_list(pair)).alias(out)]
-        if count_out:
-            aggs.append(F.count(value).alias(count_out))
-        return df.groupBy(*keys).agg(*aggs)
-    pieces = (df.groupBy(*keys, F.floor(F.col(pos) / F.lit(chunk_width)).alias("_ff_c"))
+    if chunk_width and _numeric(df, pos):
+        chunk = F.floor(F.col(pos) / F.lit(chunk_width))
+    else:
+        df = by_volume(df.select(*dict.fromkeys([*keys, pos, value])), keys, [pos])
+        chunk = F.col(VOLUME_COLUMN)
+    pieces = (df.groupBy(*keys, chunk.alias("_ff_c"))
                 .agg(F.count(value).alias("_ff_n"),
                      F.when(F.count(value) > 0, joined(F.collect_list(pair))).alias("_ff_s")))
     aggs = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ff_c", "_ff_s"))),
@@ -128,15 +132,10 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def collect_sorted(df: DataFrame, keys: Sequence[str], value: str, out: str = "values",
-                   sep: str = ",", chunk_width: int = LIST_CHUNK) -> DataFrame:
+                   sep: str = ",", chunk_width: int | None = LIST_CHUNK) -> DataFrame:
     """Every value of the group, sorted, joined with ``sep``; plus a count
-    ``n``.  Numeric values are sorted per (key, value range) in parallel and
-    the sorted pieces concatenated, as in :func:`ordered_list`."""
-    keys = list(keys)
-    if not _numeric(df, value):
-        return df.groupBy(*keys).agg(
-            F.array_join(F.array_sort(F.collect_list(F.col(value))), sep).alias(out),
-            F.count(value).alias("n"))
+    ``n``.  Values are sorted per (key, range of values) in parallel and the
+    sorted pieces concatenated, as in :func:`ordered_list`."""
     return ordered_list(df, keys, value, value, out=out, sep=sep, chunk_width=chunk_width,
                         count_out="n")
 

@@ -247,3 +247,14 @@ def test_pattern_join_pair_keys_edge_cases(spark):
     got = {(r["doc_id"], r["item_id"]) for r in
            joins.pattern_join(ddf, "text", "doc_id", pdf, "text", "item_id").collect()}
     assert got == {(d, p) for d, dt in docs for p, pt in pats if pt in dt}
+
+
+def test_lists_of_text_positions_are_split_too(spark):
+    rows = [("a", f"p{i % 50:03}", f"v{i}") for i in range(400)] + [("b", None, "x"), (None, "p", "y")]
+    df = spark.createDataFrame(rows, "k string, pos string, v string").repartition(5)
+    want = {"a": ",".join(v for _, _, v in sorted(rows[:400], key=lambda r: (r[1], r[2]))), "b": "x", None: "y"}
+    for width in (1 << 16, None):
+        got = {r.k: r.hosts for r in aggs.ordered_list(df, ["k"], "pos", "v", chunk_width=width).collect()}
+        assert got == want
+    got = {r.k: (r["values"], r.n) for r in aggs.collect_sorted(df, ["k"], "v").collect()}
+    assert got["a"] == (",".join(sorted(v for _, _, v in rows[:400])), 400)
