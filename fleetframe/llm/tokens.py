@@ -3,95 +3,180 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
-# The splitting rule that the word-cache path understands.
+# The rules that the word path understands.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 
 #: Texts of only these characters are their own NFC form, lower-case one to
 #: one, and are split alike by any Unicode version.
-_PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xac\xae-\xb1\xb4-\xb8\xbb-įı-ňŊ-ž]*"
+PLAIN = "\t\n\r" + "".join(
+    chr(c) for a, b in ((0x20, 0x7E), (0xA1, 0xA9), (0xAB, 0xAC), (0xAE, 0xB1), (0xB4, 0xB8), (0xBB, 0xBB), (0xBF, 0x12F),
+                        (0x131, 0x148), (0x14A, 0x17E)) for c in range(a, b + 1))
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_TOP = 0x17F
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of each plain character; others share one place."""
+    kind, low = np.full(_TOP + 1, _OTHER, np.uint8), np.arange(_TOP + 1, dtype=np.uint32)
+    for c in PLAIN:
+        kind[ord(c)] = _SPACE if c.isspace() else _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _SIGN
+        low[ord(c)] = ord(c.lower())
+    return kind, low
+
+
+_KIND, _LOW = _tables()
+
+
+def _byte_letters() -> list[str]:
+    """The visible letter that stands for each byte in byte-level models:
+    printable Latin-1 itself, the others from U+0100 on in order."""
+    shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
+    rest = iter(range(256, 512))
+    return [chr(c) if c in shown else chr(next(rest)) for c in range(256)]
+
+
+_BYTES = dict(enumerate(_byte_letters()))
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
 class Encoder:
     """Token ids of texts by one ``tokenizers`` file, without special tokens.
 
-    Files that lower-case and split into words by the rule above are encoded
-    word by word: the ids of each distinct word are kept (up to
-    ``cache_words``, then forgotten) and texts are put together from them,
-    which gives the same ids as encoding the text.  Texts with other than the
-    plain characters, or with a special token's string, and all texts for
-    other files, go through the tokenizer as they are.
+    Files that lower-case and split by the rules above are encoded piece by
+    piece: pieces are found on character arrays, each distinct piece (by a
+    64-bit hash) goes through the model once, and texts are put together from
+    the kept ids, which gives the ids of the whole text.  About
+    ``keep_pieces`` are kept, then forgotten.  Texts with other than plain
+    characters or with a special token's string, and all texts for other
+    files, go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
-        import regex
+    def __init__(self, path: str, keep_pieces: int = 1_500_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         pre = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.by_word = (
+        self.by_piece = (
             (rules.get("normalizer") or {}).get("normalizers") == _NORMAL and not rules.get("post_processor")
             and len(pre) == 2 and pre[0].get("pattern") == {"Regex": _SPLIT} and pre[0].get("invert") is True
             and pre[0].get("behavior") == "Removed" and pre[1].get("type") == "ByteLevel"
-            and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex"))
-        self._words = regex.compile(_SPLIT).findall
-        self._plain = regex.compile(_PLAIN).fullmatch
+            and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+            and rules["model"].get("unk_token") is None)
         self._special = [t["content"] for t in rules.get("added_tokens", [])]
-        self.cache_words = cache_words
+        self._plain = re.compile(f"[{re.escape(PLAIN)}]*").fullmatch
+        self.keep_pieces = keep_pieces
+        rng = np.random.default_rng(1)
+        self._mark = rng.integers(1, 1 << 63, _TOP + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+        self._power = self._unpower = np.ones(1, np.uint64)
         self._forget()
 
     def _forget(self) -> None:
-        self._number: dict[str, int] = {}
-        self._flat, self._first, self._count = (np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self._number) + len(words) > self.cache_words:
-            self._forget()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._seen = np.empty(0, np.uint64)                   # hashes, sorted
+        self._first = self._count = np.empty(0, np.int64)     # where in _flat, and how many
+        self._flat = np.empty(0, np.uint32)
+
+    def _powers(self, n: int) -> None:
+        if len(self._power) < n:
+            for name, base in (("_power", _BASE), ("_unpower", _BACK)):
+                p = np.full(n, base, np.uint64)
+                p[0] = 1
+                setattr(self, name, np.cumprod(p, dtype=np.uint64))
+
+    def _cut(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased codes, and begin and end of each piece."""
+        kind, low = _KIND[codes], _LOW[codes]
+        starts = (kind != _SPACE) & ((kind == _DIGIT) | np.concatenate(([True], kind[1:] != kind[:-1])))
+        for i in np.flatnonzero((low == 39) & starts).tolist():
+            after = low[i + 1:i + 3].tobytes().decode("utf-32-le")
+            end = next((e for e in _ENDINGS if after.startswith(e)), None)
+            if end:
+                starts[i + 1] = False
+                if i + 1 + len(end) < len(kind) and kind[i + 1 + len(end)] != _SPACE:
+                    starts[i + 1 + len(end)] = True
+        bounds = np.flatnonzero(starts | (kind == _SPACE))
+        mine = starts[bounds]
+        return low, bounds[mine], np.append(bounds[1:], len(codes))[mine]
+
+    def _ids(self, word: str) -> list[int]:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids = [self._ids(w) for w in words]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._number.update(zip(words, range(len(self._number), len(self._number) + len(words))))
-        self._first = np.concatenate([self._first, len(self._flat) + np.cumsum(sizes) - sizes])
-        self._count = np.concatenate([self._count, sizes])
+        at = np.searchsorted(self._seen, hashes)
+        self._seen = np.insert(self._seen, at, hashes)
+        self._first = np.insert(self._first, at, len(self._flat) + np.cumsum(sizes) - sizes)
+        self._count = np.insert(self._count, at, sizes)
         self._flat = np.concatenate([self._flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
 
-    def _by_word(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [self._words(t.lower()) for t in texts]
-        words = [w for s in split for w in s]
-        if new := list(set(words).difference(self._number)):
-            if len(self._number) + len(new) > self.cache_words:
-                new = list(set(words))
-            self._learn(new)
-        at = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
-        sizes = self._count[at]
+    def _by_piece(self, texts: list[str]) -> list[np.ndarray]:
+        codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+        if not len(codes):
+            return [np.empty(0, np.uint32)] * len(texts)
+        low, begin, end = self._cut(codes)
+        self._powers(len(codes) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(
+            self._mark[low] * self._power[:len(low)], dtype=np.uint64)))
+        value = (sums[end] - sums[begin]) * self._unpower[begin]
+        value ^= (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        kinds, where, which = np.unique(value, return_index=True, return_inverse=True)
+        if len(self._seen) + len(kinds) > self.keep_pieces:
+            self._forget()
+        at = np.minimum(np.searchsorted(self._seen, kinds), max(0, len(self._seen) - 1))
+        new = self._seen[at] != kinds if len(self._seen) else np.ones(len(kinds), bool)
+        if new.any():
+            text = low.tobytes().decode("utf-32-le")
+            self._learn(kinds[new], [text[b:e] for b, e in zip(begin[where[new]].tolist(), end[where[new]].tolist())])
+            at = np.searchsorted(self._seen, kinds)
+        first, sizes = self._first[at][which], self._count[at][which]
         ends = np.cumsum(sizes)
-        flat = self._flat[np.repeat(self._first[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        upto = np.concatenate(([0], ends))[np.cumsum([0] + [len(s) for s in split])]
-        for a, b in zip(upto[:-1], upto[1:]):
-            yield flat[a:b]
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self._flat[np.repeat(first - (ends - sizes), sizes) + np.arange(total)]
+        limits = np.cumsum([len(t) + 1 for t in texts])
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.searchsorted(begin, limits)))]
+        return [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+
+    def _long(self, text: str, group_chars: int) -> np.ndarray:
+        """A long text in parts cut at white space, which no piece spans."""
+        parts, at = [], 0
+        while at < len(text):
+            to = min(len(text), at + group_chars)
+            while to < len(text) and not text[to].isspace():
+                to += 1
+            parts.append(self._by_piece([text[at:to]])[0])
+            at = to
+        return np.concatenate(parts)
 
     def encode(self, texts: list[str], group_chars: int = 1 << 20) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text, in order; about ``group_chars`` of
         text are in work at a time."""
         group, chars = [], 0
         for t in texts:
-            if self.by_word and self._plain(t) and not any(s in t for s in self._special):
+            plain = self.by_piece and self._plain(t) and not any(s in t for s in self._special)
+            if plain and len(t) <= group_chars:
                 group.append(t)
                 chars += len(t)
                 if chars > group_chars:
-                    yield from self._by_word(group)
+                    yield from self._by_piece(group)
                     group, chars = [], 0
                 continue
             if group:
-                yield from self._by_word(group)
+                yield from self._by_piece(group)
                 group, chars = [], 0
-            yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            yield self._long(t, group_chars) if plain else np.array(
+                self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
         if group:
-            yield from self._by_word(group)
+            yield from self._by_piece(group)
 
 
 _ENCODERS: dict[str, Encoder] = {}

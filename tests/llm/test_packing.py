@@ -67,11 +67,15 @@ def test_encoder_equals_tokenizer(spark):
               "x" * 5000, "12 345 6.7 ±½ ª º ŉ ſ", "a\tb\nc\x0bd\x1fe", "é \U0001f600"]
     plain = Tokenizer.from_file(public_tokenizer())
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    rng = random.Random(5)
+    signs = ["'s", "'", "'ll", "'LL", "it", "'t", "!", "'re", "ve", "'v", " ", "9", "'9", "é", "'d", "''", "x"]
+    texts += ["".join(rng.choices(signs, k=rng.randrange(0, 12))) for _ in range(3000)]
+    want += [plain.encode(t, add_special_tokens=False).ids for t in texts[len(want):]]
     for cache, group in ((300_000, 1 << 20), (50, 2000)):
         enc = Encoder(public_tokenizer(), cache)
-        assert enc.by_word
+        assert enc.by_piece
         assert [x.tolist() for x in enc.encode(texts, group)] == want
-    assert not Encoder(public_tokenizer("byte_bpe_50k.json")).by_word
+    assert not Encoder(public_tokenizer("byte_bpe_50k.json")).by_piece
 
 
 def test_pack_edge_rows_and_ids(spark):
