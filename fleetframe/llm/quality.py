@@ -200,7 +200,7 @@ def _pick(df: DataFrame, by: list[str], bound: int, seed: int) -> DataFrame:
 
 
 def cotrain(df: DataFrame, key: str, text: str, metadata: list[str], labels: DataFrame, label_key: str,
-            targets: list[str], rounds: int = 2, sample: int = 4000, pseudo: int = 2000, confident: float = 0.95,
+            targets: list[str], rounds: int = 2, sample: int = 12_000, pseudo: int = 2000, confident: float = 0.95,
             seed: int = 3) -> DataFrame:
     """``(key, {target}_text, {target}_meta, {target}_both)`` for every row:
     calibrated probabilities of each 0/1 target by either view and combined.
@@ -231,14 +231,19 @@ def cotrain(df: DataFrame, key: str, text: str, metadata: list[str], labels: Dat
         """Features of a bounded number of picked keys, once a key."""
         found = rows.join(F.broadcast(picked.select("key")), "key", "left_semi").select(*rows.columns)
         made = found.mapInArrow(_featurize(metadata), fields)
-        got = made.join(F.broadcast(picked), "key").toArrow().to_pylist()  # bounded by `sample` or `pseudo`
-        return list({repr(r["key"]): r for r in sorted(got, key=lambda r: repr(r["key"]))}.values())
-
-    def view(r: dict, v: str) -> Features:
-        return np.array(r[v + "i"], np.int64), np.array(r[v + "v"], np.float64)
+        got = made.join(F.broadcast(picked), "key").toArrow()  # bounded by `sample` or `pseudo`
+        plain = got.drop_columns(["ti", "tv", "mi", "mv"]).to_pylist()
+        lists = {}
+        for c in ("ti", "tv", "mi", "mv"):
+            column = got[c].combine_chunks()
+            flat, at = column.flatten().to_numpy(), column.offsets.to_numpy()
+            lists[c] = [flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0])]
+        out = [r | {"t": (lists["ti"][i], lists["tv"][i]), "m": (lists["mi"][i], lists["mv"][i])}
+               for i, r in enumerate(plain)]
+        return list({repr(r["key"]): r for r in sorted(out, key=lambda r: repr(r["key"]))}.values())
 
     seen = gather(_pick(known.na.drop(subset=ys, how="all"), ys, sample, seed))
-    labelled = [[(view(r, "t"), view(r, "m"), float(r[y]), zlib.crc32(repr(r["key"]).encode()) % 4 == 0)
+    labelled = [[(r["t"], r["m"], float(r[y]), zlib.crc32(repr(r["key"]).encode()) % 4 == 0)
                  for r in seen if r[y] is not None] for y in ys]
     models = {t: train(rows_, [], []) for t, rows_ in zip(targets, labelled)}
     out = schema_of(df.schema[key], *[f"{t}_{v} double" for t in targets for v in ("text", "meta", "both")])
@@ -255,8 +260,8 @@ def cotrain(df: DataFrame, key: str, text: str, metadata: list[str], labels: Dat
                 sure = now.select("key", (F.col(f"{t}_{teacher}") >= 0.5).cast("int").alias("y"),
                                   F.abs(F.col(f"{t}_{teacher}") - 0.5).alias("d")).filter(F.col("d") >= confident - 0.5)
                 given[teacher] = gather(_pick(sure.select("key", "y"), ["y"], pseudo, seed + r))
-            models[t] = train(rows_, [(view(g, "t"), float(g["y"])) for g in given["meta"]],
-                              [(view(g, "m"), float(g["y"])) for g in given["text"]])
+            models[t] = train(rows_, [(g["t"], float(g["y"])) for g in given["meta"]],
+                              [(g["m"], float(g["y"])) for g in given["text"]])
     return scored().withColumnRenamed("key", key)
 
 
