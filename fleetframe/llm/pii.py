@@ -181,19 +181,20 @@ def redact(df: DataFrame, key: str, text: str, **options) -> DataFrame:
                  F.min_by("kind", F.struct("start", "kind")).alias("kind"))
             .groupBy("_key", "_md5").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts")))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    body = F.col(text).cast("string")
 
     def piece(cut: Column, i: Column) -> Column:
         frm = F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1).end)
-        return F.concat(F.substring(body, frm.cast("int") + 1, (cut.start - frm).cast("int")),
+        return F.concat(F.substring("_body", frm.cast("int") + 1, (cut.start - frm).cast("int")),
                         F.get(names, cut.kind))
-    tail = F.substring(body, F.element_at("_cuts", -1).end.cast("int") + 1, F.length(body))
-    marked = df.withColumn("_md5_of", F.md5(body.cast("binary")))
-    joined = marked.join(materialize(runs, "pii-cuts"),
-                         F.col(key).eqNullSafe(F.col("_key")) & (F.col("_md5_of") == F.col("_md5")), "left")
-    clean = F.when(F.col("_cuts").isNull(), body).otherwise(
+    tail = F.substring("_body", F.element_at("_cuts", -1).end.cast("int") + 1, F.length("_body"))
+    # all columns as one struct, so that no name can clash
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(key).alias("_of"),
+                     F.col(text).cast("string").alias("_body")).withColumn("_md5_of", F.md5(F.col("_body").cast("binary")))
+    joined = rows.join(materialize(runs, "pii-cuts"),
+                       F.col("_of").eqNullSafe(F.col("_key")) & (F.col("_md5_of") == F.col("_md5")), "left")
+    clean = F.when(F.col("_cuts").isNull(), F.col("_body")).otherwise(
         F.concat(F.array_join(F.transform("_cuts", piece), ""), tail))
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in df.columns])
+    return joined.select(*[clean.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetframe.llm.common import materialize, prefix_offsets, table
 
@@ -21,7 +22,7 @@ def _running_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     rows = size = 0
     for b in batches:
         n = b.num_rows
-        sizes = b.column("_size").to_numpy(zero_copy_only=False).astype("int64")
+        sizes = b.column("size").to_numpy(zero_copy_only=False).astype("int64")
         upto = np.cumsum(sizes) + size
         yield pa.RecordBatch.from_arrays(
             b.columns + [pa.array(np.full(n, part, "int32")), pa.array(np.arange(1, n + 1) + rows),
@@ -41,42 +42,45 @@ def shard_contiguous(df: DataFrame, order: list[str], size: str, shards: int) ->
     off the mean by less than the largest row.  Only one row per partition
     goes through a single task.
 
-    Adds ``shard`` (int) and ``slot`` (long, gapless from 0 within a shard).
-    Pass narrow rows (keys, sizes): they are written once and shuffled once.
+    Adds ``shard`` (int) and ``slot`` (long, gapless from 0 within a shard),
+    in place of columns of these names if ``df`` has any.  Pass narrow rows
+    (keys, sizes): they are written twice and shuffled once.
 
     Defined cases: null sizes count as 0; null order values come first;
     repeated rows each get their own slot; an order value that a third of
     the rows share is split like any other (the read order breaks the tie);
     with all sizes 0, every row is in shard 0; an empty table gives no rows.
-    Column names starting with ``_`` and ``part rows_upto bytes_upto shard
-    slot`` are reserved here.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    # written once: the tie-break below must not change between the sampling
-    # pass and the partitioning pass, or when a task is run again
-    rows = materialize(df.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
-                       .withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
+    # all columns as one struct, so that no name can clash; written once: the
+    # tie-break must not change between the sampling pass and the
+    # partitioning pass, or when a task is run again
+    keys = [f"key{i}" for i in range(len(order))]
+    rows = materialize(df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(order, keys)],
+        F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"),
+        F.monotonically_increasing_id().alias("tie")), "shard-rows")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*order, "_row"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     ordered = materialize(
-        rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-        .mapInArrow(_running_totals, f"{fields}, {_LOCAL}"), "shard-order")
+        rows.repartitionByRange(n, *keys, "tie").sortWithinPartitions(*keys, "tie").select("row", "size")
+        .mapInArrow(_running_totals, T.StructType([*rows.select("row", "size").schema.fields,
+                                                   *T.StructType.fromDDL(_LOCAL).fields])), "shard-order")
     totals = ordered.groupBy("part").agg(F.max("rows_upto").alias("rows"), F.max("bytes_upto").alias("bytes"))
     offsets = prefix_offsets(totals, "part", ["rows", "bytes"])
-    whole = totals.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("_all"))
+    whole = totals.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("all"))
     # offsets: one row per partition; whole: one row
     placed = (ordered.join(F.broadcast(offsets), "part").join(F.broadcast(whole))
-              .withColumn("_pos", F.col("rows_before") + F.col("rows_upto") - 1)
-              .withColumn("_mid", 2 * (F.col("bytes_before") + F.col("bytes_upto")) - F.col("_size"))
-              .withColumn("shard", F.when(F.col("_all") == 0, F.lit(0)).otherwise(
+              .withColumn("pos", F.col("rows_before") + F.col("rows_upto") - 1)
+              .withColumn("middle", 2 * (F.col("bytes_before") + F.col("bytes_upto")) - F.col("size"))
+              .withColumn("shard", F.when(F.col("all") == 0, F.lit(0)).otherwise(
                   F.least(F.lit(shards - 1), F.expr(
-                      f"CAST(_mid AS DECIMAL(38,0)) * {shards} div (2 * _all)"))).cast("int")))
-    first = placed.groupBy("shard").agg(F.min("_pos").alias("_first"))  # one row per shard
+                      f"CAST(middle AS DECIMAL(38,0)) * {shards} div (2 * `all`)"))).cast("int")))
+    first = placed.groupBy("shard").agg(F.min("pos").alias("first"))  # one row per shard
     return (placed.join(F.broadcast(first), "shard")
-            .withColumn("slot", F.col("_pos") - F.col("_first"))
-            .select(*[c for c in df.columns], "shard", "slot"))
+            .select(*[F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in ("shard", "slot")],
+                    "shard", (F.col("pos") - F.col("first")).alias("slot")))
 
 
 def op10_shards(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:

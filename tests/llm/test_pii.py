@@ -67,6 +67,8 @@ def test_edge_rows_and_redaction(spark):
     clean = sorted((r.d or 0, r.t, r.spans) for r in redact(df, "d", "t").orderBy("d").collect() if r.t is not None)
     want = "é <PHONE> and <CARD> or <EMAIL> then <IP> end"
     assert clean == [(0, want, "y"), (1, want, "x"), (1, want, "x"), (4, "", "z"), (5, "1.2.3.256", "z")]
+    odd = spark.createDataFrame([(1, "a@b.cc", 7, "m", "c")], "d long, t string, _key int, _md5 string, _cuts string")
+    assert [tuple(r) for r in redact(odd, "d", "t").collect()] == [(1, "<EMAIL>", 7, "m", "c")]
     assert pii_spans(df.limit(0), "d", "t").count() == 0 == redact(df.limit(0), "d", "t").count()
 
 

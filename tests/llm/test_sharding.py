@@ -38,6 +38,15 @@ def test_ties_nulls_empty_and_zero(spark):
     assert zero.select("shard").distinct().collect()[0][0] == 0
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, 10, f"p{i}", i, "s", "t") for i in range(20)],
+                               "k long, size long, part string, row long, shard string, tie string")
+    got = shard_contiguous(df, ["k"], "size", 4)
+    assert got.columns == ["k", "size", "part", "row", "tie", "shard", "slot"]
+    assert sorted((r.k, r.part, r.row, r.tie, r.shard, r.slot) for r in got.collect()) == [
+        (i, f"p{i}", i, "t", i // 5, i % 5) for i in range(20)]
+
+
 def test_query(spark):
     docs = sorted(map(tuple, spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()))
     want = {k: (s, sh, sl) for k, s, sh, sl in brute([(i, len((t or "").encode()) + 16) for i, t in docs], 40)}
