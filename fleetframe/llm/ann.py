@@ -199,7 +199,8 @@ def nearest(df: DataFrame, key: str, vector: str, is_query, k: int = 5, share: f
     lists = max(1, min(max_lists, math.isqrt(total)))
     picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
                          < F.lit(min(1.0, lists * sample_per_list / total) * (1 << 30)))
-    sample = _matrix(picked.select("v").toArrow().column("v"))  # about lists * sample_per_list rows
+    # about lists * sample_per_list rows; the limit only matters where rows share an id
+    sample = _matrix(picked.select("v").limit(4 * lists * sample_per_list).toArrow().column("v"))
     if not len(sample):
         sample = np.array([rows.first().v])
     turn = rotation(dims, seed)

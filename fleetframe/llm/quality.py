@@ -63,8 +63,7 @@ def meta_features(names: list[str], values: list) -> Features:
 
 
 class Logistic:
-    """Logistic regression on sparse rows, fitted by full-batch Adam with
-    equal total weight for either class's share of the prior."""
+    """Logistic regression on sparse weighted rows, fitted by full-batch Adam."""
 
     def __init__(self, size: int):
         self.w = np.zeros(size)
@@ -229,7 +228,8 @@ def cotrain(df: DataFrame, key: str, text: str, metadata: list[str], labels: Dat
 
     def gather(picked: DataFrame) -> list[dict]:
         """Features of a bounded number of picked keys, once a key."""
-        found = rows.join(F.broadcast(picked.select("key")), "key", "left_semi").select(*rows.columns)
+        found = rows.join(F.broadcast(picked.select("key")), "key", "left_semi").select(
+            *rows.columns).dropDuplicates(["key"])
         made = found.mapInArrow(_featurize(metadata), fields)
         got = made.join(F.broadcast(picked), "key").toArrow()  # bounded by `sample` or `pseudo`
         plain = got.drop_columns(["ti", "tv", "mi", "mv"]).to_pylist()
@@ -240,7 +240,7 @@ def cotrain(df: DataFrame, key: str, text: str, metadata: list[str], labels: Dat
             lists[c] = [flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0])]
         out = [r | {"t": (lists["ti"][i], lists["tv"][i]), "m": (lists["mi"][i], lists["mv"][i])}
                for i, r in enumerate(plain)]
-        return list({repr(r["key"]): r for r in sorted(out, key=lambda r: repr(r["key"]))}.values())
+        return sorted(out, key=lambda r: repr(r["key"]))
 
     seen = gather(_pick(known.na.drop(subset=ys, how="all"), ys, sample, seed))
     labelled = [[(r["t"], r["m"], float(r[y]), zlib.crc32(repr(r["key"]).encode()) % 4 == 0)
@@ -259,7 +259,7 @@ def cotrain(df: DataFrame, key: str, text: str, metadata: list[str], labels: Dat
             for teacher in ("text", "meta"):
                 sure = now.select("key", (F.col(f"{t}_{teacher}") >= 0.5).cast("int").alias("y"),
                                   F.abs(F.col(f"{t}_{teacher}") - 0.5).alias("d")).filter(F.col("d") >= confident - 0.5)
-                given[teacher] = gather(_pick(sure.select("key", "y"), ["y"], pseudo, seed + r))
+                given[teacher] = gather(_pick(sure.groupBy("key").agg(F.max("y").alias("y")), ["y"], pseudo, seed + r))
             models[t] = train(rows_, [(g["t"], float(g["y"])) for g in given["meta"]],
                               [(g["m"], float(g["y"])) for g in given["text"]])
     return scored().withColumnRenamed("key", key)
