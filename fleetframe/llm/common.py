@@ -33,4 +33,23 @@ def prefix_offsets(totals: DataFrame, part: str, amounts: list[str], by: list[st
         F.coalesce(F.sum(a).over(w), F.lit(0)).cast("long").alias(f"{a}_before") for a in amounts])
 
 
-__all__ = ["table", "schema_of", "prefix_offsets", "materialize", "scratch_path"]
+def most_frequent(counts: DataFrame, word: str, n: str, size: int) -> list[str]:
+    """The ``size`` words of the largest counts, ties in the words' order.
+
+    The counts' histogram by eighths of a power of two (some 500 rows) gives a
+    bound that about ``size`` words reach; only those are sorted and collected.
+    ``counts`` should be a written table: it is read twice.
+    """
+    step = F.floor(F.log2(n) * 8)
+    held, least = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
+        held, least = held + r.k, r.step
+        if held >= size:
+            break
+    if least is None:
+        return []
+    top = counts.filter(step >= least).orderBy(F.desc(n), word).limit(size)
+    return [r[0] for r in top.select(word).collect()]
+
+
+__all__ = ["table", "schema_of", "prefix_offsets", "most_frequent", "materialize", "scratch_path"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, schema_of, table
+from fleetframe.llm.common import materialize, most_frequent, schema_of, table
 
 ORDERS = (2, 3, 4)      # of byte n-grams, counting the space at either end
 HASH_BITS = 16
@@ -229,8 +229,7 @@ def lexicons(df: DataFrame, text: str, lang: str, size: int) -> dict[str, list[s
             F.lower(F.col(text)), F.lit(_LEXICON_WORD), 0)).alias("w"))
         .groupBy("lang", "w").agg(F.count("*").alias("n")).filter("n > 1"), "langid-words")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
-    return {one: [r.w for r in counts.filter(F.col("lang") == one).orderBy(F.desc("n"), "w").limit(size).collect()]
-            for one in langs}
+    return {one: most_frequent(counts.filter(F.col("lang") == one), "w", "n", size) for one in langs}
 
 
 def fit(df: DataFrame, text: str, lang: str, key: str, sample: int = 2000, stretch: int = 40,
@@ -238,12 +237,13 @@ def fit(df: DataFrame, text: str, lang: str, key: str, sample: int = 2000, stret
     """Learn a :class:`Crf` from the rows of ``df`` with text and language.
 
     The lexicons are counted over all rows.  The weights are fitted on about
-    ``sample`` rows, shared out evenly over the languages and picked by a hash
-    of the key and text; of each, ``stretch`` words from a hashed place are
-    used.  Stretches are joined to chains across languages.
+    ``sample`` rows (four times as many at most), shared out evenly over the
+    languages and picked by a hash of key and text; of each, ``stretch`` words
+    from a hashed place are used.  Stretches are joined to chains across
+    languages.
     """
     rows = df.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("lang"),
-                     F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h")).filter(
+                     F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string"), F.lit(seed)).alias("h")).filter(
         F.col("t").isNotNull() & F.col("lang").isNotNull())
     totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     labels = sorted(totals)
@@ -262,12 +262,13 @@ def fit(df: DataFrame, text: str, lang: str, key: str, sample: int = 2000, stret
                 texts.append(" ".join(words[at:at + stretch]))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string())],
                                              names=["lang", "words"])
-    # at most about `sample` rows of `stretch` words
-    got = sorted((r.lang, r.words) for r in picked.mapInArrow(cut, "lang string, words string").collect())
+    # the limit only matters where rows share key and text, and so their hash
+    got = sorted((r.lang, r.words) for r in
+                 picked.mapInArrow(cut, "lang string, words string").limit(4 * sample).collect())
     return train(chains_from(got, seed), lexicons(rows, "t", "lang", lexicon), labels)
 
 
-def label_texts(crf: Crf, texts: list[str | None], group_bytes: int = 1 << 20
+def label_texts(crf: Crf, texts: list[str | None], group_bytes: int = 1 << 18
                 ) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """For each text its words and their label posteriors (words x labels)."""
     group, size = [], 0
@@ -292,13 +293,15 @@ def label_texts(crf: Crf, texts: list[str | None], group_bytes: int = 1 << 20
         yield from flush()
 
 
-def identify(df: DataFrame, key: str, text: str, crf: Crf, with_words: bool = False) -> DataFrame:
+def identify(df: DataFrame, key: str, text: str, crf: Crf, with_words: bool = False,
+             with_text: bool = False) -> DataFrame:
     """``(key, lang_pred, score)`` for every whole text; with ``with_words``
     also ``runs``: arrays of (lang, words) for each stretch of equal labels.
 
     ``score`` is the mean posterior of ``lang_pred`` over the words, so a text
     half in another language scores about a half.  ``key`` may be a struct of
-    all columns, to carry whole rows along.
+    columns, to carry whole rows along; ``with_text`` also passes the text on,
+    as ``text``.
 
     Defined cases: a null text or one without a letter is ``und`` with score
     0; so is everything if ``crf`` has no labels; ties go to the first label;
@@ -332,9 +335,12 @@ def identify(df: DataFrame, key: str, text: str, crf: Crf, with_words: bool = Fa
             cols = [b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             if with_words:
                 cols.append(pa.array(runs, runs_type))
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "lang_pred", "score"] + ["runs"] * with_words)
+            if with_text:
+                cols.append(b.column(1))
+            yield pa.RecordBatch.from_arrays(
+                cols, names=["key", "lang_pred", "score"] + ["runs"] * with_words + ["text"] * with_text)
     fields = schema_of(df.schema[key], "lang_pred string", "score double",
-                       *["runs array<struct<lang:string,words:long>>"] * with_words)
+                       *["runs array<struct<lang:string,words:long>>"] * with_words, *["text string"] * with_text)
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, fields).withColumnRenamed("key", key)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import table
+from fleetframe.llm.common import materialize, most_frequent, table
 
 # The base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -158,8 +158,8 @@ def corpus_ranks(df: DataFrame, text: str, size: int) -> dict[str, int]:
     a-z, counted over all whole texts; ties in the words' order."""
     words = df.select(F.explode(F.regexp_extract_all(
         F.lower(F.col(text).cast("string")), F.lit("(?<![a-z])[a-z]{3,20}+(?![a-z])"), 0)).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()
-    return {r.w: i for i, r in enumerate(top, 1)}
+    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")), "secret-words")
+    return {w: i for i, w in enumerate(most_frequent(counts, "w", "n", size), 1)}
 
 
 _SPAN = "array<struct<kind:string,start:long,end:long,log10_guesses:double>>"
