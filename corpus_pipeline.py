@@ -18,13 +18,13 @@ MIN_LANGUAGE_SCORE = 0.4
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns as one struct, so that no name can clash) and
-    ``text``."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    """``row`` (all columns but the text as one struct, so that no name can
+    clash) and ``text``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text"))
 
 
 def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     or more languages.
     """
     crf = langid.fit(docs.filter(~langid.held_out("doc_id")), "text", "lang", "doc_id")
-    found = langid.identify(_rows(docs), "row", "text", crf)
+    found = langid.identify(_rows(docs), "row", "text", crf, with_text=True)
     return _columns(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +36,14 @@ def prefix_offsets(totals: DataFrame, part: str, amounts: list[str], by: list[st
         F.coalesce(F.sum(a).over(w), F.lit(0)).cast("long").alias(f"{a}_before") for a in amounts])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows``, without copying: what a task
+    makes of a batch of long texts is then handed on piece by piece."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def most_frequent(counts: DataFrame, word: str, n: str, size: int) -> list[str]:
     """The ``size`` words of the largest counts, ties in the words' order.
 
@@ -52,4 +63,4 @@ def most_frequent(counts: DataFrame, word: str, n: str, size: int) -> list[str]:
     return [r[0] for r in top.select(word).collect()]
 
 
-__all__ = ["table", "schema_of", "prefix_offsets", "most_frequent", "materialize", "scratch_path"]
+__all__ = ["table", "schema_of", "prefix_offsets", "most_frequent", "slices", "materialize", "scratch_path"]

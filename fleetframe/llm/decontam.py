@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, schema_of, table
+from fleetframe.llm.common import materialize, schema_of, slices, table
 
 #: Fixed: A-Z become a-z; other ASCII but digits and a-z separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -160,7 +160,7 @@ def _scan(automaton_bc, first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = automaton_bc.value
-        for b in batches:
+        for b in slices(batches):
             counts, hits, items = [], [], []
             before = [([], [])] * b.num_rows if first else zip(
                 [[(h["f"], h["t"]) for h in x] for x in b.column("hits").to_pylist()], b.column("items").to_pylist())
@@ -232,7 +232,7 @@ def remove_spans(matched: DataFrame, text: str, coverage: float = 0.05, min_word
     """Add ``clean``: the text without the hit ranges of at least ``min_words``
     words, and without all hit ranges where together they reach ``coverage``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t, hits, whole in zip(b.column(text).to_pylist(), b.column("hits").to_pylist(),
                                       b.column("contaminated").to_pylist()):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, most_frequent, schema_of, table
+from fleetframe.llm.common import materialize, most_frequent, schema_of, slices, table
 
 ORDERS = (2, 3, 4)      # of byte n-grams, counting the space at either end
 HASH_BITS = 16
@@ -253,7 +253,7 @@ def fit(df: DataFrame, text: str, lang: str, key: str, sample: int = 2000, stret
     picked = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             langs, texts = [], []
             for t, one, h in zip(*(c.to_pylist() for c in b.columns)):
                 words = t.split()
@@ -313,7 +313,7 @@ def identify(df: DataFrame, key: str, text: str, crf: Crf, with_words: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             preds, scores, runs = [], [], []
             for t, (words, gamma) in zip(texts, label_texts(m, texts) if m.labels else (([], None) for _ in texts)):

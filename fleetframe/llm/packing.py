@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, prefix_offsets, table
+from fleetframe.llm.common import materialize, prefix_offsets, slices, table
 from fleetframe.llm.tokens import encoder
 
-_RANK_BITS = 48
-
 
 class CapacityTree:
     """Segment tree over remaining capacities: how many open windows have each,
@@ -111,7 +110,7 @@ def _pieces(path: str, window: int, eos: int, with_ids: bool):
             return pa.RecordBatch.from_arrays(cols, names=[
                 "key", "start", "length", "ids_crc32", "doc_tokens", "rank", "part"] + ["ids"] * with_ids)
 
-        for b in batches:
+        for b in slices(batches):
             key_type = b.schema.field(0).type
             keys, rows, ids, held = [], [], [], 0
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -132,21 +131,6 @@ def _pieces(path: str, window: int, eos: int, with_ids: bool):
     return run
 
 
-def _place(runs_bc):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, runs = runs_bc.value
-        for b in batches:
-            length = b.column("length").to_numpy().astype(np.int64)
-            rank = b.column("_rank").to_numpy().astype(np.int64)
-            r = runs[np.searchsorted(starts, (length << _RANK_BITS) | rank, "right") - 1]
-            j = rank - r[:, 1]
-            at = [i for i, n in enumerate(b.schema.names) if n != "_rank"]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in at] + [pa.array(r[:, 3] + j // r[:, 2]), pa.array(r[:, 4] + j % r[:, 2] * length)],
-                names=[b.schema.names[i] for i in at] + ["sequence_id", "offset"])
-    return run
-
-
 def pack(df: DataFrame, key: str, text: str, tokenizer: str, window: int = 4096, eos: int = 2,
          with_ids: bool = False) -> DataFrame:
     """Pack all texts into sequences of at most ``window`` tokens, one row per
@@ -158,16 +142,16 @@ def pack(df: DataFrame, key: str, text: str, tokenizer: str, window: int = 4096,
     pieces are packed best-fit decreasing over the whole input: every task
     numbers its pieces of each length, prefix sums of the counts make the
     numbers global, the histogram of lengths (at most ``window`` rows) is
-    packed by :func:`best_fit_decreasing`, and each piece finds its place from
-    its length and number.
+    packed by :func:`best_fit_decreasing`, and each piece finds its place by a
+    join on its length and number.
 
     Defined cases: a null text is empty, and an empty one is the ``eos`` alone;
     null keys are kept; repeated rows are packed each; an empty table gives no
     rows; other columns are ignored.  ``tokenizer`` is the path of a
     ``tokenizers`` file on the executors.
     """
-    if window < 1 or window >= 1 << 14:
-        raise ValueError("the window must be below 16384")  # lengths and ranks share a 64-bit search key
+    if window < 1:
+        raise ValueError("the window must hold a token")
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     pieces = materialize(
@@ -178,14 +162,24 @@ def pack(df: DataFrame, key: str, text: str, tokenizer: str, window: int = 4096,
     totals = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "pack-counts")
     # at most one row per possible length
     counts = {r.length: r.n for r in totals.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = np.array(best_fit_decreasing(counts, window), np.int64).reshape(-1, 5)
-    runs_bc = spark.sparkContext.broadcast(((runs[:, 0] << _RANK_BITS) | runs[:, 1], runs))
+    runs = best_fit_decreasing(counts, window)
+    ends = [nxt[1] if nxt[0] == run[0] else counts[run[0]] for run, nxt in zip(runs, [*runs[1:], (0,)])]
+    # runs are filed by blocks of ranks, so that a piece meets about two; both
+    # tables have some rows per run, whose number the window bounds
+    block = {n: -(-counts[n] // k) for n, k in Counter(r[0] for r in runs).items()}
+    blocks = F.broadcast(spark.createDataFrame(list(block.items()), "length long, block_rows long"))
+    places = F.broadcast(spark.createDataFrame(
+        [(*run, end, b) for run, end in zip(runs, ends)
+         for b in range(run[1] // block[run[0]], (end - 1) // block[run[0]] + 1)],
+        "length long, first_rank long, per_window long, first_window long, first_offset long, end_rank long, block long"))
     before = prefix_offsets(totals, "part", ["n"], by=["length"])
-    ranked = pieces.join(before, ["part", "length"]).select(
-        "key", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids,
-        (F.col("n_before") + F.col("rank")).alias("_rank"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(_place(runs_bc), f"{fields}, sequence_id long, offset long").withColumnRenamed("key", key)
+    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("n_before") + F.col("rank"))
+    at = F.col("rank") - F.col("first_rank")
+    return (ranked.join(blocks, "length").withColumn("block", F.expr("rank div block_rows"))
+            .join(places, ["length", "block"]).filter((at >= 0) & (F.col("rank") < F.col("end_rank")))
+            .select(F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids,
+                    (F.col("first_window") + F.expr("(rank - first_rank) div per_window")).alias("sequence_id"),
+                    (F.col("first_offset") + at % F.col("per_window") * F.col("length")).alias("offset")))
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:

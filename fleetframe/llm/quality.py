@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetframe.llm.common import materialize, schema_of, table
+from fleetframe.llm.common import materialize, schema_of, slices, table
 
 WORD_BITS = 14
 META_BITS = 10
@@ -162,7 +162,7 @@ def _featurize(names: list[str]):
     ints, floats = pa.list_(pa.int32()), pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             metas = list(zip(*(c.to_pylist() for c in b.columns[2:]))) if names else [()] * b.num_rows
             rows = [(*text_features(t.as_py()), *meta_features(names, m)) for t, m in zip(b.column(1), metas)]
             yield pa.RecordBatch.from_arrays(
@@ -174,7 +174,7 @@ def _featurize(names: list[str]):
 def _score(models_bc, targets: list[str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = models_bc.value
-        for b in batches:
+        for b in slices(batches):
             metas = list(zip(*(c.to_pylist() for c in b.columns[2:]))) if names else [()] * b.num_rows
             out = [[] for _ in range(3 * len(targets))]
             for t, m in zip(b.column(1), metas):

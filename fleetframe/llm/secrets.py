@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, most_frequent, table
+from fleetframe.llm.common import materialize, most_frequent, slices, table
 
 # The base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -187,7 +187,7 @@ def secret_spans(df: DataFrame, key: str, text: str, ranks: dict[str, int], min_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ranks_bc.value
-        for b in batches:
+        for b in slices(batches):
             rows, tops = [], []
             for t in b.column(1):
                 text = t.as_py() or ""

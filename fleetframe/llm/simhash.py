@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, schema_of, table
+from fleetframe.llm.common import materialize, schema_of, slices, table
 from fleetframe.llm.components import connected_components
 
 HASH_SEED = 42
@@ -48,7 +48,7 @@ def simhash64(text: str | None, shingle: int) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([simhash64(t.as_py(), shingle) for t in b.column(b.num_columns - 1)], np.uint64)
             yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(fps.view(np.int64))],
                                              names=b.schema.names[:-1] + ["fp"])

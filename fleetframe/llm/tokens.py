@@ -59,7 +59,7 @@ class Encoder:
     files, go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str, keep_pieces: int = 1_500_000):
+    def __init__(self, path: str, keep_pieces: int = 600_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -157,7 +157,7 @@ class Encoder:
             at = to
         return np.concatenate(parts)
 
-    def encode(self, texts: list[str], group_chars: int = 1 << 20) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str], group_chars: int = 1 << 18) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text, in order; about ``group_chars`` of
         text are in work at a time."""
         group, chars = [], 0

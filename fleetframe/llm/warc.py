@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, scratch_path, table
+from fleetframe.llm.common import materialize, scratch_path, slices, table
 
 # Fixed values of the formats.
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -74,7 +74,7 @@ def gzip_member(record: bytes, level: int = 6) -> bytes:
 def _render(archive_bytes: int, level: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, filled = TaskContext.get().partitionId(), 0, 0
-        for b in batches:
+        for b in slices(batches):
             names, members, held = [], [], 0
             for pid, uri, payload, sha, ref, copy in zip(*(c.to_pylist() for c in b.columns)):
                 payload = payload.encode() if payload is not None else b""
@@ -261,7 +261,7 @@ def _row(path: str, start: int, end: int, found, keep_payload: bool) -> tuple:
 
 def _read(keep_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for path, content in zip(b.column(0), b.column(1)):
                 rows, held, name = [], 0, path.as_py()
                 for start, end, found in salvage(content.as_py()):
