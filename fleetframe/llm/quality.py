@@ -86,8 +86,8 @@ class Logistic:
     def log_odds(self, row: Features) -> float:
         return self.a * self.margin(row) + self.b
 
-    def calibrate(self, rows: list[Features], y: np.ndarray) -> None:
-        self.a, self.b = platt(np.array([self.margin(r) for r in rows]), y)
+    def calibrate(self, rows: list[Features], y: np.ndarray, weight: np.ndarray) -> None:
+        self.a, self.b = platt(np.array([self.margin(r) for r in rows]), y, weight)
 
 
 def _sigmoid(x):
@@ -99,17 +99,18 @@ def _flat(rows: list[Features]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]))
 
 
-def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 50) -> tuple[float, float]:
     """Slope and shift of the log odds, by Newton steps on smoothed targets."""
     if not len(y):
         return 1.0, 0.0
-    up, down = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
+    weight = np.ones(len(y)) if weight is None else weight
+    up, down = ((weight * y).sum() + 1) / ((weight * y).sum() + 2), 1 / ((weight * (1 - y)).sum() + 2)
     target, x = np.where(y > 0.5, up, down), np.stack([margin, np.ones(len(y))], axis=1)
     w = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = _sigmoid(x @ w)
-        g = x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (weight * (p - target)) + 1e-3 * (w - [1.0, 0.0])
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(h, g)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
@@ -131,26 +132,28 @@ class Model:
         return (float(_sigmoid(t)), float(_sigmoid(m)), float(_sigmoid(self.a * (t + m - self.prior) + self.b)))
 
 
-def train(labelled: list[tuple[Features, Features, float, bool]],
+def train(labelled: list[tuple[Features, Features, float, bool, float]],
           pseudo_text: list[tuple[Features, float]], pseudo_meta: list[tuple[Features, float]],
           pseudo_weight: float = 0.5) -> Model:
-    """Fit both views on (text, metadata, label, for calibration) rows and the
-    labels that the other view gave; calibrate on the rows set apart."""
+    """Fit both views on (text, metadata, label, for calibration, weight) rows
+    and the labels that the other view gave; calibrate on the rows set apart.
+    A weight says how many rows of the corpus a row stands for."""
     model = Model()
     fit_rows = [r for r in labelled if not r[3]] or labelled
     check = [r for r in labelled if r[3]] or labelled
     if not fit_rows:
         return model
-    y = np.array([r[2] for r in check])
-    p = (y.sum() + 1) / (len(y) + 2)
+    mean = sum(r[4] for r in labelled) / len(labelled)
+    y, weight = np.array([r[2] for r in check]), np.array([r[4] / mean for r in check])
+    p = ((weight * y).sum() + 1) / (weight.sum() + 2)
     model.prior = math.log(p / (1 - p))
     for view, at, extra in ((model.text, 0, pseudo_text), (model.meta, 1, pseudo_meta)):
         view.fit([r[at] for r in fit_rows] + [r for r, _ in extra],
                  np.array([r[2] for r in fit_rows] + [v for _, v in extra]),
-                 np.array([1.0] * len(fit_rows) + [pseudo_weight] * len(extra)))
-        view.calibrate([r[at] for r in check], y)
+                 np.array([r[4] / mean for r in fit_rows] + [pseudo_weight] * len(extra)))
+        view.calibrate([r[at] for r in check], y, weight)
     joint = np.array([model.text.log_odds(r[0]) + model.meta.log_odds(r[1]) - model.prior for r in check])
-    model.a, model.b = platt(joint, y)
+    model.a, model.b = platt(joint, y, weight)
     return model
 
 
@@ -187,14 +190,19 @@ def _score(models_bc, targets: list[str], names: list[str]):
     return run
 
 
-def _pick(df: DataFrame, by: list[str], bound: int, seed: int) -> DataFrame:
+def _totals(df: DataFrame, by: list[str]) -> dict[tuple, int]:
+    """Rows per value of ``by``."""
+    return {tuple(r[:-1]): r[-1] for r in df.groupBy(*by).agg(F.count("*")).collect()}  # a row per value
+
+
+def _pick(df: DataFrame, by: list[str], bound: int, seed: int, totals: dict[tuple, int] | None = None) -> DataFrame:
     """About ``bound`` rows of a keyed table, shared out evenly over the values
     of ``by`` and chosen by a hash of the key."""
-    totals = [r.asDict() for r in df.groupBy(*by).agg(F.count("*").alias("_n")).collect()]  # a row per value
+    totals = _totals(df, by) if totals is None else totals
     if not totals:
         return df.limit(0)
-    cases = [F.when(F.struct(*[F.col(c) for c in by]) == F.struct(*[F.lit(t[c]) for c in by]),
-                    F.lit(min(1.0, bound / len(totals) / t["_n"]))) for t in totals]
+    cases = [F.when(F.struct(*[F.col(c) for c in by]) == F.struct(*[F.lit(x) for x in value]),
+                    F.lit(min(1.0, bound / len(totals) / n))) for value, n in totals.items()]
     return df.filter(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < F.coalesce(*cases) * (1 << 30))
 
 
@@ -205,7 +213,8 @@ def cotrain(df: DataFrame, key: str, text: str, metadata: list[str], labels: Dat
     calibrated probabilities of each 0/1 target by either view and combined.
 
     The views are fitted on about ``sample`` labelled rows (a quarter set
-    apart for calibration) and, in each round, about ``pseudo`` labels a view
+    apart for calibration), shared out evenly over the combinations of labels
+    and weighted back to the combinations' totals, and, in each round, about ``pseudo`` labels a view
     and target picked by hash from all unlabelled rows that the other view is
     ``confident`` about; every round scores the whole table to find them.
 
@@ -242,8 +251,14 @@ def cotrain(df: DataFrame, key: str, text: str, metadata: list[str], labels: Dat
                for i, r in enumerate(plain)]
         return sorted(out, key=lambda r: repr(r["key"]))
 
-    seen = gather(_pick(known.na.drop(subset=ys, how="all"), ys, sample, seed))
-    labelled = [[(r["t"], r["m"], float(r[y]), zlib.crc32(repr(r["key"]).encode()) % 4 == 0)
+    judged = known.na.drop(subset=ys, how="all")
+    totals = _totals(judged, ys)
+    picked = _pick(judged, ys, sample, seed, totals)
+    # what a picked row stands for, counted before keys without a document go
+    weight = {value: totals[value] / n for value, n in _totals(picked, ys).items()} if totals else {}
+    seen = gather(picked)
+    labelled = [[(r["t"], r["m"], float(r[y]), zlib.crc32(repr(r["key"]).encode()) % 4 == 0,
+                  weight[tuple(r[c] for c in ys)])
                  for r in seen if r[y] is not None] for y in ys]
     models = {t: train(rows_, [], []) for t, rows_ in zip(targets, labelled)}
     out = schema_of(df.schema[key], *[f"{t}_{v} double" for t in targets for v in ("text", "meta", "both")])

@@ -67,6 +67,22 @@ def test_edge_rows(spark):
     assert Q.cotrain(df.limit(0), "d", "t", ["s"], labels, "d", ["q"]).count() == 0
 
 
+def test_scores_of_a_small_sample_follow_the_label_rates(spark):
+    """The sample is shared evenly over the labels; the probabilities are
+    those of the corpus all the same."""
+    rng = np.random.default_rng(5)
+    odd = rng.random(6000) < 0.3
+    rows = [(i, ("odd " if o else "even ") * 3 + "words", "s", int(rng.random() < (0.25 if o else 0.04)),
+             int(rng.random() < 0.85)) for i, o in enumerate(odd)]
+    df = spark.createDataFrame(rows, "d long, t string, s string, toxic int, quality int")
+    out = Q.cotrain(df.select("d", "t", "s"), "d", "t", ["s"], df.select("d", "toxic", "quality"), "d",
+                    ["toxic", "quality"], rounds=0, sample=1200).collect()
+    for name, at in (("toxic", 3), ("quality", 4)):
+        rate = np.mean([r[at] for r in rows])
+        for view in ("text", "meta", "both"):
+            assert abs(np.mean([r[f"{name}_{view}"] for r in out]) - rate) < 0.04, (name, view)
+
+
 def test_held_out_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
