@@ -26,7 +26,11 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _ID = len(PATTERNS)
 #: A token that may hold an identifier: white space around, a digit or @ inside.
 _TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
-_CONTEXT_CHARS = 64
+
+
+def _slot(word: Column) -> Column:
+    """What stands for a word with a digit or @ in the context of another."""
+    return F.when(word.contains("@"), F.lit("<email>")).otherwise(F.lit("<num>"))
 
 
 def _matches(text: DataFrame, number: int, pattern: str, to: str) -> DataFrame:
@@ -39,13 +43,23 @@ def _matches(text: DataFrame, number: int, pattern: str, to: str) -> DataFrame:
     null = F.lit(None).cast("string")
     cut = text.withColumn("_gaps", F.split("_t", pattern, -1)).withColumn(
         "_found", F.regexp_extract_all("_t", F.lit(pattern), 0))
-    after = F.slice("_gaps", 2, F.size("_gaps")) if ends else F.transform("_found", lambda m: null)
-    zipped = F.filter(F.arrays_zip(F.col("_gaps").alias("g"), F.col("_found").alias("m"), after.alias("a")),
-                      lambda z: z.m.isNotNull())
+    if ends:
+        cut = cut.withColumn("_words", F.transform("_gaps", lambda g: F.nullif(
+            F.trim(F.regexp_replace(g, r"\s++", " ")), F.lit("")))).withColumn("_slots", F.transform("_found", _slot))
+
+    def before(i: Column) -> Column:
+        """The two words before a token, whole, other tokens by their class."""
+        last = lambda j: F.substring_index(F.get("_words", j), " ", -2)
+        near = F.concat_ws(" ", F.get("_slots", i - 2), last(i - 1), F.get("_slots", i - 1), last(i))
+        return F.substring_index(near, " ", -2)
+
+    def after(i: Column) -> Column:
+        return F.coalesce(F.substring_index(F.get("_words", i + 1), " ", 1), F.get("_slots", i + 1), F.lit(""))
+    zipped = F.filter(F.arrays_zip(F.col("_gaps").alias("g"), F.col("_found").alias("m")), lambda z: z.m.isNotNull())
     return cut.withColumn(to, F.transform(zipped, lambda z, i: F.struct(
         F.lit(number).alias("kind"), i.alias("at"), F.length(z.g).cast("long").alias("gap"), z.m.alias("found"),
-        (F.right(z.g, F.lit(_CONTEXT_CHARS)) if ends else null).alias("before"),
-        (F.left(z.a, F.lit(_CONTEXT_CHARS)) if ends else null).alias("after")))).drop("_gaps", "_found")
+        (before(i) if ends else null).alias("before"),
+        (after(i) if ends else null).alias("after")))).drop("_gaps", "_found", "_words", "_slots")
 
 
 def _stands(kind: Column, found: Column) -> Column:
@@ -60,13 +74,13 @@ def _stands(kind: Column, found: Column) -> Column:
 
 def _contexts() -> Column:
     """The lexical patterns of a token: the word before it, the two words
-    before it, and the words on both sides."""
-    one = F.lower(F.regexp_extract("before", r"(\S+)\s*$", 1))
-    two = F.lower(F.regexp_extract("before", r"(\S+\s+\S+)\s*$", 1))
-    right = F.lower(F.regexp_extract("after", r"^\s*(\S+)", 1))
+    before it, the word behind it, and the words on both sides."""
+    two, right = F.lower("before"), F.lower("after")
+    one = F.substring_index(two, " ", -1)
     return F.array_compact(F.array(
         F.when(one != "", F.concat(F.lit("1 "), one)),
-        F.when(two != "", F.concat(F.lit("2 "), F.regexp_replace(two, r"\s+", " "))),
+        F.when(two.contains(" "), F.concat(F.lit("2 "), two)),
+        F.when(right != "", F.concat(F.lit("r "), right)),
         F.when((one != "") & (right != ""), F.concat(F.lit("b "), one, F.lit(" _ "), right))))
 
 
@@ -110,9 +124,10 @@ def pii_spans(df: DataFrame, key: str, text: str, rounds: int = 3, min_score: fl
     Base spans are the leftmost non-overlapping matches of each kind that pass
     its check (parts of an address at most 255, Luhn, numbers of digits).
     The contexts of tokens that base spans cover are then scored against all
-    tokens of the corpus (:func:`_bootstrap`); a token of at least six digits
-    or with an @, covered by no base span, in a context of high confidence
-    becomes a span of kind ``id``.
+    tokens of the corpus (:func:`_bootstrap`); a token (a word with a digit or
+    @) that no base span covers, in a context of high confidence, becomes a
+    span of kind ``id``.  Contexts are made of the next words whatever these
+    hold; other tokens stand in them by their class.
 
     Every text is read once; what is shuffled are matches, not texts, and no
     window or list spans more than one text.
@@ -152,8 +167,7 @@ def pii_spans(df: DataFrame, key: str, text: str, rounds: int = 3, min_score: fl
         .select("_row", "kind", "start", "end", "instance", "before", "after", "seed"), "pii-spans")
     tokens = spans.filter(token)
     contexts = _bootstrap(tokens, rounds, min_score, min_support)
-    open_ = tokens.filter((F.col("seed") == 0) & (
-        (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= 6) | F.col("instance").contains("@")))
+    open_ = tokens.filter(F.col("seed") == 0)
     more = (open_.select("_row", "kind", "start", "end", F.explode(_contexts()).alias("context"))
             .join(contexts, "context", "left_semi").select("_row", "kind", "start", "end").distinct())
     found = (spans.filter(~token).select("_row", "kind", "start", "end").unionByName(more)

@@ -58,6 +58,23 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(clean[d] == x for d, x in rows if d > 100)
 
 
+def test_contexts_of_adjacent_short_and_right_hand_identifiers(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:03}")
+    rows = [(i, f"call +1 (8{i:02}) 555-40{i:02} today") for i in range(20)]
+    rows += [(100 + i, f"{name(i)} m{i}@h{i}.example confirmed") for i in range(20)]
+    rows += [(200 + i, f"Contact: k{i}@h{i}.example {name(i)}") for i in range(20)]
+    rows += [(300 + i, f"chapter {i} line {i + 40} ends") for i in range(40)]
+    new = {900: ("call +1 (826) 555-9981 190.137.223.204 end", ["+1", "826", "555-9981"]),  # the phone swallows the ip
+           901: ("only 99887766 confirmed", ["99887766"]),                                   # the right side alone
+           902: ("Contact: 4711 there", ["4711"]),                                           # under six digits
+           903: (f"Contact:{' ' * 90}99887755 there", ["99887755"])}                         # further than 64 characters
+    df = spark.createDataFrame(rows + [(d, t) for d, (t, _) in new.items()], "d long, t string")
+    got = {r.d: r.spans for r in pii_spans(df, "d", "t").collect()}
+    for d, (t, want) in new.items():
+        assert [t[s.start:s.end] for s in got[d] if KINDS[s.kind] == "id"] == want, t
+    assert all(got[d] == [] for d, _ in rows if d >= 300)
+
+
 def test_edge_rows_and_redaction(spark):
     t = "é +1 (017) 555-9823 and 4111111111111111 or a@b.cc then 1.2.3.4 end"
     rows = [(1, t, "x"), (1, t, "x"), (None, t, "y"), (3, None, "z"), (4, "", "z"), (5, "1.2.3.256", "z")]
