@@ -82,9 +82,41 @@ def _word_cost(word: str, ranks: dict[str, int]) -> float | None:
     return math.log10(rank + 1) + case + swaps * math.log10(2)
 
 
+class _Starts:
+    """Starts of a segment that goes on, of cost ``value + log10(end - start)``.
+
+    What a later start is ahead of an earlier one only shrinks as the end moves
+    on, so a start that is not the best when it is added never will be, and
+    each gives way once, to the one below it, from a known end on.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[int, float, float]] = []    # start, value, end from which the one below is better
+
+    def add(self, start: int, value: float, end: int) -> None:
+        if self.stack and value + math.log10(end - start) >= self.least(end):
+            return
+        until = math.inf
+        while self.stack:
+            s, v, t = self.stack[-1]
+            ahead = 10 ** min(value - v, 300.0) if value > v else 1.0
+            until = (ahead * start - s) / (ahead - 1) if ahead > 1 else math.inf
+            if until < t:
+                break
+            self.stack.pop()
+            until = math.inf
+        self.stack.append((start, value, until))
+
+    def least(self, end: int) -> float:
+        while self.stack and self.stack[-1][2] <= end:
+            self.stack.pop()
+        return self.stack[-1][1] + math.log10(end - self.stack[-1][0]) if self.stack else math.inf
+
+
 def guess_cost(value: str, ranks: dict[str, int]) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value`` into
-    dictionary words, dates, repeats, keyboard walks and brute-force spans.
+    dictionary words, dates, repeats, keyboard walks and brute-force spans;
+    repeats and walks may end anywhere in their run (:class:`_Starts`).
     The time is linear in the length for a given longest word and period."""
     n, low = len(value), value.lower()
     if not n:
@@ -93,20 +125,37 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     upto = [0.0]
     for c in chars:
         upto.append(upto[-1] + c)
-    # how far a walk or a repeat with each period goes on from each place
-    walk, turns, same = [1] * (n + 1), [0] * (n + 1), [[0] * (n + 1) for _ in range(9)]
-    for i in range(n - 2, -1, -1):
-        if low[i + 1] in NEAR.get(low[i], ()):
-            walk[i] = walk[i + 1] + 1
-        for p in range(1, 9):
-            if i + p < n and value[i] == value[i + p]:
-                same[p][i] = same[p][i + 1] + 1
     inf = math.inf
     best, brute = [0.0] + [inf] * n, [inf] * (n + 1)  # brute: the last span is a brute-force one
-
-    for i in range(n):
+    # characters up to here that follow a neighbour, or equal the one a period before
+    walk, same, opens = 0, [0] * 9, []
+    walks, repeats = _Starts(), [[_Starts() for _ in range(p)] for p in range(9)]
+
+    for i in range(n + 1):
+        if i > 1:
+            walk = walk + 1 if low[i - 1] in NEAR.get(low[i - 2], ()) else 0
+            if not walk:
+                walks.stack.clear()
+            elif walk >= 2:
+                walks.add(i - 3, opens[i - 3] - (i - 3) * _STEP * 0.5, i)
+                best[i] = min(best[i], walks.least(i) + _STARTS + (i - 1) * _STEP * 0.5)
+        for p in range(1, min(9, i)):
+            if value[i - 1] != value[i - 1 - p]:
+                if same[p]:
+                    same[p] = 0
+                    for r in repeats[p]:
+                        r.stack.clear()
+                continue
+            same[p] += 1
+            if same[p] >= (least := 2 if p == 1 else p):
+                at, r = i - p - least, repeats[p][i % p]
+                r.add(at, opens[at] + upto[at + p] - upto[at] - math.log10(p), i)
+                best[i] = min(best[i], r.least(i))
+        if i == n:
+            break
         here = min(best[i], brute[i])
         open_ = here + (SEGMENT if i else 0.0)
+        opens.append(open_)
         brute[i + 1] = min(brute[i + 1], brute[i] + chars[i], open_ + chars[i])
 
         def reach(j: int, cost: float, open_=open_) -> None:
@@ -116,14 +165,6 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
         for j in range(i + 3, min(n, i + _MAX_WORD) + 1):
             if (cost := _word_cost(value[i:j], ranks)) is not None:
                 reach(j, cost)
-        for p in range(1, 9):
-            times = same[p][i] // p + 1
-            if times >= (3 if p == 1 else 2):
-                reach(i + p * times, upto[i + p] - upto[i] + math.log10(times))
-        if walk[i] >= 3:
-            for k in {3, 4, 5, 6, 8, walk[i]}:
-                if k <= walk[i]:
-                    reach(i + k, _STARTS + (k - 1) * _STEP * 0.5 + math.log10(k))
         if value[i].isdigit() and value[i].isascii():
             for k in (4, 6, 7, 8, 9, 10):
                 if i + k <= n and (m := _DATE.fullmatch(value, i, i + k)):

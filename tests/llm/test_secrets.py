@@ -66,6 +66,43 @@ def test_cost_against_all_segmentations():
         assert math.isclose(S.guess_cost(v, RANKS), slow_cost(v, RANKS), abs_tol=1e-9), v
 
 
+def whole_cost(value, ranks):
+    """As slow_cost, with every number of repeats and every length of a walk."""
+    low = value.lower()
+
+    def single(i, j):
+        s, k = value[i:j], j - i
+        costs = [slow_cost(s, ranks)] if k < 3 else [sum(math.log10(S._alphabet(c)) for c in s)]
+        if 3 <= k <= 20 and (w := S._word_cost(s, ranks)) is not None:
+            costs.append(w)
+        for p in range(1, 9):
+            if k % p == 0 and k // p >= (3 if p == 1 else 2) and s == s[:p] * (k // p):
+                costs.append(sum(math.log10(S._alphabet(c)) for c in s[:p]) + math.log10(k // p))
+        if k >= 3 and all(b in S.NEAR.get(a, ()) for a, b in zip(low[i:j], low[i + 1:j])):
+            costs.append(S._STARTS + (k - 1) * S._STEP * 0.5 + math.log10(k))
+        if (m := S._DATE.fullmatch(s)) and k in (4, 6, 7, 8, 9, 10):
+            costs.append(math.log10((1 if k == 4 else 365) * S._YEAR_SPAN * (
+                S._SEPARATORS if any(g for g in m.groups() if g) else 1)))
+        return min(costs)
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + single(i, j) + (S.SEGMENT if i else 0) for i in range(j)))
+    return best[-1]
+
+
+def test_repeats_and_walks_end_anywhere():
+    ranks = RANKS | {"aardvark": 6000, "tyre": 3, "abba": 9, "bab": 2}
+    assert S.guess_cost("aaaaaardvark", ranks) < 7
+    rng = random.Random(8)
+    parts = ["aaaaaardvark", "aardvark", "aaaa", "qwertyre", "qwerty", "asdfgh", "ababab", "abba", "bab", "a", "fgfgfg", "7777", "$x"]
+    for _ in range(600):
+        v = "".join(rng.choices(parts, k=rng.randrange(1, 6)))[:28]
+        assert math.isclose(S.guess_cost(v, ranks), whole_cost(v, ranks), abs_tol=1e-9), v
+    for _ in range(600):
+        v = "".join(rng.choices(rng.choice(["ab", "abc", "qwe", "a"]), k=rng.randrange(1, 24)))
+        assert math.isclose(S.guess_cost(v, ranks), whole_cost(v, ranks), abs_tol=1e-9), v
+
+
 def test_cost_order_and_length():
     cost = lambda v: S.guess_cost(v, RANKS)
     assert cost("password") < cost("password1999") < cost("9f8a7b6c5d4e3f2a") and cost("aaaaaaaaaaaa") < 3
