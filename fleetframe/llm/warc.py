@@ -160,15 +160,17 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
 def _parse(data: bytes | memoryview, at: int, whole: bool) -> tuple[dict, int]:
     """The WARC record at ``at`` and the offset after it; with ``whole`` the
     record must end where ``data`` ends."""
-    limit = min(len(data), at + (1 << 20))
-    head = bytes(data[at:min(limit, at + 4096)])
-    if b"\r\n\r\n" not in head:
-        head = bytes(data[at:limit])
+    size = 4096
+    head = bytes(data[at:at + size])
     if not _VERSION.match(head):
         raise Damaged("no version line")
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damaged("headers do not end")
+    while (end := head.find(b"\r\n\r\n")) < 0:
+        if at + size >= len(data):
+            raise Damaged("headers do not end")
+        if any(b":" not in line for line in head.split(b"\r\n")[1:-1]):
+            raise Damaged("bad header line")  # what is no header is not read to its end
+        size *= 4
+        head = bytes(data[at:at + size])
     fields = {}
     for line in head[:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")

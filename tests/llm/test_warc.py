@@ -20,6 +20,20 @@ def gaps(archive):
     return [(s, e) for s, e, f in salvage(archive) if isinstance(f, str)]
 
 
+def test_headers_of_any_length(spark, tmp_out):
+    url = "http://x/" + "é?" * (1 << 20)
+    for wrap in (gzip_member, lambda r: r):
+        parts = [wrap(render_record(str(i), u, b"p", base32_sha1(b"p"), None, "2000-01-01T00:00:00Z"))
+                 for i, u in enumerate((url, "http://x/", url))]
+        assert recovered(b"".join(parts)) == [b"p"] * 3 and gaps(b"".join(parts)) == []
+        junk = parts[0][:40] + b"\r\nno header" * (1 << 17)  # the headers never end
+        assert recovered(junk + parts[1]) == [b"p"] and gaps(junk + parts[1]) == [(0, len(junk))]
+    df = spark.createDataFrame([(1, url, "one"), (2, "http://y/", "two")], "page_id long, url string, html string")
+    write_warc(df, tmp_out + "/a", "page_id", "url", "html")
+    back = read_warc(spark, tmp_out + "/a").collect()
+    assert sorted((r.gap, bytes(r.payload)) for r in back) == [(False, b"one"), (False, b"two")]
+
+
 def test_salvage_gzip_and_plain():
     rng = random.Random(3)
     bodies = [bytes(rng.choices(b"abc WARC/1.1\r\n", k=rng.randrange(0, 4000))) for _ in range(40)]
