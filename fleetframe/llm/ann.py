@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetframe.llm.common import materialize, table
@@ -156,14 +157,12 @@ def search_cell(ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, turn: n
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``(id, v)`` of the rows that take part: an id, and a vector of the most
-    frequent length without null or non-finite components that is not zero."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(
+    """``(id, v)`` of the rows that take part: an id, and a vector
+    without null or non-finite components that is not zero."""
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(
         F.col("id").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False))
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
         & F.exists("v", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == (lengths.n if lengths else 0))
 
 
 def nearest(df: DataFrame, key: str, vector: str, is_query, k: int = 5, share: float = 0.65, least: int = 32,
@@ -184,18 +183,31 @@ def nearest(df: DataFrame, key: str, vector: str, is_query, k: int = 5, share: f
     (:meth:`ColumnBlocks.scan`); recall is set by ``share``, ``least`` and
     ``eps``.
 
-    Defined cases: rows without id, and vectors that are null, zero, of
-    another length than most or with null or non-finite components take no
-    part; a query is never its own neighbour, nor are rows with its id;
+    Vectors of each length are indexed on their own, one plan a length, and
+    have neighbours of their length only.
+
+    Defined cases: rows without id, and vectors that are null, zero or with
+    null or non-finite components take no part; a query is never its own neighbour, nor are rows with its id;
     repeated rows count once; with fewer than ``k`` others all are returned;
     an empty table gives no rows.
     """
-    spark = df.sparkSession
     rows = usable(df, key, vector)
-    total = rows.count()
-    dims = len(rows.first().v) if total else 1
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("total")).orderBy("n").collect()  # few
+    if not lengths:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.unionByName, [
+        _nearest_of(rows.filter(F.size("v") == r.n), r.n, r.total, is_query, k, share, least, max_lists,
+                    sample_per_list, cell_rows, query_rows, width, eps, seed) for r in lengths])
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
+
+
+def _nearest_of(rows: DataFrame, dims: int, total: int, is_query, k: int, share: float, least: int, max_lists: int,
+                sample_per_list: int, cell_rows: int, query_rows: int, width: int, eps: float, seed: int) -> DataFrame:
+    """What :func:`nearest` finds in each cell of the ``total`` vectors of one
+    length, before the best are taken."""
     lists = max(1, min(max_lists, math.isqrt(total)))
     picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
                          < F.lit(min(1.0, lists * sample_per_list / total) * (1 << 30)))
@@ -260,13 +272,8 @@ def nearest(df: DataFrame, key: str, vector: str, is_query, k: int = 5, share: f
                                               if found else [], pa.int64()),
                          "vec_id": pa.array(ids, pa.int64()),
                          "score": pa.array(np.concatenate([f[2] for f in found]) if found else [], pa.float64())})
-    found = base.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInArrow(
+    return base.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInArrow(
         meet, "query_id long, vec_id long, score double")
-    from pyspark.sql import Window
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

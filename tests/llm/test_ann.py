@@ -81,3 +81,16 @@ def test_recall_and_scores(spark):
             assert math.isclose(s, float(a @ b / math.sqrt(a @ a) / math.sqrt(b @ b)), abs_tol=1e-12)
     hits = sum(len({i for i, _ in got[q].values()} & {i for i, _ in want[q]}) for q in got)
     assert hits / (5 * len(got)) >= 0.9
+
+
+def test_each_length_has_its_own_neighbours(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=(8, 5, 3)[i % 3 if i < 60 else 0])]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec long, e array<double>")
+    got = {}
+    for r in ann.nearest(df, "vec", "e", lambda c: F.col(c) % 10 == 0, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, v in rows[::10]:
+        same = [(-float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), i) for i, w in rows
+                if i != q and len(w) == len(v)]
+        assert [i for _, i, _ in sorted(got[q])] == [i for _, i in sorted(same)[:5]], q
