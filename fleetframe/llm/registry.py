@@ -9,6 +9,7 @@ from fleetframe.llm.langid import op1_langid
 from fleetframe.llm.packing import op6_packing
 from fleetframe.llm.pii import op2_pii
 from fleetframe.llm.quality import op8_quality
+from fleetframe.llm.rules import OP12_SQL, op12_rules
 from fleetframe.llm.secrets import op9_secrets
 from fleetframe.llm.sharding import op10_shards
 from fleetframe.llm.simhash import op5_simhash
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_shards": op10_shards,
+    "op12_rules": op12_rules,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "op7_decontam": OP7_SQL,
+    "op12_rules": OP12_SQL,
 }
