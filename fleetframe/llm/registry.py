@@ -6,6 +6,7 @@ import corpus_pipeline
 from fleetframe.llm.ann import op3_ann
 from fleetframe.llm.decontam import OP7_SQL, op7_decontam
 from fleetframe.llm.langid import op1_langid
+from fleetframe.llm.negatives import OP13_SQL, op13_negatives
 from fleetframe.llm.packing import op6_packing
 from fleetframe.llm.pii import op2_pii
 from fleetframe.llm.quality import op8_quality
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_shards": op10_shards,
     "op12_rules": op12_rules,
+    "op13_negatives": op13_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "op7_decontam": OP7_SQL,
     "op12_rules": OP12_SQL,
+    "op13_negatives": OP13_SQL,
 }
