@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from fleetframe.llm.ann import op3_ann
+from fleetframe.llm.conversations import op11_conversations
 from fleetframe.llm.decontam import OP7_SQL, op7_decontam
 from fleetframe.llm.langid import op1_langid
 from fleetframe.llm.negatives import OP13_SQL, op13_negatives
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_shards": op10_shards,
+    "op11_conversations": op11_conversations,
     "op12_rules": op12_rules,
     "op13_negatives": op13_negatives,
     "pipeline": corpus_pipeline.run,
