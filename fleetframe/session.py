@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -108,15 +110,67 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_scopes = threading.local()
+
+
 def materialize(df, name: str):
     """Write ``df`` as parquet under the shared checkpoint folder and read it
     back: cuts lineage and lets an expensive intermediate (a large join) be
     read twice without being recomputed.  Survives executor loss, unlike a
-    cache or a local checkpoint."""
+    cache or a local checkpoint.
+
+    The table stays until the application ends, :func:`discard` is called on
+    it, or the :func:`scratch_scope` it was written in is left."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ff_scratch = path
+    for written in getattr(_scopes, "open", [])[-1:]:
+        written.append(out)
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables of :func:`materialize` that nothing will read again:
+    their successors are written."""
+    for t in tables:
+        path = getattr(t, "_ff_scratch", None)
+        if path is None:
+            continue
+        t._ff_scratch = None
+        try:
+            jvm, jsc = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc
+        except Exception:  # Spark Connect: the folder's owner cleans it
+            return
+        jpath = jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+@contextmanager
+def scratch_scope():
+    """Tables that :func:`materialize` writes inside are deleted on leaving,
+    but for those passed to the function that ``with`` gives, which belong to
+    the scope around it, if any.  Nothing lazy may lead out that reads the
+    others.
+
+    >>> with scratch_scope() as keep:
+    ...     result = keep(materialize(many_steps(df), "result"))
+    """
+    stack = _scopes.open = getattr(_scopes, "open", [])
+    written, kept = [], []
+    stack.append(written)
+
+    def keep(table):
+        kept.append(table)
+        return table
+    try:
+        yield keep
+    finally:
+        stack.pop()
+        discard(*[t for t in written if not any(t is k for k in kept)])
+        for outer in stack[-1:]:
+            outer += kept
 
 
 __all__ = ["build_session", "checkpoint_root", "scratch_path", "scale_conf",
-           "materialize", "DEFAULT_CONF"]
+           "materialize", "discard", "scratch_scope", "DEFAULT_CONF"]

@@ -1,6 +1,7 @@
 """Composed flows: install checks and start plan."""
 
 import datetime as dt
+import os
 
 from fleetframe.plans.install import compliance, host_eligibility, step_report
 from fleetframe.plans.start import endpoints, poll_outcome, start_plan
@@ -70,3 +71,21 @@ def test_down_in_windows_reports_a_total_outage(spark):
     down = down_in_windows(seen, placement, ["host", "service"], width="1 hour")
     assert {(r.window_start.hour, r.host) for r in down.collect()} == {(1, "scm1"), (2, "om1"), (2, "scm1")}
     assert down_in_windows(seen.limit(0), placement, ["host", "service"]).count() == 0
+
+
+def test_scratch_tables_go_when_their_scope_ends(spark):
+    from fleetframe.session import discard, materialize, scratch_scope
+
+    def held(path):
+        return os.path.exists(path.removeprefix("file:"))
+    with scratch_scope() as outer:
+        with scratch_scope() as keep:
+            a = materialize(spark.range(5), "scope-a")
+            b = keep(materialize(a.selectExpr("id * 2 AS id"), "scope-b"))
+            paths = a._ff_scratch, b._ff_scratch
+        assert not held(paths[0]) and held(paths[1]) and b.count() == 5
+        c = outer(materialize(b, "scope-c"))
+    assert not held(paths[1]) and sorted(r.id for r in c.collect()) == [0, 2, 4, 6, 8]
+    last = c._ff_scratch
+    discard(c, c, spark.range(1))
+    assert not held(last)
