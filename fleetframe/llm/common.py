@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetframe.session import materialize, scratch_path
+from fleetframe.session import discard, materialize, scratch_path, scratch_scope
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -24,6 +25,24 @@ def schema_of(key, *fields: str) -> T.StructType:
     return T.StructType([T.StructField("key", key.dataType), *rest.fields])
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` and a column that names each of its rows: a struct of the row's
+    number in its file and the file.
+
+    A plain read of files already has these; any other frame is written once,
+    since a row's name must be the same whenever it is read.
+    """
+    try:
+        if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+            df = materialize(df, "numbered")
+        meta = df.metadataColumn("_metadata")
+        df.select(meta.getField("row_index"))
+    except AnalysisException:  # a source that has no row numbers
+        df = materialize(df, "numbered")
+        meta = df.metadataColumn("_metadata")
+    return df, F.struct(meta.getField("row_index").alias("row_index"), meta.getField("file_path").alias("file_path"))
+
+
 def prefix_offsets(totals: DataFrame, part: str, amounts: list[str], by: list[str] | None = None) -> DataFrame:
     """Exclusive prefix sums over partition numbers: ``{amount}_before``.
 
@@ -63,4 +82,4 @@ def most_frequent(counts: DataFrame, word: str, n: str, size: int) -> list[str]:
     return [r[0] for r in top.select(word).collect()]
 
 
-__all__ = ["table", "schema_of", "prefix_offsets", "most_frequent", "slices", "materialize", "scratch_path"]
+__all__ = ["table", "schema_of", "numbered", "discard", "scratch_scope", "prefix_offsets", "most_frequent", "slices", "materialize", "scratch_path"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize
+from fleetframe.llm.common import discard, materialize
 
 
 def _state(e: DataFrame) -> tuple:
@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     needs about log2 of the longest chain in rounds.  Minima are hash
     aggregates (combined before the shuffle) and are written before they are
     joined back, so both join sides are scans and a hub is split by the
-    skew-join rule.  No component is ever gathered.
+    skew-join rule.  No component is ever gathered.  A round's tables are deleted
+    once the next round's links are written.
 
     Null ends and self links are ignored; repeated links count once; an empty
     table gives no rows.  Not converging within ``max_rounds`` raises.
@@ -43,10 +44,11 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         low = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), "cc-low")
         turned = large.join(low, "hi").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         new = materialize(turned.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "cc-links")
-        now = _state(new)
+        discard(e, least, large, low)
+        e, now = new, _state(new)
         if now == state:
             break
-        e, state = new, now
+        state = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(

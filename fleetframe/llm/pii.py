@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, table
+from fleetframe.llm.common import discard, materialize, numbered, scratch_scope, table
 
 # The kinds in their listed order and their patterns.  Written
 # so that the engine never goes back over a run: quantifiers that cannot give
@@ -33,6 +33,10 @@ def _slot(word: Column) -> Column:
     return F.when(word.contains("@"), F.lit("<email>")).otherwise(F.lit("<num>"))
 
 
+#: What a text must hold for any match of each pattern.
+_NEEDS = ("@", "[0-9]", "[0-9]", "[0-9]", "[0-9@]")
+
+
 def _matches(text: DataFrame, number: int, pattern: str, to: str) -> DataFrame:
     """Add the matches of one pattern in ``_t`` as an array column.
 
@@ -41,8 +45,9 @@ def _matches(text: DataFrame, number: int, pattern: str, to: str) -> DataFrame:
     """
     ends = number == _ID  # only tokens need the words around them
     null = F.lit(None).cast("string")
-    cut = text.withColumn("_gaps", F.split("_t", pattern, -1)).withColumn(
-        "_found", F.regexp_extract_all("_t", F.lit(pattern), 0))
+    may = F.col("_t").rlike(_NEEDS[number])
+    cut = text.withColumn("_gaps", F.when(may, F.split("_t", pattern, -1))).withColumn(
+        "_found", F.when(may, F.regexp_extract_all("_t", F.lit(pattern), 0)))
     if ends:
         cut = cut.withColumn("_words", F.transform("_gaps", lambda g: F.nullif(
             F.trim(F.regexp_replace(g, r"\s++", " ")), F.lit("")))).withColumn("_slots", F.transform("_found", _slot))
@@ -56,10 +61,12 @@ def _matches(text: DataFrame, number: int, pattern: str, to: str) -> DataFrame:
     def after(i: Column) -> Column:
         return F.coalesce(F.substring_index(F.get("_words", i + 1), " ", 1), F.get("_slots", i + 1), F.lit(""))
     zipped = F.filter(F.arrays_zip(F.col("_gaps").alias("g"), F.col("_found").alias("m")), lambda z: z.m.isNotNull())
-    return cut.withColumn(to, F.transform(zipped, lambda z, i: F.struct(
+    found = F.transform(zipped, lambda z, i: F.struct(
         F.lit(number).alias("kind"), i.alias("at"), F.length(z.g).cast("long").alias("gap"), z.m.alias("found"),
         (before(i) if ends else null).alias("before"),
-        (after(i) if ends else null).alias("after")))).drop("_gaps", "_found", "_words", "_slots")
+        (after(i) if ends else null).alias("after")))
+    none = F.array().cast("array<struct<kind:int,at:int,gap:bigint,found:string,before:string,after:string>>")
+    return cut.withColumn(to, F.coalesce(found, none)).drop("_gaps", "_found", "_words", "_slots")
 
 
 def _stands(kind: Column, found: Column) -> Column:
@@ -110,8 +117,10 @@ def _bootstrap(tokens: DataFrame, rounds: int, min_score: float, min_support: in
         if r + 1 < rounds:
             lifted = edges.select("context", "instance").join(passed, "context").groupBy("instance").agg(
                 (1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("lift"))
-            scores = materialize(seeds.join(lifted, "instance", "left").select(
+            last, scores = scores, materialize(seeds.join(lifted, "instance", "left").select(
                 "instance", F.greatest("score", F.coalesce("lift", F.lit(0.0))).alias("score")), "pii-scores")
+            discard(passed, *([last] if last is not seeds else []))
+    discard(edges, seeds, scores)
     return passed
 
 
@@ -177,36 +186,46 @@ def pii_spans(df: DataFrame, key: str, text: str, rounds: int = 3, min_score: fl
         F.col("_key").alias(key), "text_md5", F.coalesce("spans", none).alias("spans"))
 
 
-def redact(df: DataFrame, key: str, text: str, **options) -> DataFrame:
+def redact(df: DataFrame, text: str, **options) -> DataFrame:
     """``df`` with every span of :func:`pii_spans` in ``text`` replaced by its
     kind in angle brackets (overlapping spans: once, by the first one's kind).
 
-    Only texts with spans meet the join; the others pass as they are.
+    Rows are known by their place in ``df``'s files, so rows alike in every
+    column are one each; texts meet their spans in one join on that place.
+
+    Defined cases: null texts stay null, empty ones empty; texts without spans
+    stay as they are, very long ones are taken whole; repeated rows are all
+    kept; an empty table gives no rows; other columns pass unchanged, whatever
+    their names.
     """
-    spans = pii_spans(df, key, text, **options).filter(F.size("spans") > 0).select(
-        F.col(key).alias("_key"), F.col("text_md5").alias("_md5"), F.col("spans").alias("_spans"))
-    flat = spans.distinct().select("_key", "_md5", F.inline("_spans"))
-    order = Window.partitionBy("_key", "_md5").orderBy("start", "kind")
-    runs = (flat.withColumn("_till", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-            .withColumn("_run", F.sum(F.coalesce(F.col("start") >= F.col("_till"), F.lit(True)).cast("long"))
-                        .over(order.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy("_key", "_md5", "_run")
-            .agg(F.min("start").alias("start"), F.max("end").alias("end"),
-                 F.min_by("kind", F.struct("start", "kind")).alias("kind"))
-            .groupBy("_key", "_md5").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts")))
+    df, place = numbered(df)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    with scratch_scope() as keep:
+        spans = pii_spans(df.select(place.alias("place"), F.col(f"`{text}`").alias("text")), "place", "text", **options)
+        flat = spans.filter(F.size("spans") > 0).select("place", F.inline("spans"))
+        order = Window.partitionBy("place").orderBy("start", "kind")
+        runs = (flat.withColumn("_till", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+                .withColumn("_run", F.sum(F.coalesce(F.col("start") >= F.col("_till"), F.lit(True)).cast("long"))
+                            .over(order.rowsBetween(Window.unboundedPreceding, 0)))
+                .groupBy("place", "_run")
+                .agg(F.min("start").alias("start"), F.max("end").alias("end"),
+                     F.min_by("kind", F.struct("start", "kind")).alias("kind"))
+                .groupBy("place").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts")))
+        runs = keep(materialize(runs.select(F.col("place.row_index").alias("_at"), F.col("place.file_path").alias("_in"),
+                                            "_cuts"), "pii-cuts"))
 
     def piece(cut: Column, i: Column) -> Column:
         frm = F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1).end)
         return F.concat(F.substring("_body", frm.cast("int") + 1, (cut.start - frm).cast("int")),
                         F.get(names, cut.kind))
     tail = F.substring("_body", F.element_at("_cuts", -1).end.cast("int") + 1, F.length("_body"))
-    # all columns as one struct, so that no name can clash
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(key).alias("_of"),
-                     F.col(text).cast("string").alias("_body")).withColumn("_md5_of", F.md5(F.col("_body").cast("binary")))
-    joined = rows.join(materialize(runs, "pii-cuts"),
-                       F.col("_of").eqNullSafe(F.col("_key")) & (F.col("_md5_of") == F.col("_md5")), "left")
-    clean = F.when(F.col("_cuts").isNull(), F.col("_body")).otherwise(
+    # all other columns as one struct, so that no name can clash
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text])
+    rows = df.select(rest.alias("_row"), F.col(f"`{text}`").alias("_body"), place.getField("row_index").alias("_of_at"),
+                     place.getField("file_path").alias("_of_in"))
+    joined = rows.join(runs, (F.col("_of_at") == F.col("_at")) & (F.col("_of_in") == F.col("_in")), "left")
+    body = F.col("_body").cast("string")
+    clean = F.when(F.col("_cuts").isNull(), body).otherwise(
         F.concat(F.array_join(F.transform("_cuts", piece), ""), tail))
     return joined.select(*[clean.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in df.columns])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, schema_of, slices, table
+from fleetframe.llm.common import discard, materialize, schema_of, slices, table
 from fleetframe.llm.components import connected_components
 
 HASH_SEED = 42
@@ -228,6 +228,7 @@ def simhash_groups(df: DataFrame, key: str, text: str, shingle: int = 4, distanc
         "fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(rooted.select("fp", "root").join(ids, "root"), "simhash-classes")
+    discard(rooted)
     # both sides are scans: a fingerprint that many rows share is split
     return marked.join(classes, "fp").select(F.col("key").alias(key), "fp", "root", "component_id")
 

@@ -53,7 +53,7 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[100] == [("id", t.index("99"), t.index("-X") + 2)]
     assert all(v == [] for d, v in got.items() if d > 100)
     assert all([k for k, _, _ in got[i]] == ["email"] for i in range(30))
-    clean = {r.d: r.t for r in redact(df, "d", "t").collect()}
+    clean = {r.d: r.t for r in redact(df, "t").collect()}
     assert clean[100] == "they said Contact: <ID> now" and clean[3] == "some words, Contact: <EMAIL> now and 2003 more"
     assert all(clean[d] == x for d, x in rows if d > 100)
 
@@ -81,12 +81,12 @@ def test_edge_rows_and_redaction(spark):
     df = spark.createDataFrame(rows, "d long, t string, spans string")
     got = pii_spans(df, "d", "t").collect()
     assert sorted((r.d or 0, len(r.spans)) for r in got) == [(0, 4), (1, 4), (1, 4), (3, 0), (4, 0), (5, 0)]
-    clean = sorted((r.d or 0, r.t, r.spans) for r in redact(df, "d", "t").orderBy("d").collect() if r.t is not None)
+    clean = sorted((r.d or 0, r.t, r.spans) for r in redact(df, "t").orderBy("d").collect() if r.t is not None)
     want = "é <PHONE> and <CARD> or <EMAIL> then <IP> end"
     assert clean == [(0, want, "y"), (1, want, "x"), (1, want, "x"), (4, "", "z"), (5, "1.2.3.256", "z")]
     odd = spark.createDataFrame([(1, "a@b.cc", 7, "m", "c")], "d long, t string, _key int, _md5 string, _cuts string")
-    assert [tuple(r) for r in redact(odd, "d", "t").collect()] == [(1, "<EMAIL>", 7, "m", "c")]
-    assert pii_spans(df.limit(0), "d", "t").count() == 0 == redact(df.limit(0), "d", "t").count()
+    assert [tuple(r) for r in redact(odd, "t").collect()] == [(1, "<EMAIL>", 7, "m", "c")]
+    assert pii_spans(df.limit(0), "d", "t").count() == 0 == redact(df.limit(0), "t").count()
 
 
 def test_query(spark):

@@ -100,6 +100,27 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id or 0, r.lang_pred) for r in alone) == [(0, "a"), (1, "x"), (5, "c")]
 
 
+def test_ties_among_copies_do_not_depend_on_the_order(spark):
+    text = "of the and to in is it for on that by this with and so on"
+    rows_ = [(7, text, "b", 2), (7, text, "a", 3), (7, text, "a", 1), (8, text, "a", 0), (7, text + "  ", "0", 0)] * 2
+    kept = set()
+    for order in (rows_, rows_[::-1], sorted(rows_, key=str)):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string, place int").repartition(3)
+        kept.add(tuple(map(tuple, C.near_duplicates(spark, df, SF_SMALL).collect())))
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
+def test_near_duplicates_move_texts_once(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = C.near_duplicates(spark, docs, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange") == 2 and "Aggregate" not in plan  # one for the texts, one for the kept places
+
+
 def test_run(spark):
     out = C.run(spark, SF_SMALL)
     assert out.count() > 0 and "ids" in out.columns
