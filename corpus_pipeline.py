@@ -8,19 +8,22 @@ these are besides ``doc_id`` and ``text``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetframe.llm import decontam, langid, packing, pii, simhash
-from fleetframe.llm.common import materialize, table
+from fleetframe.llm.common import discard, materialize, numbered, scratch_scope, table
 
 MIN_LANGUAGE_SCORE = 0.4
 
 
+def _row(docs: DataFrame) -> Column:
+    """All columns but the text as one struct, so that no name can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns but the text as one struct, so that no name can
-    clash) and ``text``."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text"))
+    return docs.select(_row(docs), F.col("text"))
 
 
 def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -42,34 +45,50 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash class: the one with the smallest
-    ``doc_id`` (ties: the smaller digest of the text; repeated rows once)."""
-    mark = F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    rows = _rows(docs).withColumn("mark", F.struct(F.col("row.doc_id").alias("doc_id"), F.md5(
-        F.coalesce("text", F.lit("")).cast("binary")).alias("digest")))
-    classes = simhash.simhash_groups(docs.select(mark.alias("mark"), "text"), "mark", "text", shingle=4, distance=4)
-    kept = materialize(classes.filter(F.col("mark") == F.col("component_id")).select(
-        F.col("mark.doc_id").alias("kept_id"), F.col("mark.digest").alias("kept_digest")).distinct(), "pipeline-kept")
-    alone = rows.join(kept, F.col("mark.doc_id").eqNullSafe(F.col("kept_id"))
-                      & (F.col("mark.digest") == F.col("kept_digest")), "left_semi")
-    return _columns(alone.dropDuplicates(["mark"]), docs)
+    ``doc_id``; ties go to the smaller digest of the text, then of the other
+    columns, and of rows alike in all of these one stays.
+
+    Classes and kept rows are found on fingerprints, digests and the rows'
+    places in their files; texts meet the kept places in one join, which no
+    value of the data can skew.  Null texts count as empty; an empty table
+    gives no rows.
+    """
+    docs, place = numbered(docs)
+    digest = lambda c: F.unhex(F.md5(c.cast("binary")))
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    name = F.struct(F.col("doc_id"), digest(F.coalesce("text", F.lit(""))).alias("text"), digest(rest).alias("rest"),
+                    place.alias("place"))
+    with scratch_scope() as keep:
+        classes = simhash.simhash_groups(docs.select(name.alias("name"), F.col("text")), "name", "text", shingle=4,
+                                         distance=4)
+        kept = keep(materialize(classes.filter(F.col("name").eqNullSafe(F.col("component_id"))).select(
+            F.col("name.place.row_index").alias("kept_at"), F.col("name.place.file_path").alias("kept_in")),
+            "pipeline-kept"))
+    rows = docs.select(_row(docs), F.col("text"), place.alias("place"))
+    alone = rows.join(kept, (F.col("place.row_index") == F.col("kept_at"))
+                      & (F.col("place.file_path") == F.col("kept_in")), "left_semi")
+    return _columns(alone, docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents of which benchmark windows cover 5 % or more."""
+    """Drop the documents of which benchmark windows cover 5 % or more.  Null
+    and empty texts have no words and stay; rows are judged one by one."""
     found = decontam.contamination(decontam.match_items(
         _rows(docs), "row", "text", table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text"))
     return _columns(found.filter(~F.col("contaminated")), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts; ``n_chars`` follows the text."""
-    clean = pii.redact(docs, "doc_id", "text")
+    """Replace personal data in the texts; ``n_chars`` follows the text.  Null
+    texts stay null (and so does their ``n_chars``); every row stays."""
+    clean = pii.redact(docs, "text")
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096: one row per piece, with its ids."""
+    """Token sequences of at most 4096: one row per piece, with its ids.  A
+    null or empty text is its end token alone."""
     return packing.pack(docs, "doc_id", "text", packing.public_tokenizer(), with_ids=True)
 
 
@@ -85,5 +104,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope() as keep:  # a stage's own tables go with it
+            after = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(docs)
+        docs = after
     return docs
