@@ -78,6 +78,55 @@ def test_encoder_equals_tokenizer(spark):
     assert not Encoder(public_tokenizer("byte_bpe_50k.json")).by_piece
 
 
+def test_pieces_of_one_hash_keep_their_own_ids():
+    word = "a"
+    while len(word) < 4096:  # the Thue-Morse word and its complement share every polynomial hash modulo 2**64
+        word += word.translate({97: "b", 98: "a"})
+    plain = Tokenizer.from_file(public_tokenizer())
+    enc = Encoder(public_tokenizer())
+    for n in (64, 128, 256, 512, 1024, 2048, 4096):
+        x = word[:n]
+        text = f"so {x} {x.translate({97: 'b', 98: 'a'})} and {x}"
+        assert next(enc.encode([text])).tolist() == plain.encode(text, add_special_tokens=False).ids
+    # two short pieces made to share a hash, in one batch and across batches
+    texts = ["first second first", "second first", "third first second"]
+    enc._mark[:] = 1
+    enc._power = enc._unpower = np.zeros(64, np.uint64)
+    enc._forget()
+    for t in ["first", "third", *texts, " ".join(texts)]:
+        assert next(enc.encode([t])).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_odd_words_alone_go_through_the_tokenizer(spark):
+    rng = random.Random(7)
+    docs = [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect()[:40]]
+    bits = ["\u2014", "\u201cquoted\u201d", "e\u0301", "\u0301x", "\u00a0", "\u2003", "漢字", "İ", "ς", "<|endoftext|>", "\u0085",
+            "\u1100\u1161", "ﬁ", "\U0001f600"]
+    texts = []
+    for d in docs:
+        words = d.split(" ")
+        for _ in range(rng.randrange(1, 6)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(bits) + rng.choice(["", "word", " "]))
+        texts.append(" ".join(words))
+    texts += ["".join(rng.choices([*bits, " ", "\n", "a", "b'll", "9"], k=rng.randrange(0, 14))) for _ in range(1500)]
+    plain = Tokenizer.from_file(public_tokenizer())
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for group in (1 << 18, 300, 7):
+        assert [x.tolist() for x in Encoder(public_tokenizer()).encode(texts, group)] == want
+
+
+def test_memory_of_a_long_text_is_that_of_a_slice():
+    import tracemalloc
+    text = "some common words of a text and more " * 60_000 + "\u2014 " + "and words " * 50_000
+    enc = Encoder(public_tokenizer())
+    next(enc.encode(["warm up \u2014"]))
+    tracemalloc.start()
+    ids = next(enc.encode([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) > 500_000 and peak < (40 << 20)
+
+
 def test_pack_edge_rows_and_ids(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "word " * 9000, "x"), (4, "tie", "x"), (4, "tie", "x")] + [
         (10 + i, "some words here " * (i % 40), "x") for i in range(300)]
