@@ -11,17 +11,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, most_frequent, schema_of, slices, table
+from fleetframe.llm.common import schema_of, slices, table
 
 ORDERS = (2, 3, 4)      # of byte n-grams, counting the space at either end
 HASH_BITS = 16
 BLOCK = 128
+CHUNK = 1 << 19         # bytes of which n-grams are summed at a time
+MAX_LABELS = 64
 #: Fixed: after lower-casing, ASCII other than a-z separates words.
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LEXICON_WORD = r"[\p{L}\p{M}]+"
@@ -79,10 +82,19 @@ class Crf:
     def emissions(self, words: Words) -> np.ndarray:
         out = np.zeros((len(words.first), len(self.labels)))
         for order in ORDERS:
-            sums = np.zeros((len(words.data) - order + 2, len(self.labels)))
-            np.cumsum(self.grams[_hashes(words.data, order)], axis=0, dtype=np.float64, out=sums[1:])
             a, b = _ranges(words, order)
-            out += sums[b] - sums[a]
+            base = np.zeros(len(self.labels))  # the sum of all n-grams before the chunk
+            for at in range(0, len(words.data) - order + 1, CHUNK):
+                h = _hashes(words.data[at:at + CHUNK + order - 1], order)
+                sums = np.empty((len(h) + 1, len(self.labels)))
+                sums[0] = 0
+                np.cumsum(self.grams[h], axis=0, dtype=np.float64, out=sums[1:])
+                sums += base
+                last = at + len(h) + 1 if at + CHUNK + order > len(words.data) else at + len(h)
+                for ends, sign in ((a, -1), (b, 1)):
+                    here = slice(*np.searchsorted(ends, [at, last]))
+                    out[here] += sign * sums[ends[here] - at]
+                base = sums[-1]
         return out + (self.member @ self.lex)[self.kinds(words)] + self.bias
 
     def kinds(self, words: Words) -> np.ndarray:
@@ -154,6 +166,25 @@ class Crf:
         log_z = np.log(scale.reshape(-1)[:n]).sum() + top.sum()
         return gamma, both, first, log_z
 
+    def passage(self, emissions: np.ndarray) -> np.ndarray:
+        """The product of the steps into and through the words (labels before
+        x labels of the last), up to a factor."""
+        n, k = emissions.shape
+        e = np.exp(emissions - emissions.max(axis=1, keepdims=True))
+        blocks = -(-n // BLOCK)
+        e = np.concatenate([e, np.ones((blocks * BLOCK - n, k))]).reshape(blocks, BLOCK, k)
+        live = (np.arange(blocks * BLOCK) < n).reshape(blocks, BLOCK)
+        step = np.exp(self.move)
+        whole = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
+        for t in range(BLOCK):
+            whole = np.where(live[:, t, None, None], whole @ step * e[:, t, None, :], whole)
+            whole /= whole.max(axis=(1, 2), keepdims=True)
+        total = np.eye(k)
+        for b in range(blocks):
+            total = total @ whole[b]
+            total /= total.max()
+        return total
+
 
 def train(chains: list[list[tuple[str, str]]], lexicon: dict[str, list[str]], labels: list[str],
           rounds: int = 40, rate: float = 0.15, decay: float = 1e-4) -> Crf:
@@ -222,31 +253,37 @@ def chains_from(stretches: list[tuple[str, str]], seed: int, longest: int = 5) -
 
 
 def lexicons(df: DataFrame, text: str, lang: str, size: int) -> dict[str, list[str]]:
-    """The ``size`` most frequent words of each language, counted over all of
-    ``df``; ties in the words' order."""
-    counts = materialize(
-        df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(
-            F.lower(F.col(text)), F.lit(_LEXICON_WORD), 0)).alias("w"))
-        .groupBy("lang", "w").agg(F.count("*").alias("n")).filter("n > 1"), "langid-words")
-    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
-    return {one: most_frequent(counts.filter(F.col("lang") == one), "w", "n", size) for one in langs}
+    """The ``size`` most frequent words of each language of ``df`` (a bounded
+    number), counted over all rows; ties in the words' order."""
+    counts = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(
+        F.lower(F.col(text)), F.lit(_LEXICON_WORD), 0)).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "w")  # cut to `size` in each task before the shuffle
+    top = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= size)
+    found: dict[str, list[str]] = {}
+    for r in top.orderBy("lang", "r").select("lang", "w").collect():
+        found.setdefault(r.lang, []).append(r.w)
+    return found
 
 
 def fit(df: DataFrame, text: str, lang: str, key: str, sample: int = 2000, stretch: int = 40,
-        lexicon: int = 1000, seed: int = 7) -> Crf:
+        lexicon: int = 1000, max_labels: int = MAX_LABELS, seed: int = 7) -> Crf:
     """Learn a :class:`Crf` from the rows of ``df`` with text and language.
 
     The lexicons are counted over all rows.  The weights are fitted on about
     ``sample`` rows (four times as many at most), shared out evenly over the
     languages and picked by a hash of key and text; of each, ``stretch`` words
-    from a hashed place are used.  Stretches are joined to chains across
-    languages.
+    from a hashed place are used, so that one long text does not outweigh the
+    others and the driver's memory has a bound.  Stretches are joined to
+    chains across languages.  The ``max_labels`` languages of most rows (ties
+    by name) are learned; transitions grow with their square.
     """
     rows = df.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("lang"),
                      F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string"), F.lit(seed)).alias("h")).filter(
         F.col("t").isNotNull() & F.col("lang").isNotNull())
-    totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(
+        max_labels).collect()}
     labels = sorted(totals)
+    rows = rows.filter(F.col("lang").isin(labels)) if labels else rows
     if not labels:
         return Crf([])
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, sample / len(labels) / totals[x]))) for x in labels])
@@ -268,10 +305,60 @@ def fit(df: DataFrame, text: str, lang: str, key: str, sample: int = 2000, stret
     return train(chains_from(got, seed), lexicons(rows, "t", "lang", lexicon), labels)
 
 
-def label_texts(crf: Crf, texts: list[str | None], group_bytes: int = 1 << 18
-                ) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """For each text its words and their label posteriors (words x labels)."""
-    group, size = [], 0
+def _cut(buffer: bytes, size: int) -> list[bytes]:
+    """The buffer in slices of about ``size`` bytes that end between words."""
+    out, at = [], 0
+    while at < len(buffer):
+        to = buffer.find(b" ", at + size)
+        to = len(buffer) if to < 0 else to
+        out.append(buffer[at:to])
+        at = to
+    return out
+
+
+def _label_slices(crf: Crf, buffer: bytes, size: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and posteriors of one long text, slice by slice.
+
+    A first pass keeps of each slice only how labels before it lead to labels
+    at its end; from these follow the messages into each slice and back out of
+    the next, which the second pass adds to its first and last word.  The
+    posteriors are those of the whole text.
+    """
+    def emissions(piece: bytes) -> tuple[Words, np.ndarray]:
+        words = Words.of([piece])
+        return words, crf.emissions(words)
+    pieces = [p for p in _cut(buffer, size) if p.strip()]
+    forth, through = [], []
+    for i, p in enumerate(pieces):
+        e = emissions(p)[1]
+        if i == 0:
+            a = np.exp(crf.start + e[0] - e[0].max())
+            a = a @ crf.passage(e[1:]) if len(e) > 1 else a
+        else:
+            through.append(crf.passage(e))
+            a = forth[-1] @ through[-1]
+        forth.append(a / a.sum())
+    back = [np.ones(len(crf.labels))]
+    for w in reversed(through):
+        z = w @ back[-1]
+        back.append(z / z.max())
+    back.reverse()
+    tiny = np.finfo(float).tiny
+    for i, p in enumerate(pieces):
+        words, e = emissions(p)
+        if i:
+            e[0] += np.log(forth[i - 1] @ np.exp(crf.move) + tiny) - crf.start
+        e[-1] += np.log(back[i] + tiny)
+        yield words.spelled, crf.marginals(e, np.array([0]))
+
+
+def label_texts(crf: Crf, texts: list[str | None], group_bytes: int | None = None
+                ) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """``(number of the text, words, their label posteriors)``, in order.  A
+    text longer than a group comes in several consecutive parts, so memory
+    beyond its own is that of a group."""
+    group_bytes = group_bytes or max(1 << 12, (1 << 20) // max(4, len(crf.labels)))
+    group, size, first = [], 0, 0
 
     def flush():
         words = Words.of(group)
@@ -281,18 +368,39 @@ def label_texts(crf: Crf, texts: list[str | None], group_bytes: int = 1 << 18
         else:
             gamma = np.empty((0, len(crf.labels)))
         cuts = np.searchsorted(words.text, np.arange(len(group) + 1))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield words.spelled[a:b], gamma[a:b]
-    for t in texts:
-        group.append(_buffer(t or ""))
-        size += len(group[-1])
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            yield first + i, words.spelled[a:b], gamma[a:b]
+    for i, t in enumerate(texts):
+        buffer = _buffer(t or "")
+        if size + len(buffer) > 2 * group_bytes and group:
+            yield from flush()
+            group, size, first = [], 0, i
+        if len(buffer) > 2 * group_bytes:
+            if not buffer.strip():
+                yield i, [], np.empty((0, len(crf.labels)))
+            else:
+                yield from ((i, *part) for part in _label_slices(crf, buffer, group_bytes))
+            first = i + 1
+            continue
+        group.append(buffer)
+        size += len(buffer)
         if size > group_bytes:
             yield from flush()
-            group, size = [], 0
+            group, size, first = [], 0, i + 1
     if group:
         yield from flush()
 
 
+def _add_runs(runs: list[list[int]], tags: np.ndarray) -> None:
+    """Append stretches ``[tag, words]``; an equal tag goes on the last one."""
+    bounds = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), len(tags)]
+    for a, z in zip(bounds, bounds[1:]):
+        if runs and runs[-1][0] == tags[a]:
+            runs[-1][1] += z - a
+        else:
+            runs.append([int(tags[a]), z - a])
+
+
 def identify(df: DataFrame, key: str, text: str, crf: Crf, with_words: bool = False,
              with_text: bool = False) -> DataFrame:
     """``(key, lang_pred, score)`` for every whole text; with ``with_words``
@@ -303,8 +411,8 @@ def identify(df: DataFrame, key: str, text: str, crf: Crf, with_words: bool = Fa
     columns, to carry whole rows along; ``with_text`` also passes the text on,
     as ``text``.
 
-    Defined cases: a null text or one without a letter is ``und`` with score
-    0; so is everything if ``crf`` has no labels; ties go to the first label;
+    Defined cases: very long texts are labelled whole, slice by slice; a null
+    text or one without a letter is ``und`` with score 0; so is everything if ``crf`` has no labels; ties go to the first label;
     repeated rows and null keys each get their row; an empty table gives no
     rows; other columns are ignored.
     """
@@ -316,22 +424,28 @@ def identify(df: DataFrame, key: str, text: str, crf: Crf, with_words: bool = Fa
         for b in slices(batches):
             texts = b.column(1).to_pylist()
             preds, scores, runs = [], [], []
-            for t, (words, gamma) in zip(texts, label_texts(m, texts) if m.labels else (([], None) for _ in texts)):
-                lettered = words and any(w[0] < 128 for w in words) or (words and any(c.isalpha() for c in t))
-                if not lettered:
+            found = groupby(label_texts(m, texts) if m.labels else ((i, [], None) for i in range(len(texts))),
+                            key=lambda x: x[0])
+            for i, parts in found:
+                total, n, lettered, tags = np.zeros(len(m.labels)), 0, False, []
+                for _, words, gamma in parts:
+                    if not words:
+                        continue
+                    total, n = total + gamma.sum(axis=0), n + len(words)
+                    lettered = lettered or any(w[0] < 128 for w in words)
+                    if with_words:
+                        _add_runs(tags, gamma.argmax(axis=1))
+                if not (lettered or n and any(c.isalpha() for c in texts[i])):
                     preds.append("und")
                     scores.append(0.0)
                     runs.append([])
                     continue
-                mean = gamma.mean(axis=0)
+                mean = total / n
                 best = int(mean.argmax())
                 preds.append(m.labels[best])
                 scores.append(min(1.0, max(0.0, float(mean[best]))))
                 if with_words:
-                    tags = gamma.argmax(axis=1)
-                    cuts = np.flatnonzero(np.diff(tags)) + 1
-                    bounds = [0, *cuts.tolist(), len(tags)]
-                    runs.append([{"lang": m.labels[tags[a]], "words": z - a} for a, z in zip(bounds, bounds[1:])])
+                    runs.append([{"lang": m.labels[tag], "words": k} for tag, k in tags])
             cols = [b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             if with_words:
                 cols.append(pa.array(runs, runs_type))

@@ -52,6 +52,48 @@ def test_long_text_does_not_underflow():
     assert np.isfinite(g).all() and np.allclose(g.sum(axis=1), 1)
 
 
+def random_crf(labels=3, seed=4):
+    rng = np.random.default_rng(seed)
+    crf = L.Crf([chr(97 + i) for i in range(labels)])
+    crf.grams = rng.normal(size=(1 << L.HASH_BITS, labels)).astype(np.float32) * 0.3
+    crf.lex, crf.bias, crf.member = np.zeros((labels, labels)), rng.normal(size=labels), np.zeros((1, labels))
+    crf.move, crf.start = rng.normal(size=(labels, labels)) * 2, rng.normal(size=labels)
+    return crf, rng
+
+
+def test_slices_of_a_long_text_have_the_posteriors_of_the_whole(monkeypatch):
+    crf, rng = random_crf()
+    long = " ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 8))) for _ in range(900))
+    texts = ["ab cd", None, long, "", "!!" * 900, "x" * 3000 + " ab", "de " * 5, long[:700]]
+
+    def merged(group):
+        out = {}
+        for i, words, gamma in L.label_texts(crf, texts, group):
+            w, g = out.get(i, ([], np.empty((0, 3))))
+            out[i] = (w + words, np.concatenate([g, gamma]))
+        return out
+    whole = merged(1 << 20)
+    assert list(whole) == list(range(len(texts)))
+    for group in (40, 333, 2000):
+        for chunk in (64, 1 << 19):
+            monkeypatch.setattr(L, "CHUNK", chunk)
+            got = merged(group)
+            assert list(got) == list(whole)
+            for i, (words, gamma) in whole.items():
+                assert got[i][0] == words and np.allclose(got[i][1], gamma, atol=1e-8)
+
+
+def test_memory_of_a_long_text_is_that_of_a_slice():
+    import tracemalloc
+    crf, _ = random_crf(4)
+    text = "some words of a text and more " * 200_000  # 6 MB
+    tracemalloc.start()
+    n = sum(len(words) for _, words, _ in L.label_texts(crf, [text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1_400_000 and peak < (60 << 20)
+
+
 def test_words_and_grams():
     w = L.Words.of([L._buffer("Ab, c"), b"", L._buffer("Éa 1")])
     assert w.spelled == [b"ab", b"c", "éa".encode()] and w.text.tolist() == [0, 0, 2]
@@ -77,6 +119,11 @@ def test_code_switching_and_edge_rows(spark):
     long = [r.lang for r in got[1].runs if r.words >= 10]
     assert long[0] == "de" and long[-1] == "fr"
     assert L.identify(df.limit(0), "d", "t", crf).count() == 0
+    two = L.fit(docs, "text", "lang", "doc_id", sample=100, lexicon=20, max_labels=2)
+    assert len(two.labels) == 2 and "en" in two.labels
+    tiny = L.fit(spark.createDataFrame([("one two", "en", 1), ("uno dos", "es", 2)], "text string, lang string, d int"),
+                 "text", "lang", "d")
+    assert set(tiny.lexicon) == {b"one", b"two", b"uno", b"dos"}  # words seen once are known too
     none = L.fit(df.withColumn("lang", L.F.lit(None).cast("string")), "t", "lang", "d")
     assert {r.lang_pred for r in L.identify(df, "d", "t", none).collect()} == {"und"}
 
