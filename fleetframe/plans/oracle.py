@@ -228,8 +228,9 @@ WITH f AS (SELECT d || '/' || n AS file, (row_number() OVER (ORDER BY i, j))::BI
   (SELECT unnest(['/etc/hadoop', '/opt/ozone/conf/om', '/opt/ozone/conf/scm', '/opt/ozone/conf/datanode',
     '/opt/ozone/conf/recon', '/opt/ozone/conf/s3g', '/opt/ozone/conf/httpfs', '/opt/ozone/etc/hadoop']) AS d, unnest(range(8)) AS i),
   (SELECT unnest(['core-site.xml', 'ozone-site.xml', 'log4j.properties']) AS n, unnest(range(3)) AS j)),
-e AS (SELECT file, k * 10 AS size FROM f JOIN part ON p_partkey = k - 1),
-s AS (SELECT DISTINCT 'n' || s_nationkey AS host, file, CASE WHEN s_acctbal > 0 THEN k * 10 ELSE 0 END AS size
+e AS (SELECT file, (sum(p_size) % 5 * 10 + 10)::BIGINT AS size FROM f JOIN part ON k = p_partkey % 24 + 1 GROUP BY file),
+s AS (SELECT DISTINCT 'n' || s_nationkey AS host, file,
+             CASE WHEN s_acctbal > 0 THEN s_suppkey % 5 * 10 + 10 ELSE 0 END AS size
       FROM supplier JOIN f ON k = s_suppkey % 24 + 1),
 t AS (SELECT 'n' || n_nationkey AS host, file FROM nation, f)
 SELECT host, file, s.size AS actual_size, e.size AS expected_size,

@@ -1,9 +1,10 @@
 """Site-property generation for many clusters at once.
 
-Flow: parsed configuration -> last assignment wins (W6) -> service host
-lists with defaults (P2) -> one row per (cluster, service, pos, host) (P3/P4)
--> host counts and ordered lists (A1/A2) -> HA or single-node property rows
-per service (A10) + the common properties, all as one ``unionByName``.
+Flow: parsed configuration -> last assignment wins (W6) -> one row per
+cluster with the few values that matter -> service host lists with defaults
+(P2-P4), host counts and lists (A1/A2), HA or single-node property rows per
+service (A10) and the common properties: one array a cluster, exploded once.
+The configuration is read once and shuffled by (cluster, key) and cluster.
 """
 
 from __future__ import annotations
@@ -78,23 +79,62 @@ def explode_list(df: DataFrame, col: str, sep: str = ",", pos: str = "pos",
     return e
 
 
+def _settings(conf: DataFrame, source: str, keys: Sequence[str]) -> DataFrame:
+    """``(source, _ff_v)``: the last values of ``keys`` in every source, as a
+    map.  Other keys only show that the source is there; they fall together
+    before the shuffle, and a map has at most ``len(keys)`` entries."""
+    known = conf.select(source, F.when(F.col("key").isin(list(keys)), F.col("key")).alias("key"), "value", "line_no")
+    pair = F.when(F.col("key").isNotNull() & F.col("value").isNotNull(), F.struct("key", "value"))
+    return (last_wins(known, source=source).groupBy(source)
+            .agg(F.map_from_entries(F.collect_list(pair)).alias("_ff_v")))
+
+
+def _setting(key: str) -> Column:
+    return F.try_element_at(F.col("_ff_v"), F.lit(key))
+
+
+def _host_list(service: str) -> Column:
+    """A service's comma list with its default."""
+    return fill_placement(_setting(SERVICE_KEYS[service]), _setting(CLUSTER_KEY), service in ALL_HOSTS_SERVICES)
+
+
+def _hosts(listed: Column) -> Column:
+    """The hosts of a comma list, cleaned (P3, P4); empty ones go."""
+    return F.filter(F.transform(F.split(F.coalesce(listed, F.lit("")), ",", -1), norm_host), lambda h: h != "")
+
+
 def placement_from_conf(conf: DataFrame, source: str = "source") -> DataFrame:
     """Configuration rows ``(source, line_no, key, value)`` -> placement rows
     ``(source, service, pos, host)`` with P2 defaults applied."""
-    conf = last_wins(conf, source=source)
-    spark = conf.sparkSession
-    svc = F.broadcast(spark.createDataFrame(
-        [(k, s, s in ALL_HOSTS_SERVICES) for s, k in SERVICE_KEYS.items()],
-        "key string, service string, _ff_all boolean"))
-    sources = conf.select(source).distinct()
-    cluster = (conf.where(F.col("key") == CLUSTER_KEY)
-                   .select(source, F.col("value").alias("_ff_cluster")))
-    lists = (sources.crossJoin(svc)
-                    .join(conf.select(source, "key", "value"), [source, "key"], "left")
-                    .join(cluster, source, "left"))
-    filled = lists.withColumn("hosts", fill_placement(F.col("value"), F.col("_ff_cluster"),
-                                                      F.col("_ff_all")))
-    return explode_list(filled.select(source, "service", "hosts"), "hosts").drop("hosts")
+    lists = F.array(*[F.struct(F.lit(s).alias("service"), _host_list(s).alias("hosts")) for s in SERVICE_KEYS])
+    placed = _settings(conf, source, [CLUSTER_KEY, *SERVICE_KEYS.values()]).select(source, F.explode(lists).alias("_ff_s"))
+    return explode_list(placed.select(source, "_ff_s.service", "_ff_s.hosts"), "hosts").drop("hosts")
+
+
+def _prop(name: Column | str, value: Column, description: Column | str) -> Column:
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(lit(name).alias("name"), value.alias("value"), lit(description).alias("description"))
+
+
+def _group_rows(prefix: str, sid: Column, joined: Column, n: Column, single: str) -> Column:
+    """The rows that a service has once: ids and node list if there are
+    several hosts, else its name."""
+    svc = prefix.split(".")[-1].upper()
+    ha = F.array(_prop(f"{prefix}.service.ids", sid, f"{svc} service IDs"),
+                 _prop(F.concat(F.lit(f"{prefix}.nodes."), sid), joined, F.concat(F.lit(f"{svc} nodes for service "), sid)))
+    if single == "scm":
+        one = F.array(_prop(f"{prefix}.names", joined, "The hostname or IP address of the Storage Container Manager"),
+                      _prop(f"{prefix}.client.address", F.concat(joined, F.lit(f":{SCM_CLIENT_PORT}")),
+                            "The address and port for the SCM client"))
+    else:
+        one = F.array(_prop(f"{prefix}.address", joined, "The hostname or IP address of the Ozone Manager"))
+    return F.when(n > 1, ha).otherwise(one)
+
+
+def _address(prefix: str, sid: Column, host: Column) -> Column:
+    svc = prefix.split(".")[-1].upper()
+    return _prop(F.concat(F.lit(f"{prefix}.address."), sid, F.lit("."), host), host,
+                 F.concat(F.lit(f"{svc} address for "), host, F.lit(" in service "), sid))
 
 
 def service_props(placement: DataFrame, keys: Sequence[str], prefix: str,
@@ -117,38 +157,15 @@ def service_props(placement: DataFrame, keys: Sequence[str], prefix: str,
     keys = list(keys)
     g = (ordered_list(placement, keys, pos, host, out="_ff_hosts", count_out="_ff_n")
          .withColumn("_ff_sid", service_id))
-    sid, joined = F.col("_ff_sid"), F.col("_ff_hosts")
-    svc = prefix.split(".")[-1].upper()
-
-    def prop(name, value, description):
-        return F.struct(name.alias("name"), value.alias("value"), description.alias("description"))
-
-    ha_rows = F.array(prop(F.lit(f"{prefix}.service.ids"), sid, F.lit(f"{svc} service IDs")),
-                      prop(F.concat(F.lit(f"{prefix}.nodes."), sid), joined,
-                           F.concat(F.lit(f"{svc} nodes for service "), sid)))
-    if single == "scm":
-        one_rows = F.array(
-            prop(F.lit(f"{prefix}.names"), joined,
-                 F.lit("The hostname or IP address of the Storage Container Manager")),
-            prop(F.lit(f"{prefix}.client.address"), F.concat(joined, F.lit(f":{SCM_CLIENT_PORT}")),
-                 F.lit("The address and port for the SCM client")))
-    else:
-        one_rows = F.array(prop(F.lit(f"{prefix}.address"), joined,
-                                F.lit("The hostname or IP address of the Ozone Manager")))
-    group_rows = (g.select(*keys, F.explode(F.when(F.col("_ff_n") > 1, ha_rows).otherwise(one_rows))
-                           .alias("_ff_p"))
-                   .select(*keys, "_ff_p.name", "_ff_p.value", "_ff_p.description"))
+    sid = F.col("_ff_sid")
+    rows = _group_rows(prefix, sid, F.col("_ff_hosts"), F.col("_ff_n"), single)
+    group_rows = g.select(*keys, F.inline(rows))
     h = F.col(host).cast("string")
     ha = g.where(F.col("_ff_n") > 1).select(*[F.col(k).alias(f"_ff_g{i}") for i, k in enumerate(keys)], "_ff_sid")
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & placement[k].eqNullSafe(ha[f"_ff_g{i}"])
-    address_rows = (placement.join(ha, same)
-                             .select(*keys,
-                                     F.concat(F.lit(f"{prefix}.address."), sid, F.lit("."), h).alias("name"),
-                                     h.alias("value"),
-                                     F.concat(F.lit(f"{svc} address for "), h, F.lit(" in service "),
-                                              sid).alias("description")))
+    address_rows = placement.join(ha, same).select(*keys, F.inline(F.array(_address(prefix, sid, h))))
     return group_rows.unionByName(address_rows)
 
 
@@ -158,38 +175,29 @@ def site_properties(conf: DataFrame, source: str = "source") -> DataFrame:
 
     What a configuration leaves out is written empty: a service id, a host
     list without hosts, and each of the common properties has its row in
-    every configuration.
+    every configuration.  One pass: a configuration's host lists are values
+    of its own rows, so its properties are one array, made in a projection
+    over one row and exploded.
     """
-    latest = last_wins(conf, source=source)
-    spark = conf.sparkSession
-    sources = latest.select(source).distinct()
-    ids = (latest.groupBy(source)
-                 .agg(F.max(F.when(F.col("key") == OM_SERVICE_ID_KEY, F.col("value"))).alias("_ff_om"),
-                      F.max(F.when(F.col("key") == SCM_SERVICE_ID_KEY, F.col("value"))).alias("_ff_scm"))
-                 .select(source, F.coalesce("_ff_om", F.lit("")).alias("_ff_om_id"),
-                         F.coalesce("_ff_scm", F.lit("")).alias("_ff_scm_id")))
-    placed = placement_from_conf(conf, source).where(F.col("service").isin("scm", "om", "recon"))
-    wanted = sources.crossJoin(F.broadcast(spark.createDataFrame([("scm",), ("om",), ("recon",)], "service string")))
-    empty = wanted.join(placed.select(source, "service").distinct(), [source, "service"], "left_anti").select(
-        source, "service", F.lit(0).alias("pos"), F.lit("").alias("host"))
-    p = placed.select(source, "service", "pos", "host").unionByName(empty).join(ids, source)
-    # the service id is constant per source; it rides along as a group key
-    scm = service_props(p.where(F.col("service") == "scm"), [source, "_ff_scm_id"], "ozone.scm",
-                        F.col("_ff_scm_id"), single="scm").drop("_ff_scm_id")
-    om = service_props(p.where(F.col("service") == "om"), [source, "_ff_om_id"], "ozone.om",
-                       F.col("_ff_om_id"), single="om").drop("_ff_om_id")
-    recon = (p.where((F.col("service") == "recon") & (F.col("pos") == 0))
-              .select(source, F.lit("ozone.recon.address").alias("name"), F.col("host").alias("value"),
-                      F.lit("The hostname or IP address of Recon").alias("description")))
-    common_map = F.broadcast(spark.createDataFrame(COMMON_FROM_CONF, "name string, key string, description string"))
-    common = (sources.crossJoin(common_map).join(latest.select(source, "key", "value"), [source, "key"], "left")
-              .select(source, "name", F.coalesce("value", F.lit("")).alias("value"), "description"))
-    fixed = sources.crossJoin(F.broadcast(spark.createDataFrame(
-        COMMON_FIXED, "name string, value string, description string")))
-    out = scm
-    for part in (om, recon, common, fixed):
-        out = out.unionByName(part)
-    return out
+    keys = [CLUSTER_KEY, *(SERVICE_KEYS[s] for s in ("scm", "om", "recon")), OM_SERVICE_ID_KEY, SCM_SERVICE_ID_KEY,
+            *(key for _, key, _ in COMMON_FROM_CONF)]
+    setting = lambda key: F.coalesce(_setting(key), F.lit(""))
+    # columns of their own: each is used several times below
+    d = _settings(conf, source, keys).select(
+        source, "_ff_v", setting(SCM_SERVICE_ID_KEY).alias("_ff_scm_id"), setting(OM_SERVICE_ID_KEY).alias("_ff_om_id"),
+        _hosts(_host_list("scm")).alias("_ff_scm"), _hosts(_host_list("om")).alias("_ff_om"),
+        norm_host(F.get(F.split(F.coalesce(_host_list("recon"), F.lit("")), ",", -1), 0)).alias("_ff_recon"))
+
+    def service(name: str) -> list[Column]:
+        prefix, hosts, sid = f"ozone.{name}", F.col(f"_ff_{name}"), F.col(f"_ff_{name}_id")
+        each = F.transform(hosts, lambda h: _address(prefix, sid, h))
+        return [_group_rows(prefix, sid, F.array_join(hosts, ","), F.size(hosts), name),
+                F.when(F.size(hosts) > 1, each).otherwise(F.slice(each, 1, 0))]
+    rest = F.array(
+        _prop("ozone.recon.address", F.col("_ff_recon"), "The hostname or IP address of Recon"),
+        *[_prop(name, setting(key), text) for name, key, text in COMMON_FROM_CONF],
+        *[_prop(name, F.lit(value), text) for name, value, text in COMMON_FIXED])
+    return d.select(source, F.inline(F.concat(*service("scm"), *service("om"), rest)))
 
 
 def core_site_properties(conf: DataFrame, source: str = "source") -> DataFrame:
