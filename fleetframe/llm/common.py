@@ -55,6 +55,15 @@ def prefix_offsets(totals: DataFrame, part: str, amounts: list[str], by: list[st
         F.coalesce(F.sum(a).over(w), F.lit(0)).cast("long").alias(f"{a}_before") for a in amounts])
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow carry ``rows`` rows at a time between Spark and Python, unless
+    the session names another number: whole texts can be long, and Spark holds
+    a batch of every task outside of its heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows``, without copying: what a task
     makes of a batch of long texts is then handed on piece by piece."""
@@ -82,4 +91,4 @@ def most_frequent(counts: DataFrame, word: str, n: str, size: int) -> list[str]:
     return [r[0] for r in top.select(word).collect()]
 
 
-__all__ = ["table", "schema_of", "numbered", "discard", "scratch_scope", "prefix_offsets", "most_frequent", "slices", "materialize", "scratch_path"]
+__all__ = ["table", "schema_of", "numbered", "short_batches", "discard", "scratch_scope", "prefix_offsets", "most_frequent", "slices", "materialize", "scratch_path"]

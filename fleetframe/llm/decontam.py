@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, schema_of, slices, table
+from fleetframe.llm.common import discard, materialize, schema_of, short_batches, slices, table
 
 #: Fixed: A-Z become a-z; other ASCII but digits and a-z separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -197,13 +197,16 @@ def match_items(df: DataFrame, key: str, text: str, items: DataFrame, item_key:
     source = items.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).cast("string").alias("t"))
     size = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // (6 * max_words)))  # words take six bytes or so
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    out, before = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), None
+    short_batches(spark)
     for p in range(parts):
         mine = source.filter(F.pmod(F.xxhash64("k", "t"), F.lit(parts)) == p).collect()
         automaton = spark.sparkContext.broadcast(
             ItemAutomaton(sorted(((r.k, normal_words(r.t)) for r in mine), key=lambda x: (x[0] or "", x[1])), window))
-        if p:
+        if p:  # one table at a time holds what is found so far
             out = materialize(out, "decontam-pass")
+            discard(before)
+            before = out
         out = out.mapInArrow(_scan(automaton, p == 0), fields)
     return out.withColumnRenamed("text", text).withColumnRenamed("key", key)
 

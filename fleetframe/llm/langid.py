@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import schema_of, slices, table
+from fleetframe.llm.common import schema_of, short_batches, slices, table
 
 ORDERS = (2, 3, 4)      # of byte n-grams, counting the space at either end
 HASH_BITS = 16
@@ -277,6 +277,7 @@ def fit(df: DataFrame, text: str, lang: str, key: str, sample: int = 2000, stret
     chains across languages.  The ``max_labels`` languages of most rows (ties
     by name) are learned; transitions grow with their square.
     """
+    short_batches(df.sparkSession)
     rows = df.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("lang"),
                      F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string"), F.lit(seed)).alias("h")).filter(
         F.col("t").isNotNull() & F.col("lang").isNotNull())
@@ -416,6 +417,7 @@ def identify(df: DataFrame, key: str, text: str, crf: Crf, with_words: bool = Fa
     repeated rows and null keys each get their row; an empty table gives no
     rows; other columns are ignored.
     """
+    short_batches(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(crf)
     runs_type = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import materialize, prefix_offsets, slices, table
+from fleetframe.llm.common import materialize, prefix_offsets, short_batches, slices, table
 from fleetframe.llm.tokens import encoder
 
 
@@ -153,6 +153,7 @@ def pack(df: DataFrame, key: str, text: str, tokenizer: str, window: int = 4096,
     if window < 1:
         raise ValueError("the window must hold a token")
     spark = df.sparkSession
+    short_batches(spark)
     kind = df.schema[key].dataType.simpleString()
     pieces = materialize(
         df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import discard, materialize, schema_of, slices, table
+from fleetframe.llm.common import discard, materialize, schema_of, short_batches, slices, table
 from fleetframe.llm.components import connected_components
 
 HASH_SEED = 42
@@ -57,6 +57,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """``(key, fp)``: the fingerprint of every whole text as a signed long."""
+    short_batches(df.sparkSession)
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
         _fingerprints(shingle), schema_of(df.schema[key], "fp long"))
 

@@ -66,7 +66,7 @@ class Encoder:
     """
     LONGEST = 256
 
-    def __init__(self, path: str, keep_pieces: int = 600_000):
+    def __init__(self, path: str, keep_pieces: int = 300_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -91,9 +91,9 @@ class Encoder:
 
     def _forget(self) -> None:
         self._seen = np.empty(0, np.uint64)                   # hashes, sorted
-        self._first = self._count = np.empty(0, np.int64)     # where in _flat, and how many
+        self._first = self._count = np.empty(0, np.int32)     # where in _flat, and how many
         self._flat = np.empty(0, np.uint32)
-        self._spelled = np.empty(0, np.int64)                 # where in _letters
+        self._spelled = np.empty(0, np.int32)                 # where in _letters
         self._letters = np.empty(0, np.uint16)
 
     def _powers(self, n: int) -> None:
@@ -222,7 +222,7 @@ class Encoder:
                 last = end
             yield [*out, part[last:]]
 
-    def encode(self, texts: list[str], group_chars: int = 1 << 18) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str], group_chars: int = 1 << 17) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text, in order; about ``group_chars`` of
         text are in work at a time."""
         if not self.by_piece:
