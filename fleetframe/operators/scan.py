@@ -2,34 +2,29 @@
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of one key to
 one task.  When one host, file or cluster holds a third of all rows that task
-holds a third of the data.  :func:`running` instead splits every key into
-*chunks* - a monotone bucket of the ordering value (for example
-``floor(line_no / 100000)`` or ``floor(epoch_seconds / 86400)``) - and
-
-1. evaluates the window inside each ``(key, chunk)`` (bounded size, spread
-   over many tasks, one shuffle of the input),
-2. reduces every chunk to a one-row summary: row count and sums by a
-   partial (map-side) hash aggregate; the last non-null carried value from
-   only the rows that carry one (a descending row number per chunk),
-3. runs a prefix window over the summaries of each key (one row per chunk,
-   so even a hot key has few rows there),
-4. joins the prefix back on ``(key, chunk)``; the big side keeps its
-   partitioning, only the summary side is shuffled (or broadcast by AQE).
-
-Results are exact: a chunk boundary never splits rows that compare equal on
-the order, because the chunk is a function of the order value.
-
-The input is read twice: wide for the local scan (one shuffle) and narrow -
-only key, order and value columns - for the chunk summaries, whose counts
-and sums are combined map-side so their shuffle is tiny.  When the input is an expensive
-plan (a large join), write it once with :func:`fleetframe.session.materialize`
-before the scan.
+holds a third of the data.  :func:`running` is a segmented prefix scan
+instead.  It
+
+1. splits every key into *chunks* - a monotone bucket of the ordering value
+   (for example ``floor(line_no / 100000)`` or a day) - and counts the rows of
+   each; chunks with more than ``most`` rows, and only those, are cut further
+   by a range partitioning of their rows (Spark samples the cuts);
+2. evaluates the windows inside each piece (bounded size, spread over many
+   tasks, one shuffle of the input) and writes the rows once;
+3. reads back the last row of each piece, which holds the piece's count, sums
+   and carried values all together, and adds these up over the pieces of each
+   key (one row a piece).  Only keys of several pieces need this;
+4. reads the rows once more and adds what comes before their piece.  Keys of
+   one piece have no row in that table, so it is small and Spark broadcasts
+   it; the rows are not shuffled again.
+
+Results are exact: a cut never splits rows that compare equal on the order,
+because chunks and ranges are functions of the order value.
 
 Each key becomes two plain columns, ``coalesce(key, typed default)`` and
 ``isnull(key)``: rows whose key is null form a group of their own and survive
-the equi-join (a null-safe join would force a second shuffle of the big
-side), while hashing and sorting stay on primitive columns (a ``struct`` key
-makes both markedly slower).
+the equi-join, while hashing and sorting stay on primitive columns (a
+``struct`` key makes both markedly slower).
 """
 
 from __future__ import annotations
@@ -43,6 +38,9 @@ from fleetframe.functions.time import epoch_micros
 from fleetframe.session import materialize
 
 _CHUNK = "_ff_chunk"
+_SUB = "_ff_sub"
+#: Rows of a chunk beyond which it is cut further.
+HOT_ROWS = 1 << 18
 _DEFAULTS = {"string": "", "boolean": False}
 _LOWEST_CHUNK = -(2 ** 62)
 
@@ -103,6 +101,23 @@ def by_volume(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return materialize(cut.withColumn(VOLUME_COLUMN, F.spark_partition_id()), "volume-chunks")
 
 
+def _cut_hot(d: DataFrame, kcols: list[str], order_cols: list[Column], most: int) -> DataFrame:
+    """``d`` with ``_SUB``: 0, or for chunks of more than ``most`` rows the
+    number of a range of about as many rows."""
+    sizes = d.groupBy(*kcols, _CHUNK).agg(F.count(F.lit(1)).alias("_ff_n")).where(F.col("_ff_n") > most)
+    hot = materialize(sizes, "scan-hot")  # at most one row for each `most` rows of input; mostly none
+    rows = hot.agg(F.sum("_ff_n")).first()[0]
+    if not rows:
+        return d.withColumn(_SUB, F.lit(0))
+    pieces = [*kcols, _CHUNK]
+    ranges = (d.join(hot.select(*pieces), pieces, "left_semi")
+              .repartitionByRange(-(-int(rows) * 5 // (most * 4)), *pieces, *order_cols)
+              .withColumn(_SUB, F.spark_partition_id() + 1))
+    # written, as a range's number must not change when a task is run again
+    cut = materialize(ranges.select(*d.columns, _SUB), "scan-cut")
+    return d.join(hot.select(*pieces), pieces, "left_anti").select(*d.columns, F.lit(0).alias(_SUB)).unionByName(cut)
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             chunk: Column, *,
             rank: str | None = None,
@@ -110,7 +125,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             sums: Mapping[str, Column] | None = None,
             carries: Mapping[str, Column] | None = None,
             carries_before: Mapping[str, Column] | None = None,
-            last_rank_where: Mapping[str, Column] | None = None) -> DataFrame:
+            last_rank_where: Mapping[str, Column] | None = None,
+            most: int | None = HOT_ROWS) -> DataFrame:
     """Add ordered-scan columns to ``df``.
 
     Parameters
@@ -125,111 +141,79 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     carries_before: same, but over rows strictly before the current row.
     last_rank_where: ``{name: cond}`` row number of the last row (up to and
             including the current one) where ``cond`` holds.
+    most:   rows of a chunk beyond which it is cut by ranges of the order;
+            None trusts the chunks to be even and spares the counting, as do
+            those of :func:`by_volume`.
+
+    The input is read by two jobs (one without ``most``) before this returns,
+    and written once; the frame returned reads what was written.
     """
     sums = dict(sums or {})
     carries = dict(carries or {})
     carries_before = dict(carries_before or {})
     last_rank_where = dict(last_rank_where or {})
-    need_rank = bool(rank) or bool(total) or bool(last_rank_where)
+    if not (rank or total or sums or carries or carries_before or last_rank_where):
+        return df
     order_cols = _cols(order)
     out_cols = list(df.columns)
 
     key_exprs, kcols = _key_columns(df, keys)
     d = df.select("*", *key_exprs,
                   F.coalesce(chunk.cast("long"), F.lit(_LOWEST_CHUNK)).alias(_CHUNK))
-    w = Window.partitionBy(*kcols, _CHUNK).orderBy(*order_cols)
+    d = _cut_hot(d, kcols, order_cols, most) if most and VOLUME_COLUMN not in out_cols else d.withColumn(_SUB, F.lit(0))
+    pieces = [*kcols, _CHUNK, _SUB]
+    w = Window.partitionBy(*pieces).orderBy(*order_cols)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
 
-    # 1. local (within-chunk) scan
-    local = d
-    if need_rank:
-        local = local.withColumn("_ff_lr", F.row_number().over(w))
+    # the scan inside each piece; all windows share one sort
+    local = {"_ff_lr": F.row_number().over(w).cast("long"), "_ff_last": F.lead(F.lit(1)).over(w).isNull()}
+    if total:
+        local["_ff_all"] = F.count(F.lit(1)).over(Window.partitionBy(*pieces))
     for n, c in sums.items():
-        local = local.withColumn(f"_ff_ls_{n}", F.sum(c).over(upto))
-    for n, c in carries.items():
-        local = local.withColumn(f"_ff_lc_{n}", F.last(c, ignorenulls=True).over(upto))
+        local[f"_ff_s_{n}"] = F.sum(c).over(upto)
+    for n, c in (carries | carries_before).items():
+        local[f"_ff_c_{n}"] = F.last(c, ignorenulls=True).over(upto)
     for n, c in carries_before.items():
-        local = local.withColumn(f"_ff_lb_{n}", F.last(c, ignorenulls=True).over(before))
-    for n, cond in last_rank_where.items():
-        local = local.withColumn(
-            f"_ff_lw_{n}", F.max(F.when(cond, F.col("_ff_lr"))).over(upto))
-
-    # 2. per-chunk summaries, partial-aggregated before the shuffle
-    aggs = []
-    if need_rank:
-        aggs.append(F.count(F.lit(1)).alias("_ff_n"))
-    for n, c in sums.items():
-        aggs.append(F.sum(c).alias(f"_ff_t_{n}"))
-    carry_items = {**carries, **{f"b_{k}": v for k, v in carries_before.items()}}
-    if not aggs and not carry_items:
-        return df
-    # counts and sums: a hash aggregate with primitive buffers
-    summary = d.groupBy(*kcols, _CHUNK).agg(*(aggs or [F.count(F.lit(1)).alias("_ff_n")]))
-    # last non-null value per chunk: only rows carrying a value (headers,
-    # markers) are shuffled, and the last one is picked by a descending
-    # row number - exact, and cheaper than an aggregate keyed on the order
-    # struct, which cannot use a hash buffer and sorts every row
-    last_first = Window.partitionBy(*kcols, _CHUNK).orderBy(*[o.desc() for o in order_cols])
-    for n, c in carry_items.items():
-        last = (d.where(c.isNotNull())
-                 .select(*kcols, _CHUNK, *order_cols, c.alias("_ff_cv"))
-                 .withColumn("_ff_r", F.row_number().over(last_first))
-                 .where(F.col("_ff_r") == 1)
-                 .select(*kcols, _CHUNK, F.col("_ff_cv").alias(f"_ff_c_{n}")))
-        summary = summary.join(last, [*kcols, _CHUNK], "left")
+        local[f"_ff_b_{n}"] = F.last(c, ignorenulls=True).over(before)
+    scanned = d.withColumns(local)
     if last_rank_where:
-        # local row number of the last matching row per chunk; needs the
-        # in-chunk order, so it is computed on a narrow projection.
-        narrow = d.select(*kcols, _CHUNK, *order_cols,
-                          *[cond.alias(f"_ff_m_{n}") for n, cond in last_rank_where.items()])
-        narrow = narrow.withColumn("_ff_lr", F.row_number().over(w))
-        lw = narrow.groupBy(*kcols, _CHUNK).agg(
-            *[F.max(F.when(F.col(f"_ff_m_{n}"), F.col("_ff_lr"))).alias(f"_ff_w_{n}")
-              for n in last_rank_where])
-        summary = summary.join(lw, [*kcols, _CHUNK])
-
-    # 3. prefix over the chunks of each key
-    ws = Window.partitionBy(*kcols).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    pre = [*[F.col(c) for c in kcols], F.col(_CHUNK)]
-    if need_rank:
-        pre.append(F.coalesce(F.sum("_ff_n").over(ws), F.lit(0)).alias("_ff_off"))
-    if total:
-        pre.append(F.sum("_ff_n").over(Window.partitionBy(*kcols)).alias("_ff_total"))
-    for n in sums:
-        pre.append(F.sum(f"_ff_t_{n}").over(ws).alias(f"_ff_ot_{n}"))
-    for n in carries:
-        pre.append(F.last(f"_ff_c_{n}", ignorenulls=True).over(ws).alias(f"_ff_pc_{n}"))
-    for n in carries_before:
-        pre.append(F.last(f"_ff_c_b_{n}", ignorenulls=True).over(ws).alias(f"_ff_pb_{n}"))
-    for n in last_rank_where:
-        pre.append(F.col(f"_ff_w_{n}"))
-    prefix = summary.select(*pre)
+        scanned = scanned.withColumns({f"_ff_w_{n}": F.max(F.when(cond, F.col("_ff_lr"))).over(upto)
+                                       for n, cond in last_rank_where.items()})
+    scanned = materialize(scanned, "scan")
+
+    # what comes before each piece: the last rows of the pieces before it
+    names = [f"_ff_s_{n}" for n in sums], [f"_ff_c_{n}" for n in carries | carries_before], [
+        f"_ff_w_{n}" for n in last_rank_where]
+    last = scanned.where("_ff_last").select(*pieces, "_ff_lr", *names[0], *names[1], *names[2])
+    ws = Window.partitionBy(*kcols).orderBy(_CHUNK, _SUB).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = last.select(
+        *pieces, *names[2], F.count(F.lit(1)).over(Window.partitionBy(*kcols)).alias("_ff_pieces"),
+        F.sum("_ff_lr").over(Window.partitionBy(*kcols)).alias("_ff_total"),
+        F.coalesce(F.sum("_ff_lr").over(ws), F.lit(0)).alias("_ff_off"),
+        *[F.sum(n).over(ws).alias(f"{n}_p") for n in names[0]],
+        *[F.last(n, ignorenulls=True).over(ws).alias(f"{n}_p") for n in names[1]]).where("_ff_pieces > 1")
     if last_rank_where:
-        prefix = prefix.select(
-            "*", *[F.last(F.col("_ff_off") + F.col(f"_ff_w_{n}"), ignorenulls=True)
-                   .over(ws).alias(f"_ff_pw_{n}") for n in last_rank_where])
+        ahead = ahead.select("*", *[F.last(F.col("_ff_off") + F.col(n), ignorenulls=True).over(ws).alias(f"{n}_p")
+                                    for n in names[2]])
+    ahead = materialize(ahead.drop("_ff_pieces", *names[2]), "scan-ahead")  # its size decides how it is joined
 
-    # 4. join the prefix back; the big side keeps its (key, chunk) partitioning
-    j = local.join(prefix, [*kcols, _CHUNK])
-    extra = []
+    j = scanned.join(ahead, pieces, "left")
+    off, extra = F.coalesce("_ff_off", F.lit(0)), []
     if rank:
-        extra.append((F.col("_ff_off") + F.col("_ff_lr")).cast("long").alias(rank))
+        extra.append((off + F.col("_ff_lr")).alias(rank))
     if total:
-        extra.append(F.col("_ff_total").cast("long").alias(total))
+        extra.append(F.coalesce("_ff_total", "_ff_all").alias(total))
     for n in sums:
-        ls, ot = F.col(f"_ff_ls_{n}"), F.col(f"_ff_ot_{n}")
-        extra.append(F.when(ls.isNull() & ot.isNull(), F.lit(None))
-                     .otherwise(F.coalesce(ot, F.lit(0)) + F.coalesce(ls, F.lit(0)))
-                     .alias(n))
+        mine, prior = F.col(f"_ff_s_{n}"), F.col(f"_ff_s_{n}_p")
+        extra.append(F.when(mine.isNull() | prior.isNull(), F.coalesce(mine, prior)).otherwise(mine + prior).alias(n))
     for n in carries:
-        extra.append(F.coalesce(F.col(f"_ff_lc_{n}"), F.col(f"_ff_pc_{n}")).alias(n))
+        extra.append(F.coalesce(f"_ff_c_{n}", f"_ff_c_{n}_p").alias(n))
     for n in carries_before:
-        extra.append(F.coalesce(F.col(f"_ff_lb_{n}"), F.col(f"_ff_pb_{n}")).alias(n))
+        extra.append(F.coalesce(f"_ff_b_{n}", f"_ff_c_{n}_p").alias(n))
     for n in last_rank_where:
-        extra.append(F.coalesce(F.col("_ff_off") + F.col(f"_ff_lw_{n}"),
-                                F.col(f"_ff_pw_{n}")).cast("long").alias(n))
+        extra.append(F.coalesce(off + F.col(f"_ff_w_{n}"), F.col(f"_ff_w_{n}_p")).alias(n))
     return j.select(*[F.col(c) for c in out_cols], *extra)
 
 
-__all__ = ["running", "by_volume", "VOLUME_COLUMN", "time_chunk", "number_chunk"]
+__all__ = ["running", "by_volume", "VOLUME_COLUMN", "HOT_ROWS", "time_chunk", "number_chunk"]

@@ -26,8 +26,8 @@ def ordered_plan(placement: DataFrame, keys: Sequence[str], item: str, pos: str,
     ``stop_seq`` (its exact reverse).  Items not in ``order`` go last.
 
     ``seq`` is a row number per key; it runs through the chunked scan
-    (chunk = rank band plus a range of ``pos``), so one huge key is not
-    numbered in a single task.
+    (chunk = rank band, plus a range of a whole-number ``pos``), so one huge
+    key is not numbered in a single task.
     """
     keys = list(keys)
     spark = placement.sparkSession
@@ -36,7 +36,9 @@ def ordered_plan(placement: DataFrame, keys: Sequence[str], item: str, pos: str,
     r = (placement.join(dim, F.col(item).cast("string") == F.col("_ff_item"), "left")
                   .withColumn("_ff_rank", F.coalesce("_ff_rank", F.lit(len(order) + 1)))
                   .drop("_ff_item"))
-    chunk = F.col("_ff_rank").cast("long") * F.lit(1 << 40) + F.floor(F.col(pos) / F.lit(chunk_width))
+    chunk = F.col("_ff_rank").cast("long")
+    if dict(r.dtypes)[pos] in ("tinyint", "smallint", "int", "bigint"):
+        chunk = chunk * F.lit(1 << 40) + F.floor(F.col(pos) / F.lit(chunk_width))
     s = running(r, keys, ["_ff_rank", pos], chunk, rank="seq", total="_ff_n")
     return (s.withColumn("stop_seq", (F.col("_ff_n") - F.col("seq") + 1).cast("long"))
              .drop("_ff_n", "_ff_rank"))

@@ -33,9 +33,9 @@ def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     """``df`` and the chunk column of an ordered scan.
 
     Without ``chunk``: days for a first order column of time, ranges of
-    100,000 for a number - no extra pass, and enough where a key's rows are
-    spread over time or positions.  ``"volume"``, and any other type of first
-    order column, cuts by numbers of rows (:func:`by_volume`).
+    100,000 for a number, whole keys for other types; the scan itself cuts
+    chunks of too many rows.  ``"volume"`` cuts everything by numbers of rows
+    beforehand (:func:`by_volume`).
     """
     if isinstance(chunk, Column):
         return df, chunk
@@ -46,6 +46,8 @@ def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     if chunk is None and (dtype in ("tinyint", "smallint", "int", "bigint", "float", "double")
                           or dtype.startswith("decimal")):
         return df, number_chunk(first, 100_000)
+    if chunk is None:
+        return df, F.lit(0)
     return by_volume(df, keys, order), F.col(VOLUME_COLUMN)
 
 

@@ -261,3 +261,50 @@ def test_string_order(spark):
     df = spark.createDataFrame(rows, "k string, o string, tok string")
     got = {(r.k, r.o): r.h for r in windows.carry(df, ["k"], "o", F.when(F.col("tok") == "H", F.col("o")), "h").collect()}
     assert got == {("a", f"x{i:03}"): f"x{i - i % 5:03}" for i in range(60)} | {(None, "y"): "y", ("a", None): None}
+
+
+def test_a_hot_day_is_cut_without_being_asked(spark):
+    """One key, one day, two million rows: the default spreads them over
+    pieces of at most about HOT_ROWS."""
+    from fleetframe.operators.scan import _CHUNK, _SUB, HOT_ROWS, _cut_hot, _key_columns, time_chunk
+    n = 2_000_000
+    second = F.timestamp_add("MILLISECOND", F.col("id") % 50_000_000, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
+    df = spark.range(n).select(F.lit("h").alias("host"), second.alias("ts"), "id",
+                               F.when(F.col("id") % 700_000 == 5, F.col("id")).alias("mark"))
+    keys, kcols = _key_columns(df, ["host"])
+    d = df.select("*", *keys, time_chunk("ts").alias(_CHUNK))
+    sizes = [r.n for r in _cut_hot(d, kcols, [F.col("ts"), F.col("id")], HOT_ROWS).groupBy(_CHUNK, _SUB).agg(
+        F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 8 and sum(sizes) == n and max(sizes) < 1.6 * HOT_ROWS
+    got = running(df, ["host"], ["ts", "id"], time_chunk("ts"), rank="r", carries={"c": F.col("mark")},
+                  sums={"s": F.lit(1)})
+    bad = got.where((F.col("r") != F.col("id") + 1) | (F.col("s") != F.col("r")) | ~F.col("c").eqNullSafe(
+        F.when(F.col("id") >= 5, F.floor((F.col("id") - 5) / 700_000) * 700_000 + 5)))
+    assert got.count() == n and bad.count() == 0
+
+
+def test_only_crowded_chunks_are_cut(spark):
+    rng = random.Random(4)
+    rows = [(k, i, rng.choice([None, i])) for k, m in (("a", 900), ("b", 30), (None, 500), ("c", 1)) for i in range(m)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(5)
+    for width, most in ((10_000, 64), (100, 64), (7, 5), (10_000, None)):
+        got = {(r.k, r.i): (r.n, r.t, r.c, r.b, r.s, r.w) for r in running(
+            df, ["k"], ["i"], number_chunk("i", width), most=most, rank="n", total="t", carries={"c": F.col("v")},
+            carries_before={"b": F.col("v")}, sums={"s": F.col("v")}, last_rank_where={"w": F.col("v") % 3 == 0}).collect()}
+        assert len(got) == len(rows)
+        for k in ("a", "b", None, "c"):
+            mine = [r for r in rows if r[0] == k]
+            last = total = at = None
+            for j, (_, i, v) in enumerate(mine):
+                before, last = last, v if v is not None else last
+                total = total if v is None else (total or 0) + v
+                at = j + 1 if v is not None and v % 3 == 0 else at
+                assert got[k, i] == (j + 1, len(mine), last, before, total, at)
+
+
+def test_the_scan_reads_what_it_wrote_twice(spark):
+    df = spark.createDataFrame([(f"k{i % 3}", i) for i in range(100)], "k string, i long")
+    got = running(df, ["k"], ["i"], number_chunk("i", 10), carries={"a": F.when(F.col("i") % 4 == 0, F.col("i")),
+                                                                      "b": F.when(F.col("i") % 9 == 0, F.col("i"))})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Exchange hash" not in plan
