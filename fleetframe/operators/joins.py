@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fleetframe.operators.sizing import spread
+from fleetframe.operators.contains import hits
 
 
 def expand(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -75,77 +73,27 @@ def drift(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: st
     return j.select(*keys, "expected_value", "actual_value", state.alias("state"))
 
 
-def _scan_patterns(patterns: list[str]):
-    """Texts -> (row, pattern) for every pattern that a text contains."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-        automaton, always = ahocorasick.Automaton(), [p for p in patterns if not p]
-        for p in patterns:
-            if p:
-                automaton.add_word(p, p)
-        automaton.make_automaton()
-        for b in batches:
-            rows, found = [], []
-            for i, text in enumerate(b.column(1)):
-                t = text.as_py()
-                if t is None:
-                    continue
-                hits = [*always, *{p for _, p in automaton.iter(t)}] if len(automaton) else always
-                rows += [i] * len(hits)
-                found += hits
-                if len(rows) >= 100_000:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found)],
-                                                     names=["_ff_row", "_ff_pat"])
-                    rows, found = [], []
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())],
-                names=["_ff_row", "_ff_pat"])
-    return run
-
-
-def _hits(df: DataFrame, columns: Sequence[str], text: str, patterns: DataFrame, pattern: str,
-          max_bytes: int) -> DataFrame:
-    """``columns`` as a struct ``_ff_row`` with each distinct pattern
-    ``_ff_pat`` that ``text`` contains.
-
-    Every text is scanned once per automaton, in time linear in its length
-    however many patterns there are.  The distinct patterns are split by hash
-    into as many automata as their bytes need, each of about ``max_bytes``, so
-    what is sent to the executors is bounded and nothing is left out.
-    """
-    distinct = patterns.select(F.col(pattern).cast("string").alias("p")).filter("p is not null").distinct()
-    size = distinct.agg(F.sum(F.octet_length("p") + 16)).first()[0] or 0
-    parts = max(1, -(-size // max_bytes))
-    rows = spread(df.select(F.struct(*columns).alias("_ff_row"), F.col(text).cast("string").alias("_ff_text")))
-    schema = T.StructType([rows.schema["_ff_row"], T.StructField("_ff_pat", T.StringType())])
-    out = None
-    for i in range(parts):
-        mine = [r.p for r in distinct.filter(F.pmod(F.xxhash64("p"), F.lit(parts)) == i).collect()]
-        found = rows.mapInArrow(_scan_patterns(mine), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def pattern_join(df: DataFrame, text: str, df_id: Sequence[str] | str,
                  patterns: DataFrame, pattern: str, pattern_id: Sequence[str] | str,
-                 max_bytes: int = 16 << 20) -> DataFrame:
+                 filter_bits: int | None = None) -> DataFrame:
     """J8 theta join: every ``(df_id, pattern_id)`` where ``text`` contains
-    ``pattern``, for patterns of any length and number (:func:`_hits`).  An
-    empty pattern is in every text; null texts and patterns match nothing."""
+    ``pattern``, for patterns of any length and number
+    (:mod:`fleetframe.operators.contains`).  An empty pattern is in every
+    text; null texts and patterns match nothing."""
     df_id = [df_id] if isinstance(df_id, str) else list(df_id)
     pattern_id = [pattern_id] if isinstance(pattern_id, str) else list(pattern_id)
-    hits = _hits(df, df_id, text, patterns, pattern, max_bytes)
+    found = hits(df, df_id, text, patterns, pattern, filter_bits)
     ids = patterns.select(F.col(pattern).cast("string").alias("_ff_pat"), *pattern_id)
-    return hits.join(ids, "_ff_pat").select("_ff_row.*", *pattern_id)
+    return found.join(ids, "_ff_pat").select("_ff_row.*", *pattern_id)
 
 
 def contains_join(df: DataFrame, text: str, patterns: DataFrame, pattern: str,
-                  max_bytes: int = 16 << 20) -> DataFrame:
+                  filter_bits: int | None = None) -> DataFrame:
     """Rows of ``df`` joined with every row of ``patterns`` whose ``pattern``
     their ``text`` contains (process-to-service matching)."""
-    hits = _hits(df, df.columns, text, patterns, pattern, max_bytes)
+    found = hits(df, df.columns, text, patterns, pattern, filter_bits)
     other = patterns.withColumn("_ff_pat", F.col(pattern).cast("string"))
-    return hits.join(other, "_ff_pat").select("_ff_row.*", *patterns.columns)
+    return found.join(other, "_ff_pat").select("_ff_row.*", *patterns.columns)
 
 
 def verify_manifest(expected: DataFrame, shipped: DataFrame, file: str, size: str,

@@ -308,20 +308,16 @@ def _proc_lines(spark, sf):
     return e.select(F.concat(F.lit("h"), F.col("user_id")).alias("host"), line.alias("line"))
 
 
-def _services(spark):
-    return spark.createDataFrame(SERVICE_PATTERNS, "service string, pattern string")
-
-
 def service_status_real(spark, sf):
     """J3 with the real class names on parsed process lines."""
     procs = parse_ps(_proc_lines(spark, sf))
     hosts = t(spark, sf, "customer").select(F.concat(F.lit("h"), F.col("c_custkey")).alias("host"))
-    return service_status(hosts, _services(spark), procs)
+    return service_status(hosts, SERVICE_PATTERNS, procs)
 
 
 def pids_by_service(spark, sf):
     """S8 -> J8 -> A8: all process ids per host and service."""
-    return status_pids(parse_ps(_proc_lines(spark, sf)), _services(spark)).select("host", "service", "pids", "n")
+    return status_pids(parse_ps(_proc_lines(spark, sf)), SERVICE_PATTERNS).select("host", "service", "pids", "n")
 
 
 def xml_write(spark, sf):
@@ -611,7 +607,7 @@ def presence_matrix(spark, sf):
     """Every customer x every event type, running when the user has an
     event of that type; pid = first event id in (ts, event_id) order."""
     hosts = t(spark, sf, "customer").select(F.col("c_custkey").alias("host"))
-    services = spark.createDataFrame([(x, x) for x in EVENT_TYPES], "service string, pattern string")
+    services = [(x, x) for x in EVENT_TYPES]
     procs = t(spark, sf, "events").select(F.col("user_id").alias("host"), F.col("event_type").alias("cmd"),
                                           F.col("event_id").alias("pid"), "ts")
     return service_status(hosts, services, procs, order=("ts", "pid"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from fleetframe.functions import text as T
@@ -196,9 +198,9 @@ def test_contains_join_and_many_short_patterns(spark):
                                   "host string, cmd string")
     pats = spark.createDataFrame([("om", "-Dproc_om x"), ("tool", "tool run now"), ("none", "zzz q r"), ("nil", None)],
                                  "service string, pattern string")
-    for size in (16 << 20, 20):  # one automaton, and several
+    for size in (None, 20, 4):  # a filter of 16 bits knows nearly everything
         got = {(r["host"], r["service"]) for r in
-               joins.contains_join(procs, "cmd", pats, "pattern", max_bytes=size).collect()}
+               joins.contains_join(procs, "cmd", pats, "pattern", filter_bits=size).collect()}
         assert got == {("h1", "om"), ("h2", "tool")}
     words = [(i, f"w{i}") for i in range(20_001)]
     docs = [(1, "w1 w20000"), (2, "xw77y"), (3, "none")]
@@ -211,6 +213,45 @@ def test_contains_join_and_many_short_patterns(spark):
     assert every.count() == 3
 
 
+def test_contains_join_random(spark, monkeypatch):
+    import random
+    from fleetframe.operators import contains
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abé \U0001f600x") for _ in range(n))
+    docs = [(i, word(rng.randrange(0, 400))) for i in range(60)] + [(60, None), (61, ""), (7, "twice"), (7, "twice")]
+    pats = [(i, word(rng.randrange(0, 7))) for i in range(120)]
+    for i in range(120, 320):  # pieces of documents, of every length
+        t = rng.choice(docs[:60])[1]
+        a = rng.randrange(0, len(t) + 1)
+        pats.append((i, t[a:a + rng.randrange(1, 90)] + rng.choice(["", "", "q"])))
+    pats += [(400 + i, "a shared head of many patterns that goes on and on " + str(i)) for i in range(80)]
+    pats += [(500, "twice"), (501, None), (502, ""), (500, "twice")]
+    docs.append((62, " ".join(p for _, p in pats[320:400])))
+    ddf = spark.createDataFrame(docs, "d int, t string").repartition(3)
+    pdf = spark.createDataFrame(pats, "p int, w string").repartition(3)
+    want = sorted((d, p) for d, t in docs for p, w in pats if t is not None and w is not None and w in t)
+    for bits, part in ((None, 1 << 18), (10, 64), (22, 37)):
+        monkeypatch.setattr(contains, "SLICE", part)
+        monkeypatch.setattr(contains, "SEGMENT_BITS", 12)
+        assert sorted(map(tuple, joins.pattern_join(ddf, "t", "d", pdf, "w", "p", filter_bits=bits).collect())) == want
+    for a, b in ((ddf.limit(0), pdf), (ddf, pdf.limit(0))):
+        assert joins.pattern_join(a, "t", "d", b, "w", "p").count() == 0
+
+
+def test_many_patterns_meet_through_a_small_filter(spark):
+    """50,000 patterns; only the filter passes the driver, and texts put out
+    little more than what they hold."""
+    from fleetframe.operators import contains
+    pats = spark.range(50_000).select("id", F.concat(F.lit("key-"), F.md5(F.col("id").cast("string"))).alias("w"))
+    docs = spark.range(300).select(F.col("id").alias("d"), F.concat_ws(" ", F.lit("some words"), F.concat(
+        F.lit("key-"), F.md5((F.col("id") * 7).cast("string"))), F.repeat(F.lit("and more "), 50)).alias("t"))
+    got = joins.pattern_join(docs, "t", "d", pats, "w", "id").collect()
+    assert sorted(map(tuple, got)) == [(i, 7 * i) for i in range(300)]
+    anchors = contains._anchored(pats.select(F.col("w").alias("p")))
+    bits, bitmap = contains._filter(anchors, None)
+    assert bits <= 21 and bitmap.nbytes == 1 << bits - 3 and (np.unpackbits(bitmap).mean() < 0.2)
+
+
 def test_verify_manifest_reports_absent_files(spark):
     expected = spark.createDataFrame([("a.xml", 5), ("a.xml", 5), ("b.xml", 7)], "file string, size long")
     shipped = spark.createDataFrame([("h1", "a.xml", 5), ("h1", "c.xml", 1)], "host string, file string, size long")
