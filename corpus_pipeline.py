@@ -65,7 +65,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             F.col("name.place.row_index").alias("kept_at"), F.col("name.place.file_path").alias("kept_in")),
             "pipeline-kept"))
     rows = docs.select(_row(docs), F.col("text"), place.alias("place"))
-    alone = rows.join(kept, (F.col("place.row_index") == F.col("kept_at"))
+    # the kept places grow with the documents: never broadcast, at any size
+    alone = rows.join(kept.hint("merge"), (F.col("place.row_index") == F.col("kept_at"))
                       & (F.col("place.file_path") == F.col("kept_in")), "left_semi")
     return _columns(alone, docs)
 
