@@ -76,15 +76,40 @@ def ordered_list(df: DataFrame, keys: Sequence[str], pos: str, value: str,
     return pieces.groupBy(*keys).agg(*aggs)
 
 
+SET_BUCKETS = 256
+
+
+def hash_bucket(value: Column) -> Column:
+    """One of ``SET_BUCKETS`` buckets of a value; none for null, so that rows
+    without a value still combine before the shuffle."""
+    return F.when(value.isNotNull(), F.pmod(F.xxhash64(value), F.lit(SET_BUCKETS)))
+
+
+def sorted_pieces(sets: str | Column, sep: str = ",") -> Column:
+    """Aggregate: the disjoint sets of a group's buckets as one sorted list."""
+    return F.array_join(F.array_sort(F.flatten(F.collect_list(sets))), sep)
+
+
+def failed_hosts(steps: DataFrame, run: str, host: str, status: str, ok_value: str = "SUCCESS") -> DataFrame:
+    """A3 in long form: every distinct ``(run, host)`` with a failed step."""
+    return steps.where(F.col(status) != F.lit(ok_value)).select(run, host).where(F.col(host).isNotNull()).distinct()
+
+
 def run_summary(steps: DataFrame, run: str, host: str, status: str,
                 ok_value: str = "SUCCESS") -> DataFrame:
     """A3: per run ``n_ok``, ``n_total``, sorted distinct ``failed_hosts`` and
-    ``overall`` (SUCCESS when all ok, FAILED when none, PARTIAL otherwise)."""
+    ``overall`` (SUCCESS when all ok, FAILED when none, PARTIAL otherwise).
+
+    Distinct hosts are gathered per (run, hash bucket of the host) in
+    parallel; a run's buckets only meet for the list itself.  Its long form is
+    :func:`failed_hosts`.
+    """
     ok = F.col(status) == F.lit(ok_value)
-    agg = steps.groupBy(run).agg(
-        F.count_if(ok).alias("n_ok"),
-        F.count(F.lit(1)).alias("n_total"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~ok, F.col(host)))), ",").alias("failed_hosts"))
+    failed = F.when(~ok, F.col(host))
+    pieces = steps.groupBy(run, hash_bucket(failed).alias("_ff_b")).agg(
+        F.count_if(ok).alias("n_ok"), F.count(F.lit(1)).alias("n_total"), F.collect_set(failed).alias("_ff_s"))
+    agg = pieces.groupBy(run).agg(F.sum("n_ok").alias("n_ok"), F.sum("n_total").alias("n_total"),
+                                  sorted_pieces("_ff_s").alias("failed_hosts"))
     return agg.withColumn(
         "overall",
         F.when(F.col("n_ok") == F.col("n_total"), F.lit("SUCCESS"))
@@ -158,5 +183,5 @@ def pivot_facts(df: DataFrame, keys: Sequence[str], attr: str, value: str,
     return df.groupBy(*keys).agg(*aggs)
 
 
-__all__ = ["last_wins", "ha_flags", "ordered_list", "run_summary", "any_issue", "kind_counts",
+__all__ = ["last_wins", "ha_flags", "ordered_list", "hash_bucket", "sorted_pieces", "failed_hosts", "run_summary", "any_issue", "kind_counts",
            "test_rollup", "first_by", "collect_sorted", "pivot_facts"]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetframe.operators.aggs import hash_bucket, sorted_pieces
 from fleetframe.operators.contains import hits
 
 
@@ -52,16 +53,21 @@ def drift(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: st
 
     Each side is first reduced to one row per key (a key set twice keeps its
     sorted distinct values joined with ``,``), so a repeated key never
-    multiplies into all pairs; the reduction's hash partitioning on the keys
-    is reused by the full outer join.
+    multiplies into all pairs.  The values of a key are gathered per hash
+    bucket first, so one key with very many of them is spread until its list
+    is put together; the reduction's hash partitioning on the keys is reused
+    by the full outer join.
     """
     keys = list(keys)
 
     def one_per_key(df, name):
         v = F.col(value)
-        return df.groupBy(*keys).agg(
-            F.when(F.count(F.lit(1)) == 1, F.first(v))
-             .otherwise(F.array_join(F.array_sort(F.collect_set(v)), ",")).alias(name))
+        pieces = df.groupBy(*keys, hash_bucket(v).alias("_ff_b")).agg(F.count(F.lit(1)).alias("_ff_n"),
+                                                                       F.collect_set(v).alias("_ff_s"))
+        # a single row's value stays as it is, null included
+        one = F.get(F.flatten(F.collect_list("_ff_s")), 0)
+        return pieces.groupBy(*keys).agg(
+            F.when(F.sum("_ff_n") == 1, one).otherwise(sorted_pieces("_ff_s")).alias(name))
 
     e = one_per_key(expected, "expected_value").withColumn("_ff_e", F.lit(True))
     a = one_per_key(actual, "actual_value").withColumn("_ff_a", F.lit(True))

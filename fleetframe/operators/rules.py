@@ -96,21 +96,24 @@ def to_long(df: DataFrame, ids: Sequence[str], settings: Sequence[str],
 
 
 def check_dirs(dir_facts: DataFrame, ids: Sequence[str] = ("host", "dir"),
-               config_only: bool = False, expected_owner: str = "expected_owner") -> DataFrame:
+               config_only: bool | Column = False, expected_owner: str = "expected_owner") -> DataFrame:
     """Directory checks.  Data directories: exists, owner, mode 750/755,
-    writable.  Configuration directories (``config_only``): owner only; one that
-    is absent gives n/a.  Checks other than ``exists`` are n/a for a missing
-    directory."""
+    writable.  Configuration directories (``config_only``, for all rows or row
+    by row): owner only; one that is absent gives n/a.  Checks other than
+    ``exists`` are n/a for a missing directory."""
     spark = dir_facts.sparkSession
-    rules = rule_table(spark, CONFIG_DIR_RULES if config_only else DIR_RULES)
+    rules = rule_table(spark, DIR_RULES)
+    config = config_only if isinstance(config_only, Column) else F.lit(config_only)
     present = F.coalesce(F.col("exists"), F.lit(False))
     wide = dir_facts.select(
-        *ids, F.col(expected_owner),
+        *ids, F.col(expected_owner), F.coalesce(config, F.lit(False)).alias("_ff_config"),
         F.lower(F.col("exists").cast("string")).alias("exists"),
         *[F.when(present, F.col(c)).alias(c) for c in ("owner", "perms")],
         F.when(present, F.lower(F.col("writable").cast("string"))).alias("writable"))
-    long_ = wide.unpivot([*ids, expected_owner], ["exists", "owner", "perms", "writable"],
+    long_ = wide.unpivot([*ids, expected_owner, "_ff_config"], ["exists", "owner", "perms", "writable"],
                          "setting", "raw_value")
+    # the rules of configuration directories are some of the others
+    long_ = long_.where(~F.col("_ff_config") | F.col("setting").isin([s for s, _, _ in CONFIG_DIR_RULES])).drop("_ff_config")
     return rule_eval(long_, rules, expected_col=expected_owner)
 
 

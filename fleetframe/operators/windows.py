@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetframe.functions.time import dtype_of, epoch_seconds
 from fleetframe.operators.scan import VOLUME_COLUMN, by_volume, number_chunk, running, time_chunk
+from fleetframe.session import materialize
 from fleetframe.operators.aggs import last_wins  # noqa: F401  (W6 is an aggregate)
 
 # The election commands and the reference's poll limit.
@@ -198,6 +199,7 @@ def inflight(intervals: DataFrame, keys: Sequence[str], start: str, end: str,
     net = (intervals.select(*keys, F.explode(edges).alias("_ff_e"))
            .groupBy(*keys, F.col("_ff_e.t").alias("_ff_t"))
            .agg(F.sum("_ff_e.d").alias("_ff_d"), F.sum("_ff_e.n").alias("_ff_n"), F.sum("_ff_e.x").alias("_ff_x")))
+    net = materialize(net, "inflight")  # the scan reads it twice, the intervals are often a join
     tdt = dtype_of(net, "_ff_t")
     s = running(net, keys, ["_ff_t"], time_chunk("_ff_t", chunk_seconds, tdt), sums={"_ff_lvl": F.col("_ff_d")})
     secs, before = epoch_seconds("_ff_t", tdt), F.col("_ff_lvl") - F.col("_ff_d")

@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 from fleetframe.functions.text import (allow_or, classify_status, fill_template, first_number,
                                        flag, norm_host)
 from fleetframe.operators import aggs, joins, lookup, rules, setops, windows
-from fleetframe.plans.install import (CONFIG_FILES, CONFIG_FOLDERS, config_targets, jdk_packages,
-                                     os_facts)
+from fleetframe.plans.install import (CONFIG_FILES, CONFIG_FOLDERS, compliance, config_targets, jdk_packages,
+                                     os_facts, step_report)
 from fleetframe.plans.site_config import (core_site_properties, explode_list, fill_placement,
-                                          service_props, site_properties)
+                                          placement_from_conf, service_props, site_properties)
+from fleetframe.plans.start import start_plan
 from fleetframe.plans.status import SERVICE_PATTERNS, service_status
 from fleetframe.plans.status import pids_by_service as status_pids
-from fleetframe.session import scratch_path
+from fleetframe.session import materialize, scratch_path
 from fleetframe.sinks.writers import write_partitioned, write_properties, write_site_xml
 from fleetframe.sources.blocks import compose_ports, parse_blocks, parse_dir_report
+from fleetframe.sources.lines import read_log_lines
 from fleetframe.sources.conf import last_wins, parse_conf, parse_os_release
 from fleetframe.sources.properties import parse_properties, read_properties, resolve_refs
 from fleetframe.sources.records import (parse_host_facts, parse_ps, parse_run_log,
@@ -148,6 +150,20 @@ def test_log_parse(spark, sf):
     return parse_test_log(e.select("event_id", line.alias("line"))).select("event_id", "status", "name")
 
 
+def log_lines(spark, sf):
+    """S6 on log files: a day's events as a log file, read back with line
+    numbers, and the lines within two of an error line (W4)."""
+    e = t(spark, sf, "events")
+    day = F.date_format("ts", "yyyyMMdd").alias("day")
+    path = scratch_path(spark, "logs")
+    logs = e.select("event_id", day, compose_log_line(e).alias("value"))
+    logs.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.mode(
+        "overwrite").partitionBy("day").text(path)
+    lines = parse_run_log(read_log_lines(spark, f"{path}/*/*.txt"))
+    found = windows.context(lines, ["source"], ["line_no"], F.col("level") == "ERROR", 2).where("in_context")
+    return found.select(F.regexp_extract("source", "day=([0-9]+)", 1).alias("day"), "line_no", "level", "message")
+
+
 def step_parse(spark, sf):
     """``SUCCESS:host`` / ``FAILED:host:stage`` tokens from ``events``."""
     e = t(spark, sf, "events")
@@ -250,9 +266,61 @@ def dir_rules(spark, sf):
     d = parse_dir_report(_dir_lines(spark, sf)).where(F.col("source").startswith("v")).withColumn(
         "expected_owner", F.lit("rocky:rocky"))
     ids = ("source", "host", "kind", "dir")
-    data = rules.check_dirs(d.where(F.col("kind") == "data"), ids)
-    conf = rules.check_dirs(d.where(F.col("kind") == "config"), ids, config_only=True)
-    return data.unionByName(conf).select(*ids, "setting", "status")
+    return rules.check_dirs(d, ids, config_only=F.col("kind") == "config").select(*ids, "setting", "status")
+
+
+def fs_rules(spark, sf):
+    """P10 on the installer's reports."""
+    d = parse_dir_report(_dir_lines(spark, sf)).where(F.col("source").startswith("i"))
+    return rules.check_filesystems(d, ("source", "host", "dir")).select("source", "host", "dir", "setting", "raw_value", "status")
+
+
+def _kernel_settings(spark, sf):
+    """A row per customer's host and setting; some facilities are missing."""
+    k, bal = F.col("c_custkey"), F.col("c_acctbal")
+    raw = F.array(
+        F.struct(F.lit("cpu_governor").alias("setting"), F.when(k % 3 == 0, F.lit("performance")).when(
+            k % 3 == 1, F.lit("powersave")).alias("raw_value")),
+        F.struct(F.lit("transparent_hugepage").alias("setting"), F.when(bal > 5000, F.lit("always madvise [never]")).otherwise(
+            F.lit("[always] madvise never")).alias("raw_value")),
+        F.struct(F.lit("selinux").alias("setting"), F.when(k % 5 != 0, F.when(bal < 0, F.lit("Enforcing")).otherwise(
+            F.lit("Disabled"))).alias("raw_value")),
+        F.struct(F.lit("swappiness").alias("setting"), (k % 2).cast("string").alias("raw_value")))
+    return t(spark, sf, "customer").select(F.concat(F.lit("h"), k).alias("host"), F.inline(raw))
+
+
+def kernel_rules(spark, sf):
+    """Kernel settings of every host; a missing facility is n/a."""
+    return rules.check_kernel(_kernel_settings(spark, sf)).select("host", "setting", "raw_value", "status")
+
+
+def compliance_flow(spark, sf):
+    """P10-P12 as one table of verdicts, counted by check and status."""
+    d = parse_dir_report(_dir_lines(spark, sf)).withColumn("host", F.concat_ws("-", "source", "host"))
+    d = materialize(d.withColumn("expected_owner", F.lit("rocky:rocky")), "compliance")
+    found = compliance(_kernel_settings(spark, sf), d.where(F.col("source").startswith("i")),
+                       d.where((F.col("kind") == "data") & F.col("source").startswith("v")))
+    return found.groupBy(F.substring_index("check", ":", 1).alias("check"), "setting", "status").agg(
+        F.count("*").alias("n"), F.count_distinct("host").alias("hosts"))
+
+
+def step_report_flow(spark, sf):
+    """S7 -> A3 -> J5: runs are days; requested are all users, reporting are
+    those with an event on the day."""
+    e = t(spark, sf, "events")
+    run, host = F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.concat(F.lit("host"), F.col("user_id"))
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("FAILED:"), host, F.lit(":copy"))).otherwise(
+        F.concat(F.lit("SUCCESS:"), host))
+    requested = e.select(run).distinct().crossJoin(e.select(host.alias("host")).distinct())
+    summary, failed = step_report(e.select(run, line.alias("line")), requested)
+    return summary.join(failed.groupBy("run_id").agg(F.count("*").alias("n_unverified")), "run_id", "left").select(
+        "run_id", "n_ok", "n_total", "failed_hosts", "overall", F.coalesce("n_unverified", F.lit(0)).cast("long").alias("n_unverified"))
+
+
+def start_plan_flow(spark, sf):
+    """P2 -> O2 -> W1: the start order of every composed configuration."""
+    placed = placement_from_conf(_site_conf(spark, sf))
+    return start_plan(placed).select("source", "service", "host", "seq", "stop_seq", "command")
 
 
 def os_release(spark, sf):
@@ -321,10 +389,10 @@ def pids_by_service(spark, sf):
 
 
 def xml_write(spark, sf):
-    """K1 then S2: forty site files, written from scattered rows and
-    read back with its partition value."""
+    """K1 then S2: a site file per block of orders, written from scattered
+    rows and read back with its partition value."""
     li = t(spark, sf, "lineitem")
-    props = li.select((F.col("l_orderkey") % 40).cast("string").alias("source"),
+    props = li.select(F.floor(F.col("l_orderkey") / 1000).cast("string").alias("source"),
                         F.concat(F.lit("p."), F.col("l_orderkey"), F.lit("."), F.col("l_linenumber")).alias("name"),
                         F.concat(F.lit("<&v "), F.col("l_suppkey")).alias("value"), F.lit(None).cast("string").alias("description"))
     path = scratch_path(spark, "site-xml")
@@ -633,14 +701,15 @@ def dim_lookup(spark, sf):
 
 
 def drift(spark, sf):
-    """Expected (size <= 40, brand) vs actual (size >= 10, type when
-    the price is above 950 else brand)."""
+    """Brands of all parts, expected under the part's key, found under
+    another key where the part is large, and with the type for a brand where
+    the price is above 950."""
     p = t(spark, sf, "part")
-    exp = p.where(F.col("p_size") <= 40).select(F.col("p_partkey").cast("string").alias("name"),
-                                                 F.col("p_brand").alias("value"))
-    act = p.where(F.col("p_size") >= 10).select(
-        F.col("p_partkey").cast("string").alias("name"),
-        F.when(F.col("p_retailprice") > 950, F.col("p_type")).otherwise(F.col("p_brand")).alias("value"))
+    key = F.col("p_partkey").cast("string")
+    exp = p.select(F.when(F.col("p_size") <= 40, key).otherwise(F.concat(F.lit("e"), key)).alias("name"),
+                   F.col("p_brand").alias("value"))
+    act = p.select(F.when(F.col("p_size") >= 10, key).otherwise(F.lit("small")).alias("name"),
+                   F.when(F.col("p_retailprice") > 950, F.col("p_type")).otherwise(F.col("p_brand")).alias("value"))
     return joins.drift(exp, act, ["name"], "value")
 
 

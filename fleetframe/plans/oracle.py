@@ -194,6 +194,77 @@ UNION ALL SELECT source, host, kind, dir, 'writable', CASE WHEN b < 0 THEN 'n/a'
 UNION ALL SELECT source, host, 'config', '/etc/c' || k, 'owner', 'violation' FROM v WHERE b > 6000
 """
 
+SQL["log_lines"] = rf"""
+WITH l AS (SELECT strftime(ts, '%Y%m%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY event_id) - 1 AS line_no,
+                  event_type, {_LOG_BODY} AS body FROM events),
+m AS (SELECT *, max(CASE WHEN event_type = 'error' THEN line_no END) OVER (
+        PARTITION BY day ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM l)
+SELECT day, line_no, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' WHEN 'view' THEN 'INFO'
+                                     WHEN 'purchase' THEN 'LOG' END AS level,
+       CASE WHEN event_type IN ('error', 'click', 'view', 'purchase') THEN body ELSE 'no timestamp here: ' || body END AS message
+FROM m WHERE hit IS NOT NULL
+"""
+
+SQL["fs_rules"] = r"""
+WITH v AS (SELECT 'i' || s_nationkey AS source, 'h' || s_suppkey % 2 AS host, '/data/s' || s_suppkey AS dir, s_acctbal AS b FROM supplier)
+SELECT source, host, dir, 'fs_type' AS setting, CASE WHEN b > 2000 THEN 'xfs' ELSE 'btrfs' END AS raw_value,
+       CASE WHEN b > 2000 THEN 'ok' ELSE 'violation' END AS status FROM v
+UNION ALL SELECT source, host, dir, 'mount_options', CASE WHEN b > 4000 THEN 'rw,noatime' ELSE 'rw' END,
+       CASE WHEN b > 4000 THEN 'ok' ELSE 'violation' END FROM v
+"""
+
+_KERNEL = r"""
+k AS (SELECT 'h' || c_custkey AS host, 'cpu_governor' AS setting,
+             CASE c_custkey % 3 WHEN 0 THEN 'performance' WHEN 1 THEN 'powersave' END AS raw_value FROM customer
+      UNION ALL SELECT 'h' || c_custkey, 'transparent_hugepage',
+             CASE WHEN c_acctbal > 5000 THEN 'always madvise [never]' ELSE '[always] madvise never' END FROM customer
+      UNION ALL SELECT 'h' || c_custkey, 'selinux',
+             CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_acctbal < 0 THEN 'Enforcing' ELSE 'Disabled' END FROM customer
+      UNION ALL SELECT 'h' || c_custkey, 'swappiness', (c_custkey % 2)::VARCHAR FROM customer),
+kv AS (SELECT *, CASE WHEN raw_value IS NULL THEN 'n/a'
+                      WHEN raw_value IN ('performance', 'always madvise [never]', 'Disabled', '1') THEN 'ok'
+                      ELSE 'violation' END AS status FROM k)
+"""
+
+SQL["kernel_rules"] = f"WITH {_KERNEL} SELECT host, setting, raw_value, status FROM kv"
+
+SQL["compliance_flow"] = f"""
+WITH {_KERNEL},
+d AS (SELECT 'v' || s_nationkey || '-h' || s_suppkey % 2 AS host, s_acctbal AS b FROM supplier),
+i AS (SELECT 'i' || s_nationkey || '-h' || s_suppkey % 2 AS host, s_acctbal AS b FROM supplier),
+r AS (SELECT 'kernel' AS check, setting, status, host FROM kv
+  UNION ALL SELECT 'filesystem', 'fs_type', CASE WHEN b > 2000 THEN 'ok' ELSE 'violation' END, host FROM i
+  UNION ALL SELECT 'filesystem', 'mount_options', CASE WHEN b > 4000 THEN 'ok' ELSE 'violation' END, host FROM i
+  UNION ALL SELECT 'directory', 'exists', CASE WHEN b >= 0 THEN 'ok' ELSE 'violation' END, host FROM d
+  UNION ALL SELECT 'directory', 'owner', CASE WHEN b < 0 THEN 'n/a' WHEN b > 3000 THEN 'ok' ELSE 'violation' END, host FROM d
+  UNION ALL SELECT 'directory', 'perms', CASE WHEN b < 0 THEN 'n/a' WHEN b > 5000 THEN 'ok' ELSE 'violation' END, host FROM d
+  UNION ALL SELECT 'directory', 'writable', CASE WHEN b < 0 THEN 'n/a' WHEN b > 1000 THEN 'ok' ELSE 'violation' END, host FROM d)
+SELECT "check", setting, status, count(*) AS n, count(DISTINCT host) AS hosts FROM r GROUP BY ALL
+"""
+
+SQL["step_report_flow"] = r"""
+WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS run_id, 'host' || user_id AS host, event_type <> 'error' AS ok FROM events),
+s AS (SELECT run_id, count(*) FILTER (WHERE ok) AS n_ok, count(*) AS n_total,
+             coalesce(string_agg(DISTINCT host, ',' ORDER BY host) FILTER (WHERE NOT ok), '') AS failed_hosts FROM e GROUP BY 1),
+u AS (SELECT r.run_id, count(*) AS n FROM (SELECT DISTINCT run_id FROM e) r CROSS JOIN (SELECT DISTINCT host FROM e) h
+      WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.run_id = r.run_id AND e.host = h.host AND ok) GROUP BY 1)
+SELECT run_id, n_ok, n_total, failed_hosts, CASE WHEN n_ok = n_total THEN 'SUCCESS' WHEN n_ok = 0 THEN 'FAILED' ELSE 'PARTIAL' END AS overall,
+       coalesce(u.n, 0)::BIGINT AS n_unverified FROM s LEFT JOIN u USING (run_id)
+"""
+
+SQL["start_plan_flow"] = r"""
+WITH h AS (SELECT s_nationkey AS n, list('s' || s_suppkey ORDER BY s_suppkey) AS l FROM supplier GROUP BY 1),
+c AS (SELECT n_nationkey AS n, 'n' || n_nationkey AS source, CASE WHEN n_nationkey % 5 = 0 THEN [] ELSE ['c1', 'c2'] END AS all_,
+             CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE l END AS l FROM nation LEFT JOIN h ON h.n = n_nationkey),
+p AS (SELECT source, rank, service, CASE WHEN service = 'scm' AND l IS NOT NULL THEN l WHEN service = 'datanode' THEN all_
+             ELSE all_[1:1] END AS hosts
+      FROM c, (VALUES (1, 'scm'), (2, 'om'), (3, 'datanode'), (4, 'recon'), (5, 's3gateway'), (6, 'httpfs')) AS o(rank, service)),
+x AS (SELECT source, rank, service, unnest(hosts) AS host, unnest(range(len(hosts))) AS pos FROM p),
+y AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, pos) AS seq, count(*) OVER (PARTITION BY source) AS n FROM x)
+SELECT source, service, host, seq, n - seq + 1 AS stop_seq,
+       CASE WHEN service <> 'scm' THEN NULL WHEN pos = 0 THEN '--init' ELSE '--bootstrap' END AS command FROM y
+"""
+
 SQL["jdk_choice"] = r"""
 WITH h AS (SELECT 'h' || c_custkey AS host, c_nationkey AS n, ['yum','dnf','apt-get','zypper','brew'][c_custkey % 5 + 1] AS manager,
                   ['8','11','17'][c_nationkey % 3 + 1] AS jdk FROM customer),
@@ -288,7 +359,7 @@ FROM events WHERE event_type <> 'signup' GROUP BY 1, 2
 """
 
 SQL["xml_write"] = r"""
-SELECT (l_orderkey % 40)::VARCHAR AS source, 'p.' || l_orderkey || '.' || l_linenumber AS name, '<&v ' || l_suppkey AS value,
+SELECT (l_orderkey // 1000)::VARCHAR AS source, 'p.' || l_orderkey || '.' || l_linenumber AS name, '<&v ' || l_suppkey AS value,
        1::BIGINT AS files FROM lineitem
 """
 
@@ -482,9 +553,11 @@ SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_na
 """
 
 SQL["drift"] = r"""
-WITH e AS (SELECT CAST(p_partkey AS VARCHAR) AS name, p_brand AS value FROM part WHERE p_size <= 40),
-a AS (SELECT CAST(p_partkey AS VARCHAR) AS name,
-             CASE WHEN p_retailprice > 950 THEN p_type ELSE p_brand END AS value FROM part WHERE p_size >= 10)
+WITH e0 AS (SELECT CASE WHEN p_size <= 40 THEN '' ELSE 'e' END || p_partkey AS name, p_brand AS value FROM part),
+a0 AS (SELECT CASE WHEN p_size >= 10 THEN CAST(p_partkey AS VARCHAR) ELSE 'small' END AS name,
+              CASE WHEN p_retailprice > 950 THEN p_type ELSE p_brand END AS value FROM part),
+e AS (SELECT name, string_agg(DISTINCT value, ',' ORDER BY value) AS value FROM e0 GROUP BY name),
+a AS (SELECT name, string_agg(DISTINCT value, ',' ORDER BY value) AS value FROM a0 GROUP BY name)
 SELECT coalesce(e.name, a.name) AS name, e.value AS expected_value, a.value AS actual_value,
   CASE WHEN a.name IS NULL THEN 'missing' WHEN e.name IS NULL THEN 'unexpected'
        WHEN e.value IS NOT DISTINCT FROM a.value THEN 'match' ELSE 'changed' END AS state

@@ -7,28 +7,64 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetframe.operators.scan import running
+from fleetframe.session import materialize
 
-def _one_file_each(df: DataFrame, partition_by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """All rows of a configuration in one task, so that it becomes one file
-    (a configuration is small; there may be very many).  Without partition
-    columns the whole table is one configuration."""
-    together = df.repartition(*partition_by) if partition_by else df.coalesce(1)
-    return together.sortWithinPartitions(*partition_by, *order)
+
+#: Bytes of a configuration beyond which it is sorted and written by several tasks.
+LARGE_BYTES = 64 << 20
+
+
+def _dealt(df: DataFrame, partition_by: Sequence[str], order: Sequence[str], large_bytes: int) -> DataFrame:
+    """Rows dealt out to tasks and sorted by configuration and ``order``.
+
+    Sizes per configuration and their running sum (an ordered scan, so that
+    very many configurations are no one task's work) put small configurations
+    into tasks of about ``large_bytes``, each whole in one of them.  Those
+    that are larger are cut by ranges of ``order`` and become several files,
+    whose names sort as their content does.  Without ``partition_by`` the
+    whole table is one configuration.
+    """
+    keys = list(partition_by)
+    size = F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(16)))
+    if not keys:
+        total = df.agg(size).first()[0] or 0
+        if total <= large_bytes:
+            return df.repartition(1).sortWithinPartitions(*order)
+        return df.repartitionByRange(-(-total // large_bytes), *order).sortWithinPartitions(*order)
+    sizes = materialize(df.groupBy(*keys).agg(size.alias("_ff_size")), "writer-sizes")
+    small = running(sizes.where(F.col("_ff_size") <= large_bytes), [], keys, F.lit(0), sums={"_ff_upto": F.col("_ff_size")})
+    bins = materialize(small.select(*keys, F.floor((F.col("_ff_upto") - F.col("_ff_size") / 2) / large_bytes).alias("_ff_bin"))
+                       .unionByName(sizes.where(F.col("_ff_size") > large_bytes).select(
+                           *keys, F.lit(None).cast("long").alias("_ff_bin"))), "writer-bins")
+    named = bins.select(*[F.col(k).alias(f"_ff_k{i}") for i, k in enumerate(keys)], "_ff_bin")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_ff_k{i}"))
+    rows = df.join(named, same).select(*df.columns, "_ff_bin")
+    n, wide = bins.agg(F.max("_ff_bin") + 1, F.count_if(F.col("_ff_bin").isNull())).first()
+    out = rows.where(F.col("_ff_bin").isNotNull()).repartition(max(1, n or 0), "_ff_bin").sortWithinPartitions(*keys, *order)
+    if wide:
+        total = sizes.where(F.col("_ff_size") > large_bytes).agg(F.sum("_ff_size")).first()[0]
+        ranges = rows.where(F.col("_ff_bin").isNull()).repartitionByRange(-(-total // large_bytes), *keys, *order)
+        out = out.unionByName(ranges.sortWithinPartitions(*keys, *order))
+    return out.drop("_ff_bin")
 
 
 def write_site_xml(df: DataFrame, path: str, partition_by: Sequence[str] = (),
-                   mode: str = "overwrite") -> None:
+                   mode: str = "overwrite", large_bytes: int = LARGE_BYTES) -> None:
     """K1: ``<configuration><property><name/><value/><description/></property>…``.
 
     Spark's XML writer with ``rootTag=configuration`` and ``rowTag=property``;
     null descriptions are omitted.  One file per value of ``partition_by``
     (for example ``["source"]``), in a folder named after it; without
-    ``partition_by`` the table is one configuration and one file.
+    ``partition_by`` the table is one configuration and one file.  Only a
+    configuration of more than ``large_bytes`` becomes several files.
     :func:`fleetframe.sources.xml.read_site_xml` returns the partition values.
     """
     cols = [*partition_by, "name", "value", "description"]
     rows = df.select(*[c for c in cols if c in df.columns])
-    w = (_one_file_each(rows, partition_by, ["name"])
+    w = (_dealt(rows, partition_by, ["name"], large_bytes)
            .write.format("xml").option("rootTag", "configuration").option("rowTag", "property")
            .mode(mode))
     if partition_by:
@@ -37,12 +73,14 @@ def write_site_xml(df: DataFrame, path: str, partition_by: Sequence[str] = (),
 
 
 def write_properties(df: DataFrame, path: str, key: str = "key", value: str = "value",
-                     partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+                     partition_by: Sequence[str] = (), mode: str = "overwrite",
+                     large_bytes: int = LARGE_BYTES) -> None:
     """K2: ``key=value`` lines, one text file per value of ``partition_by``
-    (or one file), so that ``${key}`` references stay within their file."""
+    (or one file), so that ``${key}`` references stay within their file; more
+    only beyond ``large_bytes``."""
     out = df.select(*partition_by, F.concat_ws("=", F.col(key), F.coalesce(F.col(value), F.lit("")))
                     .alias("value"))
-    w = _one_file_each(out, partition_by, ["value"]).write.mode(mode)
+    w = _dealt(out, partition_by, ["value"], large_bytes).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.text(path)

@@ -33,16 +33,19 @@ def parse_run_log(df: DataFrame, line: str = "line") -> DataFrame:
     ``LOG``.  The stamp has no zone, so ``ts`` is a wall-clock ``timestamp_ntz``.  A line that does not match keeps ``ts``/``level`` null and its
     cleaned text as ``message``.
     """
-    clean = strip_ansi(F.col(line))
-    ok = clean.rlike(LOG_RE)
-    ts_text = F.regexp_extract(clean, LOG_RE, 1)
-    level = F.regexp_extract(clean, LOG_RE, 2)
-    msg = F.regexp_extract(clean, LOG_RE, 3)
-    return df.select(
-        "*",
-        F.when(ok, F.try_to_timestamp(ts_text, F.lit(LOG_TS_FORMAT)).cast("timestamp_ntz")).alias("ts"),
-        F.when(ok, F.coalesce(F.nullif(level, F.lit("")), F.lit(PLAIN_LEVEL))).alias("level"),
-        F.when(ok, msg).otherwise(clean).alias("message"))
+    # one match a line: its groups behind a mark that no matching line begins
+    # with; columns of their own are evaluated once
+    mark = "\u0001"
+    clean, parts = F.col("_ff_clean"), F.col("_ff_parts")
+    ok = clean.startswith("[") & (F.get(parts, 0) == "")
+    read = df.withColumn("_ff_clean", strip_ansi(F.col(line))).withColumn("_ff_parts", F.split(F.regexp_replace(
+        clean, LOG_RE, f"{mark}$1{mark}$2{mark}$3"), mark, 4))
+    return read.select(
+        *df.columns,
+        F.when(ok, F.try_to_timestamp(F.get(parts, 1), F.lit(LOG_TS_FORMAT)).cast("timestamp_ntz")).alias("ts"),
+        F.when(ok, F.coalesce(F.nullif(F.get(parts, 2), F.lit("")), F.lit(PLAIN_LEVEL))).alias("level"),
+        F.when(ok, F.get(parts, 3)).otherwise(clean).alias("message"))
+
 
 
 def parse_step(df: DataFrame, line: str = "line") -> DataFrame:

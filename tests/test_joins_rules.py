@@ -299,3 +299,24 @@ def test_lists_of_text_positions_are_split_too(spark):
         assert got == want
     got = {r.k: (r["values"], r.n) for r in aggs.collect_sorted(df, ["k"], "v").collect()}
     assert got["a"] == (",".join(sorted(v for _, _, v in rows[:400])), 400)
+
+
+def test_set_lists_are_gathered_by_buckets(spark):
+    """A run with very many failed hosts: no list holds more than its bucket
+    until the lists are put together."""
+    n = 200_000
+    steps = spark.range(n).select(F.when(F.col("id") < n - 10, "hot").otherwise("small").alias("run"),
+                                  F.format_string("h%06d", F.col("id")).alias("host"),
+                                  F.when(F.col("id") % 2 == 0, "FAILED").otherwise("SUCCESS").alias("status"))
+    both = steps.unionByName(steps)
+    got = {r.run: r for r in aggs.run_summary(both, "run", "host", "status").collect()}
+    hosts = got["hot"].failed_hosts.split(",")
+    assert hosts == [f"h{i:06}" for i in range(0, n - 10, 2)] and got["hot"].n_total == 2 * (n - 10)
+    assert got["small"].failed_hosts.count(",") == 4 and got["small"].overall == "PARTIAL"
+    pieces = both.where("status = 'FAILED'").groupBy("run", aggs.hash_bucket(F.col("host"))).agg(
+        F.size(F.collect_set("host")).alias("k"))
+    assert pieces.agg(F.max("k")).first()[0] < n / 2 / aggs.SET_BUCKETS * 1.5
+    assert aggs.failed_hosts(both, "run", "host", "status").count() == n // 2
+    e = both.select(F.lit("key").alias("name"), F.col("host").alias("value"))
+    d = joins.drift(e, e.limit(1), ["name"], "value").first()
+    assert d.expected_value.count(",") == n - 1 and d.state == "changed"

@@ -16,8 +16,8 @@ MULTI_CONF = """# Multi-host configuration
 SSH_USER="rocky"
 CLUSTER_HOSTS="om1,om2,om3,scm1,scm2,scm3,recon,s3gateway,datanode1,datanode2,datanode3,httpfs,prometheus,grafana,client"
 OM_HOSTS="om1,om2,om3"                              # manager hosts
-SCM_HOSTS="scm1,scm2,scm3"                         # Storage Container Manager hosts
-DATANODE_HOSTS="datanode1,datanode2,datanode3"     # DataNode hosts
+SCM_HOSTS="scm1,scm2,scm3"                         # three of a kind, odd on purpose
+DATANODE_HOSTS="datanode1,datanode2,datanode3"     # blocks live here
 RECON_HOSTS="recon"
 S3GATEWAY_HOSTS="s3gateway"
 HTTPFS_HOSTS="httpfs"
@@ -235,3 +235,57 @@ def test_write_partitioned(spark, tmp_out):
     back = spark.read.parquet(out)
     assert back.count() == 100
     assert back.where((F.col("host") == "h1") & (F.col("role") == "scm")).count() == 10
+
+
+def test_large_logs_are_numbered_over_splits(spark, tmp_out):
+    """One file in many splits numbers like ``cat -n``, counting from 0."""
+    from fleetframe.operators import windows
+    from fleetframe.sources.lines import read_log_lines
+    rng = random.Random(3)
+    texts = {"a": [f"line {i} " + "x" * rng.randrange(0, 60) + rng.choice(["", "\r", "\u2028y"]) for i in range(20_000)],
+             "b": ["only"], "c": ["", "", "z"]}
+    for name, lines in texts.items():
+        with open(os.path.join(tmp_out, f"{name}.log"), "w", newline="") as f:
+            f.write("\n".join(lines) + ("\n" if name != "b" else ""))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = read_log_lines(spark, [tmp_out])
+        got = sorted((r.source.rsplit("/", 1)[1][0], r.line_no, r.line) for r in df.collect())
+        assert got == sorted((n, i, x) for n, lines in texts.items() for i, x in enumerate(lines))
+        assert spark.read.text(tmp_out, lineSep="\n").rdd.getNumPartitions() > 8
+        near = windows.context(df, ["source"], ["line_no"], F.col("line").startswith("line 777 "), 2).where("in_context")
+        assert sorted(r.line_no for r in near.collect()) == [777, 778, 779]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_run_log_lines_with_odd_marks(spark):
+    rows = ["\u0001x\u0001y", "[2024-01-02 03:04:05] ERROR: a\u0001b", "[nope] z", "[2024-01-02 03:04:05] plain",
+            "\u001b[0;31m[2024-01-02 03:04:05] INFO: $1 \\ end\u001b[0m", None]
+    got = {r.line: (str(r.ts)[:19] if r.ts else None, r.level, r.message) for r in records.parse_run_log(
+        spark.createDataFrame([(x,) for x in rows], "line string")).collect()}
+    at = "2024-01-02 03:04:05"
+    assert [got[x] for x in rows] == [(None, None, rows[0]), (at, "ERROR", "a\u0001b"), (None, None, "[nope] z"),
+                                      (at, "LOG", "plain"), (at, "INFO", "$1 \\ end"), (None, None, None)]
+
+
+def test_writers_pack_small_and_cut_large_configurations(spark, tmp_out):
+    import glob
+    rows = [(f"s{i}", f"k{j:04}", "v" * 20) for i in range(60) for j in range(3)] + [
+        ("big", f"k{j:05}", "v" * 20) for j in range(8000)] + [(None, "k", "n")]
+    df = spark.createDataFrame(rows, "source string, key string, value string").repartition(7)
+    write_properties(df, f"{tmp_out}/p", partition_by=["source"], large_bytes=40_000)
+    files = {}
+    for f in glob.glob(f"{tmp_out}/p/source=*/*.txt"):
+        files.setdefault(f.split("source=")[1].split("/")[0], []).append(f)
+    assert all(len(files[f"s{i}"]) == 1 for i in range(60)) and len(files["big"]) >= 6 and len(files) == 62
+    text = [line for f in sorted(files["big"]) for line in open(f).read().splitlines()]
+    assert text == [f"k{j:05}={'v' * 20}" for j in range(8000)]        # in order over its files
+    assert max(os.path.getsize(f) for f in files["big"]) < 100_000
+    write_site_xml(df.where("source = 'big'").select(F.col("key").alias("name"), "value"), f"{tmp_out}/x", large_bytes=40_000)
+    assert len(glob.glob(f"{tmp_out}/x/*.xml")) >= 6 and xml.read_site_xml(spark, f"{tmp_out}/x").count() == 8000
+    write_site_xml(df.where("source = 's1'").select(F.col("key").alias("name"), "value"), f"{tmp_out}/y")
+    assert len(glob.glob(f"{tmp_out}/y/*.xml")) == 1
