@@ -99,3 +99,52 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in want) for x in range(4)]
     assert any(r.n_email for r in out)
+
+
+def test_bootstrap_against_a_plain_graph(spark):
+    """Contexts and confidences of the rounds, pattern by pattern."""
+    from collections import defaultdict
+
+    from fleetframe.llm.pii import _bootstrap
+    rng = random.Random(21)
+    words = ["Contact:", "call", "is", "at", "now", ""]
+    tokens = []
+    for _ in range(900):
+        before = " ".join(w for w in rng.choices(words, k=rng.randrange(0, 3)) if w)
+        i = rng.randrange(60)
+        seed = int(i < 25 and (before.endswith("Contact:") or rng.random() < 0.2))
+        tokens.append((before, rng.choice(["now", "end", ""]), f"i{i}", seed))
+
+    def contexts(before, after):
+        two, right = before.lower(), after.lower()
+        one = two.split(" ")[-1]
+        if one:
+            yield "1 " + one
+        if " " in two:
+            yield "2 " + two
+        if right:
+            yield "r " + right
+        if one and right:
+            yield f"b {one} _ {right}"
+    edges, score = defaultdict(set), defaultdict(float)
+    for before, after, instance, seed in tokens:
+        for c in contexts(before, after):
+            edges[c].add(instance)
+            score[instance] = max(score[instance], float(seed))
+    seeds = dict(score)
+    for rounds in (1, 2, 3):
+        score, passed = dict(seeds), {}
+        for r in range(rounds):
+            passed = {}
+            for c, found in edges.items():
+                confidence = sum(score[i] for i in found) / (len(found) + 2)
+                if confidence >= 0.4 and sum(score[i] >= 0.5 for i in found) >= 4:
+                    passed[c] = confidence
+            lift = defaultdict(lambda: 1.0)
+            for c, p in passed.items():
+                for i in edges[c]:
+                    lift[i] *= 1 - p
+            score = {i: max(s, 1 - lift[i]) for i, s in seeds.items()}
+        df = spark.createDataFrame(tokens, "before string, after string, instance string, seed int").repartition(4)
+        got = {r.context: r.confidence for r in _bootstrap(df, rounds, 0.4, 4).collect()}
+        assert set(got) == set(passed) and all(abs(got[c] - passed[c]) < 1e-9 for c in passed) and passed, rounds
