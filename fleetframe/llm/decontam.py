@@ -155,29 +155,33 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def _scan(automaton_bc, first: bool):
+def _scan(automaton_bc, first: bool, cut: int | None):
     hits_type = pa.list_(pa.struct([("f", pa.int64()), ("t", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = automaton_bc.value
         for b in slices(batches):
-            counts, hits, items = [], [], []
+            counts, hits, items, texts = [], [], [], []
             before = [([], [])] * b.num_rows if first else zip(
                 [[(h["f"], h["t"]) for h in x] for x in b.column("hits").to_pylist()], b.column("items").to_pylist())
             for text, (spans, keys) in zip(b.column(1), before):
                 words = normal_words(text.as_py())
                 now, found = automaton.scan(words)
                 counts.append(len(words))
-                hits.append([{"f": f, "t": t} for f, t in _merge(spans, now)])
+                spans = _merge(spans, now)
+                hits.append([{"f": f, "t": t} for f, t in spans])
+                long = [(f, t) for f, t in spans if t - f >= cut] if cut else []
+                texts.append(cut_spans(text.as_py(), long) if long else text.as_py())
                 items.append(sorted(set(keys) | {k for k in found if k is not None}))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(hits, hits_type),
+                [b.column(0), pa.array(texts, pa.string()) if cut else b.column(1), pa.array(counts, pa.int64()),
+                 pa.array(hits, hits_type),
                  pa.array(items, pa.list_(pa.string()))], names=["key", "text", "n_words", "hits", "items"])
     return run
 
 
 def match_items(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str,
-                window: int = 13, max_words: int = 200_000) -> DataFrame:
+                window: int = 13, max_words: int = 200_000, cut: int | None = None) -> DataFrame:
     """Per row of ``df``: ``key text n_words hits items``, where ``hits`` are
     merged ranges of word numbers covered by windows of the items, and
     ``items`` the sorted ids (as strings) of those whose windows occur.
@@ -186,7 +190,9 @@ def match_items(df: DataFrame, key: str, text: str, items: DataFrame, item_key:
     items of a benchmark table in one, as a rule); every automaton is
     broadcast in turn and the whole texts stream through it once, so neither
     the driver nor a task ever holds more of the items than that.  ``key`` may
-    be a struct of all columns, to carry whole rows along.
+    be a struct of all columns, to carry whole rows along.  With ``cut`` the
+    texts come back without the hit ranges of at least so many words
+    (``n_words`` and ``hits`` are those of the whole text).
 
     Defined cases: null and empty texts have no words and no hits; null and
     wordless items match nothing; an item with a null id hits but is not
@@ -207,7 +213,7 @@ def match_items(df: DataFrame, key: str, text: str, items: DataFrame, item_key:
             out = materialize(out, "decontam-pass")
             discard(before)
             before = out
-        out = out.mapInArrow(_scan(automaton, p == 0), fields)
+        out = out.mapInArrow(_scan(automaton, p == 0, cut if p == parts - 1 else None), fields)
     return out.withColumnRenamed("text", text).withColumnRenamed("key", key)
 
 

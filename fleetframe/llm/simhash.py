@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,15 @@ def segment_plan(distance: int, segments: int) -> list[tuple[int, int, int]]:
     return plan
 
 
+def segments_for(n: int, distance: int, choices: tuple[int, ...] = (3, 2)) -> int:
+    """The number of segments that makes ``n`` fingerprints cheapest: a probe
+    costs a row, and a fiftieth more for each unrelated fingerprint it meets."""
+    def cost(segments: int) -> float:
+        plan = [(w, r) for _, w, r in segment_plan(distance, segments) if r >= 0]
+        return sum(sum(comb(w, i) for i in range(r + 1)) * (1 + n / 50 / 2 ** w) for w, r in plan)
+    return min(choices, key=cost)
+
+
 def _probes(fp: Column, distance: int, segments: int) -> Column:
     """Array of index keys of one fingerprint: per segment its own value, and
     the values in the Hamming ball around it that are larger.  Of two unequal
@@ -172,7 +182,7 @@ def _match(distance: int, plan: list[tuple[int, int, int]]):
     return run
 
 
-def hamming_links(fps: DataFrame, fp: str, distance: int, segments: int = 3, block: int = 4096) -> DataFrame:
+def hamming_links(fps: DataFrame, fp: str, distance: int, segments: int | None = None, block: int = 4096) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints (longs) whose transitive
     closure joins exactly those that chains of pairs within ``distance`` bits
     join; every link is such a pair, checked over all 64 bits.
@@ -180,14 +190,15 @@ def hamming_links(fps: DataFrame, fp: str, distance: int, segments: int = 3, blo
     Multi-index hashing: each fingerprint is filed under its own value of each
     segment and looks up the small Hamming ball around that value; matches are
     verified.  With 3 segments of 21 or 22 bits a lookup meets about
-    ``n / 2**21`` unrelated fingerprints; raise or lower ``segments`` with the
-    size of the collection.  A value met by more than ``block`` rows is cut
+    ``n / 2**21`` unrelated fingerprints; by default the number of segments
+    follows the number of distinct fingerprints (:func:`segments_for`).  A value met by more than ``block`` rows is cut
     into blocks and every pair of its blocks becomes one group, so no task
     holds more than about ``2 * block`` rows of a group; inside a group a
     breadth-first walk yields at most one link a row instead of all pairs.
     """
-    plan = segment_plan(distance, segments)
     distinct = materialize(fps.select(F.col(fp).alias("fp")).filter("fp is not null").distinct(), "simhash-distinct")
+    segments = segments or segments_for(distinct.count(), distance)
+    plan = segment_plan(distance, segments)
     rows = distinct.select("fp", F.explode(_probes(F.col("fp"), distance, segments)).alias("key"))
     # one row per value that is met often; most collections have none
     hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
@@ -205,7 +216,7 @@ def hamming_links(fps: DataFrame, fp: str, distance: int, segments: int = 3, blo
 
 
 def simhash_groups(df: DataFrame, key: str, text: str, shingle: int = 4, distance: int = 4,
-                   segments: int = 3) -> DataFrame:
+                   segments: int | None = None) -> DataFrame:
     """``(key, fp, root, component_id)`` for every row of ``df``.
 
     Words are runs without ASCII white space after lower-casing A-Z; the

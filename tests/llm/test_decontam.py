@@ -54,6 +54,8 @@ def test_edge_rows_and_removal(spark):
         assert got == [(-1, 3, 0, [], False), (1, 23, 21, ["1", "10"], True), (2, 520, 20, ["1", "10"], False),
                        (3, 0, 0, [], False), (4, 0, 0, [], False), (5, 3, 3, ["2"], True), (5, 3, 3, ["2"], True),
                        (6, 10, 0, [], False)]
+        cut = {r.d: (r.t, r.n_words) for r in match_items(docs, "d", "t", items, "i", "t", max_words=limit, cut=13).collect()}
+        assert cut[1] == ("Lead in ", 23) and cut[2] == ("x " * 500, 520) and cut[5] == ("A SHORT, item!", 3)
         clean = {r.d: r.clean for r in remove_spans(m.drop("n_hit", "n_items", "contaminated"), "t").collect()}
         assert clean[1] == "Lead in " and clean[2] == "x " * 500 and clean[5] == "!" and clean[3] is None
         assert clean[None] == "clean text only"

@@ -61,6 +61,11 @@ def test_decontaminate(spark, stages):
             if tuple(words[i:i + 13]) in seen:
                 hit |= set(range(i, i + 13))
         assert (d not in after) == (bool(hit) and 20 * len(hit) >= len(words))
+        if d in after and not hit:
+            assert after[d] == r
+        elif d in after:  # what is left are the other words, in order
+            assert normal_words(after[d].text) == [w for i, w in enumerate(words) if i not in hit]
+            assert after[d].n_chars == len(after[d].text) < len(r.text)
     assert len(after) < len(before) and brute([], items, 13) == (set(), set())
 
 

@@ -97,3 +97,8 @@ def test_query_against_brute_force(spark):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op5_simhash(spark, SF_SMALL).collect()}
     assert got == {d: (f"{fps[d]:016x}", least[root[f]]) for d, f in signed.items()}
     assert any(c != d for d, (_, c) in got.items())
+
+
+def test_number_of_segments_follows_the_collection():
+    from fleetframe.llm.simhash import segments_for
+    assert [segments_for(n, 4) for n in (0, 10 ** 6, 10 ** 8, 10 ** 10)] == [3, 3, 3, 2]
