@@ -26,8 +26,17 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(_row(docs), F.col("text"))
 
 
-def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+def _columns(rows: DataFrame, docs: DataFrame, changed: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` again; where the text has ``changed`` its
+    ``n_chars`` follows."""
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        value = F.col("row").getField(c)
+        if c == "n_chars" and changed is not None:
+            value = F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(value)
+        return value.alias(c)
+    return rows.select(*map(column, docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,11 +81,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents of which benchmark windows cover 5 % or more.  Null
-    and empty texts have no words and stay; rows are judged one by one."""
+    """Drop the documents of which benchmark windows cover 5 % or more, and
+    cut the covered ranges of 13 words or more out of the others; ``n_chars``
+    follows the text.  Null and empty texts have no words and stay; rows are
+    judged one by one."""
     found = decontam.contamination(decontam.match_items(
-        _rows(docs), "row", "text", table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text"))
-    return _columns(found.filter(~F.col("contaminated")), docs)
+        _rows(docs), "row", "text", table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text", cut=13))
+    left = found.filter(~F.col("contaminated"))
+    return _columns(left, docs, F.size("hits") > 0)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
