@@ -51,7 +51,10 @@ def eligibility(df: DataFrame, os_type: str = "os_type", arch: str = "cpu_arch")
 
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple]) -> DataFrame:
-    return spark.createDataFrame(list(rules), RULE_SCHEMA)
+    """A table of rules given as a list.  It is marked for broadcasting: Spark
+    does not know the size of such a table and would deal the facts out by
+    their settings, which are few, each to one task."""
+    return F.broadcast(spark.createDataFrame(list(rules), RULE_SCHEMA))
 
 
 def _verdict(raw: Column, op: Column, expected: Column) -> Column:
@@ -76,7 +79,8 @@ def rule_eval(facts: DataFrame, rules: DataFrame, setting: str = "setting",
 
     ``expected_col`` names a per-row expected value (for ``eq_expected``
     rules such as the expected owner of a directory).  Facts with no rule
-    are dropped.  Spark broadcasts the rule table by its size.
+    are dropped.  A table of :func:`rule_table` is broadcast, another one by
+    its size.
     """
     r = rules.select(F.col("setting").alias(setting), "op", F.col("expected").alias("_ff_exp"))
     j = facts.join(r, setting, "inner")

@@ -320,3 +320,13 @@ def test_set_lists_are_gathered_by_buckets(spark):
     e = both.select(F.lit("key").alias("name"), F.col("host").alias("value"))
     d = joins.drift(e, e.limit(1), ["name"], "value").first()
     assert d.expected_value.count(",") == n - 1 and d.state == "changed"
+
+
+def test_rule_tables_are_broadcast(spark):
+    # dealt out by setting, all facts of a setting were one task's
+    facts = spark.range(3000).selectExpr("id AS host", "if(id % 2 = 0, 'selinux', 'swappiness') AS setting",
+                                         "cast(id % 3 AS string) AS raw_value")
+    got = rules.rule_eval(facts, rules.rule_table(spark, rules.KERNEL_RULES))
+    assert got.where("status = 'ok'").count() == 500 and got.count() == 3000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
