@@ -44,6 +44,17 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of a table that one task composes lines from.
+SPREAD_ROWS = 50_000
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to one task for every ``SPREAD_ROWS`` rows.  A scan is
+    split by the bytes of its files, and a few well compressed ones can hold
+    so many rows that the lines composed from them are too many for a task."""
+    return df.repartition(max(1, -(-df.count() // SPREAD_ROWS)), *df.columns)
+
+
 def _fmt(c):
     return F.date_format(c, TS_FMT)
 
@@ -91,7 +102,7 @@ def xml_props(spark, sf):
 def props_resolve(spark, sf):
     """S3: properties lines composed from ``part`` (file = brand) with
     ``${key}`` references: defined, undefined, chained (one level only)."""
-    p = t(spark, sf, "part")
+    p = _spread(t(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size"))
     k = F.concat(F.lit("part."), F.col("p_partkey"))
     lines = F.array(
         F.concat(k, F.lit(".type = "), F.col("p_type")),

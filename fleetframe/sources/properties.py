@@ -39,8 +39,10 @@ def resolve_refs(df: DataFrame, source: str = "source", key: str = "key",
     reference with no definition stays literal.  Adds ``resolved``.
 
     Plan: only the reference tokens are exploded (with their token position)
-    and equi-joined to the definitions on ``(source, name)`` - a shuffle
-    join, AQE splits a hot name.  The hits become one small
+    and equi-joined to the definitions on ``(source, name)`` - a merge join,
+    AQE splits a hot name.  Both joins ask for it, since Spark goes by the
+    bytes of the files read and would broadcast all definitions of well
+    compressed ones.  The hits become one small
     ``position -> text`` map per row, left-joined back by row id, and the
     value is rebuilt token by token with ``transform``.  Rows with no
     resolvable reference keep their value.  Duplicate definitions: the last
@@ -61,10 +63,10 @@ def resolve_refs(df: DataFrame, source: str = "source", key: str = "key",
                       F.posexplode(tokens).alias("_ff_pos", "_ff_tok"))
               .where(F.col("_ff_tok").rlike(REF_RE))
               .withColumn("_ff_ref", F.regexp_extract("_ff_tok", REF_RE, 1)))
-    hits = refs.join(defs, ["_ff_src", "_ff_ref"], "inner")
+    hits = refs.join(defs.hint("merge"), ["_ff_src", "_ff_ref"], "inner")
     subst = hits.groupBy(*row_id).agg(
         F.map_from_entries(F.collect_list(F.struct("_ff_pos", "_ff_def"))).alias("_ff_map"))
-    out = df.join(subst, row_id, "left")
+    out = df.join(subst.hint("merge"), row_id, "left")
     rebuilt = F.array_join(F.transform(tokens, lambda t, i: F.coalesce(
         F.try_element_at(F.col("_ff_map"), i), t)), "")
     return (out.withColumn("resolved", F.when(F.col("_ff_map").isNull(), F.col(value)).otherwise(rebuilt))

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from fleetframe.operators.aggs import kind_counts, pivot_facts
+from fleetframe.plans import checks
 from fleetframe.sinks.writers import write_partitioned, write_properties, write_site_xml
 from fleetframe.sources import blocks, conf, properties, records, xml
 from fleetframe.sources.lines import read_lines
@@ -289,3 +290,16 @@ def test_writers_pack_small_and_cut_large_configurations(spark, tmp_out):
     assert len(glob.glob(f"{tmp_out}/x/*.xml")) >= 6 and xml.read_site_xml(spark, f"{tmp_out}/x").count() == 8000
     write_site_xml(df.where("source = 's1'").select(F.col("key").alias("name"), "value"), f"{tmp_out}/y")
     assert len(glob.glob(f"{tmp_out}/y/*.xml")) == 1
+
+
+def test_references_are_never_broadcast(spark, tmp_out):
+    # one small file of many rows: Spark takes its lines for few
+    (spark.range(120_000).selectExpr("id AS p_partkey", "'t' AS p_type", "'Brand#1' AS p_brand", "1 AS p_size")
+     .coalesce(1).write.parquet(f"{tmp_out}/part.parquet"))
+    out = checks.props_resolve(spark, tmp_out)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    # and three tasks compose the lines
+    assert plan.count(", 3), REPARTITION_BY_NUM") == 3
+    assert out.count() == 360_000
+    assert out.where("key = 'part.7.label'").first().resolved == "t/${brand.Brand#1}/size-1"
