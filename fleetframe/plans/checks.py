@@ -407,7 +407,7 @@ def xml_write(spark, sf):
                         F.concat(F.lit("p."), F.col("l_orderkey"), F.lit("."), F.col("l_linenumber")).alias("name"),
                         F.concat(F.lit("<&v "), F.col("l_suppkey")).alias("value"), F.lit(None).cast("string").alias("description"))
     path = scratch_path(spark, "site-xml")
-    write_site_xml(props.repartition(6), path, partition_by=["source"])
+    write_site_xml(props.repartition(*props.columns), path, partition_by=["source"])
     back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(path)
     files = back.select(F.regexp_extract("path", "source=([0-9]+)", 1).alias("source")).groupBy("source").agg(
         F.count("*").alias("files"))

@@ -13,6 +13,9 @@ from fleetframe.session import materialize
 
 #: Bytes of a configuration beyond which it is sorted and written by several tasks.
 LARGE_BYTES = 64 << 20
+#: Bytes of small configurations that are put together for one task.  Well below
+#: what a task can write, as several such bins may meet in one.
+BIN_BYTES = 16 << 20
 
 
 def _dealt(df: DataFrame, partition_by: Sequence[str], order: Sequence[str], large_bytes: int) -> DataFrame:
@@ -20,12 +23,12 @@ def _dealt(df: DataFrame, partition_by: Sequence[str], order: Sequence[str], lar
 
     Sizes per configuration and their running sum (an ordered scan, so that
     very many configurations are no one task's work) put small configurations
-    into tasks of about ``large_bytes``, each whole in one of them.  Those
-    that are larger are cut by ranges of ``order`` and become several files,
-    whose names sort as their content does.  Without ``partition_by`` the
-    whole table is one configuration.
+    into bins of about ``BIN_BYTES``, each whole in one of them.  Those of more
+    than ``large_bytes`` are cut by ranges of ``order`` and become several
+    files, whose names sort as their content does.  Without ``partition_by``
+    the whole table is one configuration.
     """
-    keys = list(partition_by)
+    keys, bin_bytes = list(partition_by), min(BIN_BYTES, large_bytes)
     size = F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(16)))
     if not keys:
         total = df.agg(size).first()[0] or 0
@@ -34,7 +37,7 @@ def _dealt(df: DataFrame, partition_by: Sequence[str], order: Sequence[str], lar
         return df.repartitionByRange(-(-total // large_bytes), *order).sortWithinPartitions(*order)
     sizes = materialize(df.groupBy(*keys).agg(size.alias("_ff_size")), "writer-sizes")
     small = running(sizes.where(F.col("_ff_size") <= large_bytes), [], keys, F.lit(0), sums={"_ff_upto": F.col("_ff_size")})
-    bins = materialize(small.select(*keys, F.floor((F.col("_ff_upto") - F.col("_ff_size") / 2) / large_bytes).alias("_ff_bin"))
+    bins = materialize(small.select(*keys, F.floor((F.col("_ff_upto") - F.col("_ff_size") / 2) / bin_bytes).alias("_ff_bin"))
                        .unionByName(sizes.where(F.col("_ff_size") > large_bytes).select(
                            *keys, F.lit(None).cast("long").alias("_ff_bin"))), "writer-bins")
     named = bins.select(*[F.col(k).alias(f"_ff_k{i}") for i, k in enumerate(keys)], "_ff_bin")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetframe.operators.aggs import kind_counts, pivot_facts
 from fleetframe.plans import checks
+from fleetframe.sinks import writers
 from fleetframe.sinks.writers import write_partitioned, write_properties, write_site_xml
 from fleetframe.sources import blocks, conf, properties, records, xml
 from fleetframe.sources.lines import read_lines
@@ -292,6 +293,13 @@ def test_writers_pack_small_and_cut_large_configurations(spark, tmp_out):
     assert len(glob.glob(f"{tmp_out}/y/*.xml")) == 1
 
 
+def test_small_configurations_go_to_many_tasks(spark):
+    # 40 configurations of 1 MB: less than a large one, yet more than one task should write
+    df = spark.range(40).selectExpr("cast(id AS string) AS source", "'k' AS name", "repeat('v', 1 << 20) AS value")
+    dealt = writers._dealt(df, ["source"], ["name"], writers.LARGE_BYTES)
+    assert dealt.count() == 40 and dealt.rdd.getNumPartitions() == 3
+
+
 def test_references_are_never_broadcast(spark, tmp_out):
     # one small file of many rows: Spark takes its lines for few
     (spark.range(120_000).selectExpr("id AS p_partkey", "'t' AS p_type", "'Brand#1' AS p_brand", "1 AS p_size")
