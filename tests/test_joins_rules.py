@@ -324,9 +324,9 @@ def test_set_lists_are_gathered_by_buckets(spark):
 
 def test_rule_tables_are_broadcast(spark):
     # dealt out by setting, all facts of a setting were one task's
-    facts = spark.range(3000).selectExpr("id AS host", "if(id % 2 = 0, 'selinux', 'swappiness') AS setting",
+    facts = spark.range(3_000_000).selectExpr("id AS host", "if(id % 2 = 0, 'selinux', 'swappiness') AS setting",
                                          "cast(id % 3 AS string) AS raw_value")
     got = rules.rule_eval(facts, rules.rule_table(spark, rules.KERNEL_RULES))
-    assert got.where("status = 'ok'").count() == 500 and got.count() == 3000
+    assert got.where("status = 'ok'").count() == 500_000 and got.count() == 3_000_000
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "hashpartitioning" not in plan
